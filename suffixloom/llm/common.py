@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Texts are worked on in slices of about so many bytes.
@@ -64,7 +65,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYT
         if not n:
             continue
         lengths = batch.column(batch.schema.get_field_index(column))
-        lengths = pa.compute.fill_null(pa.compute.binary_length(lengths), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(lengths), 0).to_numpy(zero_copy_only=False)
         ends, start = np.cumsum(lengths.astype(np.int64)), 0
         while start < n:
             base = ends[start - 1] if start else 0
