@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType
 
 #: Texts are worked on in slices of about so many bytes.
 SLICE_BYTES = 4 << 20
@@ -174,3 +175,33 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
         h *= _U(0x9FB21C651E98DF25)
         h += words[i : n + i]
     return mix(h)
+
+
+def fresh(name: str, taken) -> str:
+    """``name``, with underscores added until it is not in ``taken``."""
+    while name in taken:
+        name += "_"
+    return name
+
+
+def appended(docs: DataFrame, text: str, fields: StructType, each) -> tuple[DataFrame, list[str]]:
+    """``docs`` with columns computed in Python from one text column, and the names those columns got.
+
+    ``each(column)`` gets the texts of a slice of rows as a string array and returns one array for each
+    of ``fields``.  Rows and all other columns pass through as they are; a new name that ``docs`` has
+    already gets an underscore.
+    """
+    names = docs.columns
+    place = names.index(text)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    new = []
+    for f in fields:
+        new.append(fresh(f.name, [*names, *new]))
+    schema = StructType([*plain.schema.fields, *[StructField(f"n{i}", f.dataType, True) for i, f in enumerate(fields)]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, f"c{place}"):
+            made = each(b.column(place))
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[f.name for f in schema])
+
+    return plain.mapInArrow(run, schema).toDF(*names, *new), new

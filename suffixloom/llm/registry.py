@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import decontaminate, simhash, substring
 
-QUERIES = {"op9_simhash": simhash.op9_simhash}
+QUERIES = {
+    "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op6_substring": substring.op6_substring,
+    "op9_simhash": simhash.op9_simhash,
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op4_decontaminate": decontaminate.OP4_SQL}

@@ -1,0 +1,94 @@
+"""Decontamination against a plain reading of the rule."""
+
+import hashlib
+import random
+
+from pyspark.sql import functions as F
+
+from suffixloom.llm import decontaminate as d
+
+
+def words(t):
+    out, w = [], ""
+    for c in (t or "") + " ":
+        c = c.lower() if "A" <= c <= "Z" else c
+        if "0" <= c <= "9" or "a" <= c <= "z" or ord(c) > 127:
+            w += c
+        elif w:
+            out.append(w)
+            w = ""
+    return out
+
+
+def brute(docs, items, n=13):
+    wins = []
+    for i, t in items:
+        w = words(t)
+        k = min(n, len(w))
+        wins += [(i, w[a : a + k]) for a in range(len(w) - k + 1) if k]
+    out = []
+    for i, t in docs:
+        w, hit, got = words(t), set(), set()
+        for item, win in wins:
+            for a in range(len(w) - len(win) + 1):
+                if w[a : a + len(win)] == win:
+                    hit |= set(range(a, a + len(win)))
+                    got |= {str(item)} - {"None"}
+        s = hashlib.sha256(",".join(sorted(got)).encode()).hexdigest()
+        out.append((i, len(w), len(hit), len(got), s, bool(hit) and 20 * len(hit) >= len(w)))
+    return sorted(out, key=str)
+
+
+def run(spark, docs, items, **options):
+    a = spark.createDataFrame(docs, "doc_id bigint, text string")
+    b = spark.createDataFrame(items, "item_id bigint, text string")
+    out, (w, h, i) = d.find(a, b, **options)
+    rows = out.select("doc_id", w, h, F.size(i), F.sha2(F.array_join(i, ","), 256), d.is_contaminated(h, w)).collect()
+    return sorted((tuple(r) for r in rows), key=str)
+
+
+def data(seed=5):
+    r = random.Random(seed)
+    v = ["The", "of", "é", "Ü9", "x", "naïve", *[f"w{i}" for i in range(20)]]
+    text = lambda n: "".join(r.choice(v) + r.choice([" ", ", ", "\n", "--", "\x00", "`"]) for _ in range(n))
+    items = [(k, text(r.choice([1, 2, 12, 13, 14, 40]))) for k in range(30)]
+    items += [(3, text(20)), (None, text(15)), (40, None), (41, ""), (42, "..."), (7, items[7][1])]
+    docs = []
+    for k in range(80):
+        t = text(r.choice([0, 3, 12, 60, 300]))
+        for _ in range(r.randrange(3)):
+            i = r.choice(items)[1] or ""
+            t += i[r.randrange(max(1, len(i) // 2)) :].upper() + " " + text(r.choice([0, 5, 200]))
+        docs.append((k, t))
+    return [*docs, (1, docs[1][1]), (None, docs[2][1]), (90, None), (91, "")], items
+
+
+def test_against_brute_force(spark):
+    docs, items = data()
+    want = brute(docs, items)
+    assert any(x[2] for x in want)
+    assert run(spark, docs, items) == want
+    assert run(spark, docs, items, set_bytes=400) == want  # a benchmark dealt into several sets
+    assert run(spark, docs, []) == brute(docs, [])
+    assert run(spark, [], items) == []
+
+
+def test_long_item_and_long_text(spark):
+    r = random.Random(2)
+    long = " ".join(f"v{r.randrange(10**6)}" for _ in range(d.PIECE_WORDS * 2 + 50))
+    doc = " ".join(f"u{k}" for k in range(150_000)) + " " + long
+    (row,) = run(spark, [(1, doc)], [(9, long)])
+    assert row[1:4] == (150_000 + d.PIECE_WORDS * 2 + 50, d.PIECE_WORDS * 2 + 50, 1)
+
+
+def test_remove_keeps_columns_and_clean_rows(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    clean = " ".join(f"c{k}" for k in range(400))
+    rows = [(1, item, "a", 1), (2, f"{clean} {item.upper()}, {clean}", "b", 2), (3, None, None, 3), (4, f"x {item}! y", "d", 4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_hit string, items int")
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    out = d.remove(docs, bench)
+    assert out.columns == docs.columns
+    assert sorted(r.doc_id for r in out.collect()) == [2, 3]
+    spans = {r.doc_id: r.text for r in d.remove(docs, bench, mode="span").collect()}
+    assert spans == {1: "", 2: f"{clean} , {clean}", 3: None, 4: "x ! y"}
