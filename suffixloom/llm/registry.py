@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, simhash, substring
+from . import bpe, decontaminate, langid, simhash, substring
 
 QUERIES = {
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_langid": langid.op5_langid,
     "op6_substring": substring.op6_substring,
+    "op8_bpe": bpe.op8_bpe,
     "op9_simhash": simhash.op9_simhash,
 }
 
