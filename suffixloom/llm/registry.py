@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, simhash, substring
+from . import bpe, chat, decontaminate, langid, simhash, substring
 
 QUERIES = {
     "op4_decontaminate": decontaminate.op4_decontaminate,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_substring": substring.op6_substring,
     "op8_bpe": bpe.op8_bpe,
     "op9_simhash": simhash.op9_simhash,
+    "op10_chat": chat.op10_chat,
 }
 
-ORACLE_SQL = {"op4_decontaminate": decontaminate.OP4_SQL}
+ORACLE_SQL = {"op4_decontaminate": decontaminate.OP4_SQL, "op10_chat": chat.OP10_SQL}
