@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, langid, simhash, substring, warc
+from . import bpe, chat, decontaminate, langid, quality, simhash, substring, warc
 
 QUERIES = {
     "op3_warc": warc.op3_warc,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_langid": langid.op5_langid,
     "op6_substring": substring.op6_substring,
+    "op7_quality": quality.op7_quality,
     "op8_bpe": bpe.op8_bpe,
     "op9_simhash": simhash.op9_simhash,
     "op10_chat": chat.op10_chat,
 }
 
-ORACLE_SQL = {"op3_warc": warc.OP3_SQL, "op4_decontaminate": decontaminate.OP4_SQL, "op10_chat": chat.OP10_SQL}
+ORACLE_SQL = {"op3_warc": warc.OP3_SQL, "op4_decontaminate": decontaminate.OP4_SQL, "op7_quality": quality.OP7_SQL, "op10_chat": chat.OP10_SQL}

@@ -1,0 +1,99 @@
+"""Quality rules against a plain reading, and a plan without Python."""
+
+import math
+import random
+import re
+
+import pyarrow.parquet as pq
+
+from suffixloom.llm import quality as q
+
+
+def words(t):
+    return [w for w in re.split("[\x20\x09-\x0d]+", t or "") if w]
+
+
+def base(t):
+    w, t = words(t), t or ""
+    seen = {}
+    for i in range(len(w) - 2):
+        seen.setdefault(tuple(w[i : i + 3]), []).append(i)
+    hit = {i + k for at in seen.values() if len(at) > 1 for i in at for k in range(3)}
+    lines, dup = set(), 0
+    for line in t.split("\n"):
+        if words(line):
+            dup += line in lines
+            lines.add(line)
+    failed = len(w) < 50 or 100 * len(hit) > 50 * len(w)
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(hit), failed
+
+
+def histograms(t):
+    chars = [c for w in words(t) for c in w]
+    a = [sum(c in k for c in chars) for k in q.CLASSES]
+    b = [words(t).count(w) for w in q.WORDS]
+    return [*a, len(chars) - sum(a)], [*b, len(words(t)) - sum(b)]
+
+
+def share(x):
+    return [v / sum(x) if sum(x) else 0.0 for v in x]
+
+
+def js(p, r):
+    m = [(a + b) / 2 for a, b in zip(p, r)]
+    return math.sqrt(max(0.0, sum((a * math.log2(a / c) if a else 0) + (b * math.log2(b / c) if b else 0) for a, b, c in zip(p, r, m)) / 2))
+
+
+def brute(rows):
+    ref = {}
+    for _, t, lang in rows:
+        if not base(t)[-1]:
+            for key in {lang, None}:
+                old = ref.setdefault(key, ([0] * 6, [0] * (len(q.WORDS) + 1)))
+                ref[key] = tuple([x + y for x, y in zip(o, n)] for o, n in zip(old, histograms(t)))
+    out = []
+    for i, t, lang in rows:
+        m = base(t)
+        far = False
+        if lang in ref:
+            da, db = (js(share(h), share(r)) for h, r in zip(histograms(t), ref[lang]))
+            far = m[1] >= q.LEAST_CHARS and da > q.MOST_CLASS or m[0] >= q.LEAST_COUNTED and db > q.MOST_WORDS
+        out.append((i, *m, not m[-1] and not far))
+    return sorted(out, key=str)
+
+
+def run(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").selectExpr("*", "1 as n_words", "'x' as _w", "2 as _m")
+    out, m = q.judge(df)
+    assert [c for c in out.columns if c != m] == ["doc_id", "lang", "n_words", "_w", "_m"]
+    keys = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return sorted((tuple(r) for r in out.select("doc_id", *[f"{m}.{k}" for k in keys]).collect()), key=str)
+
+
+def test_against_brute_force(spark):
+    r = random.Random(3)
+    v = {"en": q.COMMON["en"] + ["thing", "Was", "é#", "x1"], "de": q.COMMON["de"] + ["Ding", "Größe"], "zz": ["||", "##", "&&&", "%"]}
+    rows = []
+    for k in range(120):
+        lang = r.choice(["en", "de", None, "zz"])
+        pool = v.get(lang, v["en"]) + [f"n{r.randrange(500)}" for _ in range(r.choice([5, 200]))]
+        if r.random() < 0.2:
+            pool = v["zz"]
+        sep = lambda: r.choice([" ", " ", "\n", "\t", "\v", "  ", "\x1f", " "])
+        rows.append((k, "".join(r.choice(pool) + sep() for _ in range(r.choice([0, 1, 2, 3, 4, 49, 50, 99, 100, 300]))), lang))
+    rows += [(1, rows[1][1], "en"), (None, None, None), (7, "", "en"), (8, "a b c " * 40_000, "en"), (9, "w" * 300_000, "de"), (10, "a b\na b\n\n \na b", "xx")]
+    assert run(spark, rows) == brute(rows)
+    assert run(spark, []) == []
+
+
+def test_clean_documents_are_kept(spark):
+    docs = {r["doc_id"]: r for r in pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pylist()}
+    good = {r["doc_id"] for r in pq.read_table("/root/testdata/sf0.01/labels.parquet").to_pylist() if r["quality"] == 1}
+    rows = q.op7_quality(spark, "/root/testdata/sf0.01").collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    assert all(r.kept for r in rows if r.doc_id in good and not r.base_failed)
+
+
+def test_plan_has_no_python(spark):
+    plan = q.op7_quality(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
