@@ -27,8 +27,10 @@ K, WINDOW = 10, 16
 MIN_WORDS, SHINGLE, SIMILARITY = 51, 5, 0.8
 #: What a word of gap costs, in words, on either side; seeds on one diagonal and this near are one anchor.
 GAP_COST, NEAR = 0.1, 25
-#: Words fetched before and after a chain.
-PAD = 40
+#: Words fetched before and after a chain: more than a passage, so one seed is enough to find it.
+PAD = 60
+#: Runs of equal shingles this far apart (two edits next to each other) belong to one passage, if it is alike enough.
+APART = 10
 #: A document asked for more passages than this gets its requests dealt over several tasks.
 HOT_REQUESTS = 20000
 
@@ -287,21 +289,26 @@ def align(left: np.ndarray, right: np.ndarray, turns: list[tuple[int, int, int]]
     straight = diagonal[shingle - 1 :] == diagonal[: n - shingle + 1]
     good = (run[shingle:] - run[:-shingle] == shingle) & straight
     lost = similarity / (1 - similarity) if similarity < 1 else np.inf
-    out, todo = [], [(0, len(good))]
+    at = np.flatnonzero(good)
+    if not len(at):
+        return []
+    cut = np.flatnonzero(np.diff(at) > APART)
+    out, todo = [], list(zip(at[np.r_[0, cut + 1]].tolist(), (at[np.r_[cut, len(at) - 1]] + 1).tolist(), strict=True))
     while todo:
         a, b = todo.pop()
         if b - a + shingle - 1 < min_words or not good[a:b].any():
             continue
-        total = np.r_[0.0, np.cumsum(np.where(good[a:b], 1.0, -lost))]
+        if good[a] and good[b - 1] and good[a:b].mean() >= similarity:
+            out.append((a, b - a + shingle - 1, a + int(diagonal[a]), float(good[a:b].mean())))
+            continue
+        total = np.r_[0.0, np.cumsum(np.where(good[a:b], 1.0, -lost))]  # the best stretch, and what is left beside it
         low = np.minimum.accumulate(total)
         end = int(np.argmax(total - low))
         start = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
         if end - start + shingle - 1 >= min_words:
             s = a + start
             out.append((s, end - start + shingle - 1, s + int(diagonal[s]), float(good[s : a + end].mean())))
-            todo += [(a, s), (a + end, b)]
-        elif end > start:  # the best stretch is too short; longer ones are on either side of it
-            todo += [(a, a + start), (a + end, b)]
+        todo += [(a, a + start), (a + end, b)]
     return sorted(out)
 
 
