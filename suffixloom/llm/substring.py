@@ -381,6 +381,33 @@ def repeated_passages(docs: DataFrame, row: str = "doc_id", text: str = "text",
     return found.join(keys, "doc").join(other, "src").select("row", "start", "n_words", F.col("src_row").alias("src"), "src_start", "similarity")
 
 
+def by_document(found: DataFrame) -> DataFrame:
+    """``row, n_repeated, n_passages, passages, sources``: a row for each document of ``repeated_passages``.
+
+    Passages that overlap or touch, found in whatever earlier documents, are one (``start``, ``n_words``);
+    ``sources`` lists the earlier documents.  What is gathered for a document is bounded by its length.
+    """
+    kind = found.schema["row"].dataType.simpleString()
+    grouped = found.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("n_words")).alias("stop")))).alias("spans"), F.sort_array(F.collect_set("src")).alias("sources"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            merged = []
+            for spans in b.column(1).to_pylist():
+                own: list[list[int]] = []
+                for s in spans:
+                    if own and s["start"] <= own[-1][1]:
+                        own[-1][1] = max(own[-1][1], s["stop"])
+                    else:
+                        own.append([s["start"], s["stop"]])
+                merged.append([{"start": a, "n_words": z - a} for a, z in own])
+            words = [sum(m["n_words"] for m in own) for own in merged]
+            spans = pa.array(merged, pa.list_(pa.struct([("start", pa.int64()), ("n_words", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.int64()), pa.array(list(map(len, merged)), pa.int64()), spans, b.column(2)], names=["row", "n_repeated", "n_passages", "passages", "sources"])
+
+    return grouped.mapInArrow(each, f"row {kind}, n_repeated bigint, n_passages bigint, passages array<struct<start: bigint, n_words: bigint>>, sources array<{kind}>")
+
+
 class _Cut:
     """Cuts word ranges out of texts."""
 
@@ -411,8 +438,8 @@ def deduplicate(docs: DataFrame, row: str = "doc_id", text: str = "text", **opti
     names = docs.columns
     docs, mark, _ = _numbered(docs, row)
     found = passages(docs.select(F.col(mark).alias("doc"), F.col(text).alias("text")), **options)
-    spans = found.groupBy("doc").agg(F.collect_set(F.struct("start", "n_words")).alias("spans"))
-    joined = docs.join(spans.select(F.col("doc").alias(mark), F.col("spans").alias(f"{mark}s")), mark, "left")
+    spans = by_document(found.withColumnRenamed("doc", "row"))
+    joined = docs.join(spans.select(F.col("row").alias(mark), F.col("passages").alias(f"{mark}s")), mark, "left")
     place, at = joined.columns.index(text), joined.columns.index(f"{mark}s")
     plain = joined.toDF(*[f"c{i}" for i in range(len(joined.columns))])
 
@@ -434,6 +461,6 @@ def deduplicate(docs: DataFrame, row: str = "doc_id", text: str = "text", **opti
 
 
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each passage of a document that an earlier document has: where, how long, and how alike."""
-    found = repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select(F.col("row").alias("doc_id"), F.col("start").alias("start_word"), "n_words", F.col("src").alias("source_doc_id"), F.col("src_start").alias("source_start_word"), F.round("similarity", 6).alias("similarity"))
+    """Each document that has passages of earlier documents: how many words, where, and of which documents."""
+    found = by_document(repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return found.select(F.col("row").alias("doc_id"), F.col("n_repeated").alias("n_repeated_words"), "n_passages", "passages", F.col("sources").alias("source_doc_ids"))
