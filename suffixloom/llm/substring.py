@@ -77,6 +77,10 @@ def minimizers(hashes: np.ndarray, bounds: np.ndarray, k: int, window: int) -> t
     for a, c in zip(first[short].tolist(), counts[short].tolist(), strict=True):
         chosen[a + int(np.argmin(h[a : a + c]))] = True
     at = np.flatnonzero(chosen & valid)
+    # the same seed again and again (one word repeated) is taken once in each window
+    new = np.r_[True, (h[at][1:] != h[at][:-1]) | (np.diff(at) >= window)][: len(at)]
+    nth = (at - at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]) // window if len(at) else at
+    at = at[new | np.r_[True, np.diff(nth) > 0][: len(at)]]
     return at, h[at]
 
 
