@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, langid, quality, simhash, substring, warc
+from . import bpe, chat, decontaminate, langid, quality, sharding, simhash, substring, tokencount, warc
 
 QUERIES = {
+    "op1_sharding": sharding.op1_sharding,
+    "op2_token_counts": tokencount.op2_token_counts,
     "op3_warc": warc.op3_warc,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_langid": langid.op5_langid,
