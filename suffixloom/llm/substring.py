@@ -101,10 +101,14 @@ def seeds(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
 
 
 def links(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
-    """``doc, src, pos, spos``: each seed and its first occurrence, where that is in an earlier document."""
+    """``doc, src, pos, spos``: each seed and its first occurrence, where that is in an earlier document.
+
+    First occurrences are written, so both sides of the join are plain tables and a seed that very many
+    documents have can be split over tasks.
+    """
     found = seeds(docs, k, window)
     first = found.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("first"), F.max("doc").alias("last")).filter(F.col("last") > F.col("first.doc"))
-    first = first.select("h", F.col("first.doc").alias("src"), F.col("first.pos").alias("spos"))
+    first = written(first.select("h", F.col("first.doc").alias("src"), F.col("first.pos").alias("spos")), "first")
     return found.join(first, "h").filter("doc > src").select("doc", "src", "pos", "spos")
 
 
