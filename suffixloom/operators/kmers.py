@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 #: Symbols in a piece that windows are cut from.
 PIECE = 4096
+#: Bytes of sequence that are counted at a time.
+SLICE = 4 << 20
+#: Counters that a task holds for all k-mers of one model and length, and in all; beyond that it counts each slice by itself.
+DENSE, MOST_DENSE = 1 << 20, 1 << 22
+#: Longest k-mer that is counted as a base-4 number.
+LONGEST_CODE = 26
 
 
 def fragments(sequences: DataFrame, k: int, by: list[str] = (), seq: str = "seq") -> DataFrame:
@@ -15,6 +26,17 @@ def fragments(sequences: DataFrame, k: int, by: list[str] = (), seq: str = "seq"
     return sequences.select(*by, F.explode(runs).alias("fragment"))
 
 
+def even(sequences: DataFrame) -> DataFrame:
+    """Deal out rows evenly where the input is less than one full split for each core; a stream stays as it is."""
+    spark = sequences.sparkSession
+    if sequences.isStreaming:
+        return sequences
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(sequences._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return sequences.repartition(cores) if size < cores * split else sequences
+
+
 def count_kmers(sequences: DataFrame, k: int, by: list[str] = (), seq: str = "seq", spread: int | None = None) -> DataFrame:
     """``by, kmer, count``: how often each run of ``k`` ACGT symbols occurs, strands apart, windows over other symbols left out.
 
@@ -23,17 +45,122 @@ def count_kmers(sequences: DataFrame, k: int, by: list[str] = (), seq: str = "se
     return count_all(sequences, [k], by, seq, spread).drop("k")
 
 
-def count_all(sequences: DataFrame, ks: list[int], by: list[str] = (), seq: str = "seq", spread: int | None = None, size: int = PIECE) -> DataFrame:
-    """``by, k, kmer, count`` for several lengths in one pass over the sequences."""
+def count_all(sequences: DataFrame, ks: list[int], by: list[str] = (), seq: str = "seq", spread: int | None = None) -> DataFrame:
+    """``by, k, kmer, count`` for several lengths in one pass over the sequences.
+
+    Lengths up to ``LONGEST_CODE`` are counted as base-4 numbers over whole Arrow batches; expressions
+    alone take some forty times as long for a window.  Greater lengths go through ``count_windows``.
+    """
     if not ks or min(ks) < 1:
         raise ValueError("k must be 1 or more")
+    rows = sequences.select(*by, F.col(seq).alias("seq"))
+    rows = rows.repartition(spread) if spread else even(rows)
+    if max(ks) > LONGEST_CODE:
+        return count_windows(rows, ks, by)
+    ks, by = sorted(set(ks)), list(by)
+    keys = [rows.schema[b] for b in by]
+    plain = rows.toDF(*[f"b{i}" for i in range(len(by))], "seq")
+    schema = StructType([*[StructField(f"b{i}", f.dataType) for i, f in enumerate(keys)], StructField("k", IntegerType()), StructField("code", LongType()), StructField("n", LongType())])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = _Tally(len(by), ks)
+        for b in batches:
+            yield from tally.add(b)
+        yield from tally.flush()
+
+    counts = plain.mapInArrow(each, schema).groupBy(*schema.names[:-1]).agg(F.sum("n").alias("count"))
+    kmer = F.translate(F.lpad(F.conv(F.col("code").cast("string"), 10, 4), F.col("k"), F.lit("0")), "0123", "ACGT")
+    return counts.select(*[F.col(f"b{i}").alias(b) for i, b in enumerate(by)], "k", kmer.alias("kmer"), "count")
+
+
+class _Tally:
+    """Counts base-4 codes of windows, by model."""
+
+    def __init__(self, n_by: int, ks: list[int]):
+        self.n_by, self.ks = n_by, ks
+        self.code = np.full(256, 4, np.uint8)
+        for i, c in enumerate("ACGT"):
+            self.code[[ord(c), ord(c.lower())]] = i
+        self.dense: dict[tuple, np.ndarray] = {}
+        self.held = 0
+        self.types: list[pa.DataType] = []
+
+    def add(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        self.types = [c.type for c in batch.columns[: self.n_by]]
+        models = list(zip(*[c.to_pylist() for c in batch.columns[: self.n_by]], strict=True)) if self.n_by else [()] * batch.num_rows
+        text = batch.column(self.n_by).cast(pa.large_binary())
+        at = np.frombuffer(text.buffers()[1], np.int64, count=len(text) + 1, offset=8 * text.offset) if len(text) else np.zeros(1, np.int64)
+        data = text.buffers()[2] if len(text) else None
+        data = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+        at = at - at[0]
+        number: dict[tuple, int] = {}
+        model = np.fromiter((number.setdefault(m, len(number)) for m in models), np.int64, len(models))
+        known = list(number)
+        most = max(self.ks)
+        for begin in range(0, len(data), SLICE):
+            stop = min(len(data), begin + SLICE)
+            codes = self.code[data[begin : min(len(data), stop + most - 1)]]
+            first, last = np.searchsorted(at, [begin, begin + len(codes) - 1], side="right") - 1
+            own = np.arange(first, last + 1)
+            row = np.repeat(own, np.minimum(at[own + 1], begin + len(codes)) - np.maximum(at[own], begin))
+            bad = np.r_[0, np.cumsum(codes > 3)]
+            value = {1: codes.astype(np.int64) & 3}
+            for k in self.ks:
+                n = min(stop - begin, len(codes) - k + 1)
+                if n <= 0:
+                    continue
+                good = (bad[k : n + k] == bad[:n]) & (row[:n] == row[k - 1 : n + k - 1])
+                yield from self._count(k, self._codes(value, k)[:n][good], model[row[:n][good]], known)
+
+    @staticmethod
+    def _codes(value: dict[int, np.ndarray], k: int) -> np.ndarray:
+        """Codes of all windows of ``k`` symbols, put together from those of half the length."""
+        if k not in value:
+            a = k // 2
+            left, right = _Tally._codes(value, k - a), _Tally._codes(value, a)
+            value[k] = (left[: len(right) - (k - a)] << 2 * a) | right[k - a :]
+        return value[k]
+
+    def _count(self, k: int, codes: np.ndarray, model: np.ndarray, known: list[tuple]) -> Iterator[pa.RecordBatch]:
+        space = 4**k
+        if space <= DENSE and len(known) * space <= MOST_DENSE:
+            counts = np.bincount(model * space + codes, minlength=len(known) * space).reshape(len(known), space)
+            for m, row in zip(known, counts, strict=True):
+                if (m, k) in self.dense:
+                    self.dense[m, k] += row
+                elif row.any():
+                    if self.held + space > MOST_DENSE:
+                        yield from self.flush()
+                    self.dense[m, k] = row.copy()
+                    self.held += space
+            return
+        order = np.argsort(model, kind="stable") if len(known) > 1 else None
+        bounds = np.searchsorted(model[order], np.arange(len(known) + 1)) if order is not None else [0, len(codes)]
+        for i, m in enumerate(known):
+            found, n = np.unique(codes[order[bounds[i] : bounds[i + 1]]] if order is not None else codes, return_counts=True)
+            if len(found):
+                yield self._batch([(m, k, found, n)])
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        parts = [(m, k, np.flatnonzero(row), row[row > 0]) for (m, k), row in self.dense.items()]
+        self.dense, self.held = {}, 0
+        for i in range(0, len(parts), 64):
+            yield self._batch(parts[i : i + 64])
+
+    def _batch(self, parts: list[tuple]) -> pa.RecordBatch:
+        sizes = [len(p[2]) for p in parts]
+        cols = [pa.array([p[0][i] for p, n in zip(parts, sizes, strict=True) for _ in range(n)], self.types[i]) for i in range(self.n_by)]
+        cols += [pa.array(np.repeat([p[1] for p in parts], sizes).astype(np.int32)), *(pa.array(np.concatenate([p[j] for p in parts]).astype(np.int64)) for j in (2, 3))]
+        return pa.RecordBatch.from_arrays(cols, names=[*[f"b{i}" for i in range(self.n_by)], "k", "code", "n"])
+
+
+def count_windows(sequences: DataFrame, ks: list[int], by: list[str] = (), seq: str = "seq", size: int = PIECE) -> DataFrame:
+    """The same counts in expressions only, for any length: windows are cut out as bytes, exploded and grouped."""
     most = max(ks)
     raw = F.encode("fragment", "US-ASCII")
     found = fragments(sequences, min(ks), list(by), seq).select(*by, raw.alias("raw"))
     # a piece holds the windows that start in its first ``size`` symbols; bytes are cut, so a cut costs what it copies
     cut = found.select(*by, "raw", F.explode(F.sequence(F.lit(1), F.octet_length("raw"), F.lit(size))).alias("at")).select(*by, F.substring("raw", F.col("at"), F.lit(size + most - 1)).alias("piece"))
-    if spread:
-        cut = cut.repartition(spread)
     windows = []
     for k in sorted(set(ks)):
         n = F.least(F.lit(size), F.octet_length("piece") - (k - 1))

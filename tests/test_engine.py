@@ -49,12 +49,37 @@ def test_kmer_counts(spark, sequences):
     for k in (1, 4, 7):
         got = {(r.model, r.kmer): r["count"] for r in K.count_kmers(sequences, k, ["model"], spread=3).collect()}
         assert got == naive_counts(rows, k)
-    many = K.count_all(sequences, [2, 5, 9], ["model"], size=13).collect()
-    for k in (2, 5, 9):
-        assert {(r.model, r.kmer): r["count"] for r in many if r.k == k} == naive_counts(rows, k)
+    for many in (K.count_all(sequences, [2, 5, 9], ["model"]), K.count_windows(sequences, [2, 5, 9], ["model"], size=13)):
+        many = many.collect()
+        for k in (2, 5, 9):
+            assert {(r.model, r.kmer): r["count"] for r in many if r.k == k} == naive_counts(rows, k)
     assert K.count_kmers(sequences.limit(0), 4, ["model"]).count() == 0
 
 
+def test_kmer_counts_in_slices(spark, sequences, monkeypatch):
+    """Slices, dense and sparse counters, many models and long k-mers give the same counts."""
+    import pyarrow as pa
+
+    r = random.Random(4)
+    rows = [(f"m{k % 7}" if k % 7 else None, "".join(r.choice("ACGTacgtN-") for _ in range(r.randrange(60)))) for k in range(50)] + [("m1", None)]
+    want = {k: naive_counts(rows, k) for k in (1, 3, 12)}
+    batch = pa.RecordBatch.from_arrays([pa.array([m for m, _ in rows]), pa.array([s for _, s in rows])], names=["b0", "seq"])
+    for size, dense, most in ((1 << 20, 1 << 20, 1 << 22), (11, 1 << 20, 1 << 22), (7, 0, 0), (50, 64, 150)):
+        monkeypatch.setattr(K, "SLICE", size)
+        monkeypatch.setattr(K, "DENSE", dense)
+        monkeypatch.setattr(K, "MOST_DENSE", most)
+        tally, got = K._Tally(1, [1, 3, 12]), {1: {}, 3: {}, 12: {}}
+        for out in [*tally.add(batch), *tally.add(batch.slice(3, 40)), *tally.flush()]:
+            for m, k, code, n in zip(*(c.to_pylist() for c in out.columns)):
+                key = (m, "".join("ACGT"[code >> 2 * i & 3] for i in range(k))[::-1])
+                got[k][key] = got[k].get(key, 0) + n
+        for k in want:
+            part = naive_counts(rows[3:43], k)
+            assert got[k] == {x: want[k].get(x, 0) + part.get(x, 0) for x in {*want[k], *part}}
+    long = {(r.model, r.kmer): r["count"] for r in K.count_kmers(sequences, 40, ["model"]).collect()}
+    assert long == naive_counts([tuple(r) for r in sequences.collect()], 40)
+
+
 def test_union_adds_up(spark, sequences):
     counts = K.count_kmers(sequences, 4)
     both = {r.kmer: r["count"] for r in K.union_counts(counts, counts.limit(0), counts).collect()}
