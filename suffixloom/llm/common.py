@@ -1,17 +1,17 @@
-"""What several operators share: written intermediate tables, batches of bounded size, word scanning."""
+"""What several operators share: batches of bounded size, columns made in Python, word scanning."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.types import StructField, StructType
 
+from ..tables import shared_dir, written  # noqa: F401  (for the operators)
+
 #: Texts are worked on in slices of about so many bytes.
 SLICE_BYTES = 4 << 20
 
@@ -19,32 +19,6 @@ _MULT = 0x9E3779B97F4A7C15
 _U = np.uint64
 
 
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder name in the folder that driver and executors share.
-
-    The folder is the session's ``spark.checkpoint.dir``.  Where that is unset
-    (one machine, as in tests) a temporary folder is made and remembered there.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("suffixloom.scratch.dir", None)
-        if not base:
-            base = tempfile.mkdtemp(prefix="suffixloom-")
-            spark.conf.set("suffixloom.scratch.dir", base)
-    return f"{base.rstrip('/')}/suffixloom-{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again.
-
-    This cuts the lineage so that a lost executor costs a reread, not a rerun.
-    """
-    spark = df.sparkSession
-    path = shared_dir(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the n + 1 offsets of its rows in them; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
