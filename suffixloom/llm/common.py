@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ..tables import shared_dir, written  # noqa: F401  (for the operators)
@@ -179,3 +180,12 @@ def appended(docs: DataFrame, text: str, fields: StructType, each) -> tuple[Data
             yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[f.name for f in schema])
 
     return plain.mapInArrow(run, schema).toDF(*names, *new), new
+
+
+def numbered(docs: DataFrame, row: str) -> tuple[DataFrame, str, bool]:
+    """``docs`` with a unique long, its column's name, and whether that is ``row`` itself or a written row number."""
+    ids = docs.select(F.col(row).alias("id"))
+    mark = fresh("_number", docs.columns)
+    if docs.schema[row].dataType.simpleString() in ("bigint", "int") and ids.groupBy("id").count().filter("id is null or count > 1").isEmpty():
+        return docs.withColumn(mark, F.col(row).cast("bigint")), mark, True
+    return written(docs.withColumn(mark, F.monotonically_increasing_id()), "numbered"), mark, False

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import numbered, slices, written
 from .components import components
 
 #: Words in a shingle, seed of the shingle hash, and bits that a link may differ in.
@@ -207,13 +207,14 @@ def deduplicate(docs: DataFrame, row: str = "doc_id", text: str = "text", **opti
     Rows that tie (repeated or null keys) are told apart by a row number, so exactly one stays.
     The columns of ``docs`` are returned as they are.
     """
-    mark = "_row"
-    while mark in docs.columns:
-        mark += "_"
-    docs = written(docs.withColumn(mark, F.monotonically_increasing_id()), "numbered")
-    key = F.struct(F.col(row).isNull().alias("null"), F.col(row).alias("id"), F.col(mark).alias("number"))
-    found = near_duplicates(docs.select(key.alias("row"), F.col(text).alias("text")), "row", "text", **options)
-    stay = found.filter(F.col("row.number") == F.col("first_row.number")).select(F.col("row.number").alias(mark))
+    docs, mark, same = numbered(docs, row)
+    if same:
+        found = near_duplicates(docs, row, text, **options)
+        stay = found.filter(F.col("row") == F.col("first_row")).select(F.col("row").alias(mark))
+    else:
+        key = F.struct(F.col(row).isNull().alias("null"), F.col(row).alias("id"), F.col(mark).alias("number"))
+        found = near_duplicates(docs.select(key.alias("row"), F.col(text).alias("text")), "row", "text", **options)
+        stay = found.filter(F.col("row.number") == F.col("first_row.number")).select(F.col("row.number").alias(mark))
     return docs.join(stay, mark, "left_semi").drop(mark)
 
 

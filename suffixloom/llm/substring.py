@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordScanner, fresh, nonspace_bytes, slices, text_bytes, window_hashes, written
+from .common import WordScanner, nonspace_bytes, numbered, slices, text_bytes, window_hashes, written
 
 #: Words of a seed, and seeds of which one is taken.
 K, WINDOW = 10, 16
@@ -328,15 +328,6 @@ def _equal(left: np.ndarray, right: np.ndarray, at: np.ndarray, diagonal) -> np.
     return out
 
 
-def _numbered(docs: DataFrame, row: str) -> tuple[DataFrame, str, bool]:
-    """``docs`` with a unique long, its column's name, and whether that is ``row`` itself or a written row number."""
-    ids = docs.select(F.col(row).alias("id"))
-    mark = fresh("_doc", docs.columns)
-    if docs.schema[row].dataType.simpleString() in ("bigint", "int") and ids.groupBy("id").count().filter("id is null or count > 1").isEmpty():
-        return docs.withColumn(mark, F.col(row).cast("bigint")), mark, True
-    return written(docs.withColumn(mark, F.monotonically_increasing_id()), "numbered"), mark, False
-
-
 def passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, hot: int = HOT_REQUESTS) -> DataFrame:
     """``doc, start, n_words, src, src_start, similarity`` for each passage that an earlier document has.
 
@@ -380,7 +371,7 @@ def repeated_passages(docs: DataFrame, row: str = "doc_id", text: str = "text",
     where keys are null, repeated or not integers, it is the one that comes first in the table.  Null and
     short texts have no passages; an empty table gives no rows; repeats inside one document are no passages.
     """
-    docs, mark, same = _numbered(docs.select(row, text), row)
+    docs, mark, same = numbered(docs.select(row, text), row)
     found = passages(docs.select(F.col(mark).alias("doc"), F.col(text).alias("text")), **options)
     if same:
         return found.select(F.col("doc").alias("row"), "start", "n_words", "src", "src_start", "similarity")
@@ -444,7 +435,7 @@ def deduplicate(docs: DataFrame, row: str = "doc_id", text: str = "text", **opti
     loses nothing stays as it is, wordless or null ones too.
     """
     names = docs.columns
-    docs, mark, _ = _numbered(docs, row)
+    docs, mark, _ = numbered(docs, row)
     found = passages(docs.select(F.col(mark).alias("doc"), F.col(text).alias("text")), **options)
     spans = by_document(found.withColumnRenamed("doc", "row"))
     joined = docs.join(spans.select(F.col("row").alias(mark), F.col("passages").alias(f"{mark}s")), mark, "left")
