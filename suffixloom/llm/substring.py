@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordScanner, nonspace_bytes, numbered, slices, text_bytes, window_hashes, written
+from .common import WordScanner, mix, nonspace_bytes, numbered, slices, text_bytes, window_hashes, written
 
 #: Words of a seed, and seeds of which one is taken.
 K, WINDOW = 10, 16
@@ -84,7 +84,26 @@ def minimizers(hashes: np.ndarray, bounds: np.ndarray, k: int, window: int) -> t
     return at, h[at]
 
 
-def seeds(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
+def long_runs(hashes: np.ndarray, bounds: np.ndarray, least: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places, ``step`` apart, from which one word is repeated ``least`` times or more, and a hash of that word.
+
+    A run's ordinary seeds point to the first run of that word in the corpus, which may be a short one;
+    these point to the first that is long enough to be a passage.
+    """
+    n = len(hashes)
+    if not n:
+        return np.zeros(0, np.int64), hashes
+    new = np.r_[True, hashes[1:] != hashes[:-1]]
+    new[bounds[:-1][bounds[:-1] < n]] = True
+    start = np.flatnonzero(new)
+    length = np.diff(np.r_[start, n])
+    long = np.flatnonzero(length >= least)
+    at = [np.arange(start[i], start[i] + length[i] - least + 1, step) for i in long]
+    at = np.concatenate(at) if at else np.zeros(0, np.int64)
+    return at, mix(hashes[at] ^ np.uint64(0xA5A5A5A55A5A5A5A))
+
+
+def seeds(docs: DataFrame, k: int = K, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
     """``h, doc, pos`` for each seed of ``docs`` (columns ``doc``, ``text``); ``pos`` counts words."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +111,7 @@ def seeds(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
         for b in slices(batches, "text"):
             data, offsets = text_bytes(b.column(1))
             _, _, hashes, bounds = scanner.scan(data, offsets)
-            at, h = minimizers(hashes, bounds, k, window)
+            at, h = (np.concatenate(x) for x in zip(minimizers(hashes, bounds, k, window), long_runs(hashes, bounds, max(k, min_words), window), strict=True))
             row = np.searchsorted(bounds, at, side="right") - 1
             doc = np.asarray(b.column(0))[row]
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc), pa.array((at - bounds[row]).astype(np.int32))], names=["h", "doc", "pos"])
@@ -100,13 +119,13 @@ def seeds(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(each, "h bigint, doc bigint, pos int")
 
 
-def links(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
+def links(docs: DataFrame, k: int = K, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc, src, pos, spos``: each seed and its first occurrence, where that is in an earlier document.
 
     First occurrences are written, so both sides of the join are plain tables and a seed that very many
     documents have can be split over tasks.
     """
-    found = seeds(docs, k, window)
+    found = seeds(docs, k, window, min_words)
     first = found.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("first"), F.max("doc").alias("last")).filter(F.col("last") > F.col("first.doc"))
     first = written(first.select("h", F.col("first.doc").alias("src"), F.col("first.pos").alias("spos")), "first")
     return found.join(first, "h").filter("doc > src").select("doc", "src", "pos", "spos")
@@ -334,7 +353,7 @@ def passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_words: int =
     ``docs`` has ``doc`` (a unique long) and ``text``.  Words are runs of anything but ASCII white space,
     A-Z lower-cased; places count words.
     """
-    found = written(chains(links(docs, k, window), k), "chains")
+    found = written(chains(links(docs, k, window, min_words), k), "chains")
     asked = found.select(F.col("doc").alias("key"), "doc", "src", "no", F.lit(0).cast("bigint").alias("side"), (F.col("a") - PAD).alias("lo"), (F.col("b") + PAD).alias("hi"))
     asked = asked.unionByName(found.select(F.col("src").alias("key"), "doc", "src", "no", F.lit(1).cast("bigint").alias("side"), (F.col("sa") - PAD).alias("lo"), (F.col("sb") + PAD).alias("hi")))
     words = _fetch(docs, asked, hot)

@@ -114,6 +114,15 @@ def test_long_text_and_repeated_words(spark):
     assert got[2] == set(range(1, 120_001)) and len(got[4]) > 19_000
 
 
+def test_runs_of_one_word(spark):
+    r = random.Random(12)
+    lone = lambda n: " ".join(words(r, n))
+    rows = [(1, f"{lone(9)} " + "to " * 30 + lone(9)), (2, f"{lone(7)} " + "to " * 90 + lone(9)), (3, f"{lone(4)} " + "to " * 200 + lone(9)), (4, "to " * 50 + lone(30))]
+    out = found(spark, rows)
+    assert {(x.row, x.src) for x in out} == {(3, 2)}
+    assert covered(out)[3] == set(range(4, 204))
+
+
 def test_deduplicate_cuts_passages_only(spark):
     r = random.Random(9)
     a, p, b, c = (" ".join(words(r, n)) for n in (30, 70, 40, 20))
