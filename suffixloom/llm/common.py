@@ -13,8 +13,8 @@ from pyspark.sql.types import StructField, StructType
 
 from ..tables import shared_dir, written  # noqa: F401  (for the operators)
 
-#: Texts are worked on in slices of about so many bytes.
-SLICE_BYTES = 4 << 20
+#: Texts are worked on in slices of about so many bytes, and so many rows at most.
+SLICE_BYTES, SLICE_ROWS = 4 << 20, 2048
 
 _MULT = 0x9E3779B97F4A7C15
 _U = np.uint64
@@ -35,7 +35,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that the text in each is about ``size`` bytes, or one row."""
+    """Cut record batches so that the text in each is about ``size`` bytes, or one row, and rows are few enough."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -45,7 +45,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYT
         ends, start = np.cumsum(lengths.astype(np.int64)), 0
         while start < n:
             base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + size, side="right")))
+            stop = min(start + SLICE_ROWS, max(start + 1, int(np.searchsorted(ends, base + size, side="right"))))
             yield batch.slice(start, stop - start)
             start = stop
 
