@@ -49,7 +49,7 @@ def count_all(sequences: DataFrame, ks: list[int], by: list[str] = (), seq: str
     """``by, k, kmer, count`` for several lengths in one pass over the sequences.
 
     Lengths up to ``LONGEST_CODE`` are counted as base-4 numbers over whole Arrow batches; expressions
-    alone take some forty times as long for a window.  Greater lengths go through ``count_windows``.
+    alone take about ten times as long for a window.  Greater lengths go through ``count_windows``.
     """
     if not ks or min(ks) < 1:
         raise ValueError("k must be 1 or more")
