@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, written
 
 VERSION = "WARC/1.0"
 #: Date that records get where the pages have none.
@@ -58,7 +58,7 @@ def write_archive(pages: DataFrame, path: str, row: str = "page_id", url: str =
     first = data.groupBy("sha256").agg(F.first("payload").alias("payload"))
     first.select("sha256", base32(F.sha1("payload")).alias("digest"), F.octet_length("payload").cast("bigint").alias("length"), "payload").write.parquet(f"{path}/payloads")
     light = data.select("row", "url", "sha256", F.octet_length("payload").cast("bigint").alias("length"), base32(F.sha1("payload")).alias("digest"))
-    shared = groups.filter("n > 1").select("sha256", "last")
+    shared = written(groups.filter("n > 1").select("sha256", "last"), "shared")  # a plain table, so a hot payload's join can be split
     joined = light.join(shared, "sha256", "left")
     target = F.when((F.col("length") >= least_bytes) & F.col("last").isNotNull() & ~F.col("row").eqNullSafe(F.col("last")), F.col("last"))
     kind = F.when(target.isNull(), "response").otherwise("revisit")
