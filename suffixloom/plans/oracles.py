@@ -163,6 +163,7 @@ _DE_EN = "SELECT * FROM tr WHERE lang IN ('de', 'en')"
 
 ORACLE_SQL = {
     "kmer_counts": _with(_kmers(5), select="SELECT * FROM km"),
+    "kmer_counts_streamed": _with(_kmers(5), select="SELECT * FROM km"),
     "kmer_counts_split": _with(_kmers(4, squeeze=False), select="SELECT * FROM km"),
     "kmer_union_sum": _with(_kmers(5, "", name="a"), _kmers(5, "", "conversations", name="b"), select="SELECT kmer, CAST(sum(count) AS BIGINT) AS count FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY kmer"),
     "sequence_fragments": _with(_kmers(4, squeeze=False), select="SELECT lang, count(*) AS n, CAST(sum(length(f)) AS BIGINT) AS symbols, CAST(sum(length(f) - 3) AS BIGINT) AS windows FROM km_fr GROUP BY lang"),
@@ -188,6 +189,7 @@ ORACLE_SQL = {
     "tree_by_role": _with(_whole(by="role", table="conversations"), select=f"SELECT role, {_TREE_COLUMNS} FROM tr"),
     "tree_reprune": _with(_whole(q.Build(max_depth=4, min_count=_T.min_count, threshold=q.HARDER)), select=f"SELECT lang, {_TREE_COLUMNS} FROM tr"),
     "tree_dump": _with(_whole(), select="SELECT lang, concat_ws(' ', context, count, n_a, n_c, n_g, n_t, CAST(round(divergence, 0) AS BIGINT), CAST(is_terminal AS INTEGER), 0) AS line FROM tr"),
+    "tree_archive": _with(_whole(), select=f"SELECT lang, {_TREE_COLUMNS} FROM tr"),
     "tree_size": _with(_whole(), select="SELECT lang, CAST(coalesce(sum(depth) FILTER (WHERE is_terminal), 0) AS BIGINT) AS terminal_length, CAST(coalesce(sum(count) FILTER (WHERE depth = 1), 0) AS BIGINT) AS sequence_size FROM tr GROUP BY lang"),
     "tree_terminals": _with(_whole(), select="SELECT lang, count(*) FILTER (WHERE is_terminal) AS n_terminal, max(count) FILTER (WHERE depth = 0) AS sequence_size FROM tr GROUP BY lang"),
     "tree_remainder": _with(_whole(), select="SELECT t.lang, t.context, t.count, CAST(greatest(t.count - coalesce((SELECT sum(c.count) FROM tr c WHERE c.lang = t.lang AND c.depth = t.depth + 1 AND substr(c.context, 2) = t.context), 0), 0) AS BIGINT) AS remainder FROM tr t"),

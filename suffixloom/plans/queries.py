@@ -17,8 +17,9 @@ from ..operators import kmers as K
 from ..operators import metrics as M
 from ..operators import prune as P
 from ..sources.sequences import from_text
-from ..sources.trees import dump_line
-from ..tables import written
+from ..sources.trees import dump_line, from_records, to_records
+from ..streaming.incremental import count_stream, current_counts
+from ..tables import shared_dir, written
 from .build import bic_sequences, contexts_from_kmers, tree_from_kmers, tree_from_sequences
 
 LANG = ["lang"]
@@ -69,6 +70,15 @@ def kmer_counts_split(spark, sf):
     return lang_kmers(spark, sf, 4, squeeze=False)
 
 
+def kmer_counts_streamed(spark, sf):
+    """The counts of ``kmer_counts``, gathered by a stream over the table's files."""
+    path = f"{sf}/documents.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")  # a stream takes one file only by a pattern
+    table = shared_dir(spark, "stream")
+    count_stream(from_text(stream, "text", LANG), 5, table, f"{table}-checkpoint", LANG).awaitTermination()
+    return current_counts(spark, table, LANG)
+
+
 def kmer_union_sum(spark, sf):
     """Counts of documents, then of conversations, united."""
     a = K.count_kmers(documents(spark, sf), 5)
@@ -164,6 +174,11 @@ def tree_dump(spark, sf):
     return t.select("lang", dump_line().alias("line"))
 
 
+def tree_archive(spark, sf):
+    """The tree, through archive records and back."""
+    return rounded(from_records(to_records(lang_tree(spark, sf), LANG), LANG))
+
+
 def tree_size(spark, sf):
     return M.size(lang_tree(spark, sf), LANG)
 
@@ -234,9 +249,9 @@ def bic_best(spark, sf):
 
 
 NAMES = (
-    kmer_counts, kmer_counts_split, kmer_union_sum, sequence_fragments, symbol_functions, context_counts, context_rollup_check, context_support, context_support_adjusted,
+    kmer_counts, kmer_counts_split, kmer_counts_streamed, kmer_union_sum, sequence_fragments, symbol_functions, context_counts, context_rollup_check, context_support, context_support_adjusted,
     context_closure, context_orphans, context_post_order, next_symbol_probs, edges_kl, edges_peres_shields, contexts_kept, tree_kl, tree_peres_shields, tree_kl_adjusted,
-    tree_by_role, tree_reprune, tree_dump, tree_size, tree_terminals, tree_remainder, shared_contexts, background_components, background_components_order1,
+    tree_by_role, tree_reprune, tree_dump, tree_archive, tree_size, tree_terminals, tree_remainder, shared_contexts, background_components, background_components_order1,
     distance, distance_penalized, distance_matrix, distance_order1, score_nll, score_longest_context, bic_grid, bic_best,
 )
 QUERIES = {f.__name__: f for f in NAMES}

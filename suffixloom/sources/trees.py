@@ -6,8 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..functions.symbols import post_order
 from ..operators.contexts import NEXT
@@ -108,6 +109,33 @@ def encode_records(rows: list) -> bytes:
     return r.tobytes()
 
 
+def to_records(tree: DataFrame, by: list[str] = ()) -> DataFrame:
+    """``by, record``: each tree row as an archive record."""
+    part = tree.select(*by, *TREE)
+    schema = StructType([*[part.schema[b] for b in by], StructField("record", BinaryType())])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = encode_records([Row(**r) for r in b.select(TREE).to_pylist()])
+            records = [data[i : i + RECORD.itemsize] for i in range(0, len(data), RECORD.itemsize)]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(by)], pa.array(records, pa.binary())], names=schema.names)
+
+    return part.mapInArrow(each, schema)
+
+
+def from_records(records: DataFrame, by: list[str] = ()) -> DataFrame:
+    """``by`` and the tree rows of archive records."""
+    part = records.select(*by, "record")
+    schema = StructType([*[part.schema[b] for b in by], *StructType.fromDDL(TREE_SCHEMA).fields])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = decode_records(b"".join(b.column(len(by)).to_pylist()))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(by)], *(pa.array(columns[c]) for c in TREE)], names=schema.names)
+
+    return part.mapInArrow(each, schema)
+
+
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """Trees from archive files; a column ``file`` says which file a row is from."""
 
