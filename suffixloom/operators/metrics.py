@@ -86,8 +86,10 @@ def distances(trees: DataFrame, model: str, pairs: DataFrame | None = None, back
     names = [f"v_{s}" for s in SYMBOLS]
     left = vectors.select(F.col(model).alias("left_id"), "context", "depth", *[F.col(v).alias(f"l{v}") for v in names])
     right = vectors.select(F.col(model).alias("right_id"), "context", *[F.col(v).alias(f"r{v}") for v in names])
-    both = left.join(right, "context")
-    both = both.filter("left_id < right_id") if pairs is None else both.join(pairs.select("left_id", "right_id"), ["left_id", "right_id"])
+    if pairs is None:
+        both = left.join(right, "context").filter("left_id < right_id")
+    else:  # only rows of wanted pairs are made
+        both = left.join(pairs.select("left_id", "right_id").distinct(), "left_id").join(right, ["right_id", "context"])
     used = F.col("depth") > background_order
     total = lambda x, y: sum((F.col(f"{x}{v}") * F.col(f"{y}{v}") for v in names[1:]), F.col(f"{x}{names[0]}") * F.col(f"{y}{names[0]}"))
     add = lambda x: F.coalesce(F.sum(F.when(used, x)), F.lit(0.0))

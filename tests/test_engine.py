@@ -204,6 +204,9 @@ def test_distance_laws(spark, sequences):
     assert a.penalized == pytest.approx(0.75 * a.distance + 0.25 * a.n_missing / (a.n_missing + a.n_shared))
     pairs = M.distances(tree, "model").collect()
     assert [(r.left_id, r.right_id) for r in pairs] == [("x", "y")] and pairs[0].distance == pytest.approx(a.distance)
+    wanted = spark.createDataFrame([("y", "x"), ("x", "x"), ("x", "nobody"), ("y", "x")], "left_id string, right_id string")
+    some = {(r.left_id, r.right_id): r.distance for r in M.distances(tree, "model", wanted).collect()}
+    assert set(some) == {("y", "x"), ("x", "x")} and some["y", "x"] == pytest.approx(a.distance) and some["x", "x"] == pytest.approx(0, abs=1e-7)
     deeper = M.distance(x, y, background_order=1).first()
     assert 0 < deeper.distance < 1 and deeper.n_shared < a.n_shared
 
