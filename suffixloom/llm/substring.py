@@ -29,8 +29,8 @@ MIN_WORDS, SHINGLE, SIMILARITY = 51, 5, 0.8
 GAP_COST, NEAR = 0.1, 25
 #: Words fetched before and after a chain: more than a passage, so one seed is enough to find it.
 PAD = 60
-#: Runs of equal shingles this far apart (two edits next to each other) belong to one passage, if it is alike enough.
-APART = 10
+#: Up to so many pairs of equal shingles between two anchors, all are looked at.
+MOST_MATCHES = 1 << 16
 #: A document asked for more passages than this gets its requests dealt over several tasks.
 HOT_REQUESTS = 20000
 
@@ -289,18 +289,85 @@ def _fetch(docs: DataFrame, asked: DataFrame, hot: int = HOT_REQUESTS) -> DataFr
     return both.mapInArrow(each, "doc bigint, src bigint, no bigint, side bigint, lo bigint, words binary")
 
 
+def _shared_runs(left: np.ndarray, right: np.ndarray, box: tuple[int, int, int, int], shingle: int) -> list[tuple[int, int, int]]:
+    """Runs of equal shingles in order (left place, right place, shingles) in ``box``: left from, to, right from, to.
+
+    ``left`` and ``right`` are shingle hashes.
+    """
+    x, x_end, y, y_end = box
+    own, other = left[max(x, 0) : max(x_end - shingle + 1, 0)], right[max(y, 0) : max(y_end - shingle + 1, 0)]
+    if not len(own) or not len(other):
+        return []
+    order = np.argsort(other, kind="stable")
+    low, high = (np.searchsorted(other[order], own, side=s) for s in ("left", "right"))
+    n = high - low
+    if not n.any():
+        return []
+    if n.sum() > MOST_MATCHES:  # one line again and again: each with as many-th on the other side
+        by = np.argsort(own, kind="stable")
+        new = np.r_[True, own[by][1:] != own[by][:-1]]
+        nth = np.empty(len(own), np.int64)
+        nth[by] = np.arange(len(own)) - np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))
+        at = np.flatnonzero(nth < n)
+        to = order[low[at] + nth[at]]
+    else:
+        at = np.repeat(np.arange(len(own)), n)
+        to = order[np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
+    by = np.lexsort((at, to - at))
+    at, to = at[by], to[by]
+    first = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(to) != 1)])
+    size = np.diff(np.r_[first, len(at)])
+    by = np.lexsort((to[first], at[first]))
+    xs, ys, ns = (v[by].tolist() for v in (at[first], to[first], size))
+    best = [0] if len(xs) == 1 else chain(xs, ys, ns, 0.0)[0]
+    return [(max(x, 0) + xs[i], max(y, 0) + ys[i], ns[i]) for i in best]
+
+
+def stretches(good: np.ndarray, least: int, similarity: float) -> list[tuple[int, int]]:
+    """The longest stretch of ``least`` or more that begins and ends with true and has a share of ``similarity`` of them, then those in what is left."""
+    out, todo = [], [(0, len(good))]
+    while todo:
+        a, b = todo.pop()
+        at = a + np.flatnonzero(good[a:b])
+        if b - a < least or len(at) < similarity * least - 1e-9:
+            continue
+        # from the i-th true to the j-th: (j - i + 1) >= similarity * (at[j] - at[i] + 1)
+        nth = np.arange(len(at))
+        low = np.minimum.accumulate(nth - similarity * at)
+        first = np.searchsorted(-low, -(nth + 1 - similarity * (at + 1) + 1e-9), side="left")
+        j = int(np.argmax(at - at[first]))
+        start, stop = int(at[first[j]]), int(at[j]) + 1
+        if stop - start < least:
+            continue
+        out.append((start, stop))
+        todo += [(a, start), (stop, b)]
+    return sorted(out)
+
+
 def align(left: np.ndarray, right: np.ndarray, turns: list[tuple[int, int, int]], min_words: int, similarity: float, shingle: int = SHINGLE) -> list[tuple[int, int, int, float]]:
     """Passages of ``left`` that ``right`` has: start, words, start in ``right``, share of equal shingles.
 
-    The path follows the diagonals of ``turns`` (left place, right place, words); between two anchors on
-    different diagonals it changes where most words agree.
+    The path follows the diagonals of ``turns`` (left place, right place, words) and of runs of equal shingles
+    between, before and after them; between two anchors on different diagonals it changes where most words
+    agree.  Passages are the longest stretches of the path that are alike enough.
     """
-    n = len(left)
+    n, least = len(left), max(min_words - shingle + 1, 1)
+    if n < max(min_words, shingle) or len(right) < shingle:
+        return []
+    own, other = (window_hashes(x.astype(np.uint64), shingle) for x in (left, right))
+    if np.isin(own, other).sum() < similarity * least - 1e-9:  # on no path are there more
+        return []
+    ends = [(0, 0), *((x + c, y + c) for x, y, c in turns)]
+    starts = [*((x, y) for x, y, _ in turns), (n, len(right))]
+    path = []
+    for i, ((x, y), (x_end, y_end)) in enumerate(zip(ends, starts, strict=True)):
+        path += _shared_runs(own, other, (x, x_end, y, y_end), shingle)
+        path += turns[i : i + 1]
     diagonal = np.zeros(n, np.int64)
-    d = turns[0][1] - turns[0][0]
+    d = path[0][1] - path[0][0]
     diagonal[:] = d
-    done = turns[0][0] + turns[0][2]
-    for x, y, length in turns[1:]:
+    done = path[0][0] + path[0][2]
+    for x, y, length in path[1:]:
         new = y - x
         if new != d:
             span = np.arange(max(0, min(done, x)), min(n, x))
@@ -310,33 +377,10 @@ def align(left: np.ndarray, right: np.ndarray, turns: list[tuple[int, int, int]]
             d = new
         done = x + length
     equal = _equal(left, right, np.arange(n), diagonal)
-    if n < max(min_words, shingle):
-        return []
     run = np.cumsum(np.r_[0, equal])
     straight = diagonal[shingle - 1 :] == diagonal[: n - shingle + 1]
     good = (run[shingle:] - run[:-shingle] == shingle) & straight
-    lost = similarity / (1 - similarity) if similarity < 1 else np.inf
-    at = np.flatnonzero(good)
-    if not len(at):
-        return []
-    cut = np.flatnonzero(np.diff(at) > APART)
-    out, todo = [], list(zip(at[np.r_[0, cut + 1]].tolist(), (at[np.r_[cut, len(at) - 1]] + 1).tolist(), strict=True))
-    while todo:
-        a, b = todo.pop()
-        if b - a + shingle - 1 < min_words or not good[a:b].any():
-            continue
-        if good[a] and good[b - 1] and good[a:b].mean() >= similarity:
-            out.append((a, b - a + shingle - 1, a + int(diagonal[a]), float(good[a:b].mean())))
-            continue
-        total = np.r_[0.0, np.cumsum(np.where(good[a:b], 1.0, -lost))]  # the best stretch, and what is left beside it
-        low = np.minimum.accumulate(total)
-        end = int(np.argmax(total - low))
-        start = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
-        if end - start + shingle - 1 >= min_words:
-            s = a + start
-            out.append((s, end - start + shingle - 1, s + int(diagonal[s]), float(good[s : a + end].mean())))
-        todo += [(a, a + start), (a + end, b)]
-    return sorted(out)
+    return [(a, b - a + shingle - 1, a + int(diagonal[a]), float(good[a:b].mean())) for a, b in stretches(good, least, similarity)]
 
 
 def _equal(left: np.ndarray, right: np.ndarray, at: np.ndarray, diagonal) -> np.ndarray:

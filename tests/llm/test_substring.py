@@ -183,3 +183,19 @@ def test_chain_scores_against_all_predecessors():
                 got += n[b] - 0.1 * (x[b] - x[a] - n[a] + y[b] - y[a] - n[a])
             best = max(best, got)
         assert abs(best - plain_chain(x, y, n, 0.1)) < 1e-9
+
+
+def test_replaced_and_inserted_phrases_do_not_end_a_passage(spark):
+    r = random.Random(21)
+    rows, want = [], {}
+    for n in range(1, 21):
+        for kind in ("replaced", "inserted", "left out"):
+            p, at = words(r, 140 + n), 45 + r.randrange(40)
+            q = p[:at] + (words(r, n) if kind != "left out" else []) + p[at + n * (kind != "inserted") :]
+            a, b = words(r, r.randrange(70)), words(r, r.randrange(70))
+            rows += [(len(rows), " ".join([*words(r, r.randrange(70)), *p, *words(r, r.randrange(70))]))]
+            want[len(rows)] = (len(a), len(q))
+            rows += [(len(rows), " ".join([*a, *q, *b]))]
+    assert {x.row: (x.start, x.n_words) for x in found(spark, rows)} == want
+    p = words(r, 106)
+    assert [(x.n_words, round(x.similarity, 2)) for x in found(spark, [(1, " ".join(p)), (2, " ".join(p[:50] + words(r, 6) + p[56:]))])] == [(106, 0.90)]
