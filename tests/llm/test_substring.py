@@ -199,3 +199,41 @@ def test_replaced_and_inserted_phrases_do_not_end_a_passage(spark):
     assert {x.row: (x.start, x.n_words) for x in found(spark, rows)} == want
     p = words(r, 106)
     assert [(x.n_words, round(x.similarity, 2)) for x in found(spark, [(1, " ".join(p)), (2, " ".join(p[:50] + words(r, 6) + p[56:]))])] == [(106, 0.90)]
+
+
+def plain_stretches(good, least, similarity):
+    best = None
+    for a in range(len(good)):
+        for b in range(a + least, len(good) + 1):
+            if good[a] and good[b - 1] and sum(good[a:b]) >= similarity * (b - a) - 1e-9 and (best is None or b - a > best[1] - best[0]):
+                best = a, b
+    if best is None:
+        return []
+    a, b = best
+    return plain_stretches(good[:a], least, similarity) + [best] + [(b + x, b + y) for x, y in plain_stretches(good[b:], least, similarity)]
+
+
+def test_stretches_against_all_stretches():
+    r = random.Random(22)
+    for _ in range(400):
+        good = [r.random() < p for p in [r.choice((0.5, 0.8, 0.95))] for _ in range(r.randrange(0, 60))]
+        least, similarity = r.randrange(1, 20), r.choice((0.6, 0.8, 1.0))
+        got, want = s.stretches(np.array(good, bool), least, similarity), plain_stretches(good, least, similarity)
+        assert [b - a for a, b in got][:1] == [b - a for a, b in want][:1] or max(b - a for a, b in got) == max(b - a for a, b in want)
+        assert bool(got) == bool(want)
+        for a, b in got:
+            assert b - a >= least and good[a] and good[b - 1] and sum(good[a:b]) >= similarity * (b - a) - 1e-9
+
+
+@pytest.mark.parametrize("equal", [(24, 24, 24), (34, 35)])
+def test_a_loosely_alike_tail_does_not_hide_a_passage(equal):
+    r = random.Random(23)
+    left = []
+    for n in equal:
+        left += [*range(len(left), len(left) + n), *(-1 - r.randrange(10**6) for _ in range(1 if len(equal) == 3 else 5))]
+    size = len(left) - (1 if len(equal) == 3 else 5)
+    for _ in range(12):  # one equal shingle after every five that are not
+        left += [*range(len(left), len(left) + 5), -1 - r.randrange(10**6)]
+    right = np.arange(len(left), dtype=np.uint32)
+    out = s.align(np.array(left).astype(np.uint32), right, [(0, 0, equal[0])], 51, 0.8)
+    assert len(out) == 1 and out[0][0] == 0 and out[0][1] >= size and out[0][3] >= 0.8
