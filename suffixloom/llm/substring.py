@@ -21,13 +21,16 @@ from pyspark.sql import functions as F
 
 from .common import WordScanner, mix, nonspace_bytes, numbered, slices, text_bytes, window_hashes, written
 
-#: Words of a seed, and seeds of which one is taken.
-K, WINDOW = 10, 16
+#: Words of a seed, and seeds of which one is taken.  Every run of K + WINDOW - 1 = 16 equal words holds a seed: a
+#: passage of 51 words or more at 0.8 has such a run, since each break in it costs 4 five-word shingles or more
+#: (the weakest has 60 shingles, three breaks and four runs of 12 shingles).
+K, WINDOW = 8, 9
 #: A passage has at least so many words, and so great a share of equal shingles of so many words.
 MIN_WORDS, SHINGLE, SIMILARITY = 51, 5, 0.8
 #: What a word of gap costs, in words, on either side; seeds on one diagonal and this near are one anchor.
 GAP_COST, NEAR = 0.1, 25
-#: Words fetched before and after a chain: more than a passage, so one seed is enough to find it.
+#: Words fetched before and after a chain: more than a passage, so one seed is enough to find it; a quarter of the
+#: chain is added, as at 0.8 a passage may have a gap of that length.
 PAD = 60
 #: Up to so many pairs of equal shingles between two anchors, all are looked at.
 MOST_MATCHES = 1 << 16
@@ -398,8 +401,9 @@ def passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_words: int =
     A-Z lower-cased; places count words.
     """
     found = written(chains(links(docs, k, window, min_words), k), "chains")
-    asked = found.select(F.col("doc").alias("key"), "doc", "src", "no", F.lit(0).cast("bigint").alias("side"), (F.col("a") - PAD).alias("lo"), (F.col("b") + PAD).alias("hi"))
-    asked = asked.unionByName(found.select(F.col("src").alias("key"), "doc", "src", "no", F.lit(1).cast("bigint").alias("side"), (F.col("sa") - PAD).alias("lo"), (F.col("sb") + PAD).alias("hi")))
+    pad = F.lit(PAD) + F.expr("cast(greatest(b - a, sb - sa) div 4 as bigint)")
+    asked = found.select(F.col("doc").alias("key"), "doc", "src", "no", F.lit(0).cast("bigint").alias("side"), (F.col("a") - pad).alias("lo"), (F.col("b") + pad).alias("hi"))
+    asked = asked.unionByName(found.select(F.col("src").alias("key"), "doc", "src", "no", F.lit(1).cast("bigint").alias("side"), (F.col("sa") - pad).alias("lo"), (F.col("sb") + pad).alias("hi")))
     words = _fetch(docs, asked, hot)
     turns = found.select("doc", "src", "no", F.lit(2).cast("bigint").alias("side"), F.lit(0).cast("bigint").alias("lo"), F.lit(None).cast("binary").alias("words"), "turns")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -237,3 +237,19 @@ def test_a_loosely_alike_tail_does_not_hide_a_passage(equal):
     right = np.arange(len(left), dtype=np.uint32)
     out = s.align(np.array(left).astype(np.uint32), right, [(0, 0, equal[0])], 51, 0.8)
     assert len(out) == 1 and out[0][0] == 0 and out[0][1] >= size and out[0][3] >= 0.8
+
+
+def test_weakest_passages_hold_a_seed(spark):
+    r = random.Random(24)
+    rows, want = [], {}
+    for k in range(360):
+        p = words(r, (54, 56, 60)[k % 3])
+        q = list(p)
+        for at in (len(p) // 3, 2 * len(p) // 3):
+            q[at] = words(r, 1)[0]
+        if k % 6 == 5:  # three words left out, four runs of 16
+            p = words(r, 67)
+            q = [w for i, w in enumerate(p) if i not in (16, 33, 50)]
+        rows += [(2 * k, " ".join([*words(r, 70), *p, *words(r, 70)])), (2 * k + 1, " ".join([*words(r, 70), *q, *words(r, 70)]))]
+        want[2 * k + 1] = (70, len(q))
+    assert {x.row: (x.start, x.n_words) for x in found(spark, rows)} == want
