@@ -8,6 +8,9 @@
    from a Fenwick tree.
 4. The words around each chain are fetched from both documents and aligned; stretches in which at
    least ``similarity`` of the five-word shingles agree, and that are long enough, are passages.
+5. Where seeds follow each other and no passage came of it, their first occurrences may be in other,
+   shorter places: there, all runs of ``min_words`` words are joined with their first occurrences,
+   chained and aligned likewise, so every exact repeat of so many words is found.
 """
 
 from __future__ import annotations
@@ -123,15 +126,93 @@ def seeds(docs: DataFrame, k: int = K, window: int = WINDOW, min_words: int = MI
 
 
 def links(docs: DataFrame, k: int = K, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc, src, pos, spos``: each seed and its first occurrence, where that is in an earlier document.
+    """``h, doc, src, pos, spos``: each seed that several documents have, and its first occurrence (``doc = src``: in the first)."""
+    return _to_first(seeds(docs, k, window, min_words))
 
-    First occurrences are written, so both sides of the join are plain tables and a seed that very many
-    documents have can be split over tasks.
-    """
-    found = seeds(docs, k, window, min_words)
+
+def _to_first(found: DataFrame) -> DataFrame:
+    """First occurrences are written, so both sides of the join are plain tables and a seed that very many documents have can be split over tasks."""
     first = found.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("first"), F.max("doc").alias("last")).filter(F.col("last") > F.col("first.doc"))
     first = written(first.select("h", F.col("first.doc").alias("src"), F.col("first.pos").alias("spos")), "first")
-    return found.join(first, "h").filter("doc > src").select("doc", "src", "pos", "spos")
+    return found.join(first, "h").select("h", "doc", "src", "pos", "spos")
+
+
+def _groups(pos: np.ndarray, k: int, window: int, min_words: int) -> list[tuple[int, int]]:
+    """Numbers, from and to, of those groups of near places in ``pos`` that may be the seeds of ``min_words`` equal words."""
+    start = np.flatnonzero(np.r_[True, np.diff(pos) > 2 * window])
+    stop = np.r_[start[1:], len(pos)]
+    may = pos[stop - 1] - pos[start] + k + 3 * window >= min_words
+    return list(zip(start[may].tolist(), stop[may].tolist(), strict=True))
+
+
+def unsettled(linked: DataFrame, found: DataFrame, k: int = K, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
+    """``h`` of the seeds from which words outside the passages in ``found`` may be part of a passage.
+
+    These are seeds near a place that an earlier document has and that no passage covers, where places
+    follow each other closely over ``min_words``.
+    """
+    reach = window + k
+    marks = linked.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("pos", "h", (F.col("doc") > F.col("src")).cast("int").alias("later")))).alias("marks"))
+    spans = found.groupBy("doc").agg(F.collect_set(F.struct("start", "n_words")).alias("spans"))
+    joined = marks.join(spans, "doc", "left").select("marks.pos", "marks.h", "marks.later", "spans.start", "spans.n_words")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for row in zip(*b.columns, strict=True):
+                pos, h, later = (np.asarray(x.values) for x in row[:3])
+                own = _groups(pos, k, window, min_words)
+                if not own:
+                    continue
+                bare = np.ones(int(pos[-1]) + k + reach + 1, bool)
+                for start, n in zip(row[3].as_py() or [], row[4].as_py() or [], strict=True):
+                    bare[start : start + n] = False
+                bare = np.r_[0, np.cumsum(bare)]
+                open_ = (later == 1) & (bare[pos + k + reach] > bare[np.maximum(pos - reach, 0)])
+                for a, z in own:
+                    at = pos[a:z][open_[a:z]]
+                    if len(at):
+                        near = np.searchsorted(at, pos[a:z] + min_words, side="right") > np.searchsorted(at, pos[a:z] - min_words, side="left")
+                        out.append(h[a:z][near])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out)))], names=["h"])
+
+    return joined.mapInArrow(each, "h bigint").distinct()
+
+
+def window_links(docs: DataFrame, linked: DataFrame, found: DataFrame, k: int = K, window: int = WINDOW, min_words: int = MIN_WORDS, hot: int | None = None) -> DataFrame:
+    """``h, doc, src, pos, spos`` for runs of ``min_words`` words around unsettled seeds, each with its first occurrence.
+
+    A seed may first occur in some short place although a whole passage around it is elsewhere; a run of
+    ``min_words`` words cannot, as its first occurrence is a passage.  Of runs that come again within
+    ``min_words`` in one document, one is taken.
+    """
+    marks = linked.join(written(unsettled(linked, found, k, window, min_words), "unsettled"), "h", "left_semi")
+    marks = marks.groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("pos"))
+
+    def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for doc, pos in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                pos = np.asarray(pos.values)
+                out += [(doc, doc, doc, a, 0, int(pos[a]) - 2 * window, int(pos[z - 1]) + k + 2 * window) for a, z in _groups(pos, k, window, min_words)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["key", "doc", "src", "no", "side", "lo", "hi"])
+
+    asked = written(marks.mapInArrow(regions, "key bigint, doc bigint, src bigint, no bigint, side bigint, lo bigint, hi bigint"), "regions")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, lo, words in zip(b.column(0).to_pylist(), b.column(4).to_pylist(), b.column(5), strict=True):
+                h = window_hashes(np.frombuffer(words.as_py(), np.uint32).astype(np.uint64), min_words)
+                by = np.argsort(h, kind="stable")
+                new = np.flatnonzero(np.r_[True, h[by][1:] != h[by][:-1]]) if len(h) else by
+                nth = (by - np.repeat(by[new], np.diff(np.r_[new, len(h)]))) // min_words
+                at = np.sort(by[np.r_[True, (h[by][1:] != h[by][:-1]) | (np.diff(nth) > 0)][: len(h)]])
+                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(np.full(len(at), doc)), pa.array((lo + at).astype(np.int32))], names=["h", "doc", "pos"])
+
+    runs = _fetch(docs, asked, hot or HOT_REQUESTS).mapInArrow(each, "h bigint, doc bigint, pos int")
+    return _to_first(written(runs, "runs"))
 
 
 class Fenwick:
@@ -400,7 +481,17 @@ def passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_words: int =
     ``docs`` has ``doc`` (a unique long) and ``text``.  Words are runs of anything but ASCII white space,
     A-Z lower-cased; places count words.
     """
-    found = written(chains(links(docs, k, window, min_words), k), "chains")
+    linked = written(links(docs, k, window, min_words), "links")
+    found = written(_aligned(docs, linked, k, min_words, similarity, hot), "passages")
+    more = _aligned(docs, window_links(docs, linked, found, k, window, min_words, hot), min_words, min_words, similarity, hot).alias("m")
+    whole = found.select(F.col("doc").alias("of"), F.col("start").alias("a"), (F.col("start") + F.col("n_words")).alias("b"))
+    more = more.join(whole, F.expr("doc = of and start >= a and start + n_words <= b"), "left_anti")
+    return found.unionByName(more)
+
+
+def _aligned(docs: DataFrame, linked: DataFrame, k: int, min_words: int, similarity: float, hot: int) -> DataFrame:
+    """The passages that the links from a later to an earlier document lead to; a link has ``k`` words."""
+    found = written(chains(linked.filter("doc > src").select("doc", "src", "pos", "spos"), k), "chains")
     pad = F.lit(PAD) + F.expr("cast(greatest(b - a, sb - sa) div 4 as bigint)")
     asked = found.select(F.col("doc").alias("key"), "doc", "src", "no", F.lit(0).cast("bigint").alias("side"), (F.col("a") - pad).alias("lo"), (F.col("b") + pad).alias("hi"))
     asked = asked.unionByName(found.select(F.col("src").alias("key"), "doc", "src", "no", F.lit(1).cast("bigint").alias("side"), (F.col("sa") - pad).alias("lo"), (F.col("sb") + pad).alias("hi")))

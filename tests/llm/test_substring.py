@@ -253,3 +253,37 @@ def test_weakest_passages_hold_a_seed(spark):
         rows += [(2 * k, " ".join([*words(r, 70), *p, *words(r, 70)])), (2 * k + 1, " ".join([*words(r, 70), *q, *words(r, 70)]))]
         want[2 * k + 1] = (70, len(q))
     assert {x.row: (x.start, x.n_words) for x in found(spark, rows)} == want
+
+
+def exact_words(rows, n=51):
+    """For each document the words in runs of ``n`` that an earlier one has."""
+    seen, out = set(), {}
+    for k, text in rows:
+        w = text.split()
+        runs = [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
+        out[k] = {j for i, x in enumerate(runs) if x in seen for j in range(i, i + n)}
+        seen |= set(runs)
+    return out
+
+
+def test_passages_of_lines_that_occur_before_in_short_places(spark):
+    r = random.Random(25)
+    line, l1, l2, l3 = words(r, 12), *(words(r, 20) for _ in range(3))
+    lone = lambda: words(r, r.randrange(5, 40))
+    rows = [lone() + line * 2 + lone(), lone() + line * 10 + lone(), lone() + line * 10 + lone(), lone() + l1 + l2 + lone(), lone() + l2 + l3 + lone()]
+    rows += [lone() + l1 + l2 + l3 + lone(), lone() + l1 + l2 + l3 + lone()]
+    rows = [(k, " ".join(x)) for k, x in enumerate(rows)]
+    want = exact_words(rows)
+    assert len(want[2]) >= 120 and len(want[6]) >= 60
+    got = covered(found(spark, rows))
+    assert all(want[k] <= got.get(k, set()) for k in want) and not set(got) - {2, 6}
+
+
+def test_recombined_lines_against_all_exact_repeats(spark):
+    r = random.Random(26)
+    lines = [words(r, r.randrange(3, 45)) for _ in range(40)] + [["to"], ["ha", "ho"]]
+    rows = [(k, " ".join(w for _ in range(r.randrange(1, 14)) for w in (words(r, 9) if r.random() < 0.3 else r.choice(lines) * r.choice((1, 1, 1, 2, 9))))) for k in range(250)]
+    want = exact_words(rows)
+    got = covered(found(spark, rows))
+    assert sum(map(len, want.values())) > 5000
+    assert {k: len(v - got.get(k, set())) for k, v in want.items() if v - got.get(k, set())} == {}
