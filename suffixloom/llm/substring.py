@@ -15,6 +15,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -255,8 +256,7 @@ def chain(x0: list, y0: list, length: list, gap_cost: float = GAP_COST) -> list[
             j = pending[done]
             tree.put(rank[y0[j] + length[j]], score[j] + gap_cost * (x0[j] + y0[j] + 2 * length[j]), j)
             done += 1
-        at = int(np.searchsorted(ends, y0[i], side="right"))
-        value, who = tree.get(at)
+        value, who = tree.get(bisect_right(ends, y0[i]))
         gain = value - gap_cost * (x0[i] + y0[i])
         score[i] = length[i]
         if gain > 0:
@@ -373,6 +373,22 @@ def _fetch(docs: DataFrame, asked: DataFrame, hot: int = HOT_REQUESTS) -> DataFr
     return both.mapInArrow(each, "doc bigint, src bigint, no bigint, side bigint, lo bigint, words binary")
 
 
+def _shingles(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash for each run of ``n`` words, quick to make; what it claims is held against the words later."""
+    words = words.astype(np.uint64)
+    h = words[: len(words) - n + 1] * np.uint64(0x9FB21C651E98DF25)
+    for i in range(1, n):
+        h += words[i : len(words) - n + 1 + i]
+        h *= np.uint64(0x9FB21C651E98DF25)
+    return h
+
+
+def _shared(own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which of ``own`` are in ``other``."""
+    other = np.sort(other)
+    return other[np.minimum(np.searchsorted(other, own), len(other) - 1)] == own
+
+
 def _shared_runs(left: np.ndarray, right: np.ndarray, box: tuple[int, int, int, int], shingle: int) -> list[tuple[int, int, int]]:
     """Runs of equal shingles in order (left place, right place, shingles) in ``box``: left from, to, right from, to.
 
@@ -407,7 +423,7 @@ def _shared_runs(left: np.ndarray, right: np.ndarray, box: tuple[int, int, int,
     return [(max(x, 0) + xs[i], max(y, 0) + ys[i], ns[i]) for i in best]
 
 
-def stretches(good: np.ndarray, least: int, similarity: float) -> list[tuple[int, int]]:
+def stretches(good: np.ndarray, least: int, similarity: float, one: bool = False) -> list[tuple[int, int]]:
     """The longest stretch of ``least`` or more that begins and ends with true and has a share of ``similarity`` of them, then those in what is left."""
     out, todo = [], [(0, len(good))]
     while todo:
@@ -424,6 +440,8 @@ def stretches(good: np.ndarray, least: int, similarity: float) -> list[tuple[int
         if stop - start < least:
             continue
         out.append((start, stop))
+        if one:
+            break
         todo += [(a, start), (stop, b)]
     return sorted(out)
 
@@ -438,14 +456,16 @@ def align(left: np.ndarray, right: np.ndarray, turns: list[tuple[int, int, int]]
     n, least = len(left), max(min_words - shingle + 1, 1)
     if n < max(min_words, shingle) or len(right) < shingle:
         return []
-    own, other = (window_hashes(x.astype(np.uint64), shingle) for x in (left, right))
-    if np.isin(own, other).sum() < similarity * least - 1e-9:  # on no path are there more
+    own, other = (_shingles(x, shingle) for x in (left, right))
+    shared = _shared(own, other)
+    if not stretches(shared, least, similarity, True):  # no path has more
         return []
     ends = [(0, 0), *((x + c, y + c) for x, y, c in turns)]
     starts = [*((x, y) for x, y, _ in turns), (n, len(right))]
     path = []
     for i, ((x, y), (x_end, y_end)) in enumerate(zip(ends, starts, strict=True)):
-        path += _shared_runs(own, other, (x, x_end, y, y_end), shingle)
+        if shared[max(x, 0) : max(x_end - shingle + 1, 0)].any():
+            path += _shared_runs(own, other, (x, x_end, y, y_end), shingle)
         path += turns[i : i + 1]
     diagonal = np.zeros(n, np.int64)
     d = path[0][1] - path[0][0]
@@ -460,10 +480,8 @@ def align(left: np.ndarray, right: np.ndarray, turns: list[tuple[int, int, int]]
             diagonal[(span[0] if len(span) else x) + int(np.argmax(gain)) :] = new
             d = new
         done = x + length
-    equal = _equal(left, right, np.arange(n), diagonal)
-    run = np.cumsum(np.r_[0, equal])
-    straight = diagonal[shingle - 1 :] == diagonal[: n - shingle + 1]
-    good = (run[shingle:] - run[:-shingle] == shingle) & straight
+    run = np.cumsum(np.r_[0, _equal(left, right, np.arange(n), diagonal)])
+    good = (run[shingle:] - run[:-shingle] == shingle) & (diagonal[shingle - 1 :] == diagonal[: n - shingle + 1])
     return [(a, b - a + shingle - 1, a + int(diagonal[a]), float(good[a:b].mean())) for a, b in stretches(good, least, similarity)]
 
 
