@@ -31,6 +31,8 @@ from .common import WordScanner, mix, nonspace_bytes, numbered, slices, text_byt
 K, WINDOW = 8, 9
 #: A passage has at least so many words, and so great a share of equal shingles of so many words.
 MIN_WORDS, SHINGLE, SIMILARITY = 51, 5, 0.8
+#: Bytes of text whose seeds are made at once; a worker holds some twenty arrays of its words.
+SEED_BYTES = 1 << 20
 #: What a word of gap costs, in words, on either side; seeds on one diagonal and this near are one anchor.
 GAP_COST, NEAR = 0.1, 25
 #: Words fetched before and after a chain: more than a passage, so one seed is enough to find it; a quarter of the
@@ -115,7 +117,7 @@ def seeds(docs: DataFrame, k: int = K, window: int = WINDOW, min_words: int = MI
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = WordScanner(nonspace_bytes())
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SEED_BYTES):
             data, offsets = text_bytes(b.column(1))
             _, _, hashes, bounds = scanner.scan(data, offsets)
             at, h = (np.concatenate(x) for x in zip(minimizers(hashes, bounds, k, window), long_runs(hashes, bounds, max(k, min_words), window), strict=True))
