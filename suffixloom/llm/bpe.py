@@ -1,7 +1,8 @@
 """Byte-level BPE encoding and decoding.
 
 Texts are split at special tokens and into pre-tokens; short pre-tokens are encoded once and
-remembered.  Long unsplit pre-tokens are encoded as a tree: leaves in parallel, then each join is
+remembered.  Long unsplit pre-tokens are encoded as a tree: leaves one after the other (a task has one
+thread, unless ``threads`` says more; tasks run side by side), then each join is
 mended by re-encoding a window around it that grows until its first and last token agree with what
 both sides had.  Any two neighbours in an encoding are the encoding of their own bytes, and a
 sequence all of whose neighbours are is the encoding of the whole, so the joined result is exact.
