@@ -7,13 +7,16 @@ and the number of tokens that the placeholder expands to.
 A conversation is written as ``<s>``, then for each turn ``[INST]role[/INST]text</s>``.  Where a
 role or text holds a control string, a backslash goes in after its first character (and one more
 if there are some already), so control strings in the output are always the template's own and
-the original comes back exactly.
+the original comes back exactly.  Text parts that stand side by side are escaped as one text, so a
+control string dealt over several parts is found too.  No control string has the first character of
+another inside, so none can arise where a text meets a placeholder or the template.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,6 +33,8 @@ PLACEHOLDER = {"image": "<|image|>", "audio": "<|audio|>", "document": "<|docume
 CONTROL = (OPEN, ROLE, ROLE_END, TURN_END, *PLACEHOLDER.values())
 #: What a placeholder expands to: tokens of an image tile of ``TILE`` pixels square, of a second of sound, of a page.
 TILE, TOKENS_PER_TILE, TOKENS_PER_SECOND, TOKENS_PER_PAGE = 448, 256, 25, 512
+#: Greatest width, height, length in seconds or number of pages that a part may state.
+MOST = 10_000_000
 
 _FIND = re.compile("|".join(rf"{re.escape(c[0])}(\\*){re.escape(c[1:])}" for c in CONTROL))
 _ESCAPED = re.compile("|".join(rf"{re.escape(c[0])}\\(\\*){re.escape(c[1:])}" for c in CONTROL))
@@ -56,49 +61,89 @@ class Attachment:
     tokens: int
 
 
+class Malformed(Exception):
+    """A part of a known type whose fields make no sense."""
+
+
+def number(part: dict, name: str, default: float) -> float:
+    """A field that counts something; missing, null and zero are the default."""
+    value = part.get(name)
+    if value is None:
+        return default
+    if isinstance(value, bool) or not isinstance(value, (int, float)) or not 0 <= value <= MOST:  # NaN is neither
+        raise Malformed(name)
+    return value or default
+
+
+def string(part: dict, *names: str) -> str:
+    """The first of the fields that is there and not empty."""
+    values = [part.get(n) for n in names]
+    if any(v is not None and not isinstance(v, str) for v in values):
+        raise Malformed(names)
+    return next(filter(None, values), "")
+
+
 @dataclass
 class Flattener:
-    """Visits a message's parts in order; ``out`` is the flat text so far."""
+    """Visits a message's parts in order; ``out`` is the flat text so far, ``pending`` text that is yet to be escaped."""
 
     out: list[str] = field(default_factory=list)
     length: int = 0
     attachments: list[Attachment] = field(default_factory=list)
+    pending: list[str] = field(default_factory=list)
 
     def put(self, text: str) -> None:
+        """Text of the template; what was pending goes before it."""
+        if self.pending:
+            before, self.pending = escape("".join(self.pending)), []
+            self.put(before)
         self.out.append(text)
         self.length += len(text)
 
+    def end(self) -> int:
+        """Where the flat text ends, with all that was pending."""
+        self.put("")
+        return self.length
+
     def visit(self, content: Any) -> None:
-        """Null is nothing, a string is a text part, a list is its parts, a dict is a part by its ``type``."""
+        """Null is nothing, a string is a text part, a list is its parts, a dict is a part by its ``type``.
+
+        A part of an unknown type, or with a field that makes no sense (a width that is no number, not
+        finite, negative or over ``MOST``; a text or reference that is no string), is text: its JSON.
+        """
         if content is None:
             return
         if isinstance(content, str):
-            return self.put(escape(content))
+            self.pending.append(content)
+            return
         if isinstance(content, list):
             for part in content:
                 self.visit(part)
             return
-        getattr(self, f"visit_{content.get('type')}", self.visit_unknown)(content)
+        try:
+            getattr(self, f"visit_{content.get('type')}", self.visit_unknown)(content)
+        except Malformed:
+            self.visit_unknown(content)
 
     def visit_text(self, part: dict) -> None:
-        self.put(escape(part.get("text") or ""))
+        self.pending.append(string(part, "text"))
 
     def visit_image(self, part: dict) -> None:
-        across, down = (max(1, -(-int(part.get(k) or TILE) // TILE)) for k in ("width", "height"))
+        across, down = (math.ceil(number(part, k, TILE) / TILE) for k in ("width", "height"))
         self.attach("image", part, across * down * TOKENS_PER_TILE)
 
     def visit_audio(self, part: dict) -> None:
-        self.attach("audio", part, max(1, round(float(part.get("seconds") or 0) * TOKENS_PER_SECOND)))
+        self.attach("audio", part, max(1, round(number(part, "seconds", 0) * TOKENS_PER_SECOND)))
 
     def visit_document(self, part: dict) -> None:
-        self.attach("document", part, max(1, int(part.get("pages") or 1)) * TOKENS_PER_PAGE)
+        self.attach("document", part, math.ceil(number(part, "pages", 1)) * TOKENS_PER_PAGE)
 
     def visit_unknown(self, part: dict) -> None:
-        """A part of another type is kept as text, in JSON."""
-        self.put(escape(json.dumps(part, sort_keys=True, ensure_ascii=False)))
+        self.pending.append(json.dumps(part, sort_keys=True, ensure_ascii=False))
 
     def attach(self, kind: str, part: dict, tokens: int) -> None:
-        self.attachments.append(Attachment(kind, part.get("ref") or part.get("url") or "", len(self.attachments), self.length, tokens))
+        ref = string(part, "ref", "url")
+        self.attachments.append(Attachment(kind, ref, len(self.attachments), self.end(), tokens))
         self.put(PLACEHOLDER[kind])
 
 
@@ -119,29 +164,53 @@ def format_turns(turns: list[tuple[str | None, Any]], trained: tuple[str, ...] =
         flat.put(ROLE + escape(role or "") + ROLE_END)
         begin = flat.length
         flat.visit(content)
+        end = flat.end()
         if role in trained:
-            loss.append((begin, flat.length))
+            loss.append((begin, end))
         flat.put(TURN_END)
     return Formatted("".join(flat.out), loss, flat.attachments)
 
 
 _TURN = re.compile(r"\[INST\](.*?)\[/INST\](.*?)</s>", re.S)
+_HOLDER = re.compile("(" + "|".join(map(re.escape, PLACEHOLDER.values())) + ")")
+_KIND = {v: k for k, v in PLACEHOLDER.items()}
 
 
-def read_turns(text: str) -> list[tuple[str, str]]:
-    """(role, text) of each turn of a formatted conversation, unescaped; placeholders stay in the text."""
+def read_content(text: str) -> str | list:
+    """A turn's content, unescaped: text, or where placeholders are in it a list of texts and parts ``{"type": ...}``.
+
+    A placeholder that was written in a text is escaped, so it comes back as text.
+    """
+    if not _HOLDER.search(text):
+        return unescape(text)
+    return [{"type": _KIND[p]} if p in _KIND else unescape(p) for p in _HOLDER.split(text) if p]
+
+
+def read_turns(text: str, attachments: list | None = None) -> list[tuple[str, str | list]]:
+    """(role, content) of each turn of a formatted conversation, as ``read_content`` gives it.
+
+    With the conversation's ``attachments`` (``Attachment``s or rows of them) parts have their references too.
+    """
     if not text.startswith(OPEN):
         raise ValueError("not a formatted conversation")
-    turns, at = [], len(OPEN)
+    turns, at, refs = [], len(OPEN), iter(attachments or ())
     while at < len(text):
         m = _TURN.match(text, at)
         if not m:
             raise ValueError(f"broken turn at {at}")
-        turns.append((unescape(m[1]), unescape(m[2])))
+        content = read_content(m[2])
+        if attachments is not None and isinstance(content, list):
+            content = [p | {"ref": next(refs).ref} if isinstance(p, dict) else p for p in content]
+        turns.append((unescape(m[1]), content))
         at = m.end()
     return turns
 
 
+def content_text(content: str | list) -> str:
+    """A turn's content as one text, placeholders for its parts."""
+    return content if isinstance(content, str) else "".join(PLACEHOLDER[p["type"]] if isinstance(p, dict) else p for p in content)
+
+
 ATTACHMENT = StructType([StructField("kind", StringType()), StructField("ref", StringType()), StructField("number", LongType()), StructField("offset", LongType()), StructField("tokens", LongType())])
 SPAN = StructType([StructField("begin", LongType()), StructField("end", LongType())])
 FORMATTED = StructType([StructField("formatted", StringType()), StructField("loss", ArrayType(SPAN)), StructField("attachments", ArrayType(ATTACHMENT)), StructField("attachment_tokens", LongType())])
@@ -150,8 +219,8 @@ FORMATTED = StructType([StructField("formatted", StringType()), StructField("los
 def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", content: str = "text", parts_json: bool = False) -> DataFrame:
     """``conv, formatted, loss, attachments, attachment_tokens``: a row for each conversation.
 
-    ``content`` is text, or with ``parts_json`` a JSON list of typed parts (text that is no JSON list counts
-    as text).  Turns go by ``turn``; nulls come first and ties go by role and content, so repeated rows stand
+    ``content`` is text, or with ``parts_json`` a JSON list of typed parts (anything else counts as text, also
+    a list that UTF-8 cannot hold or that is nested too deeply to read).  Turns go by ``turn``; nulls come first and ties go by role and content, so repeated rows stand
     side by side.  Null content is empty, a null role has no name, and rows with a null conversation key make
     one conversation.  Offsets count code points.  An empty table gives no rows.  A conversation becomes one
     value of a row and must fit in one; nothing else is gathered.
@@ -182,9 +251,12 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
 def _parts(content: str | None) -> Any:
     try:
         parts = json.loads(content) if content else content
-    except ValueError:
+        if not isinstance(parts, list) or not all(isinstance(p, (dict, str)) for p in parts):
+            return content
+        json.dumps(parts, ensure_ascii=False).encode()  # a lone surrogate raises
+    except (ValueError, RecursionError):
         return content
-    return parts if isinstance(parts, list) and all(isinstance(p, (dict, str)) for p in parts) else content
+    return parts
 
 
 DIGESTS = "conv_id {}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
@@ -198,7 +270,7 @@ def digests(formatted: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for text, loss in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                turns = read_turns(text)
+                turns = [(r, content_text(c)) for r, c in read_turns(text)]
                 under = [unescape(text[x["begin"] : x["end"]]) for x in loss]
                 sha = lambda parts: hashlib.sha256("".join(parts).encode()).hexdigest()
                 out.append((len(turns), sha(f"{r}\n{t}\n" for r, t in turns), sum(map(len, under)), sha(under), len(text)))
