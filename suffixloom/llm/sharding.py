@@ -81,23 +81,22 @@ def assign(df: DataFrame, keys: list[str], shards: list[str] | tuple[str, ...] =
 
 
 def write_shards(df: DataFrame, keys: list[str], path: str, shards: list[str] | tuple[str, ...] = SHARDS, size: int = SIZE, rows_per_file: int = 1_000_000, turns: dict[str, int] | None = None) -> DataFrame:
-    """Write Parquet under ``path``, a folder for each shard, and return ``shard, files, rows``.
+    """Write Parquet under ``path``, a folder for each shard, and return ``shard, files, rows`` as read from there.
 
-    Rows are dealt by shard and by pieces of a shard's rows, as many as its rows need, so a hot key makes
-    more files and not a longer task.  The piece is a hash of the whole row, so a task that is run again
-    deals as before.
+    Rows are rebalanced by shard: where a shard (a hot key, null or not, or one row very often repeated)
+    has more than an advisory partition's bytes, its rows are split over several tasks by where they come
+    from, whatever they hold.  Columns are written as they are, those of the names ``slot`` and ``shard``
+    too; the folders' column is ``shard``, with underscores added where ``df`` has that.  An empty table
+    makes no files and no rows.
     """
+    spark = df.sparkSession
     placed, (slot, shard) = assign(df, keys, shards, size, turns)
-    counts = {r[0]: r[1] for r in placed.groupBy(shard).count().collect()}
-    pieces = F.lit(1)
-    for name, n in counts.items():
-        if n > rows_per_file:
-            pieces = F.when(F.col(shard) == name, F.lit(-(-n // rows_per_file))).otherwise(pieces)
-    parts = int(sum(max(1, -(-n // rows_per_file)) for n in counts.values())) or 1
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in df.columns]), pieces)
-    placed.withColumn("_salt", salt).repartition(parts, shard, "_salt").drop("_salt", slot).write.partitionBy(shard).option("maxRecordsPerFile", rows_per_file).parquet(path)
-    rows = [(name, -(-n // rows_per_file), n) for name, n in sorted(counts.items())]
-    return df.sparkSession.createDataFrame(rows, "shard string, files bigint, rows bigint")
+    kept = placed.drop(slot)
+    kept.hint("rebalance", F.col(shard)).write.partitionBy(shard).option("maxRecordsPerFile", rows_per_file).parquet(path)
+    file = fresh("_file", kept.columns)
+    back = spark.read.schema(kept.schema).parquet(path).select(F.col(shard).alias("shard"), F.col("_metadata.file_path").alias(file))
+    by_file = back.groupBy("shard", file).count()
+    return by_file.groupBy("shard").agg(F.count("*").alias("files"), F.sum("count").alias("rows")).orderBy("shard")
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

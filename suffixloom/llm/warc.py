@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import shared_dir, slices, written
 
 VERSION = "WARC/1.0"
 #: Date that records get where the pages have none.
@@ -113,7 +113,7 @@ def parse(records: DataFrame) -> DataFrame:
         return None if value == "null" else value
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "payload"):
             out = []
             for _, head, sha256, _, payload in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if payload is None:

@@ -83,3 +83,19 @@ def test_files(spark, tmp_path):
     back = spark.read.parquet(f"{tmp_path}/out")
     assert back.count() == 900 == sum(m.rows for m in manifest)
     assert Counter(r.shard for r in back.collect()) == {m.shard: m.rows for m in manifest}
+
+
+def test_files_of_hot_identical_and_clashing_rows(spark, tmp_path):
+    """Most rows are one row; names clash; a shard's rows go to several files and nothing is lost."""
+    hot = spark.range(60_000).selectExpr("'k' as key", "repeat('x', 200) as text", "'mine' as _salt", "'s' as shard", "1 as `a.b`")
+    rest = spark.range(500).selectExpr("if(id % 7 = 0, null, concat('n', id)) as key", "concat('t', id) as text", "null as _salt", "null as shard", "cast(id as int) as `a.b`")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        manifest = s.write_shards(hot.union(rest), ["key"], f"{tmp_path}/hot", ["a", "b"], 11).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    back = spark.read.parquet(f"{tmp_path}/hot")
+    assert sorted(back.columns) == sorted(["key", "text", "_salt", "shard", "a.b", "shard_"])
+    assert back.exceptAll(s.assign(hot.union(rest), ["key"], ["a", "b"], 11)[0].drop("slot")).isEmpty() and back.count() == 60_500
+    assert sum(m.rows for m in manifest) == 60_500
+    assert s.write_shards(rest.limit(0), ["key"], f"{tmp_path}/none", ["a", "b"], 11).collect() == []
