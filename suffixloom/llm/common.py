@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -152,6 +152,11 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def fresh(name: str, taken) -> str:
     """``name``, with underscores added until it is not in ``taken``."""
     while name in taken:
@@ -184,8 +189,54 @@ def appended(docs: DataFrame, text: str, fields: StructType, each) -> tuple[Data
 
 def numbered(docs: DataFrame, row: str) -> tuple[DataFrame, str, bool]:
     """``docs`` with a unique long, its column's name, and whether that is ``row`` itself or a written row number."""
-    ids = docs.select(F.col(row).alias("id"))
+    ids = docs.select(named(row).alias("id"))
     mark = fresh("_number", docs.columns)
-    if docs.schema[row].dataType.simpleString() in ("bigint", "int") and ids.groupBy("id").count().filter("id is null or count > 1").isEmpty():
-        return docs.withColumn(mark, F.col(row).cast("bigint")), mark, True
+    if ids.schema["id"].dataType.simpleString() in ("bigint", "int") and ids.groupBy("id").count().filter("id is null or count > 1").isEmpty():
+        return docs.withColumn(mark, named(row).cast("bigint")), mark, True
     return written(docs.withColumn(mark, F.monotonically_increasing_id()), "numbered"), mark, False
+
+
+def without_words(text: bytes, spans: list[tuple[int, int]], scanner: WordScanner) -> bytes:
+    """``text`` without ``spans`` (first word, words): each stretch of words that spans cover goes, from its first word to its last."""
+    starts, ends, _, _ = scanner.scan(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    gone = np.zeros(len(starts) + 1, np.int64)
+    for a, n in spans:
+        gone[a] += 1
+        gone[min(a + n, len(starts))] -= 1
+    edge = np.diff(np.r_[False, np.cumsum(gone[:-1]) > 0, False].astype(np.int8))
+    parts, at = [], 0
+    for a, b in zip(starts[np.flatnonzero(edge == 1)].tolist(), ends[np.flatnonzero(edge == -1) - 1].tolist(), strict=True):
+        parts.append(text[at:a])
+        at = b
+    return b"".join([*parts, text[at:]])
+
+
+def cut_words(docs: DataFrame, mark: str, text: str, spans: DataFrame, table: np.ndarray, drop_empty: bool = False) -> DataFrame:
+    """``docs`` with the words in ``spans`` cut out of ``text``; same columns.
+
+    ``spans`` has for a row's ``mark`` an array ``spans`` of ``start, n_words``; rows without are as they were.
+    With ``drop_empty`` a row that loses words and has none left goes.  ``table`` says what words are made of.
+    """
+    names = docs.columns
+    place, key = names.index(text), names.index(mark)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    joined = plain.join(spans.select(named(mark).alias(f"c{key}"), F.col("spans").alias("cut")), f"c{key}", "left")
+    columns = plain.columns
+    joined = joined.select(*columns, "cut")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = WordScanner(table)
+        for b in slices(batches, f"c{place}"):
+            cuts = b.column(len(names))
+            hit = np.flatnonzero(cuts.is_valid())
+            b = b.select(columns)
+            if len(hit):
+                texts, gone = b.column(place).to_pylist(), np.zeros(b.num_rows, bool)
+                for i in hit:
+                    left = without_words(texts[i].encode(), [(x["start"], x["n_words"]) for x in cuts[i].as_py()], scanner)
+                    texts[i] = left.decode()
+                    gone[i] = drop_empty and not table[np.frombuffer(left, np.uint8)].any()
+                b = b.set_column(place, b.schema.field(place), pa.array(texts, b.schema.field(place).type)).filter(pa.array(~gone))
+            yield b
+
+    return joined.mapInArrow(each, plain.schema).toDF(*names)

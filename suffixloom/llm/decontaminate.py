@@ -1,8 +1,12 @@
 """Benchmark decontamination: a broadcast hash set of benchmark word windows, and a scan of all training texts.
 
-A window is ``n`` consecutive words of an item; an item of fewer words is one window.
-Training texts are scanned with array operations: each run of words gets a hash, a bit table
-throws out nearly all that no window has, and what is left is verified word by word.
+A window is ``n`` consecutive words of an item; an item of fewer words is one window.  All windows are
+written, with their words and items.  Training texts are scanned once with array operations: each run of
+words gets a hash, and those in the broadcast set are candidates.  Candidates are joined with the written
+windows by hash and held against them word by word; the spans that remain are merged for each document.
+
+The broadcast set never grows beyond ``set_bytes``: it holds all hashes while they fit, and beyond that it is a
+Bloom table of that size, which lets more candidates through to the join and loses none.
 """
 
 from __future__ import annotations
@@ -12,18 +16,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import WordScanner, alnum_bytes, appended, fresh, text_bytes, window_hashes, written
+from .common import WordScanner, alnum_bytes, cut_words, mix, named, numbered, slices, text_bytes, window_hashes, written
 
 #: Words in a window.
 WINDOW = 13
-#: Bytes of benchmark words in one broadcast set; a larger benchmark is scanned for in several sets.
-SET_BYTES = 16 << 20
-#: Long items are cut into pieces of so many words, which overlap by a window less one word.
-PIECE_WORDS = 4096
+#: Bytes of the broadcast set, at most.
+SET_BYTES = 128 << 20
+#: Probes of the Bloom table, and bits for each hash in the table that is asked before the hashes themselves.
+PROBES, BITS_EACH = 4, 64
+#: Windows in a batch while they are made.
+BATCH = 8192
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _U = np.uint64
@@ -34,167 +39,180 @@ def words_of(text: bytes) -> list[bytes]:
     return _WORD.findall(text.lower())
 
 
-class WindowSet:
-    """Windows of benchmark items: their words for exact look-up, their hashes for a quick first look."""
-
-    def __init__(self, pieces: list[tuple], n: int):
-        self.items: dict[bytes, set] = {}
-        for item, piece in pieces:
-            words = piece.split(b" ")
-            size = min(n, len(words))
-            for i in range(len(words) - size + 1):
-                self.items.setdefault(b" ".join(words[i : i + size]), set()).add(item)
-        scanner, by_size = WordScanner(alnum_bytes()), {}
-        for w in self.items:
-            by_size.setdefault(w.count(b" ") + 1, []).append(w)
-        self.sizes = []
-        for size, windows in sorted(by_size.items()):
-            joined = np.frombuffer(b" ".join(windows), np.uint8)
-            hashes = scanner.scan(joined, np.array([0, len(joined)]))[2].reshape(len(windows), size)
-            found = np.unique(np.concatenate([window_hashes(h, size) for h in hashes]))
-            bits = max(16, int(len(found)).bit_length() + 6)
-            table = np.zeros(1 << bits, bool)
-            table[found >> _U(64 - bits)] = True
-            self.sizes.append((size, _U(64 - bits), table, found))
-
-
-def benchmark_pieces(benchmark: DataFrame, item: str, text: str, n: int, piece_words: int = PIECE_WORDS) -> DataFrame:
-    """Distinct ``item, piece``: an item's words joined by blanks, long items in overlapping pieces."""
-    part = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text"))
+def windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", n: int = WINDOW) -> DataFrame:
+    """Distinct ``h, size, words, item``: each window's hash, number of words, words joined by blanks, and item id as a string.
+
+    Null and wordless texts have none.
+    """
+    part = benchmark.select(named(item).cast("string").alias("item"), named(text).cast("string").alias("text"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = WordScanner(alnum_bytes())
+        for b in slices(batches, "text"):
+            for name, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                raw = b" ".join(words_of(t or b""))
+                data = np.frombuffer(raw, np.uint8)
+                starts, ends, hashes, _ = scanner.scan(data, np.array([0, len(data)]))
+                size = min(n, len(starts))
+                if not size:
+                    continue
+                h = window_hashes(hashes, size).view(np.int64)
+                for at in range(0, len(h), BATCH):
+                    own = h[at : at + BATCH]
+                    words = [raw[a:z] for a, z in zip(starts[at : at + len(own)].tolist(), ends[at + size - 1 : at + size - 1 + len(own)].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), size, np.int32)), pa.array(words, pa.binary()), pa.array([name] * len(own), pa.string())], names=["h", "size", "words", "item"])
+
+    return part.mapInArrow(each, "h bigint, size int, words binary, item string").distinct()
+
+
+def _next(h: np.ndarray) -> np.ndarray:
+    """The hash whose first bits are the next probe's place in a Bloom table."""
+    return mix(h ^ _U(0xA0761D6478BD642F))
+
+
+def _get(table: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return table[place >> _U(6)] >> (place & _U(63)) & _U(1) != 0
+
+
+class HashSet:
+    """Hashes of windows: all of them behind a table of bits, or a Bloom table alone."""
+
+    def __init__(self, sizes: list[int], bits: int, table: np.ndarray, known: np.ndarray | None):
+        self.sizes, self.bits, self.table, self.known = sizes, bits, table, known
+
+    def candidates(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of the hashes that may be in the set (surely, but for the Bloom table)."""
+        at = np.flatnonzero(_get(self.table, h >> _U(64 - self.bits)))
+        h = h[at]
+        if self.known is not None:
+            if not len(self.known):
+                return at[:0]
+            return at[self.known[np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)] == h]
+        for _ in range(PROBES - 1):
+            h = _next(h)
+            may = _get(self.table, h >> _U(64 - self.bits))
+            at, h = at[may], h[may]
+        return at
+
+
+def hash_set(found: DataFrame, set_bytes: int = SET_BYTES) -> HashSet:
+    """The set of the hashes of ``windows``, of ``set_bytes`` bytes at most.  Hashes are counted before any is fetched."""
+    sizes = sorted(r[0] for r in found.select("size").distinct().collect())
+    hashes = found.select("h").distinct()
+    n = hashes.count()
+    if n * (8 + BITS_EACH // 8) * 2 <= set_bytes:
+        known = np.sort(hashes.toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
+        bits = max(6, int(n * BITS_EACH).bit_length())
+        table = np.zeros(1 << bits - 6, np.uint64)
+        place = known >> _U(64 - bits)
+        np.bitwise_or.at(table, place >> _U(6), _U(1) << (place & _U(63)))
+        return HashSet(sizes, bits, table, known)
+    bits = max(6, int(set_bytes * 8).bit_length() - 1)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            items, pieces = [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                words = words_of(t or b"")
-                for at in range(0, max(len(words) - n + 1, min(1, len(words))), piece_words):
-                    items.append(i)
-                    pieces.append(b" ".join(words[at : at + piece_words + n - 1]))
-            yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(pieces, pa.binary())], names=["item", "piece"])
+            h = [np.asarray(b.column(0)).view(np.uint64)]
+            for _ in range(PROBES - 1):
+                h.append(_next(h[-1]))
+            place = np.concatenate(h) >> _U(64 - bits)
+            yield pa.RecordBatch.from_arrays([pa.array((place >> _U(6)).astype(np.int64)), pa.array((_U(1) << (place & _U(63))).view(np.int64))], names=["at", "bit"])
 
-    return part.mapInArrow(each, "item string, piece binary").distinct()
+    filled = hashes.mapInArrow(each, "at bigint, bit bigint").groupBy("at").agg(F.bit_or("bit").alias("word")).toArrow()
+    table = np.zeros(1 << bits - 6, np.uint64)
+    table[filled.column("at").to_numpy()] = filled.column("word").to_numpy().astype(np.int64).view(np.uint64)
+    return HashSet(sizes, bits, table, None)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", n: int = WINDOW, set_bytes: int = SET_BYTES, clean: bool = False) -> tuple[DataFrame, list[str]]:
-    """``docs`` with ``n_words``, ``n_hit`` and ``items`` (and ``clean_text``), and the names these columns got.
+def scan(docs: DataFrame, known: HashSet) -> DataFrame:
+    """``doc, n_words, found`` for each row of ``docs`` (columns ``doc``, ``text``): ``found`` lists the candidates (``at, size, h, words``)."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+    kind = pa.list_(pa.struct([("at", pa.int32()), ("size", pa.int32()), ("h", pa.int64()), ("words", pa.binary())]))
 
-    ``n_hit`` counts the words of the document inside any occurrence of a benchmark window, ``items`` the
-    distinct item ids (as strings, sorted) whose windows occur, and ``clean_text`` is the text without the
-    stretches from the first to the last word of each run of hit words.
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner, hashes_of = WordScanner(alnum_bytes()), shared.value
+        for b in slices(batches, "text"):
+            data, offsets = text_bytes(b.column(1))
+            starts, ends, hashes, bounds = scanner.scan(data, offsets)
+            found: list[list] = [[] for _ in range(b.num_rows)]
+            for size in hashes_of.sizes:
+                h = window_hashes(hashes, size)
+                at = hashes_of.candidates(h)
+                row = np.searchsorted(bounds, at, side="right") - 1
+                fits = at + size <= bounds[row + 1]
+                for i, r in zip(at[fits].tolist(), row[fits].tolist(), strict=True):
+                    words = b" ".join(words_of(data[starts[i] : ends[i + size - 1]].tobytes()))
+                    found[r].append((i - int(bounds[r]), size, int(h[i : i + 1].view(np.int64)[0]), words))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(bounds).astype(np.int64)), pa.array(found, kind)], names=["doc", "n_words", "found"])
+
+    return docs.select("doc", "text").mapInArrow(each, "doc bigint, n_words bigint, found array<struct<at: int, size: int, h: bigint, words: binary>>")
+
+
+def _covered(spans: Column) -> Column:
+    """Words in spans (``at, size``) that are sorted by their start."""
+    begin = F.struct(F.lit(0).alias("end"), F.lit(0).cast("bigint").alias("n"))
+    step = lambda a, s: F.struct(F.greatest(a["end"], s["at"] + s["size"]).alias("end"), (a["n"] + F.greatest(F.lit(0), s["at"] + s["size"] - F.greatest(a["end"], s["at"]))).alias("n"))
+    return F.aggregate(spans, begin, step, lambda a: a["n"])
+
+
+def _measured(docs: DataFrame, benchmark: DataFrame, item: str, item_text: str, n: int, set_bytes: int) -> DataFrame:
+    """``doc, n_words, n_hit, items, spans`` for each row of ``docs`` (columns ``doc``, a unique long, and ``text``)."""
+    known = written(windows(benchmark, item, item_text, n), "windows")
+    scanned = written(scan(docs, hash_set(known, set_bytes)), "scanned")
+    candidates = scanned.select("doc", F.explode("found").alias("c")).select("doc", "c.at", "c.size", "c.h", "c.words")
+    hits = candidates.join(known, ["h", "size", "words"]).groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("at", "size"))).alias("spans"), F.sort_array(F.collect_set("item")).alias("items"))
+    none = F.array().cast("array<string>")
+    return scanned.select("doc", "n_words").join(hits, "doc", "left").select(
+        "doc", "n_words", F.coalesce(_covered(F.col("spans")), F.lit(0).cast("bigint")).alias("n_hit"), F.coalesce("items", none).alias("items"), "spans"
+    )
+
+
+def find(docs: DataFrame, benchmark: DataFrame, row: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", n: int = WINDOW, set_bytes: int = SET_BYTES) -> DataFrame:
+    """``row, n_words, n_hit, items`` for each row of ``docs``.
 
-    The benchmark is measured first.  Up to ``set_bytes`` of words make one broadcast set; a larger one is
-    dealt into sets of about that size, each scanned for in turn in the same pass over the rows.  Null and
-    wordless texts have no words and no hits; wordless items have no windows; an item with a null id hits
-    words but has no id to report; repeated items count once.  Empty tables are fine on either side.
+    ``n_hit`` counts the words of the document inside any occurrence of a benchmark window, ``items`` the
+    distinct item ids (as strings, sorted) whose windows occur.  Null and wordless texts have no words and
+    no hits; wordless items have no windows; an item with a null id hits words but has no id to report;
+    repeated items count once.  Rows with null or repeated keys are told apart by a row number.  Empty
+    tables are fine on either side.  What is gathered for a document is bounded by its length and its items.
     """
-    spark = docs.sparkSession
-    pieces = written(benchmark_pieces(benchmark, item, item_text, n), "benchmark")
-    total = pieces.agg(F.sum(F.octet_length("piece") + 16)).first()[0] or 0
-    sets = max(1, -(-total // set_bytes))
-    kind = ArrayType(StringType())
-    fields = [StructField("n_words", LongType()), StructField("n_hit", LongType()), StructField("items", kind)]
-    fields += [StructField("clean_text", StringType())] * clean
-    if sets == 1:
-        rows = [(r[0], bytes(r[1])) for r in pieces.collect()]
-        return appended(docs, text, StructType(fields), _Scan(spark.sparkContext.broadcast(rows), n, clean))
-    if clean:
-        raise ValueError("clean_text needs a benchmark that fits one broadcast set; raise set_bytes")
-    df, names = docs, []
-    for k in range(sets):
-        rows = [(r[0], bytes(r[1])) for r in pieces.filter(F.pmod(F.xxhash64("item", "piece"), F.lit(sets)) == k).collect()]
-        df, new = appended(df, text, StructType([StructField("n_words", LongType()), StructField("runs", ArrayType(LongType())), StructField("items", kind)]), _Scan(spark.sparkContext.broadcast(rows), n, False, runs=True))
-        names.append(new)
-    cover = F.array_distinct(F.flatten(F.array(*[F.col(x[1]) for x in names])))
-    items = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(x[2]) for x in names]))))
-    taken, out = docs.columns, []
-    for f in fields:
-        out.append(fresh(f.name, [*taken, *out]))
-    made = [F.col(names[0][0]), F.size(cover).cast("bigint"), items]
-    return df.select(*[F.col(f"`{c}`") for c in taken], *[m.alias(o) for m, o in zip(made, out, strict=True)]), out
-
-
-class _Scan:
-    """Scans a slice of texts for a broadcast window set; built once in each Python worker."""
-
-    def __init__(self, rows, n: int, clean: bool, runs: bool = False):
-        self.rows, self.n, self.clean, self.runs, self.made = rows, n, clean, runs, None
-
-    def __getstate__(self):
-        return self.__dict__ | {"made": None}
-
-    def __call__(self, column: pa.Array) -> list[pa.Array]:
-        if self.made is None:
-            self.made = WindowSet(self.rows.value, self.n), WordScanner(alnum_bytes())
-        windows, scanner = self.made
-        data, offsets = text_bytes(column)
-        starts, ends, hashes, bounds = scanner.scan(data, offsets)
-        rows, items = len(column), [set() for _ in range(len(column))]
-        step = np.zeros(len(starts) + 1, np.int64)
-        for size, shift, table, known in windows.sizes:
-            h = window_hashes(hashes, size)
-            at = np.flatnonzero(table[h >> shift])
-            at = at[np.isin(h[at], known)]
-            row = np.searchsorted(bounds, at, side="right") - 1
-            fits = at + size <= bounds[row + 1]
-            for i, r in zip(at[fits].tolist(), row[fits].tolist(), strict=True):
-                got = windows.items.get(b" ".join(words_of(data[starts[i] : ends[i + size - 1]].tobytes())))
-                if got:
-                    items[r] |= got
-                    step[i] += 1
-                    step[i + size] -= 1
-        hit = np.cumsum(step[:-1]) > 0
-        so_far = np.r_[0, np.cumsum(hit)]
-        n_words, n_hit = np.diff(bounds), so_far[bounds[1:]] - so_far[bounds[:-1]]
-        ids = pa.array([sorted(x - {None}) for x in items], pa.list_(pa.string()))
-        if self.runs:
-            places = [np.flatnonzero(hit[bounds[r] : bounds[r + 1]]) if n_hit[r] else [] for r in range(rows)]
-            return [pa.array(n_words), pa.array(places, pa.list_(pa.int64())), ids]
-        out = [pa.array(n_words), pa.array(n_hit), ids]
-        if self.clean:
-            texts = column.to_pylist()
-            for r in np.flatnonzero(n_hit):
-                texts[r] = self._cut(data[offsets[r] : offsets[r + 1]].tobytes(), hit[bounds[r] : bounds[r + 1]], starts[bounds[r] : bounds[r + 1]] - offsets[r], ends[bounds[r] : bounds[r + 1]] - offsets[r])
-            out.append(pa.array(texts, pa.string()))
-        return out
-
-    @staticmethod
-    def _cut(text: bytes, hit: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> str:
-        edge = np.diff(np.r_[False, hit, False].astype(np.int8))
-        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
-        parts, at = [], 0
-        for a, b in zip(starts[first].tolist(), ends[last].tolist(), strict=True):
-            parts.append(text[at:a])
-            at = b
-        return b"".join([*parts, text[at:]]).decode()
-
-
-def is_contaminated(n_hit: str, n_words: str):
+    docs, mark, same = numbered(docs.select(named(row).alias("row"), named(text).cast("string").alias("text")), "row")
+    found = _measured(docs.select(named(mark).alias("doc"), "text"), benchmark, item, item_text, n, set_bytes)
+    if same:
+        return found.select(F.col("doc").alias("row"), "n_words", "n_hit", "items")
+    return docs.select(named(mark).alias("doc"), "row").join(found, "doc").select("row", "n_words", "n_hit", "items")
+
+
+def is_contaminated(n_hit: str, n_words: str) -> Column:
     """At least one word, and at least a twentieth of all words, is hit."""
     return (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words))
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "document", **options) -> DataFrame:
+def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "document", row: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", n: int = WINDOW, set_bytes: int = SET_BYTES) -> DataFrame:
     """``docs`` without contamination, same columns.
 
     ``document``: contaminated documents go, all others stay as they are.  ``span``: every document stays
-    and loses its hit stretches.
+    and loses the stretches from the first to the last word of each run of hit words.  Either works at any
+    size of the benchmark.  Null keys, repeated rows and empty tables are as in ``find``.
     """
     if mode not in ("document", "span"):
         raise ValueError(mode)
-    found, names = find(docs, benchmark, clean=mode == "span", **options)
+    names = docs.columns
+    docs, mark, _ = numbered(docs, row)
+    found = _measured(docs.select(named(mark).alias("doc"), named(text).cast("string").alias("text")), benchmark, item, item_text, n, set_bytes)
     if mode == "document":
-        return found.filter(~is_contaminated(names[1], names[0])).drop(*names)
-    text = options.get("text", "text")
-    return found.select(*[F.col(f"`{names[3]}`").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+        gone = written(found.filter(is_contaminated("n_hit", "n_words")).select(F.col("doc").alias(mark)), "contaminated")
+        return docs.join(gone, mark, "left_anti").select(*map(named, names))
+    spans = F.transform("spans", lambda s: F.struct(s["at"].cast("bigint").alias("start"), s["size"].cast("bigint").alias("n_words")))
+    spans = written(found.filter("n_hit > 0").select(F.col("doc").alias(mark), spans.alias("spans")), "spans")
+    return cut_words(docs, mark, text, spans, alnum_bytes()).select(*map(named, names))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's words, words hit by benchmark windows, items that hit, and the verdict."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found, (n_words, n_hit, items) = find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = find(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(
-        "doc_id", n_words, n_hit, F.size(items).cast("bigint").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort(items), ","), 256).alias("items_sha256"), is_contaminated(n_hit, n_words).alias("contaminated"),
+        F.col("row").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), is_contaminated("n_hit", "n_words").alias("contaminated"),
     )
 
 

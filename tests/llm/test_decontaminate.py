@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from suffixloom.llm import decontaminate as d
@@ -42,8 +43,8 @@ def brute(docs, items, n=13):
 def run(spark, docs, items, **options):
     a = spark.createDataFrame(docs, "doc_id bigint, text string")
     b = spark.createDataFrame(items, "item_id bigint, text string")
-    out, (w, h, i) = d.find(a, b, **options)
-    rows = out.select("doc_id", w, h, F.size(i), F.sha2(F.array_join(i, ","), 256), d.is_contaminated(h, w)).collect()
+    out = d.find(a, b, **options)
+    rows = out.select("row", "n_words", "n_hit", F.size("items"), F.sha2(F.array_join("items", ","), 256), d.is_contaminated("n_hit", "n_words")).collect()
     return sorted((tuple(r) for r in rows), key=str)
 
 
@@ -68,17 +69,34 @@ def test_against_brute_force(spark):
     want = brute(docs, items)
     assert any(x[2] for x in want)
     assert run(spark, docs, items) == want
-    assert run(spark, docs, items, set_bytes=400) == want  # a benchmark dealt into several sets
+    for size in (1, 64, 400, 1 << 14):  # Bloom tables, from one that lets all through to one that is nearly exact
+        assert run(spark, docs, items, set_bytes=size) == want
+    one = [(k, t) for k, (_, t) in enumerate(docs)]
+    assert run(spark, one, items) == brute(one, items)  # keys that are unique
     assert run(spark, docs, []) == brute(docs, [])
     assert run(spark, [], items) == []
 
 
 def test_long_item_and_long_text(spark):
     r = random.Random(2)
-    long = " ".join(f"v{r.randrange(10**6)}" for _ in range(d.PIECE_WORDS * 2 + 50))
+    n = d.BATCH * 2 + 50
+    long = " ".join(f"v{r.randrange(10**6)}" for _ in range(n))
     doc = " ".join(f"u{k}" for k in range(150_000)) + " " + long
     (row,) = run(spark, [(1, doc)], [(9, long)])
-    assert row[1:4] == (150_000 + d.PIECE_WORDS * 2 + 50, d.PIECE_WORDS * 2 + 50, 1)
+    assert row[1:4] == (150_000 + n, n, 1)
+
+
+def test_set_is_bounded(spark):
+    r = random.Random(4)
+    items = spark.createDataFrame([(k, " ".join(f"x{r.randrange(10**5)}" for _ in range(500))) for k in range(100)], "item_id int, text string")
+    found = d.windows(items)
+    for size in (1 << 12, 1 << 16, 1 << 24):
+        s = d.hash_set(found, size)
+        assert s.table.nbytes + (0 if s.known is None else s.known.nbytes) <= size
+        assert (s.known is None) == (size < 1 << 20)
+        h = np.array([x.h for x in found.collect()], np.int64).view(np.uint64)
+        assert len(s.candidates(h)) == len(h)
+    assert len(s.candidates(np.arange(1000, dtype=np.uint64))) == 0
 
 
 def test_remove_keeps_columns_and_clean_rows(spark):
@@ -90,5 +108,18 @@ def test_remove_keeps_columns_and_clean_rows(spark):
     out = d.remove(docs, bench)
     assert out.columns == docs.columns
     assert sorted(r.doc_id for r in out.collect()) == [2, 3]
-    spans = {r.doc_id: r.text for r in d.remove(docs, bench, mode="span").collect()}
-    assert spans == {1: "", 2: f"{clean} , {clean}", 3: None, 4: "x ! y"}
+    for size in (d.SET_BYTES, 8):
+        spans = {r.doc_id: r.text for r in d.remove(docs, bench, mode="span", set_bytes=size).collect()}
+        assert spans == {1: "", 2: f"{clean} , {clean}", 3: None, 4: "x ! y"}
+
+
+def test_odd_columns_and_keys(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    rows = [(None, item, 1, "a"), (None, "clean", 2, "b"), (5, item + " " + "z " * 500, 3, "c"), (5, item + " " + "z " * 500, 3, "c")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, `_number` int, `a.b` string")
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    out = d.remove(docs, bench)
+    assert out.columns == docs.columns and sorted(tuple(r)[2:] for r in out.collect()) == [(2, "b"), (3, "c"), (3, "c")]
+    cut = d.remove(docs, bench, mode="span")
+    assert cut.columns == docs.columns and sorted((r.text or "").split() != [] for r in cut.collect()) == [False, True, True, True]
+    assert d.remove(docs.limit(0), bench).count() == d.remove(docs.limit(0), bench, mode="span").count() == 0
