@@ -1,8 +1,9 @@
 """Quality rules by distribution divergence, in DataFrame functions only.
 
-Each document gets a histogram of character classes and one of common words.  Both are compared, by
-Jensen-Shannon distance, with references of the document's language that are learned from all
-documents that pass the base rules.  A histogram of too few counts is not judged.
+Each document gets a histogram of character classes and one of its language's common words.  Both are
+compared, by Jensen-Shannon distance, with references of the language: the shares of the classes over all
+its documents that pass the base rules, and the shares of its common words over all its words.  Which words
+are common is learned from all documents.  A histogram of too few counts is not judged.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, written
+from .common import fresh, named, written
 
 SPACE = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -19,14 +20,12 @@ PUNCTUATION = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum()
 #: Character classes in the histogram, besides all other characters; white space is none.
 CLASSES = (LOWER, UPPER, DIGITS, SYMBOLS, PUNCTUATION)
 
-#: Common words of four languages.
-COMMON = {
-    "de": "der die und in den von zu das mit sich ist nicht".split(),
-    "en": "the of and to in a is that it for on with".split(),
-    "es": "de la que el en y los se del las por un".split(),
-    "fr": "de la le les et des en un du une que est".split(),
-}
-WORDS = sorted({w for words in COMMON.values() for w in words})
+#: A word is common in a language if it is at least one in so many of all its words; so there are at most as many.
+COMMON_PART = 250
+#: Up to so many languages have their references broadcast (a reference has under ``COMMON_PART + 10`` numbers and words).
+MOST_LANGUAGES = 5000
+#: Up to so many common words, of all languages together, are looked for by one look-up.
+MOST_LOOKED_UP = 2000
 
 #: Base rules: fewer words, or a greater share (in percent) of words in repeated three-word windows, fail.
 LEAST_WORDS, MOST_REPEAT = 50, 50
@@ -36,88 +35,128 @@ LEAST_CHARS, LEAST_COUNTED = 200, 100
 MOST_CLASS, MOST_WORDS = 0.35, 0.29
 
 
-def repeated_words(words: str) -> Column:
-    """Words of array column ``words`` in three-word windows that occur twice or more, the first included.
-
-    Windows are sorted by hash; neighbours of equal hash are compared word by word.
-    """
-    w = F.col(words)
-    n = F.size(w)
-    grams = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-    return F.when(n >= 4, grams)
+def words_of(text: Column) -> Column:
+    """Runs of anything but ASCII white space."""
+    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def _starts(ordered: str, words: str) -> Column:
-    """Ascending starts of the windows that equal a neighbour in ``ordered`` (structs of hash and start)."""
-    o, w = F.col(ordered), F.col(words)
+def _three(w: Column, i: Column) -> list[Column]:
+    return [F.get(w, i + k) for k in range(3)]
 
-    def same(a: Column, b: Column) -> Column:
-        alike = a["h"] == b["h"]
-        for k in range(3):
-            alike = alike & (F.get(w, a["i"] + k) == F.get(w, b["i"] + k))
-        return F.coalesce(alike, F.lit(False))
 
-    at = F.filter(F.sequence(F.lit(0), F.size(o) - 1), lambda j: same(F.get(o, j), F.get(o, j - 1)) | same(F.get(o, j), F.get(o, j + 1)))
-    return F.array_sort(F.transform(at, lambda j: F.get(o, j)["i"]))
+def _places(words: str, bits: int | None = None) -> Column:
+    """Places at which a three-word window begins that occurs twice or more in array column ``words``, null if there is none.
 
-
-def _covered(starts: str) -> Column:
-    """Words in windows of three that begin at ``starts``."""
+    Windows' hashes, with places in their last bits, are sorted as numbers; neighbours of equal hash are
+    compared word by word.  Where such neighbours differ, windows are sorted by their words instead.
+    """
+    w, g = F.col(words), F.col("grams")
+    n = F.size(g)
+    b = F.lit(bits) if bits else F.length(F.bin(n))
+    cut = lambda h: F.call_function("shiftright", h, b)
+    place = lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), b) - 1).cast("int")
+    packed = F.sort_array(F.transform(g, lambda h, i: F.call_function("shiftleft", cut(h), b).bitwiseOR(i.cast("bigint"))))
+    none = F.array().cast("array<int>")
+
+    def pairs(x: Column, y: Column) -> Column:
+        i, j = place(x), place(y)
+        alike = F.lit(True)
+        for p, q in zip(_three(w, i), _three(w, j), strict=True):
+            alike = alike & (p == q)
+        return F.when(cut(x) != cut(y), none).otherwise(F.when(alike, F.array(i, j)).otherwise(F.array(F.lit(-1))))
+
+    rest = lambda o: F.slice(o, F.lit(2), F.size(o))
+    near = lambda o, f: F.flatten(F.zip_with(F.slice(o, F.lit(1), F.size(o) - 1), rest(o), f))
+    quick = near(packed, pairs)
+    whole = F.array_sort(F.transform(g, lambda _, i: F.struct(*[x.alias(f"w{k}") for k, x in enumerate(_three(w, i))], i.alias("i"))))
+    slow = near(whole, lambda x, y: F.when((x["w0"] == y["w0"]) & (x["w1"] == y["w1"]) & (x["w2"] == y["w2"]), F.array(x["i"], y["i"])).otherwise(none))
+    return F.when(F.size(F.array_distinct(g)) < n, quick), slow
+
+
+def _covered(starts: Column) -> Column:
+    """Words in windows of three that begin at ``starts``, which are sorted."""
     begin = F.struct(F.lit(0).alias("end"), F.lit(0).cast("bigint").alias("n"))
     step = lambda a, s: F.struct((s + 3).alias("end"), (a["n"] + 3 - F.greatest(F.lit(0), a["end"] - s)).alias("n"))
-    return F.aggregate(F.col(starts), begin, step, lambda a: a["n"])
+    return F.aggregate(starts, begin, step, lambda a: a["n"])
 
 
-def measures(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
-    """``docs`` with one struct column of counts in place of ``text``, and that column's name.
+def with_repeats(df: DataFrame, words: str, keep: list[str], bits: int | None = None) -> DataFrame:
+    """``keep`` of ``df`` and ``repeat``: words in three-word windows that occur twice or more, the first included."""
+    w = F.col(words)
+    n = F.size(w)
+    grams = F.when(n >= 4, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(*_three(w, i))))
+    df = df.select(*keep, words, grams.alias("grams"))
+    quick, slow = _places(words, bits)
+    df = df.select(*keep, words, "grams", quick.alias("places"))
+    places = F.when(F.array_contains("places", -1), slow).otherwise(F.col("places"))
+    df = df.select(*keep, F.sort_array(F.array_distinct(places)).alias("places"))
+    return df.select(*keep, F.coalesce(_covered(F.col("places")), F.lit(0).cast("bigint")).alias("repeat"))
+
+
+def _small(df: DataFrame, label: str) -> DataFrame:
+    """A table of languages, written, with a hint to broadcast it if it has few rows."""
+    df = written(df, label)
+    return F.broadcast(df) if df.limit(MOST_LANGUAGES + 1).count() <= MOST_LANGUAGES else df
 
-    ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` and the histograms ``classes`` and
-    ``common``.  Words are runs of anything but ASCII white space.  Null text counts as empty.
+
+def vocabulary(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """``v_lang, vocab, ref_common``: each language's common words, and their shares of all its words, the last that of all other words.
+
+    The row with null language is over all documents together.  A language without words has no row.
+    """
+    words = docs.select(named(lang).alias("v_lang"), F.explode(words_of(named(text).cast("string"))).alias("word"))
+    counts = written(words.groupBy("v_lang", "word").agg(F.count("*").alias("n")), "words")
+    whole = counts.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(None).cast(counts.schema["v_lang"].dataType).alias("v_lang"), "word", "n")
+    counts = counts.filter("v_lang is not null").unionByName(whole)
+    total = _small(counts.groupBy(F.col("v_lang").alias("t_lang")).agg(F.sum("n").alias("total")), "totals")
+    common = counts.join(total, F.col("v_lang").eqNullSafe(F.col("t_lang"))).filter(COMMON_PART * F.col("n") >= F.col("total"))
+    top = common.groupBy("v_lang").agg(F.sort_array(F.collect_list(F.struct("n", "word")), False).alias("top"), F.first("total").alias("total"))
+    found = total.join(top.drop("total"), F.col("v_lang").eqNullSafe(F.col("t_lang")), "left")
+    top = F.coalesce("top", F.array().cast("array<struct<n: bigint, word: string>>"))
+    other = F.col("total") - F.aggregate(top["n"], F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return found.select(F.col("t_lang").alias("v_lang"), top["word"].alias("vocab"), shares(F.concat(top["n"], F.array(other))).alias("ref_common"))
+
+
+def measures(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """``keys, lang, m, ref_common``: a struct of the columns of ``docs`` but ``text``, the language, a struct of counts, and the language's words' shares.
+
+    The counts are ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` and the histograms ``classes``
+    and ``common``.  Null text counts as empty.  What is derived stands beside structs of what was there, so
+    no name can clash.
     """
-    names = docs.columns
-    c = {k: fresh(f"_{k}", names) for k in ("t", "w", "r", "grams", "order", "starts", "lines", "found", "m")}
-    others = [n for n in names if n != text]
-    keep = [F.col(f"`{n}`") for n in others]
-    df = docs.select(*keep, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias(c["t"]))
-    words = F.filter(F.split(c["t"], r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    lines = F.filter(F.split(c["t"], "\n"), lambda x: F.translate(x, SPACE, "") != "")
-    df = df.select(*keep, c["t"], words.alias(c["w"]), lines.alias(c["lines"]))
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    keys = F.struct(*[plain[f"c{i}"] for i, n in enumerate(docs.columns) if n != text] or [F.lit(0).alias("none")])
+    df = plain.select(keys.alias("keys"), plain[f"c{docs.columns.index(lang)}"].alias("lang"), F.coalesce(plain[f"c{docs.columns.index(text)}"].cast("string"), F.lit("")).alias("t"))
+    vocab = _small(vocabulary(docs, text, lang), "vocabulary")
+    words = vocab.select(F.explode("vocab").alias("word")).distinct().limit(MOST_LOOKED_UP + 1).collect()
+    df = df.join(vocab, F.col("lang").eqNullSafe(F.col("v_lang")), "left").drop("v_lang").withColumn("vocab", F.coalesce("vocab", F.array().cast("array<string>")))
+    lines = F.filter(F.split("t", "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
+    df = df.select("keys", "lang", "vocab", "ref_common", "t", words_of(F.col("t")).alias("w"), lines.alias("lines"), F.regexp_replace("t", "[a-z]+", "").alias("r0"))
     # what is left of the text after each class is taken out of it: most characters go in the first step
-    left, sizes, rest = [F.length(c["t"])], [], F.col(c["t"])
-    for k, chars in enumerate((LOWER, SPACE, *CLASSES[1:])):
-        name = f"{c['r']}{k}"
-        df = df.withColumn(name, F.translate(rest, chars, ""))
-        rest = F.col(name)
-        left.append(F.length(name))
-    sizes = [(a - b).cast("bigint") for a, b in zip(left, left[1:], strict=False)]
-    lower, space, upper, digits, symbols, punctuation = sizes
-    counted = F.filter(c["w"], lambda w: w.isin(WORDS))
+    for k, chars in enumerate((SPACE, *CLASSES[1:])):
+        df = df.withColumn(f"r{k + 1}", F.translate(f"r{k}", chars, ""))
+    left = [F.length("t"), *[F.length(f"r{k}") for k in range(len(CLASSES) + 1)]]
+    lower, space, upper, digits, symbols, punctuation = ((a - b).cast("bigint") for a, b in zip(left, left[1:], strict=False))
+    here = (lambda w: w.isin([r[0] for r in words])) if len(words) <= MOST_LOOKED_UP else (lambda w: F.array_contains("vocab", w))
+    counted = F.filter("w", here) if words else F.array().cast("array<string>")
     df = df.select(
-        *keep, c["w"], repeated_words(c["w"]).alias(c["grams"]), F.concat(F.lit(" "), F.array_join(counted, "  "), F.lit(" ")).alias(c["found"]),
-        F.size(c["w"]).cast("bigint").alias(f"{c['m']}0"), (left[0].cast("bigint") - space).alias(f"{c['m']}1"), symbols.alias(f"{c['m']}2"),
-        (F.size(c["lines"]) - F.size(F.array_distinct(c["lines"]))).cast("bigint").alias(f"{c['m']}3"),
-        F.array(lower, upper, digits, symbols, punctuation, left[-1].cast("bigint")).alias(f"{c['m']}5"),
+        "keys", "lang", "vocab", "ref_common", "w", counted.alias("counted"), F.size("w").cast("bigint").alias("n"), (left[0].cast("bigint") - space).alias("chars"), symbols.alias("symbols"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("dup"), F.array(lower, upper, digits, symbols, punctuation, left[-1].cast("bigint")).alias("classes"),
     )
-    g = F.col(c["grams"])
-    some = g.isNotNull() & (F.size(F.array_distinct(g)) < F.size(g))
-    ordered = F.when(some, F.array_sort(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
-    took = [(F.octet_length(c["found"]) - F.octet_length(F.replace(F.col(c["found"]), F.lit(f" {w} "), F.lit("")))) / (len(w.encode()) + 2) for w in WORDS]
-    took = [x.cast("bigint") for x in took]
-    df = df.select(*keep, c["w"], *[f"{c['m']}{k}" for k in (0, 1, 2, 3, 5)], ordered.alias(c["order"]), F.array(*took).alias(f"{c['m']}6"))
-    df = df.select(*keep, *[f"{c['m']}{k}" for k in (0, 1, 2, 3, 5, 6)], F.when(F.col(c["order"]).isNotNull(), _starts(c["order"], c["w"])).alias(c["starts"]))
-    repeat = F.coalesce(_covered(c["starts"]), F.lit(0).cast("bigint"))
-    m = [F.col(f"{c['m']}{k}") for k in (0, 1, 2, 3)]
-    other = m[0] - F.aggregate(F.col(f"{c['m']}6"), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    out = F.struct(
-        m[0].alias("n_words"), m[1].alias("word_chars"), m[2].alias("n_symbols"), m[3].alias("n_dup_lines"), repeat.alias("n_repeat_words"),
-        F.col(f"{c['m']}5").alias("classes"), F.concat(F.col(f"{c['m']}6"), F.array(other)).alias("common"),
+    common = F.transform("vocab", lambda v: (F.size("counted") - F.size(F.array_remove("counted", v))).cast("bigint"))
+    df = df.withColumn("common", common).drop("counted", "vocab")
+    df = with_repeats(df, "w", [c for c in df.columns if c != "w"])
+    other = F.col("n") - F.aggregate("common", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    m = F.struct(
+        F.col("n").alias("n_words"), F.col("chars").alias("word_chars"), F.col("symbols").alias("n_symbols"), F.col("dup").alias("n_dup_lines"), F.col("repeat").alias("n_repeat_words"),
+        F.col("classes"), F.concat("common", F.array(other)).alias("common"),
     )
-    return df.select(*keep, out.alias(c["m"])), c["m"]
+    return df.select("keys", "lang", m.alias("m"), "ref_common")
 
 
-def base_failed(m: str) -> Column:
-    """The base rules on a struct of measures."""
-    return (F.col(f"{m}.n_words") < LEAST_WORDS) | (100 * F.col(f"{m}.n_repeat_words") > MOST_REPEAT * F.col(f"{m}.n_words"))
+def base_failed() -> Column:
+    """The base rules on the struct ``m`` of measures."""
+    return (F.col("m.n_words") < LEAST_WORDS) | (100 * F.col("m.n_repeat_words") > MOST_REPEAT * F.col("m.n_words"))
 
 
 def shares(counts: Column) -> Column:
@@ -134,17 +173,17 @@ def jensen_shannon(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(total, F.lit(0.0)))
 
 
-def references(measured: DataFrame, m: str, lang: str = "lang") -> DataFrame:
-    """``lang, ref_classes, ref_common``: shares over all documents of a language that pass the base rules.
+def references(measured: DataFrame) -> DataFrame:
+    """``r_lang, ref_classes``: shares of the character classes over all documents of a language that pass the base rules.
 
     The row with null language is over all documents together; it serves documents without one.
     """
-    passing = measured.filter(~base_failed(m))
-    n = {"classes": len(CLASSES) + 1, "common": len(WORDS) + 1}
-    sums = [F.sum(F.col(f"{m}.{k}")[i]).alias(f"{k}{i}") for k, size in n.items() for i in range(size)]
-    by = passing.groupBy(F.col(lang).alias("lang")).agg(*sums).filter("lang is not null")
-    whole = passing.agg(*sums).select(F.lit(None).cast(measured.schema[lang].dataType).alias("lang"), "*")
-    return by.unionByName(whole).select("lang", *[shares(F.array(*[F.coalesce(f"{k}{i}", F.lit(0).cast("bigint")) for i in range(size)])).alias(f"ref_{k}") for k, size in n.items()])
+    size = len(CLASSES) + 1
+    sums = [F.sum(F.col("m.classes")[i]).alias(f"s{i}") for i in range(size)]
+    by = written(measured.filter(~base_failed()).groupBy(F.col("lang").alias("r_lang")).agg(*sums), "sums")
+    whole = by.agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(size)]).select(F.lit(None).cast(by.schema["r_lang"].dataType).alias("r_lang"), "*")
+    both = by.filter("r_lang is not null").unionByName(whole)
+    return both.select("r_lang", shares(F.array(*[F.coalesce(f"s{i}", F.lit(0).cast("bigint")) for i in range(size)])).alias("ref_classes"))
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[DataFrame, str]:
@@ -154,20 +193,19 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[Data
     A document is kept if the base rules pass and neither distance that its counts suffice for is too great.
     A language of which no document passes the base rules has no reference, and its documents are judged by
     the base rules alone, which they fail.  Documents without a language are compared with all documents.
-    Repeated rows each get a row; an empty table gives none.
+    Repeated rows each get a row; an empty table gives none.  Columns of any name pass through.
     """
-    measured, m = measures(docs, text)
-    measured = written(measured, "measures")
-    ref = references(measured, m, lang)
-    ref = ref.select(*[F.col(x).alias(fresh(f"_{x}", measured.columns)) for x in ref.columns])
-    r_lang, r_classes, r_common = ref.columns
-    joined = measured.join(ref, F.col(f"`{lang}`").eqNullSafe(F.col(r_lang)), "left")
-    by_class = jensen_shannon(shares(F.col(f"{m}.classes")), F.col(r_classes))
-    by_word = jensen_shannon(shares(F.col(f"{m}.common")), F.col(r_common))
-    failed = base_failed(m)
-    far = (F.col(f"{m}.word_chars") >= LEAST_CHARS) & (by_class > MOST_CLASS) | (F.col(f"{m}.n_words") >= LEAST_COUNTED) & (by_word > MOST_WORDS)
-    out = F.struct(F.col(f"{m}.*"), by_class.alias("class_distance"), by_word.alias("word_distance"), failed.alias("base_failed"), (~failed & ~F.coalesce(far, F.lit(False))).alias("kept"))
-    return joined.select(*[F.col(f"`{n}`") for n in measured.columns if n != m], out.alias(m)), m
+    measured = written(measures(docs, text, lang), "measures")
+    joined = measured.join(_small(references(measured), "references"), F.col("lang").eqNullSafe(F.col("r_lang")), "left")
+    by_class = jensen_shannon(shares(F.col("m.classes")), F.col("ref_classes"))
+    by_word = F.when(F.col("ref_classes").isNotNull(), jensen_shannon(shares(F.col("m.common")), F.col("ref_common")))
+    joined = joined.select("keys", "m", by_class.alias("by_class"), by_word.alias("by_word"), base_failed().alias("failed"))
+    far = (F.col("m.word_chars") >= LEAST_CHARS) & (F.col("by_class") > MOST_CLASS) | (F.col("m.n_words") >= LEAST_COUNTED) & (F.col("by_word") > MOST_WORDS)
+    out = F.struct(F.col("m.*"), F.col("by_class").alias("class_distance"), F.col("by_word").alias("word_distance"), F.col("failed").alias("base_failed"), (~F.col("failed") & ~F.coalesce(far, F.lit(False))).alias("kept"))
+    names = [n for n in docs.columns if n != text]
+    mark = fresh("_m", names)
+    places = [i for i, n in enumerate(docs.columns) if n != text]
+    return joined.select(*[F.col(f"keys.c{i}").alias(n) for i, n in zip(places, names, strict=True)], out.alias(mark)), mark
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,23 +228,26 @@ _SPACES = "length(regexp_replace(t, '[^ \\x09-\\x0D]', '', 'g'))"
 _NAMED = ", ".join(f"{_COUNT(c)} AS k{i}" for i, c in enumerate(CLASSES))
 _KS = ", ".join(f"k{i}" for i in range(len(CLASSES)))
 _REST = " - ".join(f"k{i}" for i in range(len(CLASSES)))
-_LIST = ", ".join(f"'{w}'" for w in WORDS)
-_SUMS = lambda col, n: "[" + ", ".join(f"sum({col}[{i + 1}])" for i in range(n)) + "]"
+_SUMS = "[" + ", ".join(f"sum(classes[{i + 1}])" for i in range(len(CLASSES) + 1)) + "]"
 _SHARE = lambda x: f"list_transform({x}, lambda v: CASE WHEN list_sum({x}) > 0 THEN v::DOUBLE / list_sum({x}) ELSE 0.0 END)"
 OP7_SQL = f"""
 WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+cw AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(w) AS word FROM d) GROUP BY ALL),
+ca AS (SELECT lang, word, n FROM cw WHERE lang IS NOT NULL UNION ALL SELECT NULL, word, sum(n) FROM cw GROUP BY word),
+ct AS (SELECT lang, sum(n) AS total FROM ca GROUP BY lang),
+cc AS (SELECT ca.lang, list(word ORDER BY n DESC, word) AS vocab, list(n::BIGINT ORDER BY n DESC, word) AS vn FROM ca JOIN ct ON ca.lang IS NOT DISTINCT FROM ct.lang WHERE {COMMON_PART} * n >= total GROUP BY ca.lang),
+v AS (SELECT ct.lang, coalesce(vocab, []) AS vocab, list_append(coalesce(vn, []), (total - coalesce(list_sum(vn), 0))::BIGINT) AS vs FROM ct LEFT JOIN cc ON ct.lang IS NOT DISTINCT FROM cc.lang),
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM d, unnest(range(1, len(w) - 1)) u(i)),
 c AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM g, unnest(range(i, i + 3)) u(p) WHERE n > 1 GROUP BY doc_id),
-f AS (SELECT doc_id, lang, len(w) AS n_words, length(t) - {_SPACES} AS word_chars, {_NAMED},
+f AS (SELECT doc_id, d.lang, vs, len(w) AS n_words, length(t) - {_SPACES} AS word_chars, {_NAMED},
   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \\x09-\\x0D]')) AS lines,
-  list_transform([{_LIST}], lambda c: len(list_filter(w, lambda x: x = c))) AS cw, coalesce(n_repeat_words, 0) AS n_repeat_words
-  FROM d LEFT JOIN c USING (doc_id)),
-m AS (SELECT doc_id, lang, n_words, word_chars, k{CLASSES.index(SYMBOLS)} AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_repeat_words,
-  [{_KS}, word_chars - {_REST}] AS classes, list_append(cw, n_words - list_sum(cw)) AS common,
+  list_transform(coalesce(vocab, []), lambda c: len(list_filter(w, lambda x: x = c))) AS cw, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM d LEFT JOIN c USING (doc_id) LEFT JOIN v ON d.lang IS NOT DISTINCT FROM v.lang),
+m AS (SELECT doc_id, lang, vs, n_words, word_chars, k{CLASSES.index(SYMBOLS)} AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_repeat_words,
+  [{_KS}, word_chars - {_REST}] AS classes, list_append(cw, n_words - coalesce(list_sum(cw), 0)) AS common,
   n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEAT} * n_words AS base_failed FROM f),
-s AS (SELECT lang, {_SUMS("classes", len(CLASSES) + 1)} AS a, {_SUMS("common", len(WORDS) + 1)} AS b FROM m WHERE NOT base_failed AND lang IS NOT NULL GROUP BY lang
-  UNION ALL SELECT NULL, {_SUMS("classes", len(CLASSES) + 1)}, {_SUMS("common", len(WORDS) + 1)} FROM m WHERE NOT base_failed),
-h AS (SELECT m.*, {_SHARE("m.classes")} AS pa, {_SHARE("s.a")} AS qa, {_SHARE("m.common")} AS pb, {_SHARE("s.b")} AS qb FROM m LEFT JOIN s ON m.lang IS NOT DISTINCT FROM s.lang),
+s AS (SELECT lang, {_SUMS} AS a FROM m WHERE NOT base_failed AND lang IS NOT NULL GROUP BY lang UNION ALL SELECT NULL, {_SUMS} FROM m WHERE NOT base_failed),
+h AS (SELECT m.*, {_SHARE("m.classes")} AS pa, {_SHARE("s.a")} AS qa, {_SHARE("m.common")} AS pb, CASE WHEN s.a IS NOT NULL THEN {_SHARE("m.vs")} END AS qb FROM m LEFT JOIN s ON m.lang IS NOT DISTINCT FROM s.lang),
 j AS (SELECT *, {_sql_js("pa", "qa")} AS ja, {_sql_js("pb", "qb")} AS jb FROM h)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, base_failed,

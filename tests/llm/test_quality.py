@@ -3,8 +3,11 @@
 import math
 import random
 import re
+from collections import Counter
 
 import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
 
 from suffixloom.llm import quality as q
 
@@ -28,11 +31,10 @@ def base(t):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(hit), failed
 
 
-def histograms(t):
+def classes(t):
     chars = [c for w in words(t) for c in w]
     a = [sum(c in k for c in chars) for k in q.CLASSES]
-    b = [words(t).count(w) for w in q.WORDS]
-    return [*a, len(chars) - sum(a)], [*b, len(words(t)) - sum(b)]
+    return [*a, len(chars) - sum(a)]
 
 
 def share(x):
@@ -45,34 +47,47 @@ def js(p, r):
 
 
 def brute(rows):
-    ref = {}
+    ref, counts = {}, {}
     for _, t, lang in rows:
+        for key in {lang, None}:
+            counts.setdefault(key, Counter()).update(words(t))
         if not base(t)[-1]:
             for key in {lang, None}:
-                old = ref.setdefault(key, ([0] * 6, [0] * (len(q.WORDS) + 1)))
-                ref[key] = tuple([x + y for x, y in zip(o, n)] for o, n in zip(old, histograms(t)))
+                ref[key] = [x + y for x, y in zip(ref.get(key, [0] * 6), classes(t))]
+    vocab = {}
+    for lang, c in counts.items():
+        total = sum(c.values())
+        vocab[lang] = {w: n for w, n in c.items() if total and q.COMMON_PART * n >= total}
+        vocab[lang] = list(vocab[lang]), [*vocab[lang].values(), total - sum(vocab[lang].values())]
     out = []
     for i, t, lang in rows:
         m = base(t)
         far = False
         if lang in ref:
-            da, db = (js(share(h), share(r)) for h, r in zip(histograms(t), ref[lang]))
+            mine = Counter(words(t))
+            mine = [mine[w] for w in vocab[lang][0]]
+            da, db = js(share(classes(t)), share(ref[lang])), js(share([*mine, m[0] - sum(mine)]), share(vocab[lang][1]))
             far = m[1] >= q.LEAST_CHARS and da > q.MOST_CLASS or m[0] >= q.LEAST_COUNTED and db > q.MOST_WORDS
         out.append((i, *m, not m[-1] and not far))
     return sorted(out, key=str)
 
 
+CLASH = ["n_words", "_m", "_r0", "_m0", "_w", "t", "w", "m", "lang_", "keys", "vocab", "a.b", "c0", "c1", "repeat", "places", "n"]
+
+
 def run(spark, rows):
-    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").selectExpr("*", "1 as n_words", "'x' as _w", "2 as _m")
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").selectExpr("*", *[f"'{c}' as `{c}`" for c in CLASH])
     out, m = q.judge(df)
-    assert [c for c in out.columns if c != m] == ["doc_id", "lang", "n_words", "_w", "_m"]
+    assert m == "_m_" and out.columns == ["doc_id", "lang", *CLASH, "_m_"]
     keys = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    return sorted((tuple(r) for r in out.select("doc_id", *[f"{m}.{k}" for k in keys]).collect()), key=str)
+    got = out.select("doc_id", *[f"{m}.{k}" for k in keys], *[F.col(f"`{c}`") for c in CLASH]).collect()
+    assert all(tuple(r)[8:] == tuple(CLASH) for r in got)
+    return sorted((tuple(r)[:8] for r in got), key=str)
 
 
 def test_against_brute_force(spark):
     r = random.Random(3)
-    v = {"en": q.COMMON["en"] + ["thing", "Was", "é#", "x1"], "de": q.COMMON["de"] + ["Ding", "Größe"], "zz": ["||", "##", "&&&", "%"]}
+    v = {"en": "the of and to in a is that it for on with thing Was é# x1".split(), "de": "der die und in den von zu das Ding Größe".split(), "zz": ["||", "##", "&&&", "%"]}
     rows = []
     for k in range(120):
         lang = r.choice(["en", "de", None, "zz"])
@@ -86,6 +101,26 @@ def test_against_brute_force(spark):
     assert run(spark, []) == []
 
 
+@pytest.mark.parametrize("bits", [None, 58, 62])
+def test_repeated_windows_against_brute_force(spark, bits):
+    """With most bits of a hash taken for places, unequal windows stand side by side and are told apart by their words."""
+    r = random.Random(1)
+    texts = [" ".join(r.choice("abcdefgh"[: r.randrange(2, 9)]) for _ in range(r.randrange(0, 60))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", q.words_of(F.col("t")).alias("w"))
+    got = {x.id: x.repeat for x in q.with_repeats(df, "w", ["id"], bits).collect()}
+    assert [got[i] for i in range(len(texts))] == [base(t)[4] for t in texts]
+
+
+def test_many_common_words(spark, monkeypatch):
+    """Beyond the bounds the same comes by plain joins and look-ups."""
+    r = random.Random(2)
+    rows = [(k, " ".join(r.choice(["the", "of", "and", f"n{r.randrange(50)}"]) for _ in range(120)), r.choice(["en", "de", None])) for k in range(20)]
+    want = run(spark, rows)
+    monkeypatch.setattr(q, "MOST_LOOKED_UP", 1)
+    monkeypatch.setattr(q, "MOST_LANGUAGES", 1)
+    assert run(spark, rows) == want == brute(rows)
+
+
 def test_clean_documents_are_kept(spark):
     docs = {r["doc_id"]: r for r in pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pylist()}
     good = {r["doc_id"] for r in pq.read_table("/root/testdata/sf0.01/labels.parquet").to_pylist() if r["quality"] == 1}
@@ -97,3 +132,4 @@ def test_clean_documents_are_kept(spark):
 def test_plan_has_no_python(spark):
     plan = q.op7_quality(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning(lang" not in plan
