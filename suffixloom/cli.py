@@ -17,10 +17,10 @@ from .operators.prune import reprune
 from .plans.build import bic_sequences, score_sequences, tree_from_kmers, tree_from_sequences
 from .sources.sequences import read_fasta, read_fastq, read_kmers
 from .sources.trees import dump, read_archive, read_tree, write_archive, write_grid, write_tree
-from .tables import written
+from .tables import clean, written
 
 MODES = ("build", "build-from-kmer-table", "dump", "score", "bic", "dissimilarity", "reprune", "size", "count", "union")
-DISTANCES = ("dvstar", "penalized-dvstar")
+DISTANCES = ("angle", "penalized-angle")
 CORES = ("internal", "external", "hash")
 
 
@@ -29,7 +29,7 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="suffixloom", description=__doc__)
     add = p.add_argument
     add("-m", "--mode", choices=MODES, type=str.lower, default="build")
-    add("--dissimilarity", choices=DISTANCES, type=str.lower, default="dvstar")
+    add("--dissimilarity", choices=DISTANCES, type=str.lower, default="angle")
     add("--estimator", choices=ESTIMATORS, type=str.lower, default=KULLBACK_LEIBLER)
     add("-p", "--fasta-path", help="FASTA, or FASTQ by its ending")
     add("--in-path", help="tree (folder or .bintree archive) or k-mer table")
@@ -92,7 +92,7 @@ def run(spark: SparkSession, argv: list[str]) -> int:
         print(f"max depth {best.max_depth}, min count {best.min_count}, threshold {best.threshold:g}, BIC {best.bic_score:.6g}, parameters {best.n_params}")
     elif a.mode == "dissimilarity":
         row = distance(_tree(spark, a.in_path), _tree(spark, a.to_path), a.background_order, a.pseudo_count_amount).first()
-        print(f"{row.distance if a.dissimilarity == 'dvstar' else row.penalized:.6g}")
+        print(f"{row.distance if a.dissimilarity == 'angle' else row.penalized:.6g}")
     elif a.mode == "reprune":
         _store(reprune(_tree(spark, a.in_path), a.threshold, a.pseudo_count_amount), a.out_path)
     elif a.mode == "size":
@@ -111,6 +111,8 @@ def main() -> int:
     try:
         return run(spark, sys.argv[1:])
     finally:
+        if "suffixloom.scratch.dir" in spark.conf.getAll:
+            clean(spark)  # a folder of this session's own
         spark.stop()
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Any
 
 KULLBACK_LEIBLER, PERES_SHIELDS = "kullback-leibler", "peres-shields"
 ESTIMATORS = (KULLBACK_LEIBLER, PERES_SHIELDS)
 ALPHABET = "ACGT"
+#: A support test of one's own: from the columns count, depth and least count to a boolean column.
+Support = Callable[[Any, Any, Any], Any]
 
 
 @dataclass(frozen=True)
@@ -26,14 +30,21 @@ class Sequencing:
 
 @dataclass(frozen=True)
 class Build:
-    """What a context tree is built with."""
+    """What a context tree is built with.
+
+    ``estimator`` names one of ``ESTIMATORS`` or is a function of the build and an optional threshold column that
+    returns two columns over an edge (the child's columns, the parent's with ``parent_`` before their names, and
+    ``root_count``): its divergence, and the least divergence at which the child is significant.  ``support``
+    replaces the test of a context's count.
+    """
 
     max_depth: int = 9
     min_count: int = 2
     threshold: float = 3.9075
     pseudo_count: float = 1.0
-    estimator: str = KULLBACK_LEIBLER
+    estimator: str | Callable = KULLBACK_LEIBLER
     sequencing: Sequencing = field(default_factory=Sequencing)
+    support: Support | None = None
 
     def __post_init__(self):
         if self.max_depth < 1:
@@ -42,8 +53,8 @@ class Build:
             raise ValueError("min_count must be 1 or more")
         if self.pseudo_count <= 0:
             raise ValueError("pseudo_count must be over 0")
-        if self.estimator not in ESTIMATORS:
-            raise ValueError(f"estimator must be one of {ESTIMATORS}")
+        if self.estimator not in ESTIMATORS and not callable(self.estimator):
+            raise ValueError(f"estimator must be one of {ESTIMATORS} or a function")
 
     @property
     def k(self) -> int:

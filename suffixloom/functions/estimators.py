@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import KULLBACK_LEIBLER, Build, Sequencing
+from ..config import KULLBACK_LEIBLER, PERES_SHIELDS, Build, Sequencing
 
 SYMBOLS = ("a", "c", "g", "t")
 
@@ -44,7 +44,7 @@ def peres_shields(pseudo_count: float, parent: str = "parent_") -> Column:
 
 
 #: An estimator gives an edge's divergence and the least divergence at which the child is significant.
-Estimator = Callable[[Build], tuple[Column, Column]]
+Estimator = Callable[[Build, Column | None], tuple[Column, Column]]
 
 
 def by_kullback_leibler(build: Build, threshold: Column | None = None) -> tuple[Column, Column]:
@@ -58,7 +58,10 @@ def by_peres_shields(build: Build, threshold: Column | None = None) -> tuple[Col
     return peres_shields(build.pseudo_count), F.pow(F.col("root_count").cast("double"), F.lit(0.75)) * adjustment(build.sequencing, F.col("depth"))
 
 
+BY_NAME: dict[str, Estimator] = {KULLBACK_LEIBLER: by_kullback_leibler, PERES_SHIELDS: by_peres_shields}
+
+
 def estimator(build: Build, threshold: Column | None = None) -> tuple[Column, Column]:
-    """The estimator that ``build`` names."""
-    chosen = by_kullback_leibler if build.estimator == KULLBACK_LEIBLER else by_peres_shields
+    """The estimator that ``build`` names or has."""
+    chosen = build.estimator if callable(build.estimator) else BY_NAME[build.estimator]
     return chosen(build, threshold)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Sequencing
+from ..config import Sequencing, Support
 from ..functions.estimators import SYMBOLS, adjustment
 from ..functions.symbols import last
 
@@ -23,27 +23,43 @@ def roll_up(kmers: DataFrame, max_depth: int, by: list[str] = ()) -> DataFrame:
     return rows.groupBy(*by, "context", "depth").agg(*sums, F.sum("count").alias("count")).select(*by, "context", "depth", *NEXT, "count")
 
 
-def support(contexts: DataFrame, min_count="min_count", sequencing: Sequencing = Sequencing()) -> DataFrame:
-    """Contexts whose count is at least ``min_count`` (a number or a column's name) times the sequencing adjustment; the root always."""
+def support(contexts: DataFrame, min_count="min_count", sequencing: Sequencing = Sequencing(), predicate: Support | None = None) -> DataFrame:
+    """Contexts whose count is at least ``min_count`` (a number or a column's name) times the sequencing adjustment; the root always.
+
+    ``predicate`` takes the place of this test: a function of the columns count and depth (and of ``min_count``)
+    that says which contexts have enough.
+    """
     least = F.col(min_count) if isinstance(min_count, str) else F.lit(min_count)
-    if sequencing.adjust:
+    if predicate:
+        enough = predicate(F.col("count"), F.col("depth"), least)
+    elif sequencing.adjust:
         enough = F.col("count").cast("double") >= least.cast("double") * adjustment(sequencing, F.col("depth"))
     else:
         enough = F.col("count") >= least
     return contexts.filter((F.col("depth") == 0) | enough)
 
 
+def closure(contexts: DataFrame, by: list[str] = (), extra: Column | None = None) -> DataFrame:
+    """``by, context, value`` for each context of two symbols or more whose suffixes are all there: the least ``extra`` among them.
+
+    Each context looks its own suffixes up; the least depth that can be missing is one.
+    """
+    value = F.lit(0) if extra is None else extra
+    deep = contexts.filter("depth >= 2")
+    wanted = deep.select(*by, F.col("context").alias("whole"), "depth", F.explode(F.sequence(F.lit(1), F.col("depth") - 1)).alias("n")).select(*by, "whole", "depth", last(F.col("whole"), F.col("n")).alias("context"))
+    there = wanted.join(contexts.filter("depth >= 1").select(*by, "context", value.alias("value")), [*by, "context"])
+    found = there.groupBy(*by, F.col("whole").alias("context"), "depth").agg(F.count("*").alias("n"), F.min("value").alias("value"))
+    return found.filter(F.col("n") == F.col("depth") - 1).select(*by, "context", "value")
+
+
 def close(contexts: DataFrame, by: list[str] = ()) -> DataFrame:
     """Contexts all of whose suffixes are there too.
 
     Windows at the end of a fragment, and thresholds that fall with depth, can leave a context without
     its parent; such orphans are dropped, so every context but the root has its parent.
     """
-    deep = contexts.filter("depth >= 2")
-    wanted = deep.select(*by, F.col("context").alias("whole"), "depth", F.explode(F.sequence(F.lit(1), F.col("depth") - 1)).alias("n")).select(*by, "whole", "depth", last(F.col("whole"), F.col("n")).alias("context"))
-    there = wanted.join(contexts.filter("depth >= 1").select(*by, "context"), [*by, "context"], "left_semi")
-    whole = there.groupBy(*by, F.col("whole").alias("context"), "depth").count().filter(F.col("count") == F.col("depth") - 1).select(*by, "context")
-    return contexts.filter("depth < 2").unionByName(deep.join(whole, [*by, "context"], "left_semi").select(contexts.columns))
+    whole = closure(contexts, by).select(*by, "context")
+    return contexts.filter("depth < 2").unionByName(contexts.filter("depth >= 2").join(whole, [*by, "context"], "left_semi").select(contexts.columns))
 
 
 def orphans(contexts: DataFrame, by: list[str] = ()) -> DataFrame:

@@ -7,12 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Build
-from ..functions.estimators import SYMBOLS, probabilities
-from ..functions.symbols import last, suffix
-from ..tables import written
-from .contexts import NEXT, close, roll_up, support
-from .prune import edges, prune
+from ..functions.estimators import SYMBOLS, kullback_leibler, probabilities
+from ..functions.symbols import all_suffixes, last, suffix
+from ..tables import small, written
+from .contexts import NEXT, closure, roll_up
 
 # The grid that the choice of parameters goes through.
 THRESHOLDS = (1.2, 3.9075, 10.0)
@@ -58,8 +56,8 @@ def components(tree: DataFrame, background_order: int = 0, pseudo_count: float =
     """
     own = tree.select(*by, "context", "depth", *[p.alias(f"p_{s}") for s, p in zip(SYMBOLS, probabilities(pseudo_count), strict=True)])
     back = tree.filter(F.col("depth") <= background_order).select(*by, F.col("context").alias("background"), *[F.col(c).alias(f"b_{c}") for c in NEXT])
-    if background_order == 0:
-        joined = own.join(back, list(by)) if by else own.crossJoin(F.broadcast(back))  # one root for each model
+    if background_order == 0:  # one root for each model
+        joined = own.join(small(back, "roots"), list(by)) if by else own.crossJoin(F.broadcast(back.limit(1)))
     else:
         tries = F.explode(F.transform(F.sequence(F.lit(0), F.least(F.lit(background_order), F.col("depth"))), lambda n: last(F.col("context"), n)))
         joined = own.select("*", tries.alias("background")).join(back, [*by, "background"])
@@ -81,27 +79,32 @@ def distances(trees: DataFrame, model: str, pairs: DataFrame | None = None, back
     ``trees`` has a column ``model``; ``pairs`` has ``left_id, right_id`` and defaults to all pairs with the
     lesser id on the left.  Only contexts in both trees of more than ``background_order`` symbols make the
     distance; ``penalized`` is 3/4 of it and 1/4 of the share of contexts that are in one tree only.
+
+    Contexts up to the background's order are in nearly all trees; they make no rows in the join, their few
+    names are compared by model.
     """
-    vectors = components(trees, background_order, pseudo_count, [model])
+    vectors = components(trees, background_order, pseudo_count, [model]).filter(F.col("depth") > background_order)
     names = [f"v_{s}" for s in SYMBOLS]
-    left = vectors.select(F.col(model).alias("left_id"), "context", "depth", *[F.col(v).alias(f"l{v}") for v in names])
+    left = vectors.select(F.col(model).alias("left_id"), "context", *[F.col(v).alias(f"l{v}") for v in names])
     right = vectors.select(F.col(model).alias("right_id"), "context", *[F.col(v).alias(f"r{v}") for v in names])
+    short = F.collect_set(F.when(F.col("depth") <= background_order, F.col("context")))  # at most all contexts of so few symbols
+    sizes = written(trees.groupBy(F.col(model).alias("id")).agg(F.count("*").alias("n"), short.alias("short")), "models")
+    as_side = lambda side: sizes.select(F.col("id").alias(f"{side}_id"), F.col("n").alias(f"n_{side}"), F.col("short").alias(f"{side}_short"))
     if pairs is None:
-        both = left.join(right, "context").filter("left_id < right_id")
+        both = left.join(right, (left.context == right.context) & (F.col("left_id") < F.col("right_id")))
+        models = as_side("left").join(as_side("right"), F.col("left_id") < F.col("right_id"))
     else:  # only rows of wanted pairs are made
-        both = left.join(pairs.select("left_id", "right_id").distinct(), "left_id").join(right, ["right_id", "context"])
-    used = F.col("depth") > background_order
+        wanted = pairs.select("left_id", "right_id").distinct()
+        both = left.join(wanted, "left_id").join(right, ["right_id", "context"])
+        models = wanted.join(as_side("left"), "left_id").join(as_side("right"), "right_id")
     total = lambda x, y: sum((F.col(f"{x}{v}") * F.col(f"{y}{v}") for v in names[1:]), F.col(f"{x}{names[0]}") * F.col(f"{y}{names[0]}"))
-    add = lambda x: F.coalesce(F.sum(F.when(used, x)), F.lit(0.0))
-    sums = both.groupBy("left_id", "right_id").agg(
-        F.count("*").alias("n_both"), F.count_if(used).alias("n_shared"), add(total("l", "r")).alias("dot"), add(total("l", "l")).alias("ll"), add(total("r", "r")).alias("rr")
-    )
-    sizes = trees.groupBy(F.col(model).alias("id")).agg(F.count("*").alias("n"))
-    sums = sums.join(sizes.select(F.col("id").alias("left_id"), F.col("n").alias("n_left")), "left_id").join(sizes.select(F.col("id").alias("right_id"), F.col("n").alias("n_right")), "right_id")
-    missing = F.col("n_left") + F.col("n_right") - 2 * F.col("n_both")
+    sums = both.groupBy("left_id", "right_id").agg(F.count("*").alias("n_deep"), F.sum(total("l", "r")).alias("dot"), F.sum(total("l", "l")).alias("ll"), F.sum(total("r", "r")).alias("rr"))
+    rows = models.join(sums, ["left_id", "right_id"], "left").fillna(0, ["n_deep", "dot", "ll", "rr"])
+    n_both = F.col("n_deep") + F.size(F.array_intersect("left_short", "right_short"))
+    missing = F.col("n_left") + F.col("n_right") - 2 * n_both
     distance = angle(F.col("dot"), F.col("ll"), F.col("rr"))
-    share = F.coalesce(F.try_divide(missing.cast("double"), (missing + F.col("n_shared")).cast("double")), F.lit(0.0))
-    return sums.select("left_id", "right_id", "n_shared", missing.alias("n_missing"), distance.alias("distance"), (F.lit(0.75) * distance + F.lit(0.25) * share).alias("penalized"))
+    share = F.coalesce(F.try_divide(missing.cast("double"), (missing + F.col("n_deep")).cast("double")), F.lit(0.0))
+    return rows.select("left_id", "right_id", F.col("n_deep").alias("n_shared"), missing.alias("n_missing"), distance.alias("distance"), (F.lit(0.75) * distance + F.lit(0.25) * share).alias("penalized"))
 
 
 def distance(left: DataFrame, right: DataFrame, background_order: int = 0, pseudo_count: float = 1.0) -> DataFrame:
@@ -145,33 +148,66 @@ def score(kmers: DataFrame, tree: DataFrame, max_depth: int, pseudo_count: float
 def bic_grid(counts: dict[int, DataFrame], min_counts=MIN_COUNTS, thresholds=THRESHOLDS, pseudo_count: float = 1.0, by: list[str] = ()) -> DataFrame:
     """``by, max_depth, min_count, threshold, n_params, log_likelihood, bic_score`` for every point of the grid.
 
-    ``counts`` has k-mer counts (``by, kmer, count``, k = depth + 1) for each depth.  Depth, least count and
-    threshold become grouping columns, so one plan builds all trees: each depth is counted once and each
-    least count makes its edges once.
+    ``counts`` has k-mer counts (``by, kmer, count``, k = depth + 1) for each depth.  No tree is built: a
+    threshold's trees are nested, so each context has for each threshold a greatest least count up to which it is
+    kept (``keeps``), and one up to which four children of it are (``full``).  What it adds to the log-likelihood
+    while it is kept is a number of its own, as a window is scored by its longest kept suffix and all shorter ones
+    are kept too.  So every point of the grid is a conditional sum over one table of contexts.
     """
     out = None
     for depth, kmers in sorted(counts.items()):
-        spark = kmers.sparkSession
-        least = spark.createDataFrame([(int(m),) for m in min_counts], "min_count int")
-        limits = spark.createDataFrame([(float(t),) for t in thresholds], "threshold double")
-        build = Build(max_depth=depth, min_count=1, pseudo_count=pseudo_count)
-        point = [*by, "min_count"]
-        supported = written(support(roll_up(kmers, depth, by).crossJoin(F.broadcast(least)), "min_count"), "supported")
-        contexts = written(close(supported, point), "contexts")
-        found = written(edges(contexts, build, point).drop("least"), "edges").crossJoin(F.broadcast(limits)).withColumn("least", F.col("threshold"))
-        grid = [*point, "threshold"]
-        trees = written(prune(contexts.crossJoin(F.broadcast(limits)), build, grid, found), "trees")
-        scores = score(kmers.crossJoin(F.broadcast(least)).crossJoin(F.broadcast(limits)), trees, depth, pseudo_count, grid)
-        params = (3 * F.col("n_terminal")).alias("n_params")
-        rows = terminals(trees, grid).join(scores, grid).select(F.lit(depth).alias("max_depth"), *grid, params, "log_likelihood", "sequence_size")
-        rows = rows.withColumn("bic_score", F.col("n_params") * F.log(F.col("sequence_size").cast("double")) - 2 * F.col("log_likelihood"))
-        rows = rows.select(*by, "max_depth", "min_count", "threshold", "n_params", "log_likelihood", "bic_score")
+        rows = _grid_of_depth(kmers, depth, sorted(map(int, min_counts)), [float(t) for t in thresholds], pseudo_count, list(by))
         out = rows if out is None else out.unionByName(rows)
     if out is None:
         raise ValueError("no depth to try")
     return out
 
 
+def _grid_of_depth(kmers: DataFrame, depth: int, min_counts: list[int], thresholds: list[float], pseudo_count: float, by: list[str]) -> DataFrame:
+    key = [*by, "context"]
+    zero = F.lit(0).cast("bigint")
+    all_contexts = written(roll_up(kmers, depth, by), "contexts")
+    # the least count at which a context and all its suffixes are there
+    deep = all_contexts.filter("depth >= 2").join(closure(all_contexts, by, F.col("count")), key).withColumn("until", F.least("count", "value")).drop("value")
+    contexts = written(all_contexts.filter("depth < 2").withColumn("until", F.col("count")).unionByName(deep), "closed")
+    parents = contexts.select(*by, F.col("context").alias("parent"), *[F.col(c).alias(f"parent_{c}") for c in NEXT])
+    # windows' last symbols by each suffix of what stands before them
+    whole = all_contexts.filter(F.col("depth") == depth)
+    seen = whole.select(*by, F.explode(all_suffixes(F.col("context"))).alias("context"), *[F.col(c).alias(f"seen_{c}") for c in NEXT]).groupBy(*key).agg(*[F.sum(f"seen_{c}").alias(f"seen_{c}") for c in NEXT])
+    own, above = probabilities(pseudo_count), probabilities(pseudo_count, "parent_")
+    edge = contexts.filter("depth >= 1").withColumn("parent", suffix(F.col("context"))).join(parents, [*by, "parent"]).join(seen, key, "left")
+    gain = sum((F.coalesce(f"seen_{c}", zero) * F.log(p / q) for c, p, q in zip(NEXT, own, above, strict=True)), F.lit(0.0))
+    edge = written(edge.select(*key, "parent", "depth", "until", kullback_leibler(pseudo_count).alias("divergence"), gain.alias("gain")), "edges")
+    # a context is kept at a threshold while one that ends in it is significant and there
+    reach = F.array(*[F.when(F.col("divergence") >= t, F.col("until")).otherwise(zero) for t in thresholds])
+    ends = edge.filter(F.col("divergence") >= min(thresholds)).select(*by, F.explode(all_suffixes(F.col("context"), 1)).alias("context"), reach.alias("reach"))
+    names = [f"k{i}" for i in range(len(thresholds))]
+    keeps = written(ends.groupBy(*key).agg(*[F.max(F.col("reach")[i]).alias(n) for i, n in enumerate(names)]), "keeps")
+    four = [F.when(F.count("*") == 4, F.min(n)).otherwise(zero).alias(f"f{n}") for n in names]
+    full = keeps.groupBy(*by, suffix(F.col("context")).alias("context")).agg(*four)
+    nodes = keeps.join(full, key, "left").join(edge.select(*key, "gain"), key)
+    points = [(i, m) for i in range(len(thresholds)) for m in min_counts]
+    kept = lambda i, m: F.col(names[i]) >= m
+    sums = [F.array(*[F.coalesce(F.sum(F.when(kept(i, m), F.col("gain"))), F.lit(0.0)) for i, m in points]).alias("gains"),
+            F.array(*[F.count_if(kept(i, m) & (F.coalesce(f"f{names[i]}", zero) < m)) for i, m in points]).alias("terminals")]
+    trees = nodes.groupBy(*by).agg(*sums)
+    roots = contexts.filter("depth = 0").select(*by, F.col("count").alias("sequence_size"), *NEXT)
+    roots = roots.join(seen.filter("context = ''").drop("context"), by, "left") if by else roots.crossJoin(seen.filter("context = ''").drop("context"))
+    base = sum((F.coalesce(f"seen_{c}", zero) * F.log(p) for c, p in zip(NEXT, own, strict=True)), F.lit(0.0))
+    roots = roots.select(*by, "sequence_size", base.alias("base"))
+    rows = roots.join(trees, by, "left") if by else roots.crossJoin(trees)  # an empty tree has its root
+    none = F.array_repeat(F.lit(0.0), len(points))
+    grid = F.arrays_zip(
+        F.array(*[F.lit(m) for _, m in points]).alias("min_count"), F.array(*[F.lit(thresholds[i]) for i, _ in points]).alias("threshold"),
+        F.coalesce("gains", none).alias("gain"), F.coalesce("terminals", none.cast("array<bigint>")).alias("n"),
+    )
+    rows = rows.select(*by, "sequence_size", "base", F.explode(grid).alias("g")).select(
+        *by, F.lit(depth).alias("max_depth"), "g.min_count", "g.threshold", (3 * F.col("g.n")).alias("n_params"), (F.col("base") + F.col("g.gain")).alias("log_likelihood"), "sequence_size"
+    )
+    score = F.col("n_params") * F.log(F.col("sequence_size").cast("double")) - 2 * F.col("log_likelihood")
+    return rows.select(*by, "max_depth", "min_count", "threshold", "n_params", "log_likelihood", score.alias("bic_score"))
+
+
 def bic_best(grid: DataFrame, by: list[str] = ()) -> DataFrame:
     """The grid's row of least score; ties go to the lesser depth, least count, and threshold."""
     rest = [c for c in grid.columns if c not in by]

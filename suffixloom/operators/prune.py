@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import KULLBACK_LEIBLER, PERES_SHIELDS, Build
+from ..config import KULLBACK_LEIBLER, Build
 from ..functions.estimators import estimator
 from ..functions.symbols import all_suffixes, suffix
+from ..tables import small
 from .contexts import NEXT
 
 TREE = ["context", "depth", *NEXT, "count", "divergence", "is_terminal"]
@@ -26,13 +27,24 @@ def edges(contexts: DataFrame, build: Build, by: list[str] = (), threshold: Colu
     parents = contexts.select(*by, F.col("context").alias("parent"), *[F.col(c).alias(f"parent_{c}") for c in NEXT])
     children = contexts.filter("depth >= 1").withColumn("parent", suffix(F.col("context")))
     rows = children.join(parents, [*by, "parent"])
-    if build.estimator == PERES_SHIELDS:
-        roots = contexts.filter("depth = 0").select(*by, F.col("count").alias("root_count"))
-        rows = rows.join(roots, list(by)) if by else rows.crossJoin(roots)  # one root for each model
+    if build.estimator != KULLBACK_LEIBLER:
+        rows = with_roots(rows, contexts, by)
     divergence, least = estimator(build, threshold)
     return rows.select(*by, "context", "parent", "depth", divergence.alias("raw_divergence"), least.alias("least"))
 
 
+def with_roots(rows: DataFrame, contexts: DataFrame, by: list[str] = ()) -> DataFrame:
+    """``rows`` with ``root_count``, the count of their model's root.
+
+    One tree has one root, which an aggregate without keys says to the optimizer; many trees' roots are counted
+    and broadcast if they are few.
+    """
+    roots = contexts.filter("depth = 0")
+    if not by:
+        return rows.crossJoin(F.broadcast(roots.agg(F.max("count").alias("root_count"))))
+    return rows.join(small(roots.select(*by, F.col("count").alias("root_count")), "roots"), list(by))
+
+
 def kept(found: DataFrame, by: list[str] = ()) -> DataFrame:
     """``by, context``: distinct suffixes (of one symbol or more) of the significant contexts among edges."""
     significant = found.filter("raw_divergence >= least")

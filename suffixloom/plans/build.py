@@ -18,7 +18,7 @@ from ..tables import written
 
 def contexts_from_kmers(kmers: DataFrame, build: Build, by: list[str] = ()) -> DataFrame:
     """Supported contexts, each with its parent, as a written table."""
-    supported = written(support(roll_up(kmers, build.max_depth, by), build.min_count, build.sequencing), "supported")
+    supported = written(support(roll_up(kmers, build.max_depth, by), build.min_count, build.sequencing, build.support), "supported")
     return written(close(supported, by), "contexts")
 
 

@@ -129,7 +129,7 @@ def test_command_line(spark, tmp_path, seqs, capsys):
     assert go("--mode", "dissimilarity", "--in-path", p("t0"), "--to-path", p("t1")) == 0
     d = distance(T.read_tree(spark, p("t0")), T.read_tree(spark, p("t1"))).first()
     assert capsys.readouterr().out.strip() == f"{d.distance:.6g}"
-    assert go("--mode", "dissimilarity", "--dissimilarity", "penalized-dvstar", "--in-path", p("t0"), "--to-path", p("t1")) == 0
+    assert go("--mode", "dissimilarity", "--dissimilarity", "penalized-angle", "--in-path", p("t0"), "--to-path", p("t1")) == 0
     assert capsys.readouterr().out.strip() == f"{d.penalized:.6g}"
     assert go("--mode", "score", "--fasta-path", p("1.fa"), "--in-path", p("t0"), "--max-depth", 4) == 0
     assert float(capsys.readouterr().out) > 0
