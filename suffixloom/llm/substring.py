@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordScanner, mix, nonspace_bytes, numbered, slices, text_bytes, window_hashes, written
+from .common import WordScanner, cut_words, mix, named, nonspace_bytes, numbered, slices, text_bytes, window_hashes, written
 
 #: Words of a seed, and seeds of which one is taken.  Every run of K + WINDOW - 1 = 16 equal words holds a seed: a
 #: passage of 51 words or more at 0.8 has such a run, since each break in it costs 4 five-word shingles or more
@@ -40,6 +40,8 @@ GAP_COST, NEAR = 0.1, 25
 PAD = 60
 #: Up to so many pairs of equal shingles between two anchors, all are looked at.
 MOST_MATCHES = 1 << 16
+#: Words of chains that are aligned at once.
+ALIGN_WORDS = 1 << 18
 #: A document asked for more passages than this gets its requests dealt over several tasks.
 HOT_REQUESTS = 20000
 
@@ -391,38 +393,79 @@ def _shared(own: np.ndarray, other: np.ndarray) -> np.ndarray:
     return other[np.minimum(np.searchsorted(other, own), len(other) - 1)] == own
 
 
+def _turns_at(*arrays: np.ndarray) -> np.ndarray:
+    """Where any of the arrays is not one more than before; the first place always."""
+    new = np.ones(len(arrays[0]), bool)
+    new[1:] = False
+    for x in arrays:
+        new[1:] |= x[1:] - x[:-1] != 1
+    return np.flatnonzero(new)
+
+
+def _in_order(xs: list[int], ys: list[int], ns: list[int]) -> list[int]:
+    """Numbers of the runs, sorted by ``xs``, that follow each other on both sides and have most shingles together.
+
+    Of the runs that have ended, those are held that no other beats by ending earlier on the right with as much.
+    """
+    ends, most, who = [], [], []
+    score, before = [0] * len(xs), [-1] * len(xs)
+    pending, done = sorted(range(len(xs)), key=lambda i: xs[i] + ns[i]), 0
+    for i, (x, y, n) in enumerate(zip(xs, ys, ns, strict=True)):
+        while (j := pending[done]) < i and xs[j] + ns[j] <= x:
+            end, value = ys[j] + ns[j], score[j]
+            at = bisect_right(ends, end)
+            if not at or most[at - 1] < value:
+                past = at
+                while past < len(most) and most[past] <= value:
+                    past += 1
+                ends[at:past], most[at:past], who[at:past] = [end], [value], [j]
+            done += 1
+        at = bisect_right(ends, y)
+        if at:
+            score[i], before[i] = n + most[at - 1], who[at - 1]
+        else:
+            score[i] = n
+    i, best = max(range(len(xs)), key=score.__getitem__), []
+    while i >= 0:
+        best.append(i)
+        i = before[i]
+    return best[::-1]
+
+
 def _shared_runs(left: np.ndarray, right: np.ndarray, box: tuple[int, int, int, int], shingle: int) -> list[tuple[int, int, int]]:
     """Runs of equal shingles in order (left place, right place, shingles) in ``box``: left from, to, right from, to.
 
     ``left`` and ``right`` are shingle hashes.
     """
     x, x_end, y, y_end = box
-    own, other = left[max(x, 0) : max(x_end - shingle + 1, 0)], right[max(y, 0) : max(y_end - shingle + 1, 0)]
+    x, y = max(x, 0), max(y, 0)
+    own, other = left[x : max(x_end - shingle + 1, 0)], right[y : max(y_end - shingle + 1, 0)]
     if not len(own) or not len(other):
         return []
     order = np.argsort(other, kind="stable")
-    low, high = (np.searchsorted(other[order], own, side=s) for s in ("left", "right"))
+    ordered = other[order]
+    low, high = (np.searchsorted(ordered, own, side=s) for s in ("left", "right"))
     n = high - low
-    if not n.any():
+    total = int(n.sum())
+    if not total:
         return []
-    if n.sum() > MOST_MATCHES:  # one line again and again: each with as many-th on the other side
+    if total > MOST_MATCHES:  # one line again and again: each with as many-th on the other side
         by = np.argsort(own, kind="stable")
-        new = np.r_[True, own[by][1:] != own[by][:-1]]
+        new = np.concatenate([[True], own[by][1:] != own[by][:-1]])
         nth = np.empty(len(own), np.int64)
         nth[by] = np.arange(len(own)) - np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))
         at = np.flatnonzero(nth < n)
         to = order[low[at] + nth[at]]
     else:
         at = np.repeat(np.arange(len(own)), n)
-        to = order[np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
+        to = order[np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
     by = np.lexsort((at, to - at))
     at, to = at[by], to[by]
-    first = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(to) != 1)])
-    size = np.diff(np.r_[first, len(at)])
+    first = _turns_at(at, to)
+    size = np.append(first[1:], len(at)) - first
     by = np.lexsort((to[first], at[first]))
     xs, ys, ns = (v[by].tolist() for v in (at[first], to[first], size))
-    best = [0] if len(xs) == 1 else chain(xs, ys, ns, 0.0)[0]
-    return [(max(x, 0) + xs[i], max(y, 0) + ys[i], ns[i]) for i in best]
+    return [(x + xs[i], y + ys[i], ns[i]) for i in _in_order(xs, ys, ns)]
 
 
 def stretches(good: np.ndarray, least: int, similarity: float, one: bool = False) -> list[tuple[int, int]]:
@@ -469,6 +512,13 @@ def align(left: np.ndarray, right: np.ndarray, turns: list[tuple[int, int, int]]
         if shared[max(x, 0) : max(x_end - shingle + 1, 0)].any():
             path += _shared_runs(own, other, (x, x_end, y, y_end), shingle)
         path += turns[i : i + 1]
+    good, diagonal = _along(left, right, path, shingle)
+    return [(a, b - a + shingle - 1, a + int(diagonal[a]), float(good[a:b].mean())) for a, b in stretches(good, least, similarity)]
+
+
+def _along(left: np.ndarray, right: np.ndarray, path: list[tuple[int, int, int]], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which shingles of ``left`` are equal along a path of diagonals, and the diagonal at each word."""
+    n = len(left)
     diagonal = np.zeros(n, np.int64)
     d = path[0][1] - path[0][0]
     diagonal[:] = d
@@ -483,8 +533,7 @@ def align(left: np.ndarray, right: np.ndarray, turns: list[tuple[int, int, int]]
             d = new
         done = x + length
     run = np.cumsum(np.r_[0, _equal(left, right, np.arange(n), diagonal)])
-    good = (run[shingle:] - run[:-shingle] == shingle) & (diagonal[shingle - 1 :] == diagonal[: n - shingle + 1])
-    return [(a, b - a + shingle - 1, a + int(diagonal[a]), float(good[a:b].mean())) for a, b in stretches(good, least, similarity)]
+    return (run[shingle:] - run[:-shingle] == shingle) & (diagonal[shingle - 1 :] == diagonal[: n - shingle + 1]), diagonal
 
 
 def _equal(left: np.ndarray, right: np.ndarray, at: np.ndarray, diagonal) -> np.ndarray:
@@ -495,6 +544,55 @@ def _equal(left: np.ndarray, right: np.ndarray, at: np.ndarray, diagonal) -> np.
     return out
 
 
+def align_all(lefts: list[np.ndarray], rights: list[np.ndarray], turns: list[np.ndarray], min_words: int, similarity: float, shingle: int = SHINGLE) -> list[list[tuple[int, int, int, float]]]:
+    """``align`` for many chains at once; ``turns`` are arrays of three columns.
+
+    Array operations over all chains find out which have enough shared shingles on either side at all, and which
+    have theirs on one diagonal, so that no other path can have more; only the rest are aligned one by one.
+    """
+    least = max(min_words - shingle + 1, 1)
+    n, m = (np.fromiter(map(len, x), np.int64, len(x)) for x in (lefts, rights))
+    left, right = np.concatenate(lefts), np.concatenate(rights)
+    at, to = np.cumsum(n) - n, np.cumsum(m) - m
+    if len(left) < shingle or len(right) < shingle:
+        return [[] for _ in lefts]
+    first = np.array([t[0, 1] - t[0, 0] for t in turns], np.int64)
+    straight = np.array([(t[:, 1] - t[:, 0] == t[0, 1] - t[0, 0]).all() for t in turns], bool)
+    chain_no = np.repeat(np.arange(len(n)), n)
+    there = np.arange(len(left)) - at[chain_no] + first[chain_no]
+    equal = (there >= 0) & (there < m[chain_no])
+    equal[equal] = left[equal] == right[(there + to[chain_no])[equal]]
+    run = np.cumsum(np.r_[0, equal])
+    ends = np.arange(len(left) - shingle + 1) + shingle
+    whole = ends <= (at + n)[chain_no[: len(ends)]]  # shingles inside one chain
+    good = whole & (run[ends] - run[ends - shingle] == shingle)
+    other_no = np.repeat(np.arange(len(m)), m)
+    ends = np.arange(len(right) - shingle + 1) + shingle
+    inside = ends <= (to + m)[other_no[: len(ends)]]
+    salt = mix(np.arange(1, len(n) + 1).astype(np.uint64))
+    rest = np.flatnonzero(whole & ~good)
+    shared = good.copy()
+    own = _shingles(left, shingle) ^ salt[chain_no[: len(good)]]
+    other = (_shingles(right, shingle) ^ salt[other_no[: len(ends)]])[inside]
+    if len(rest) and len(other):
+        shared[rest] = _shared(own[rest], other)
+    total, on_line = (np.bincount(chain_no[: len(good)][x], minlength=len(n)) for x in (shared, good))
+    may = (total >= similarity * least - 1e-9) & (n >= max(min_words, shingle))
+    if may.any():
+        back = other_no[: len(ends)][inside]
+        asked = may[back]
+        there = np.bincount(back[asked][_shared(other[asked], own[shared])], minlength=len(n))
+        may &= there >= similarity * least - 1e-9
+    out: list[list[tuple[int, int, int, float]]] = [[] for _ in lefts]
+    for i in np.flatnonzero(may).tolist():
+        if straight[i] and total[i] == on_line[i]:
+            own = good[at[i] : at[i] + n[i] - shingle + 1]
+            out[i] = [(a, b - a + shingle - 1, a + int(first[i]), float(own[a:b].mean())) for a, b in stretches(own, least, similarity)]
+        else:
+            out[i] = align(lefts[i], rights[i], [tuple(t) for t in turns[i].tolist()], min_words, similarity, shingle)
+    return out
+
+
 def passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, hot: int = HOT_REQUESTS) -> DataFrame:
     """``doc, start, n_words, src, src_start, similarity`` for each passage that an earlier document has.
 
@@ -522,22 +620,32 @@ def _aligned(docs: DataFrame, linked: DataFrame, k: int, min_words: int, similar
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = right = None
+        held: list[tuple] = []
+        size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            found = align_all([h[2][1] for h in held], [h[3][1] for h in held], [h[4] for h in held], min_words, similarity)
+            rows = [(h[0], s + h[2][0], n, h[1], r + h[3][0], share) for h, own in zip(held, found, strict=True) for s, n, r, share in own]
+            if rows:
+                cols = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.array(c, np.int64)) for c in cols[:5]), pa.array(cols[5], pa.float64())], names=["doc", "start", "n_words", "src", "src_start", "similarity"])
+
         for b in batches:
-            out = []
-            side, lo = np.asarray(b.column(3)), np.asarray(b.column(4))
-            doc, src = np.asarray(b.column(0)), np.asarray(b.column(1))
+            doc, src, side, lo = (np.asarray(b.column(i)).tolist() for i in (0, 1, 3, 4))
+            words, path = b.column(5).to_pylist(), b.column(6)
+            ends, values = np.asarray(path.offsets), np.asarray(path.values)
             for i in range(b.num_rows):
                 if side[i] < 2:
-                    part = lo[i], np.frombuffer(b.column(5)[i].as_py(), np.uint32)
+                    part = lo[i], np.frombuffer(words[i], np.uint32)
                     left, right = (part, right) if side[i] == 0 else (left, part)
                     continue
-                t = b.column(6)[i].as_py()
-                own = [(x - left[0], y - right[0], n) for x, y, n in zip(t[::3], t[1::3], t[2::3], strict=True)]
-                for s, n, r, share in align(left[1], right[1], own, min_words, similarity):
-                    out.append((doc[i], s + left[0], n, src[i], r + right[0], share))
-            if out:
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.array(c, np.int64)) for c in cols[:5]), pa.array(cols[5], pa.float64())], names=["doc", "start", "n_words", "src", "src_start", "similarity"])
+                held.append((doc[i], src[i], left, right, values[ends[i] : ends[i + 1]].reshape(-1, 3) - np.array([left[0], right[0], 0])))
+                size += len(left[1]) + len(right[1])
+                if size >= ALIGN_WORDS:
+                    yield from out()
+                    held, size = [], 0
+        if held:
+            yield from out()
 
     return both.mapInArrow(each, "doc bigint, start bigint, n_words bigint, src bigint, src_start bigint, similarity double")
 
