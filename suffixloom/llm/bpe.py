@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding.
 
 Texts are split at special tokens and into pre-tokens; short pre-tokens are encoded once and
-remembered.  Long unsplit pre-tokens are encoded as a tree: leaves one after the other (a task has one
-thread, unless ``threads`` says more; tasks run side by side), then each join is
-mended by re-encoding a window around it that grows until its first and last token agree with what
-both sides had.  Any two neighbours in an encoding are the encoding of their own bytes, and a
+remembered.  Long unsplit pre-tokens are encoded as a tree: their leaves in parallel, then pairs of
+neighbours, in parallel too, level by level.  Each join is mended by re-encoding a window around it that
+grows, on the side that does not agree yet, until its first and last token are what both sides had.  Runs
+that repeat themselves are cut where their tokens begin anew, or else a window would often have to grow
+over the whole run; the result is the same wherever the cut is.  Any two neighbours in an encoding are the encoding of their own bytes, and a
 sequence all of whose neighbours are is the encoding of the whole, so the joined result is exact.
 """
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 
 import numpy as np
@@ -28,8 +30,12 @@ from .common import appended
 
 #: The vocabulary file: a tokenizers JSON with a byte-level BPE model.
 VOCABULARY = "byte_bpe_50k.json"
-#: Pre-tokens of more characters than this are encoded as a tree whose leaves have about as many.
-LONG = 1024
+#: Pre-tokens of more bytes than this are encoded as a tree whose leaves have about as many.
+LONG = 4096
+#: Threads of a worker that encode leaves and mend joins (only pre-tokens of ``THREADS`` leaves or more start them).
+THREADS = 4
+#: Bytes before a cut that are looked at for a repeating run, its longest period, and how many periods leaves are made of.
+RUN, PERIOD, PERIODS = 256, 32, 128
 #: Tokens on either side of a join in its first window.
 FIRST_WINDOW = 4
 #: Pre-tokens remembered by a worker before it starts afresh.
@@ -46,7 +52,7 @@ def _byte_letters() -> dict[str, int]:
 class Encoder:
     """Encodes and decodes one text at a time with the vocabulary in ``path``."""
 
-    def __init__(self, path: str, long: int = LONG, threads: int = 1):
+    def __init__(self, path: str, long: int = LONG, threads: int = THREADS):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, letters = spec["model"], _byte_letters()
@@ -63,7 +69,8 @@ class Encoder:
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.whole = tiktoken.Encoding("whole", pat_str=r"(?s:.+)", mergeable_ranks=self.rank, special_tokens={})
-        self.long, self.threads = long, threads
+        self.native = getattr(self.whole, "_encode_single_piece", self.merge)  # the same for bytes, whether or not they are UTF-8
+        self.long, self.threads, self.pool = long, threads, None
         self.known = _Known(self)
 
     def encode(self, text: str) -> bytes:
@@ -104,26 +111,47 @@ class Encoder:
                 heapq.heappush(todo, (m[0], p, m[1], ids[p], new))
         return [i for i in ids if i >= 0]
 
-    def join(self, left: list[int], right: list[int]) -> list[int]:
+    def join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The encoding of two encoded neighbours' bytes."""
-        size = FIRST_WINDOW
+        before = after = FIRST_WINDOW
         while True:
-            a, b = left[-size:], right[:size]
-            got = self.merge(b"".join(self.table[i] for i in [*a, *b]))
-            agrees_left = size >= len(left) or got[0] == a[0]
-            agrees_right = size >= len(right) or got[-1] == b[-1]
+            a, b = left[-before:], right[:after]
+            got = np.array(self.native(b"".join(map(self.table.__getitem__, [*a.tolist(), *b.tolist()]))), np.uint32)
+            agrees_left = before >= len(left) or got[0] == a[0]
+            agrees_right = after >= len(right) or got[-1] == b[-1]
             if agrees_left and agrees_right:
-                return [*left[:-size], *got, *right[size:]]
-            size *= 2
-
-    def tree(self, piece: str) -> list[int]:
-        """The encoding of a long unsplit piece: leaves by halving, joined pair by pair."""
-        leaves = [piece]
-        while len(leaves[0]) > self.long:
-            leaves = [h for x in leaves for h in (x[: len(x) // 2], x[len(x) // 2 :])]
-        parts = self.whole.encode_ordinary_batch(leaves, num_threads=self.threads)
+                return np.concatenate([left[:-before], got, right[after:]])
+            before, after = before * (1 if agrees_left else 2), after * (1 if agrees_right else 2)
+
+    def cuts(self, piece: bytes) -> list[int]:
+        """Where the leaves of a long piece begin and the last ends."""
+        x, out = np.frombuffer(piece, np.uint8), [0]
+        while len(x) - out[-1] > self.long:
+            begin = out[-1]
+            at = begin + self.long
+            near = x[max(begin, at - RUN) : at]
+            for p in range(1, min(PERIOD, len(near) // 4) + 1):
+                if (near[p:] == near[:-p]).all():
+                    breaks = np.flatnonzero(x[begin + p : at] != x[begin : at - p])
+                    run = begin + int(breaks[-1]) + 1 if len(breaks) else begin
+                    at = max(run + (at - run) // (p * PERIODS) * (p * PERIODS), run) if run > begin or at - run >= p * PERIODS else at
+                    break
+            out.append(at)
+        return [*out, len(x)]
+
+    def tree(self, piece: str) -> np.ndarray:
+        """The encoding of a long unsplit piece."""
+        raw = piece.encode()
+        cuts = self.cuts(raw)
+        leaves = [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        each = map
+        if self.threads > 1 and len(leaves) >= self.threads:
+            if self.pool is None:
+                self.pool = ThreadPoolExecutor(self.threads)
+            each = self.pool.map
+        parts = list(each(lambda leaf: np.array(self.native(leaf), np.uint32), leaves))
         while len(parts) > 1:
-            joined = [self.join(a, b) for a, b in zip(parts[::2], parts[1::2], strict=False)]
+            joined = list(each(self.join, parts[::2], parts[1::2]))
             parts = [*joined, *parts[len(joined) * 2 :]]
         return parts[0]
 
@@ -136,7 +164,7 @@ class _Known(dict):
 
     def __missing__(self, piece: str) -> bytes:
         if len(piece) > self.encoder.long:
-            return np.array(self.encoder.tree(piece), np.uint32).tobytes()
+            return self.encoder.tree(piece).tobytes()
         self[piece] = out = np.array(self.encoder.whole.encode_ordinary(piece), np.uint32).tobytes()
         return out
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -53,7 +54,33 @@ def test_join_is_exact_wherever_the_cut(own):
     for _ in range(400):
         s = "".join(r.choice(r.choice(["ab", "therin ", "éaç日"])) for _ in range(r.randrange(2, 60))).encode()
         cut = r.randrange(1, len(s))
-        assert own.join(own.merge(s[:cut]), own.merge(s[cut:])) == own.merge(s)
+        left, right = (np.array(own.merge(x), np.uint32) for x in (s[:cut], s[cut:]))
+        assert own.join(left, right).tolist() == own.merge(s) == own.native(s)
+
+
+@pytest.mark.parametrize("text", ["a" * 1_000_000, "x" + "a" * 300_001, "=-" * 200_000 + "=", "日本語" * 70_000, "ab" * 5_000 + "a" * 200_000 + "é" * 90_001, "-" * 999_999])
+def test_repeating_runs_take_no_longer(own, library, text):
+    """The windows do not grow over the whole run: such text takes a second or less (this machine may be slow)."""
+    began = time.process_time()
+    got = own.encode(text)
+    assert time.process_time() - began < 3
+    assert np.frombuffer(got, np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_cuts_of_runs(own):
+    r = random.Random(3)
+    for _ in range(200):
+        raw = "".join(r.choice(["a" * r.randrange(9000), "xyz" * r.randrange(3000), "".join(r.choice("qwe") for _ in range(r.randrange(5000)))]) for _ in range(4)).encode()
+        cuts = own.cuts(raw)
+        assert cuts[0] == 0 and cuts[-1] == len(raw) and all(0 < b - a <= own.long for a, b in zip(cuts, cuts[1:])) or not raw
+
+
+def test_threads_do_not_matter(library):
+    r = random.Random(9)
+    text = "".join(r.choice("etaoinshr") for _ in range(60_000))
+    want = library.encode(text, add_special_tokens=False).ids
+    for threads in (1, 2, 8):
+        assert bpe.Encoder(public_tokenizers.path(bpe.VOCABULARY), threads=threads).tree(text).tolist() == want
 
 
 def test_frames(spark, library):
