@@ -43,7 +43,9 @@ MOST_MATCHES = 1 << 16
 #: Words of chains that are aligned at once.
 ALIGN_WORDS = 1 << 18
 #: A document asked for more passages than this gets its requests dealt over several tasks.
-HOT_REQUESTS = 20000
+HOT_REQUESTS = 2000
+#: Up to so many documents that passages are asked of, their keys are broadcast, so that no other texts are shuffled.
+MOST_KEYS = 1_000_000
 
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -132,7 +134,7 @@ def seeds(docs: DataFrame, k: int = K, window: int = WINDOW, min_words: int = MI
 
 def links(docs: DataFrame, k: int = K, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
     """``h, doc, src, pos, spos``: each seed that several documents have, and its first occurrence (``doc = src``: in the first)."""
-    return _to_first(seeds(docs, k, window, min_words))
+    return _to_first(written(seeds(docs, k, window, min_words), "seeds"))
 
 
 def _to_first(found: DataFrame) -> DataFrame:
@@ -342,11 +344,14 @@ def _fetch(docs: DataFrame, asked: DataFrame, hot: int = HOT_REQUESTS) -> DataFr
     Texts and requests meet by document; a document with very many requests is dealt over several tasks.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    many = written(asked.groupBy("key").count().filter(F.col("count") > hot).select(F.col("key").alias("hot"), F.ceil(F.col("count") / hot).cast("int").alias("parts")), "asked")
+    by_key = written(asked.groupBy("key").count(), "asked")
+    many = by_key.filter(F.col("count") > hot).select(F.col("key").alias("hot"), F.ceil(F.col("count") / hot).cast("int").alias("parts"))
+    if by_key.count() <= MOST_KEYS:
+        docs = docs.join(F.broadcast(by_key.select(F.col("key").alias("doc"))), "doc", "left_semi")
     text = docs.select(F.col("doc").alias("key"), F.lit(0).alias("salt"), F.lit(0).alias("kind"), "text", *[F.lit(None).cast("bigint").alias(c) for c in ("doc", "src", "no", "side", "lo", "hi")])
     ask = asked.select("key", F.lit(0).alias("salt"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("text"), "doc", "src", "no", "side", "lo", "hi")
     if not many.isEmpty():
-        n = F.coalesce("parts", F.lit(1))
+        many, n = written(many, "many"), F.coalesce("parts", F.lit(1))
         text = text.join(many, text.key == many.hot, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("hot", "parts")
         ask = ask.join(many, ask.key == many.hot, "left").withColumn("salt", F.pmod(F.xxhash64("doc", "no"), n).cast("int")).drop("hot", "parts")
 
