@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import small
 from .common import fresh, named, written
 
 SPACE = " \t\n\v\f\r"
@@ -44,61 +45,52 @@ def _three(w: Column, i: Column) -> list[Column]:
     return [F.get(w, i + k) for k in range(3)]
 
 
-def _places(words: str, bits: int | None = None) -> Column:
-    """Places at which a three-word window begins that occurs twice or more in array column ``words``, null if there is none.
+def _neighbours(ordered: Column, f) -> Column:
+    """What ``f`` says of each two neighbours, as one array."""
+    n = F.size(ordered)
+    return F.flatten(F.zip_with(F.slice(ordered, F.lit(1), n - 1), F.slice(ordered, F.lit(2), n - 1), f))
 
-    Windows' hashes, with places in their last bits, are sorted as numbers; neighbours of equal hash are
+
+def _covered(starts: Column) -> Column:
+    """Words in windows of three that begin at ``starts``, which are sorted."""
+    begin = F.struct(F.lit(0).alias("end"), F.lit(0).cast("bigint").alias("n"))
+    step = lambda a, s: F.struct((s + 3).alias("end"), (a["n"] + 3 - F.greatest(F.lit(0), a["end"] - s)).alias("n"))
+    return F.aggregate(starts, begin, step, lambda a: a["n"])
+
+
+def with_repeats(df: DataFrame, words: str, keep: list[str], bits: int | None = None) -> DataFrame:
+    """``keep`` of ``df`` and ``repeat``: words in three-word windows that occur twice or more, the first included.
+
+    Windows' hashes, with places in their last bits, are sorted as numbers, and neighbours of equal hash are
     compared word by word.  Where such neighbours differ, windows are sorted by their words instead.
     """
-    w, g = F.col(words), F.col("grams")
-    n = F.size(g)
-    b = F.lit(bits) if bits else F.length(F.bin(n))
+    w = F.col(words)
+    none = F.array().cast("array<int>")
+    starts = F.sequence(F.lit(0), F.size(w) - 3)
+    b = F.lit(bits) if bits else F.length(F.bin(F.size(w)))
     cut = lambda h: F.call_function("shiftright", h, b)
     place = lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), b) - 1).cast("int")
-    packed = F.sort_array(F.transform(g, lambda h, i: F.call_function("shiftleft", cut(h), b).bitwiseOR(i.cast("bigint"))))
-    none = F.array().cast("array<int>")
 
-    def pairs(x: Column, y: Column) -> Column:
+    def pair(x: Column, y: Column) -> Column:
         i, j = place(x), place(y)
         alike = F.lit(True)
         for p, q in zip(_three(w, i), _three(w, j), strict=True):
             alike = alike & (p == q)
         return F.when(cut(x) != cut(y), none).otherwise(F.when(alike, F.array(i, j)).otherwise(F.array(F.lit(-1))))
 
-    rest = lambda o: F.slice(o, F.lit(2), F.size(o))
-    near = lambda o, f: F.flatten(F.zip_with(F.slice(o, F.lit(1), F.size(o) - 1), rest(o), f))
-    quick = near(packed, pairs)
-    whole = F.array_sort(F.transform(g, lambda _, i: F.struct(*[x.alias(f"w{k}") for k, x in enumerate(_three(w, i))], i.alias("i"))))
-    slow = near(whole, lambda x, y: F.when((x["w0"] == y["w0"]) & (x["w1"] == y["w1"]) & (x["w2"] == y["w2"]), F.array(x["i"], y["i"])).otherwise(none))
-    return F.when(F.size(F.array_distinct(g)) < n, quick), slow
-
-
-def _covered(starts: Column) -> Column:
-    """Words in windows of three that begin at ``starts``, which are sorted."""
-    begin = F.struct(F.lit(0).alias("end"), F.lit(0).cast("bigint").alias("n"))
-    step = lambda a, s: F.struct((s + 3).alias("end"), (a["n"] + 3 - F.greatest(F.lit(0), a["end"] - s)).alias("n"))
-    return F.aggregate(starts, begin, step, lambda a: a["n"])
-
-
-def with_repeats(df: DataFrame, words: str, keep: list[str], bits: int | None = None) -> DataFrame:
-    """``keep`` of ``df`` and ``repeat``: words in three-word windows that occur twice or more, the first included."""
-    w = F.col(words)
-    n = F.size(w)
-    grams = F.when(n >= 4, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(*_three(w, i))))
+    same = lambda x, y: F.when((x["w0"] == y["w0"]) & (x["w1"] == y["w1"]) & (x["w2"] == y["w2"]), F.array(x["i"], y["i"])).otherwise(none)
+    by_words = F.array_sort(F.transform(starts, lambda i: F.struct(*[x.alias(f"w{k}") for k, x in enumerate(_three(w, i))], i.alias("i"))))
+    packed = F.sort_array(F.transform("grams", lambda h, i: F.call_function("shiftleft", cut(h), b).bitwiseOR(i.cast("bigint"))))
+    grams = F.when(F.size(w) >= 4, F.transform(starts, lambda i: F.xxhash64(*_three(w, i))))
+    # each step is a projection of its own, so nothing is worked out twice
     df = df.select(*keep, words, grams.alias("grams"))
-    quick, slow = _places(words, bits)
-    df = df.select(*keep, words, "grams", quick.alias("places"))
-    places = F.when(F.array_contains("places", -1), slow).otherwise(F.col("places"))
-    df = df.select(*keep, F.sort_array(F.array_distinct(places)).alias("places"))
+    df = df.select(*keep, words, F.when(F.size(F.array_distinct("grams")) < F.size("grams"), packed).alias("packed"))
+    df = df.select(*keep, words, F.when(F.col("packed").isNotNull(), _neighbours(F.col("packed"), pair)).alias("places"))
+    df = df.select(*keep, F.when(F.array_contains("places", -1), _neighbours(by_words, same)).otherwise(F.col("places")).alias("places"))
+    df = df.select(*keep, F.sort_array(F.array_distinct("places")).alias("places"))
     return df.select(*keep, F.coalesce(_covered(F.col("places")), F.lit(0).cast("bigint")).alias("repeat"))
 
 
-def _small(df: DataFrame, label: str) -> DataFrame:
-    """A table of languages, written, with a hint to broadcast it if it has few rows."""
-    df = written(df, label)
-    return F.broadcast(df) if df.limit(MOST_LANGUAGES + 1).count() <= MOST_LANGUAGES else df
-
-
 def vocabulary(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """``v_lang, vocab, ref_common``: each language's common words, and their shares of all its words, the last that of all other words.
 
@@ -108,7 +100,7 @@ def vocabulary(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataF
     counts = written(words.groupBy("v_lang", "word").agg(F.count("*").alias("n")), "words")
     whole = counts.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(None).cast(counts.schema["v_lang"].dataType).alias("v_lang"), "word", "n")
     counts = counts.filter("v_lang is not null").unionByName(whole)
-    total = _small(counts.groupBy(F.col("v_lang").alias("t_lang")).agg(F.sum("n").alias("total")), "totals")
+    total = small(counts.groupBy(F.col("v_lang").alias("t_lang")).agg(F.sum("n").alias("total")), "totals", MOST_LANGUAGES)
     common = counts.join(total, F.col("v_lang").eqNullSafe(F.col("t_lang"))).filter(COMMON_PART * F.col("n") >= F.col("total"))
     top = common.groupBy("v_lang").agg(F.sort_array(F.collect_list(F.struct("n", "word")), False).alias("top"), F.first("total").alias("total"))
     found = total.join(top.drop("total"), F.col("v_lang").eqNullSafe(F.col("t_lang")), "left")
@@ -127,21 +119,23 @@ def measures(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFra
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     keys = F.struct(*[plain[f"c{i}"] for i, n in enumerate(docs.columns) if n != text] or [F.lit(0).alias("none")])
     df = plain.select(keys.alias("keys"), plain[f"c{docs.columns.index(lang)}"].alias("lang"), F.coalesce(plain[f"c{docs.columns.index(text)}"].cast("string"), F.lit("")).alias("t"))
-    vocab = _small(vocabulary(docs, text, lang), "vocabulary")
+    vocab = small(vocabulary(docs, text, lang), "vocabulary", MOST_LANGUAGES)
     words = vocab.select(F.explode("vocab").alias("word")).distinct().limit(MOST_LOOKED_UP + 1).collect()
     df = df.join(vocab, F.col("lang").eqNullSafe(F.col("v_lang")), "left").drop("v_lang").withColumn("vocab", F.coalesce("vocab", F.array().cast("array<string>")))
-    lines = F.filter(F.split("t", "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
-    df = df.select("keys", "lang", "vocab", "ref_common", "t", words_of(F.col("t")).alias("w"), lines.alias("lines"), F.regexp_replace("t", "[a-z]+", "").alias("r0"))
     # what is left of the text after each class is taken out of it: most characters go in the first step
-    for k, chars in enumerate((SPACE, *CLASSES[1:])):
-        df = df.withColumn(f"r{k + 1}", F.translate(f"r{k}", chars, ""))
-    left = [F.length("t"), *[F.length(f"r{k}") for k in range(len(CLASSES) + 1)]]
-    lower, space, upper, digits, symbols, punctuation = ((a - b).cast("bigint") for a, b in zip(left, left[1:], strict=False))
+    df, sizes = df.select("*", F.length("t").alias("s0"), F.regexp_replace("t", "[a-z]+", "").alias("rest")), ["s0"]
+    for k, chars in enumerate((SPACE, *CLASSES[1:]), 1):
+        df = df.select("keys", "lang", "vocab", "ref_common", "t", *sizes, F.length("rest").alias(f"s{k}"), F.translate("rest", chars, "").alias("rest"))
+        sizes.append(f"s{k}")
+    left = [F.col(c).cast("bigint") for c in sizes] + [F.length("rest").cast("bigint")]
+    lower, space, upper, digits, symbols, punctuation = (a - b for a, b in zip(left, left[1:], strict=False))
+    lines = F.filter(F.split("t", "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
+    df = df.select("keys", "lang", "vocab", "ref_common", (left[0] - space).alias("chars"), symbols.alias("symbols"), F.array(lower, upper, digits, symbols, punctuation, left[-1]).alias("classes"), words_of(F.col("t")).alias("w"), lines.alias("lines"))
     here = (lambda w: w.isin([r[0] for r in words])) if len(words) <= MOST_LOOKED_UP else (lambda w: F.array_contains("vocab", w))
     counted = F.filter("w", here) if words else F.array().cast("array<string>")
     df = df.select(
-        "keys", "lang", "vocab", "ref_common", "w", counted.alias("counted"), F.size("w").cast("bigint").alias("n"), (left[0].cast("bigint") - space).alias("chars"), symbols.alias("symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("dup"), F.array(lower, upper, digits, symbols, punctuation, left[-1].cast("bigint")).alias("classes"),
+        "keys", "lang", "vocab", "ref_common", "w", counted.alias("counted"), F.size("w").cast("bigint").alias("n"), "chars", "symbols",
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("dup"), "classes",
     )
     common = F.transform("vocab", lambda v: (F.size("counted") - F.size(F.array_remove("counted", v))).cast("bigint"))
     df = df.withColumn("common", common).drop("counted", "vocab")
@@ -196,7 +190,7 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[Data
     Repeated rows each get a row; an empty table gives none.  Columns of any name pass through.
     """
     measured = written(measures(docs, text, lang), "measures")
-    joined = measured.join(_small(references(measured), "references"), F.col("lang").eqNullSafe(F.col("r_lang")), "left")
+    joined = measured.join(small(references(measured), "references", MOST_LANGUAGES), F.col("lang").eqNullSafe(F.col("r_lang")), "left")
     by_class = jensen_shannon(shares(F.col("m.classes")), F.col("ref_classes"))
     by_word = F.when(F.col("ref_classes").isNotNull(), jensen_shannon(shares(F.col("m.common")), F.col("ref_common")))
     joined = joined.select("keys", "m", by_class.alias("by_class"), by_word.alias("by_word"), base_failed().alias("failed"))
