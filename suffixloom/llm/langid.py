@@ -78,8 +78,8 @@ def features(column: pa.Array, dimensions: int = DIMENSIONS) -> np.ndarray:
     return np.sqrt(counts / np.maximum(total, 1)) if len(lengths) else counts
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, passes: int = PASSES) -> np.ndarray:
-    """Weights (the last is the bias) of a linear SVM, by dual coordinate descent; ``y`` is 1 or -1."""
+def solve_svm(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights (the last is the bias) of a linear SVM, its dual variables and their bounds, by dual coordinate descent; ``y`` is 1 or -1."""
     n, d = x.shape
     w, alpha = np.zeros(d + 1), np.zeros(n)
     x = np.hstack([x, np.ones((n, 1), x.dtype)]).astype(np.float64)
@@ -98,7 +98,7 @@ def train_svm(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, passes: in
                 alpha[i] = new
         if moved < 1e-3:
             break
-    return w
+    return w, alpha, cost
 
 
 def slope(margins: np.ndarray, y: np.ndarray) -> float:
@@ -161,7 +161,7 @@ def fit(x: np.ndarray, labels: list[str], families: dict[str, tuple] | None = No
     columns, weights, slopes = [], [], []
 
     def add(name: tuple, rows: np.ndarray, y: np.ndarray) -> None:
-        w = train_svm(x[rows], y)
+        w = solve_svm(x[rows], y)[0]
         columns.append(name)
         weights.append(w)
         slopes.append(slope(x[rows] @ w[:-1] + w[-1], y))
@@ -232,6 +232,8 @@ def keep(docs: DataFrame, row: str = "doc_id", text: str = "text", lang: str = "
     """The rows of ``docs`` whose text has a language with a score of ``min_score`` or more, same columns.
 
     The model learns from the same rows.  Where no row has a label nothing can be told and all rows with a letter stay.
+    Null and empty texts go; repeated rows each stay or go alike; rows with a null id teach nothing and are judged
+    like any other; an empty table gives none; columns of any name pass through.
     """
     model = train(docs, row, text, lang, **options)
     if not model.families:

@@ -598,18 +598,50 @@ def align_all(lefts: list[np.ndarray], rights: list[np.ndarray], turns: list[np.
     return out
 
 
-def passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, hot: int = HOT_REQUESTS) -> DataFrame:
+def repeats_inside(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``doc, start, n_words, src, src_start, similarity`` for each run of ``min_words`` words or more that the same document has earlier.
+
+    Exact repeats only (``similarity`` is 1, ``src`` the document itself); a run may overlap the place that it repeats,
+    as in a line that comes again and again.  Each document is worked on by itself.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = WordScanner(nonspace_bytes())
+        for b in slices(batches, "text", SEED_BYTES):
+            data, offsets = text_bytes(b.column(1))
+            _, _, hashes, bounds = scanner.scan(data, offsets)
+            h = window_hashes(hashes, min_words)
+            row = np.searchsorted(bounds, np.arange(len(h)), side="right") - 1
+            at = np.flatnonzero(np.arange(len(h)) + min_words <= bounds[row + 1])
+            row = row[at]
+            if not len(at):
+                continue
+            _, first, which = np.unique(h[at] ^ mix(row.astype(np.uint64) + np.uint64(1)), return_index=True, return_inverse=True)
+            source = at[first[which]]
+            again = source < at
+            at, source, row = at[again], source[again], row[again]
+            new = _turns_at(at, source) if len(at) else at
+            n = np.append(new[1:], len(at)) - new + min_words - 1
+            doc = np.asarray(b.column(0))[row[new]]
+            values = [doc, at[new] - bounds[row[new]], n, doc, source[new] - bounds[row[new]]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(v.astype(np.int64)) for v in values), pa.array(np.ones(len(new)))], names=["doc", "start", "n_words", "src", "src_start", "similarity"])
+
+    return docs.select("doc", "text").mapInArrow(each, "doc bigint, start bigint, n_words bigint, src bigint, src_start bigint, similarity double")
+
+
+def passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, hot: int = HOT_REQUESTS, inside: bool = False) -> DataFrame:
     """``doc, start, n_words, src, src_start, similarity`` for each passage that an earlier document has.
 
     ``docs`` has ``doc`` (a unique long) and ``text``.  Words are runs of anything but ASCII white space,
-    A-Z lower-cased; places count words.
+    A-Z lower-cased; places count words.  With ``inside`` exact repeats inside one document are passages too.
     """
     linked = written(links(docs, k, window, min_words), "links")
     found = written(_aligned(docs, linked, k, min_words, similarity, hot), "passages")
     more = _aligned(docs, window_links(docs, linked, found, k, window, min_words, hot), min_words, min_words, similarity, hot).alias("m")
     whole = found.select(F.col("doc").alias("of"), F.col("start").alias("a"), (F.col("start") + F.col("n_words")).alias("b"))
     more = more.join(whole, F.expr("doc = of and start >= a and start + n_words <= b"), "left_anti")
-    return found.unionByName(more)
+    found = found.unionByName(more)
+    return found.unionByName(repeats_inside(docs, min_words)) if inside else found
 
 
 def _aligned(docs: DataFrame, linked: DataFrame, k: int, min_words: int, similarity: float, hot: int) -> DataFrame:
@@ -659,15 +691,16 @@ def repeated_passages(docs: DataFrame, row: str = "doc_id", text: str = "text",
     """``row, start, n_words, src, src_start, similarity`` for each passage of a document that an earlier one has.
 
     ``row`` and ``src`` are the documents' keys as given.  The earlier document is that with the lesser key;
-    where keys are null, repeated or not integers, it is the one that comes first in the table.  Null and
-    short texts have no passages; an empty table gives no rows; repeats inside one document are no passages.
+    where keys are null, repeated or not integers, it is the one that comes first in the table as it is read.
+    Null and short texts have no passages; an empty table gives no rows; repeats inside one document are
+    passages only with ``inside=True``.
     """
-    docs, mark, same = numbered(docs.select(row, text), row)
-    found = passages(docs.select(F.col(mark).alias("doc"), F.col(text).alias("text")), **options)
+    docs, mark, same = numbered(docs.select(named(row).alias("row"), named(text).cast("string").alias("text")), "row")
+    found = passages(docs.select(F.col(mark).alias("doc"), "text"), **options)
     if same:
         return found.select(F.col("doc").alias("row"), "start", "n_words", "src", "src_start", "similarity")
-    keys = docs.select(F.col(mark).alias("doc"), F.col(row).alias("row"))
-    other = docs.select(F.col(mark).alias("src"), F.col(row).alias("src_row"))
+    keys = docs.select(F.col(mark).alias("doc"), "row")
+    other = docs.select(F.col(mark).alias("src"), F.col("row").alias("src_row"))
     return found.join(keys, "doc").join(other, "src").select("row", "start", "n_words", F.col("src_row").alias("src"), "src_start", "similarity")
 
 
@@ -698,56 +731,17 @@ def by_document(found: DataFrame) -> DataFrame:
     return grouped.mapInArrow(each, f"row {kind}, n_repeated bigint, n_passages bigint, passages array<struct<start: bigint, n_words: bigint>>, sources array<{kind}>")
 
 
-class _Cut:
-    """Cuts word ranges out of texts."""
-
-    def __init__(self):
-        self.scanner = WordScanner(nonspace_bytes())
-
-    def __call__(self, text: str, spans: list[tuple[int, int]]) -> str:
-        data = np.frombuffer(raw := text.encode(), np.uint8)
-        starts, ends, _, _ = self.scanner.scan(data, np.array([0, len(data)]))
-        gone = np.zeros(len(starts) + 1, np.int64)
-        for a, n in spans:
-            gone[a] += 1
-            gone[min(a + n, len(starts))] -= 1
-        edge = np.diff(np.r_[False, np.cumsum(gone[:-1]) > 0, False].astype(np.int8))
-        parts, at = [], 0
-        for a, b in zip(starts[np.flatnonzero(edge == 1)].tolist(), ends[np.flatnonzero(edge == -1) - 1].tolist(), strict=True):
-            parts.append(raw[at:a])
-            at = b
-        return b"".join([*parts, raw[at:]]).decode()
-
-
 def deduplicate(docs: DataFrame, row: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` without the passages that an earlier document has, same columns.
+    """``docs`` without the passages that an earlier document has, same columns, of whatever names.
 
     The first document that has a passage keeps it.  A document of which no word is left goes; one that
-    loses nothing stays as it is, wordless or null ones too.
+    loses nothing stays as it is, wordless or null ones too.  Keys and empty tables are as in ``repeated_passages``.
     """
     names = docs.columns
     docs, mark, _ = numbered(docs, row)
-    found = passages(docs.select(F.col(mark).alias("doc"), F.col(text).alias("text")), **options)
-    spans = by_document(found.withColumnRenamed("doc", "row"))
-    joined = docs.join(spans.select(F.col("row").alias(mark), F.col("passages").alias(f"{mark}s")), mark, "left")
-    place, at = joined.columns.index(text), joined.columns.index(f"{mark}s")
-    plain = joined.toDF(*[f"c{i}" for i in range(len(joined.columns))])
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = _Cut()
-        for b in slices(batches, f"c{place}"):
-            spans = b.column(at)
-            hit = np.flatnonzero(spans.is_valid())
-            if len(hit):
-                texts = b.column(place).to_pylist()
-                for i in hit:
-                    texts[i] = cut(texts[i], [(x["start"], x["n_words"]) for x in spans[i].as_py()])
-                gone = {i for i in hit if not texts[i].strip(" \t\n\v\f\r")}
-                b = b.set_column(place, b.schema.field(place), pa.array(texts, pa.string()))
-                b = b.filter(pa.array([i not in gone for i in range(b.num_rows)]))
-            yield b
-
-    return plain.mapInArrow(each, plain.schema).toDF(*joined.columns).select(*names)
+    found = passages(docs.select(named(mark).alias("doc"), named(text).cast("string").alias("text")), **options)
+    spans = by_document(found.withColumnRenamed("doc", "row")).select(F.col("row").alias(mark), F.col("passages").alias("spans"))
+    return cut_words(docs, mark, text, spans, nonspace_bytes(), drop_empty=True).select(*map(named, names))
 
 
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,3 +74,67 @@ def test_nothing_to_learn_from(spark):
     out, (pred, _) = langid.predict(one, langid.train(one))
     assert sorted(r[pred] for r in out.collect()) == ["en", "en", "und"]
     assert langid.keep(docs.limit(0)).count() == 0
+
+
+def plain_features(text, dimensions=langid.DIMENSIONS):
+    """Counts of byte pairs and triples, one by one."""
+    letters = [b | 0x20 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b > 0x7F else 0x20 for b in (text or "").encode()]
+    counts, bits = np.zeros(dimensions), dimensions.bit_length() - 1
+    for n in (2, 3):
+        for i in range(len(letters) - n + 1):
+            gram = letters[i : i + n]
+            if gram[:2] == [0x20, 0x20] or gram[-2:] == [0x20, 0x20]:
+                continue
+            code = sum(b << 8 * (n - 1 - k) for k, b in enumerate(gram))
+            counts[((code + (n << 28)) % 2**32 * 2654435761 % 2**32) >> (32 - bits)] += 1
+    return np.sqrt(counts / max(1, counts.sum()))
+
+
+def plain_prediction(model, text):
+    """The family with the greatest share of the families' probabilities, then all pairs of its languages vote."""
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    x = plain_features(text)
+    chance = lambda *name: 1 / (1 + np.exp(-(x @ model.weights[:-1, at[name]] + model.weights[-1, at[name]]) * model.slopes[at[name]]))
+    at = {c: i for i, c in enumerate(model.columns)}
+    families = {f: chance("family", f) if len(model.families) > 1 else 1.0 for f in model.families}
+    family = max(families, key=families.get)
+    votes = {}
+    for lang in model.families[family]:
+        rest = [o for o in model.families[family] if o != lang]
+        votes[lang] = sum(chance("pair", lang, o) if ("pair", lang, o) in at else 1 - chance("pair", o, lang) for o in rest) / len(rest) if rest else 1.0
+    best = max(votes, key=votes.get)
+    return best, families[family] / sum(families.values()) * votes[best]
+
+
+def test_features_against_brute_force():
+    r = np.random.default_rng(2)
+    texts = ["", None, "a", "ab", "  a  b ", "Ünï cödé", "日本 語", *["".join(r.choice(list("abC é.9 \n"), 60)) for _ in range(50)]]
+    got = langid.features(pa.array(texts, pa.string()))
+    for row, t in zip(got, texts):
+        assert np.allclose(row, plain_features(t), atol=1e-6)
+
+
+def test_predictions_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF.replace('0.01', '0.001')}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.train(docs)
+    out, (pred, score) = langid.predict(docs, model)
+    for r in out.collect():
+        lang, s = plain_prediction(model, r.text)
+        assert r[pred] == lang and abs(r[score] - s) < 1e-3
+
+
+def test_svm_is_solved():
+    """Weights are the dual's, the dual is feasible, and the gap to the primal objective is small."""
+    r = np.random.default_rng(1)
+    for _ in range(5):
+        n, d = 120, 30
+        y = np.where(r.random(n) < 0.3, 1.0, -1.0)
+        x = (r.normal(size=(n, d)) + 0.4 * y[:, None]).astype(np.float32)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        w, alpha, cost = langid.solve_svm(x, y, passes=2000)
+        whole = np.hstack([x, np.ones((n, 1))]).astype(np.float64)
+        assert np.allclose(w, (alpha * y) @ whole) and (alpha >= 0).all() and (alpha <= cost).all()
+        primal = w @ w / 2 + (cost * np.maximum(0, 1 - y * (whole @ w))).sum()
+        dual = alpha.sum() - w @ w / 2
+        assert dual <= primal + 1e-9 and primal - dual < 0.02 * primal
