@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Sequencing, Support
 from ..functions.estimators import SYMBOLS, adjustment
-from ..functions.symbols import last
+from ..functions.symbols import last, post_order
+from ..tables import written
 
 NEXT = [f"n_{s}" for s in SYMBOLS]
 
@@ -65,3 +66,18 @@ def close(contexts: DataFrame, by: list[str] = ()) -> DataFrame:
 def orphans(contexts: DataFrame, by: list[str] = ()) -> DataFrame:
     """The contexts that ``close`` drops."""
     return contexts.join(close(contexts, by).select(*by, "context"), [*by, "context"], "left_anti").select(contexts.columns)
+
+
+def places(contexts: DataFrame, by: list[str] = ()) -> DataFrame:
+    """``by, context, place``: each context's place, from 1, in the post-order of its tree.
+
+    Contexts are dealt by ranges of the order and numbered in their range; what earlier ranges hold is added.  So a
+    tree's size does not matter, and no task sorts a whole tree.
+    """
+    order = [*[F.col(b) for b in by], post_order(F.col("context"))]
+    part = contexts.select(*by, "context").repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    part = written(part, "ranges")
+    before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = part.groupBy(*by, "part").agg(F.count("*").alias("n")).select(*by, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    number = F.row_number().over(Window.partitionBy(*by, "part").orderBy(order[-1]))
+    return part.withColumn("number", number).join(F.broadcast(counts), [*by, "part"]).select(*by, "context", (F.col("earlier") + F.col("number")).cast("int").alias("place"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ SLICE = 4 << 20
 DENSE, MOST_DENSE = 1 << 20, 1 << 22
 #: Longest k-mer that is counted as a base-4 number.
 LONGEST_CODE = 26
+#: Symbols of a row; longer sequences (chromosomes) are cut into rows that overlap by one less than a window.
+ROW = 1 << 24
 
 
 def fragments(sequences: DataFrame, k: int, by: list[str] = (), seq: str = "seq") -> DataFrame:
@@ -26,15 +29,37 @@ def fragments(sequences: DataFrame, k: int, by: list[str] = (), seq: str = "seq"
     return sequences.select(*by, F.explode(runs).alias("fragment"))
 
 
+def _split_bytes(spark) -> int:
+    """``spark.sql.files.maxPartitionBytes`` as a number."""
+    m = re.fullmatch(r"(\d+)\s*([kmgt]?)b?", spark.conf.get("spark.sql.files.maxPartitionBytes", "128m").strip().lower())
+    return int(m[1]) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[m[2]] if m else 128 << 20
+
+
 def even(sequences: DataFrame) -> DataFrame:
-    """Deal out rows evenly where the input is less than one full split for each core; a stream stays as it is."""
+    """Deal out rows evenly where the input is in fewer files than there are cores and holds less than one full split for each.
+
+    A stream, and what is not read from files, stays as it is; so does any larger input, whose splits keep all cores busy.
+    """
     spark = sequences.sparkSession
     if sequences.isStreaming:
         return sequences
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(str(sequences._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return sequences.repartition(cores) if size < cores * split else sequences
+    cores, files = spark.sparkContext.defaultParallelism, sequences.inputFiles()
+    if not files or len(files) >= cores:
+        return sequences
+    size = spark.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0] or 0  # lengths only: contents are not read
+    return sequences.repartition(cores) if size < cores * _split_bytes(spark) else sequences
+
+
+def cut_rows(rows: DataFrame, most: int, by: list[str] = (), size: int = 0) -> DataFrame:
+    """``by, seq`` with sequences of more than ``size`` symbols cut; a piece goes on for ``most - 1`` symbols into the next.
+
+    Windows of up to ``most`` symbols that start in the first ``size`` symbols of a row are those of the whole.
+    """
+    size = size or ROW
+    n = F.length("seq")
+    starts = F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int"))
+    pieces = F.transform(starts, lambda i: F.substring("seq", i * size + 1, F.lit(size + most - 1)))
+    return rows.select(*by, F.explode(F.when(n > size, pieces).otherwise(F.array("seq"))).alias("seq"))
 
 
 def count_kmers(sequences: DataFrame, k: int, by: list[str] = (), seq: str = "seq", spread: int | None = None) -> DataFrame:
@@ -54,16 +79,17 @@ def count_all(sequences: DataFrame, ks: list[int], by: list[str] = (), seq: str
     if not ks or min(ks) < 1:
         raise ValueError("k must be 1 or more")
     rows = sequences.select(*by, F.col(seq).alias("seq"))
-    rows = rows.repartition(spread) if spread else even(rows)
     if max(ks) > LONGEST_CODE:
-        return count_windows(rows, ks, by)
+        return count_windows(rows.repartition(spread) if spread else even(rows), ks, by)
+    rows, limit = cut_rows(rows, max(ks), list(by)), ROW
+    rows = rows.repartition(spread) if spread else even(rows)
     ks, by = sorted(set(ks)), list(by)
     keys = [rows.schema[b] for b in by]
     plain = rows.toDF(*[f"b{i}" for i in range(len(by))], "seq")
     schema = StructType([*[StructField(f"b{i}", f.dataType) for i, f in enumerate(keys)], StructField("k", IntegerType()), StructField("code", LongType()), StructField("n", LongType())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = _Tally(len(by), ks)
+        tally = _Tally(len(by), ks, limit)
         for b in batches:
             yield from tally.add(b)
         yield from tally.flush()
@@ -74,10 +100,10 @@ def count_all(sequences: DataFrame, ks: list[int], by: list[str] = (), seq: str
 
 
 class _Tally:
-    """Counts base-4 codes of windows, by model."""
+    """Counts base-4 codes of windows, by model: those that start in the first ``limit`` symbols of a row."""
 
-    def __init__(self, n_by: int, ks: list[int]):
-        self.n_by, self.ks = n_by, ks
+    def __init__(self, n_by: int, ks: list[int], limit: int):
+        self.n_by, self.ks, self.limit = n_by, ks, limit
         self.code = np.full(256, 4, np.uint8)
         for i, c in enumerate("ACGT"):
             self.code[[ord(c), ord(c.lower())]] = i
@@ -96,7 +122,7 @@ class _Tally:
         number: dict[tuple, int] = {}
         model = np.fromiter((number.setdefault(m, len(number)) for m in models), np.int64, len(models))
         known = list(number)
-        most = max(self.ks)
+        most, cut = max(self.ks), len(at) > 1 and np.diff(at).max() > self.limit
         for begin in range(0, len(data), SLICE):
             stop = min(len(data), begin + SLICE)
             codes = self.code[data[begin : min(len(data), stop + most - 1)]]
@@ -110,6 +136,8 @@ class _Tally:
                 if n <= 0:
                     continue
                 good = (bad[k : n + k] == bad[:n]) & (row[:n] == row[k - 1 : n + k - 1])
+                if cut:
+                    good &= np.arange(begin, begin + n) - at[row[:n]] < self.limit
                 yield from self._count(k, self._codes(value, k)[:n][good], model[row[:n][good]], known)
 
     @staticmethod
@@ -149,7 +177,8 @@ class _Tally:
 
     def _batch(self, parts: list[tuple]) -> pa.RecordBatch:
         sizes = [len(p[2]) for p in parts]
-        cols = [pa.array([p[0][i] for p, n in zip(parts, sizes, strict=True) for _ in range(n)], self.types[i]) for i in range(self.n_by)]
+        which = pa.array(np.repeat(np.arange(len(parts)), sizes))
+        cols = [pa.array([p[0][i] for p in parts], self.types[i]).take(which) for i in range(self.n_by)]
         cols += [pa.array(np.repeat([p[1] for p in parts], sizes).astype(np.int32)), *(pa.array(np.concatenate([p[j] for p in parts]).astype(np.int64)) for j in (2, 3))]
         return pa.RecordBatch.from_arrays(cols, names=[*[f"b{i}" for i in range(self.n_by)], "k", "code", "n"])
 

@@ -39,8 +39,8 @@ def _adjust(build, depth: str = "depth") -> str:
     return f"({s.depth} * pow({1 - s.error_rate}, {depth}))" if s.adjust else "1.0"
 
 
-def _support(build, contexts: str = "cx", name: str = "sp") -> str:
-    return f"{name} AS (SELECT * FROM {contexts} WHERE depth = 0 OR count >= {build.min_count} * {_adjust(build)})"
+def _support(build, contexts: str = "cx", name: str = "sp", enough: str | None = None) -> str:
+    return f"{name} AS (SELECT * FROM {contexts} WHERE depth = 0 OR {enough or f'count >= {build.min_count} * {_adjust(build)}'})"
 
 
 def _close(by: str = "lang", supported: str = "sp", name: str = "cl") -> str:
@@ -48,7 +48,7 @@ def _close(by: str = "lang", supported: str = "sp", name: str = "cl") -> str:
     key = " AND ".join(f"p.{b} = x.{b}" for b in by.split(", "))
     return (
         f"{name} AS (SELECT * FROM {supported} w WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT {', '.join('y.' + b for b in by.split(', '))}, y.context AS whole "
-        f"FROM {supported} y, range(1, 9) r(d) LEFT JOIN {supported} p ON {key.replace('x.', 'y.')} AND p.context = right(y.context, d) "
+        f"FROM {supported} y, range(1, 10) r(d) LEFT JOIN {supported} p ON {key.replace('x.', 'y.')} AND p.context = right(y.context, d) "
         f"WHERE d < y.depth AND p.context IS NULL) z WHERE {' AND '.join(f'z.{b} = w.{b}' for b in by.split(', '))} AND z.whole = w.context))"
     )
 
@@ -65,14 +65,14 @@ def _ps() -> str:
     return "greatest(0.0, " + ", ".join(f"({_p(s, 'c')} - {_p(s, 'p')}) * c.count" for s in "acgt") + ")"
 
 
-def _edges(build, by: str = "lang", contexts: str = "cl", name: str = "ed", least: str | None = None) -> str:
+def _edges(build, by: str = "lang", contexts: str = "cl", name: str = "ed", least: str | None = None, divergence: str | None = None) -> str:
     peres = build.estimator == q.PERES_SHIELDS
     on = " AND ".join(f"p.{b} = c.{b}" for b in by.split(", "))
     root = f" JOIN {contexts} r ON {on.replace('p.', 'r.')} AND r.depth = 0" if peres else ""
     limit = f"pow(r.count, 0.75) * {_adjust(build, 'c.depth')}" if peres else f"{least or build.threshold} * {_adjust(build, 'c.depth')}"
     keys = ", ".join(f"c.{b} AS {b}" for b in by.split(", "))
     return (
-        f"{name} AS (SELECT {keys}, c.context, p.context AS parent, c.depth, {_ps() if peres else _kl()} AS raw_divergence, CAST({limit} AS DOUBLE) AS least "
+        f"{name} AS (SELECT {keys}, c.context, p.context AS parent, c.depth, {divergence or (_ps() if peres else _kl())} AS raw_divergence, CAST({limit} AS DOUBLE) AS least "
         f"FROM {contexts} c JOIN {contexts} p ON {on} AND p.context = substr(c.context, 2){root} WHERE c.depth >= 1)"
     )
 
@@ -81,7 +81,7 @@ def _tree(by: str = "lang", contexts: str = "cl", edges: str = "ed", kept: str =
     """CTEs ``kp`` (kept contexts but the root) and ``tr`` (the tree)."""
     on = lambda a, b: " AND ".join(f"{a}.{x} = {b}.{x}" for x in by.split(", "))
     return (
-        f"{kept} AS (SELECT DISTINCT {by}, right(context, d) AS context FROM {edges}, range(1, 9) r(d) WHERE raw_divergence >= least AND d <= depth),\n"
+        f"{kept} AS (SELECT DISTINCT {by}, right(context, d) AS context FROM {edges}, range(1, 10) r(d) WHERE raw_divergence >= least AND d <= depth),\n"
         f"{name}_ch AS (SELECT {by}, substr(context, 2) AS context, count(*) AS n FROM {kept} GROUP BY ALL),\n"
         f"{name} AS (SELECT {', '.join('x.' + b for b in by.split(', '))}, x.context, x.depth, x.n_a, x.n_c, x.n_g, x.n_t, x.count, "
         f"CASE WHEN x.depth = 0 OR coalesce(h.n, 0) > 0 THEN -1.0 ELSE e.raw_divergence END AS divergence, x.depth > 0 AND coalesce(h.n, 0) < 4 AS is_terminal "
@@ -137,18 +137,21 @@ def _scored(depth: int, kmers: str, tree: str = "tr", by: str = "lang", on: str
     )
 
 
-def _bic() -> str:
-    """CTE ``bg``: the grid of ``queries.GRID``."""
+_ALL = "(SELECT 0 AS lang, text FROM documents)"
+
+
+def _bic(grid: dict = q.GRID, table: str = "documents") -> str:
+    """CTE ``bg``: a grid of parameters."""
     parts, rows = [], []
-    for d in range(3, q.GRID["max_depth"]):
+    for d in range(3, grid["max_depth"]):
         build = q.Build(max_depth=d, min_count=1)
         by, full = "lang, min_count", "lang, min_count, threshold"
         parts += [
-            _kmers(d + 1, name=f"km{d}"), _contexts(d, kmers=f"km{d}", name=f"cx{d}"),
-            f"sp{d} AS (SELECT c.*, min_count FROM cx{d} c, (VALUES {', '.join(f'({m})' for m in q.GRID['min_counts'])}) g(min_count) WHERE depth = 0 OR count >= min_count)",
+            _kmers(d + 1, table=table, name=f"km{d}"), _contexts(d, kmers=f"km{d}", name=f"cx{d}"),
+            f"sp{d} AS (SELECT c.*, min_count FROM cx{d} c, (VALUES {', '.join(f'({m})' for m in grid['min_counts'])}) g(min_count) WHERE depth = 0 OR count >= min_count)",
             _close(by, f"sp{d}", f"cl{d}"), _edges(build, by, f"cl{d}", f"e{d}", "0"),
-            f"ed{d} AS (SELECT lang, min_count, threshold, context, depth, raw_divergence, threshold AS least FROM e{d}, (VALUES {', '.join(f'({t}::DOUBLE)' for t in q.GRID['thresholds'])}) h(threshold))",
-            f"ct{d} AS (SELECT c.*, threshold FROM cl{d} c, (VALUES {', '.join(f'({t}::DOUBLE)' for t in q.GRID['thresholds'])}) h(threshold))",
+            f"ed{d} AS (SELECT lang, min_count, threshold, context, depth, raw_divergence, threshold AS least FROM e{d}, (VALUES {', '.join(f'({t}::DOUBLE)' for t in grid['thresholds'])}) h(threshold))",
+            f"ct{d} AS (SELECT c.*, threshold FROM cl{d} c, (VALUES {', '.join(f'({t}::DOUBLE)' for t in grid['thresholds'])}) h(threshold))",
             _tree(full, f"ct{d}", f"ed{d}", f"kp{d}", f"tr{d}"), _scored(d, f"km{d}", f"tr{d}", full, " AND t.lang = k.lang", f"sc{d}"),
             f"tm{d} AS (SELECT {full}, 3 * count(*) FILTER (WHERE is_terminal) AS n_params, max(CASE WHEN depth = 0 THEN count END) AS n FROM tr{d} GROUP BY ALL)",
             f"ll{d} AS (SELECT {full}, sum(count * lp) AS log_likelihood FROM sc{d} GROUP BY ALL)",
@@ -161,6 +164,10 @@ _T = q.TREE_BUILD
 _CX = (_kmers(5), _contexts(4))
 _DE_EN = "SELECT * FROM tr WHERE lang IN ('de', 'en')"
 
+_GRID_ROWS = "SELECT lang, max_depth, min_count, threshold, n_params, round(log_likelihood, 3) AS log_likelihood, round(bic_score, 3) AS bic_score FROM bg"
+_SPECTRUM = "SELECT lang, count, count(*) AS n_kmers FROM km GROUP BY lang, count"
+_SQUEEZED = f"regexp_replace(translate(coalesce(text, ''), '{_LETTERS}', '{_MAPPED}'), '[^ACGT]', '', 'g')"
+
 ORACLE_SQL = {
     "kmer_counts": _with(_kmers(5), select="SELECT * FROM km"),
     "kmer_counts_streamed": _with(_kmers(5), select="SELECT * FROM km"),
@@ -202,6 +209,22 @@ ORACLE_SQL = {
     "distance_order1": _with(_whole(), _components(1), _distances(1), select=_DISTANCES),
     "score_nll": _with(_whole(), _kmers(_T.k, "", "benchmark", name="bm"), _scored(_T.max_depth, "bm"), select=f"SELECT lang, CAST(sum(count) AS BIGINT) AS n_windows, round(sum(count * lp), {_R}) AS log_likelihood, round(-sum(count * lp) / sum(count), {_R}) AS nll FROM sc GROUP BY lang"),
     "score_longest_context": _with(_whole(), _scored(_T.max_depth, "km", on=" AND t.lang = k.lang"), select="SELECT lang, kmer, count, context FROM sc"),
-    "bic_grid": _with(_bic(), select="SELECT lang, max_depth, min_count, threshold, n_params, round(log_likelihood, 3) AS log_likelihood, round(bic_score, 3) AS bic_score FROM bg"),
+    "bic_grid": _with(_bic(), select=_GRID_ROWS),
+    "bic_grid_full": _with(_bic(q.FULL_GRID), select=_GRID_ROWS),
+    "grid_csv": _with(_bic(table=_ALL), select=_GRID_ROWS.replace("lang, ", "")),
+    "kmer_spectrum_12": _with(_kmers(12), select=_SPECTRUM),
+    "kmer_spectrum_28": _with(_kmers(28), select=_SPECTRUM),
+    "tree_depth9": _with(_whole(q.DEEP), select=f"SELECT lang, {_TREE_COLUMNS} FROM tr"),
+    "tree_own_rules": _with(
+        *_CX, _support(q.OWN, enough=f"count >= {q.OWN.min_count} * CASE WHEN depth < 4 THEN 1 ELSE 5 END"), _close(),
+        _edges(q.OWN, divergence="c.count * (" + " + ".join(f"abs({_p(s, 'c')} - {_p(s, 'p')})" for s in "acgt") + ") / 2"), _tree(), select=f"SELECT lang, {_TREE_COLUMNS} FROM tr"),
+    "fasta_files": f"SELECT CAST(doc_id AS VARCHAR) AS seq_id, coalesce(lang, '') AS description, length({_SQUEEZED}) AS n, md5({_SQUEEZED}) AS digest FROM documents",
+    "fastq_files": f"SELECT CAST(doc_id AS VARCHAR) AS seq_id, coalesce(lang, '') AS description, length({_SQUEEZED}) AS n, md5({_SQUEEZED}) AS digest, length({_SQUEEZED}) AS n_marks FROM documents",
+    "fasta_kmers": _with(_kmers(5, table="(SELECT coalesce(lang, '') AS lang, text FROM documents)"), select="SELECT * FROM km"),
+    "kmer_table": _with(_kmers(5), select="SELECT * FROM km"),
+    "tree_table": _with(_whole(), select=f"SELECT lang, {_TREE_COLUMNS} FROM tr"),
+    "tree_archive_file": _with(_whole(table=_ALL), select=f"SELECT {_TREE_COLUMNS} FROM tr"),
+    "tree_dump_file": _with(_whole(table=_ALL), select="SELECT concat_ws(' ', context, count, n_a, n_c, n_g, n_t, printf('%.6g', divergence), CAST(is_terminal AS INTEGER), 0) AS line FROM tr"),
+    "command_line": _with(_whole(q.Build(max_depth=4, min_count=_T.min_count, threshold=q.HARDER), table=_ALL), select=f"SELECT {_TREE_COLUMNS} FROM tr"),
     "bic_best": _with(_bic(), select="SELECT lang, max_depth, min_count, threshold, n_params FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY bic_score, max_depth, min_count, threshold) AS rn FROM bg) WHERE rn = 1"),
 }

@@ -6,20 +6,20 @@ Sequences are the texts of ``documents`` (letters mapped to ACGT by their place
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import PERES_SHIELDS, Build, Sequencing
 from ..functions.estimators import SYMBOLS, probabilities
-from ..functions.symbols import all_suffixes, contexts_up_to, first_difference, last, post_order, prefix, prefix_index, replace_first, suffix, symbol_code
+from ..functions.symbols import all_suffixes, contexts_up_to, first_difference, last, prefix, prefix_index, replace_first, suffix, symbol_code
 from ..operators import contexts as C
 from ..operators import kmers as K
 from ..operators import metrics as M
 from ..operators import prune as P
-from ..sources.sequences import from_text
-from ..sources.trees import dump_line, from_records, to_records
+from ..sources.sequences import as_symbols, from_text, read_fasta, read_fastq, read_kmers, write_fasta, write_fastq
+from ..sources.trees import dump, dump_line, from_records, read_archive, read_tree, to_records, write_archive, write_grid, write_tree
 from ..streaming.incremental import count_stream, current_counts
-from ..tables import shared_dir, written
+from ..tables import shared_dir, small, written
 from .build import bic_sequences, contexts_from_kmers, tree_from_kmers, tree_from_sequences
 
 LANG = ["lang"]
@@ -27,10 +27,22 @@ TREE_BUILD = Build(max_depth=4, min_count=20, threshold=3.9075)
 PS_BUILD = Build(max_depth=4, min_count=20, estimator=PERES_SHIELDS)
 ADJUSTED = Build(max_depth=4, min_count=400, threshold=3.9075, sequencing=Sequencing(True, 1.0, 0.3))
 HARDER = 60.0
+DEEP = Build(max_depth=9, min_count=2, threshold=3.9075)
 GRID = {"max_depth": 5, "min_counts": (20, 200), "thresholds": (3.9075, 10.0)}
+FULL_GRID = {"max_depth": 5, "min_counts": M.MIN_COUNTS, "thresholds": M.THRESHOLDS}
 DIGITS = 6
 
 
+def total_variation(build: Build, threshold: Column | None = None) -> tuple[Column, Column]:
+    """An estimator of one's own: the child's count times half the summed differences of probabilities."""
+    pairs = zip(probabilities(build.pseudo_count), probabilities(build.pseudo_count, "parent_"), strict=True)
+    return F.col("count") * sum((F.abs(p - q) for p, q in pairs), F.lit(0.0)) / 2, F.lit(float(build.threshold)) if threshold is None else threshold
+
+
+#: Rules of one's own: total variation, and five times the least count for contexts of four symbols.
+OWN = Build(max_depth=4, min_count=20, threshold=50.0, estimator=total_variation, support=lambda count, depth, least: count >= F.when(depth < 4, least).otherwise(5 * least))
+
+
 def documents(spark: SparkSession, sf: str, squeeze: bool = True) -> DataFrame:
     """Texts of ``documents`` as sequences, with their language."""
     return from_text(spark.read.parquet(f"{sf}/documents.parquet"), "text", LANG, squeeze)
@@ -73,12 +85,32 @@ def kmer_counts_split(spark, sf):
 def kmer_counts_streamed(spark, sf):
     """The counts of ``kmer_counts``, gathered by a stream over the table's files."""
     path = f"{sf}/documents.parquet"
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")  # a stream takes one file only by a pattern
+    table = spark.read.parquet(path)
+    stream = spark.readStream.schema(table.schema)
+    if any(x.endswith("/documents.parquet") for x in table.inputFiles()):  # a stream takes folders: that of the one file, and its name
+        stream = stream.option("pathGlobFilter", "documents.parquet").parquet(sf)
+    else:
+        stream = stream.parquet(path)
     table = shared_dir(spark, "stream")
     count_stream(from_text(stream, "text", LANG), 5, table, f"{table}-checkpoint", LANG).awaitTermination()
     return current_counts(spark, table, LANG)
 
 
+def _spectrum(spark, sf, k):
+    """How many k-mers occur how often."""
+    return lang_kmers(spark, sf, k).groupBy("lang", "count").agg(F.count("*").alias("n_kmers"))
+
+
+def kmer_spectrum_12(spark, sf):
+    """Counts of more k-mers than a table of counters holds."""
+    return _spectrum(spark, sf, 12)
+
+
+def kmer_spectrum_28(spark, sf):
+    """Counts of k-mers too long for a base-4 number."""
+    return _spectrum(spark, sf, 28)
+
+
 def kmer_union_sum(spark, sf):
     """Counts of documents, then of conversations, united."""
     a = K.count_kmers(documents(spark, sf), 5)
@@ -129,7 +161,7 @@ def context_orphans(spark, sf):
 
 
 def context_post_order(spark, sf):
-    return lang_contexts(spark, sf).select("lang", "context", F.row_number().over(Window.partitionBy("lang").orderBy(post_order(F.col("context")))).alias("place"))
+    return C.places(lang_contexts(spark, sf), LANG)
 
 
 def next_symbol_probs(spark, sf):
@@ -229,7 +261,7 @@ def score_nll(spark, sf):
     items = K.count_kmers(from_text(spark.read.parquet(f"{sf}/benchmark.parquet"), "text"), TREE_BUILD.k)
     tree = lang_tree_written(spark, sf)
     langs = tree.filter("depth = 0").select("lang")
-    return rounded(M.score(items.crossJoin(langs), tree, TREE_BUILD.max_depth, 1.0, LANG))
+    return rounded(M.score(items.crossJoin(small(langs, "models")), tree, TREE_BUILD.max_depth, 1.0, LANG))
 
 
 def score_longest_context(spark, sf):
@@ -238,9 +270,18 @@ def score_longest_context(spark, sf):
     return M.log_likelihoods(counts, tree_from_kmers(counts, TREE_BUILD, LANG), TREE_BUILD.max_depth, 1.0, LANG).select("lang", "kmer", "count", "context")
 
 
+def _grid(grid: DataFrame) -> DataFrame:
+    keys = [c for c in ("lang",) if c in grid.columns]
+    return grid.select(*keys, "max_depth", "min_count", "threshold", "n_params", F.round("log_likelihood", 3).alias("log_likelihood"), F.round("bic_score", 3).alias("bic_score"))
+
+
 def bic_grid(spark, sf):
-    grid = bic_sequences(documents(spark, sf), by=LANG, **GRID)
-    return grid.select("lang", "max_depth", "min_count", "threshold", "n_params", F.round("log_likelihood", 3).alias("log_likelihood"), F.round("bic_score", 3).alias("bic_score"))
+    return _grid(bic_sequences(documents(spark, sf), by=LANG, **GRID))
+
+
+def bic_grid_full(spark, sf):
+    """Every point of the fixed grid, at each depth."""
+    return _grid(bic_sequences(documents(spark, sf), by=LANG, **FULL_GRID))
 
 
 def bic_best(spark, sf):
@@ -248,10 +289,103 @@ def bic_best(spark, sf):
     return best.select("lang", "max_depth", "min_count", "threshold", "n_params")
 
 
+def tree_depth9(spark, sf):
+    """Trees of the default depth and least count."""
+    return rounded(lang_tree(spark, sf, DEEP))
+
+
+def tree_own_rules(spark, sf):
+    """Trees by an estimator and a support test of one's own."""
+    return rounded(lang_tree(spark, sf, OWN))
+
+
+def _named_sequences(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    return docs.select(F.col("doc_id").cast("string").alias("seq_id"), F.coalesce("lang", F.lit("")).alias("description"), as_symbols(F.coalesce("text", F.lit(""))).alias("seq"))
+
+
+def fasta_files(spark, sf):
+    """All texts, written as FASTA files and read back."""
+    path = shared_dir(spark, "fasta")
+    write_fasta(_named_sequences(spark, sf), path)
+    return read_fasta(spark, path).select("seq_id", "description", F.length("seq").cast("bigint").alias("n"), F.md5("seq").alias("digest"))
+
+
+def fastq_files(spark, sf):
+    """All texts, written as FASTQ files and read back."""
+    path = shared_dir(spark, "fastq")
+    write_fastq(_named_sequences(spark, sf), path)
+    return read_fastq(spark, path).select("seq_id", "description", F.length("seq").cast("bigint").alias("n"), F.md5("seq").alias("digest"), F.length("quality").cast("bigint").alias("n_marks"))
+
+
+def fasta_kmers(spark, sf):
+    """k-mer counts of FASTA files."""
+    path = shared_dir(spark, "fasta")
+    write_fasta(_named_sequences(spark, sf), path)
+    return K.count_kmers(read_fasta(spark, path).withColumnRenamed("description", "lang"), 5, LANG)
+
+
+def kmer_table(spark, sf):
+    """k-mer counts, written as a table and read back with its checks."""
+    path = shared_dir(spark, "kmer-table")
+    lang_kmers(spark, sf, 5).write.parquet(path)
+    return read_kmers(spark, path, 5).select("lang", "kmer", "count")
+
+
+def whole_tree(spark, sf):
+    """The one tree of all documents."""
+    return tree_from_sequences(documents(spark, sf).select("seq"), TREE_BUILD)
+
+
+def tree_table(spark, sf):
+    """Trees, written as a table and read back."""
+    path = shared_dir(spark, "tree-table")
+    write_tree(lang_tree(spark, sf), path)
+    return rounded(read_tree(spark, path))
+
+
+def tree_archive_file(spark, sf):
+    """The tree of all documents, written as an archive file and read back."""
+    path = f"{shared_dir(spark, 'archive')}/tree.bintree"
+    write_archive(whole_tree(spark, sf), path)
+    return rounded(read_archive(spark, path).drop("file"))
+
+
+def tree_dump_file(spark, sf):
+    """The text form of the tree of all documents, written and read back, with its numbers of six digits."""
+    path = shared_dir(spark, "dump")
+    dump(whole_tree(spark, sf), path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+def grid_csv(spark, sf):
+    """The grid of all documents, written as CSV and read back."""
+    path = shared_dir(spark, "csv")
+    write_grid(bic_sequences(documents(spark, sf).select("seq"), **GRID), path)
+    kinds = "n_params bigint, bic_score double, min_count int, max_depth int, threshold double, log_likelihood double, fifth_percentile_frequency int"
+    return _grid(spark.read.schema(kinds).option("header", True).csv(path))
+
+
+def command_line(spark, sf):
+    """The tree of all documents as the command line builds, stores, reprunes and reads it."""
+    from ..cli import run
+
+    base = shared_dir(spark, "command-line")
+    K.count_kmers(documents(spark, sf), TREE_BUILD.k).write.parquet(f"{base}-kmers")
+    options = ["--max-depth", str(TREE_BUILD.max_depth), "--min-count", str(TREE_BUILD.min_count), "--threshold", str(TREE_BUILD.threshold)]
+    if run(spark, ["--mode", "build-from-kmer-table", "--in-path", f"{base}-kmers", "--out-path", f"{base}-tree", *options]):
+        raise RuntimeError("the tree was not built")
+    if run(spark, ["--mode", "reprune", "--in-path", f"{base}-tree", "--out-path", f"{base}-harder", "--threshold", str(HARDER)]):
+        raise RuntimeError("the tree was not repruned")
+    return rounded(read_tree(spark, f"{base}-harder"))
+
+
 NAMES = (
     kmer_counts, kmer_counts_split, kmer_counts_streamed, kmer_union_sum, sequence_fragments, symbol_functions, context_counts, context_rollup_check, context_support, context_support_adjusted,
     context_closure, context_orphans, context_post_order, next_symbol_probs, edges_kl, edges_peres_shields, contexts_kept, tree_kl, tree_peres_shields, tree_kl_adjusted,
     tree_by_role, tree_reprune, tree_dump, tree_archive, tree_size, tree_terminals, tree_remainder, shared_contexts, background_components, background_components_order1,
-    distance, distance_penalized, distance_matrix, distance_order1, score_nll, score_longest_context, bic_grid, bic_best,
+    distance, distance_penalized, distance_matrix, distance_order1, score_nll, score_longest_context, bic_grid, bic_best, bic_grid_full,
+    kmer_spectrum_12, kmer_spectrum_28, tree_depth9, tree_own_rules, fasta_files, fastq_files, fasta_kmers, kmer_table, tree_table, tree_archive_file, tree_dump_file, grid_csv,
+    command_line,
 )
 QUERIES = {f.__name__: f for f in NAMES}

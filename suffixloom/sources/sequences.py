@@ -38,6 +38,20 @@ def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return records.select(F.regexp_extract(header, r"^\S*", 0).alias("seq_id"), F.trim(F.regexp_replace(header, r"^\S*", "")).alias("description"), F.coalesce("seq", F.lit("")).alias("seq"), "quality")
 
 
+def write_fasta(sequences: DataFrame, path: str, seq_id: str = "seq_id", description: str = "description", seq: str = "seq", width: int = 60, mode: str = "errorifexists") -> None:
+    """Sequences as FASTA files in a folder, lines of ``width`` symbols.  Null ids, descriptions and sequences are empty."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    lines = F.regexp_replace(text(seq), f"(.{{{width}}})(?=.)", "$1\n")
+    sequences.select(F.concat(F.lit(">"), F.rtrim(F.concat_ws(" ", text(seq_id), text(description))), F.lit("\n"), lines).alias("value")).write.mode(mode).text(path)
+
+
+def write_fastq(sequences: DataFrame, path: str, seq_id: str = "seq_id", description: str = "description", seq: str = "seq", quality: str | None = None, mode: str = "errorifexists") -> None:
+    """Sequences as FASTQ files in a folder, four lines a record; without ``quality`` each symbol gets the same (``I``)."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    marks = text(quality) if quality else F.repeat(F.lit("I"), F.length(text(seq)))
+    sequences.select(F.concat(F.lit("@"), F.rtrim(F.concat_ws(" ", text(seq_id), text(description))), F.lit("\n"), text(seq), F.lit("\n+\n"), marks).alias("value")).write.mode(mode).text(path)
+
+
 def as_symbols(text, squeeze: bool = True):
     """Text as a sequence over ACGT: each ASCII letter, in either case, by its place in the alphabet modulo 4.
 

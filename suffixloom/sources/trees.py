@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
@@ -151,9 +152,14 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_archive(tree: DataFrame, path: str) -> None:
-    """A tree as one local archive file in post-order, written row by row through the driver (a tool for export)."""
+    """A tree as one archive file in post-order, at a path or address that pyarrow's file systems know.
+
+    Rows pass through the driver in turn (a tool for export): no more than ``size`` are held.
+    """
     rows, size = [], 100_000
-    with open(path, "wb") as f:
+    where, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    where.create_dir(name.rpartition("/")[0] or ".", recursive=True)
+    with where.open_output_stream(name) as f:
         for row in tree.orderBy(post_order(F.col("context"))).toLocalIterator():
             rows.append(row)
             if len(rows) == size:

@@ -3,17 +3,19 @@
 import math
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from suffixloom.config import PERES_SHIELDS, Build, Sequencing
 from suffixloom.functions import estimators, symbols
+from suffixloom.functions.estimators import by_kullback_leibler
 from suffixloom.operators import contexts as C
 from suffixloom.operators import kmers as K
 from suffixloom.operators import metrics as M
 from suffixloom.operators import prune as P
-from suffixloom.plans.build import bic_sequences, score_sequences, tree_from_kmers, tree_from_sequences
+from suffixloom.plans.build import bic_sequences, contexts_from_kmers, score_sequences, tree_from_kmers, tree_from_sequences
 from suffixloom.sources.sequences import read_fasta
 
 #: A folder of FASTA files of public genomes, found by their accession numbers.
@@ -69,7 +71,7 @@ def test_kmer_counts_in_slices(spark, sequences, monkeypatch):
         monkeypatch.setattr(K, "SLICE", size)
         monkeypatch.setattr(K, "DENSE", dense)
         monkeypatch.setattr(K, "MOST_DENSE", most)
-        tally, got = K._Tally(1, [1, 3, 12]), {1: {}, 3: {}, 12: {}}
+        tally, got = K._Tally(1, [1, 3, 12], K.ROW), {1: {}, 3: {}, 12: {}}
         for out in [*tally.add(batch), *tally.add(batch.slice(3, 40)), *tally.flush()]:
             for m, k, code, n in zip(*(c.to_pylist() for c in out.columns)):
                 key = (m, "".join("ACGT"[code >> 2 * i & 3] for i in range(k))[::-1])
@@ -259,3 +261,108 @@ def test_bad_parameters_are_refused():
             Build(**bad)
     with pytest.raises(ValueError):
         Sequencing(error_rate=1.0)
+
+
+def test_long_sequences_are_cut(spark, monkeypatch):
+    """Rows of a few symbols give the counts of the whole, for several lengths at once."""
+    r = random.Random(14)
+    rows = [(f"m{k % 3}", "".join(r.choice("ACGTacgtN") for _ in range(r.choice([0, 5, 39, 40, 41, 400])))) for k in range(40)] + [("m1", None)]
+    df = spark.createDataFrame(rows, "model string, seq string")
+    for size in (8, 40, 1 << 24):
+        monkeypatch.setattr(K, "ROW", size)
+        got = {}
+        for x in K.count_all(df, [1, 4, 9], ["model"]).collect():
+            got.setdefault(x.k, {})[x.model, x.kmer] = x["count"]
+        assert got == {k: naive_counts(rows, k) for k in (1, 4, 9)}
+
+
+def test_few_files_are_dealt_evenly(spark, tmp_path):
+    df = spark.createDataFrame([("ACGT",)] * 50, "seq string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/one")
+    one = spark.read.parquet(f"{tmp_path}/one")
+    assert "RoundRobin" in K.even(one)._jdf.queryExecution().toString()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10b")
+    try:
+        assert K.even(one) is one
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert K.even(df) is df
+    df.repartition(8).write.parquet(f"{tmp_path}/many")
+    many = spark.read.parquet(f"{tmp_path}/many")
+    assert K.even(many) is many
+
+
+def test_places_against_sorting(spark):
+    r = random.Random(15)
+    rows = [(m, c) for m in ("a", "b", None) for c in {"".join(r.choice("ACGT") for _ in range(r.randrange(6))) for _ in range(300)}]
+    got = {(x.model, x.context): x.place for x in C.places(spark.createDataFrame(rows, "model string, context string"), ["model"]).collect()}
+    for m in ("a", "b"):
+        ordered = sorted((c for n, c in rows if n == m), key=lambda c: c[::-1], reverse=True)
+        assert [got[m, c] for c in ordered] == list(range(1, len(ordered) + 1))
+
+
+def test_no_cartesian_product_and_no_shuffle_by_model(spark, sequences):
+    """Roots and backgrounds are broadcast, by model or not, also where the optimizer would not do so by itself."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for by in ([], ["model"]):
+            contexts = contexts_from_kmers(K.count_kmers(sequences, 4, by), Build(3, 1), by)
+            for text in (plan(P.edges(contexts, Build(3, 1, estimator=PERES_SHIELDS), by)), plan(M.components(contexts, 0, 1.0, by))):
+                assert "CartesianProduct" not in text and not re.search(r"hashpartitioning\(model#\d+, \d+\)", text)
+                assert "Broadcast" in text
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_own_estimator_and_support(spark, sequences):
+    """Rules of one's own that say what the built-in ones say build the same trees; others build others."""
+    base = Build(4, 3, 2.5)
+    same = Build(4, 3, 2.5, estimator=lambda build, threshold=None: by_kullback_leibler(build, threshold), support=lambda count, depth, least: count >= least)
+    key = lambda r: (r.model, r.context, r["count"], r.divergence, r.is_terminal)
+    trees = [sorted(map(key, tree_from_sequences(sequences, b, ["model"]).collect()), key=str) for b in (base, same)]
+    assert trees[0] == trees[1]
+    short = tree_from_sequences(sequences, Build(4, 3, 2.5, support=lambda count, depth, least: (count >= least) & (depth <= 2)), ["model"])
+    assert short.agg(F.max("depth")).first()[0] <= 2
+    with pytest.raises(ValueError):
+        Build(estimator="no such")
+
+
+def test_distances_of_trees_without_shared_contexts(spark):
+    rows = [(m, c, len(c), 4, 1, 2, 3, 10) for m, cs in (("a", ["", "A"]), ("b", ["", "C"]), ("c", ["", "A", "C"])) for c in cs]
+    trees = spark.createDataFrame(rows, "model string, context string, depth int, n_a bigint, n_c bigint, n_g bigint, n_t bigint, count bigint")
+    got = {(x.left_id, x.right_id): (x.n_shared, x.n_missing, x.distance) for x in M.distances(trees, "model").collect()}
+    assert got[("a", "b")] == (0, 2, 1.0) and got[("a", "c")][:2] == (1, 1) and got[("b", "c")][:2] == (1, 1)
+    some = spark.createDataFrame([("c", "a")], "left_id string, right_id string")
+    assert [(x.left_id, x.right_id, x.n_shared) for x in M.distances(trees, "model", some).collect()] == [("c", "a", 1)]
+
+
+def naive_distance(left, right, nodes, order):
+    """The angle of two trees' background-adjusted probabilities over the contexts of both."""
+    def vectors(tree, counts):
+        p = lambda c: [(x + 1) / (sum(c) + 4) for x in c]
+        back = lambda w: next(w[len(w) - n :] for n in range(min(order, len(w)), -1, -1) if w[len(w) - n :] in tree)
+        return {w: [a / math.sqrt(b) for a, b in zip(p(counts[w]), p(counts[back(w)]))] for w in tree if len(w) > order}
+    a, b = vectors(left, nodes[0]), vectors(right, nodes[1])
+    both = sorted(set(a) & set(b))
+    dot, aa, bb = (sum(x * y for w in both for x, y in zip(u[w], v[w])) for u, v in ((a, b), (a, a), (b, b)))
+    return 2 / math.pi * math.acos(min(1.0, dot / math.sqrt(aa * bb)))
+
+
+def test_generated_genomes(spark, tmp_path):
+    """FASTA files of two made-up genomes, at the default depth and least count, against naive trees and distances."""
+    build, nodes, trees, files = Build(9, 2, 3.9075), [], [], []
+    for k in (0, 1):
+        seq = dna(40 + k, 6000) + "NNRY" + dna(50 + k, 2000).lower() + "K" + dna(50, 1500)
+        (tmp_path / f"{k}.fa").write_text(f">g{k} made up\n" + "\n".join(seq[i : i + 70] for i in range(0, len(seq), 70)) + "\n")
+        raw = {}
+        for (_, w), n in naive_counts([("", seq)], 10).items():
+            for d in range(10):
+                raw.setdefault(w[:d], [0] * 4)["ACGT".index(w[d])] += n
+        nodes.append(raw)
+        trees.append(naive_tree(raw, build, sum(raw[""])))
+        files.append(tree_from_sequences(read_fasta(spark, f"{tmp_path}/{k}.fa"), build))
+        got = {r.context: (r["count"], r.is_terminal) for r in files[k].collect()}
+        assert got == {w: (x[0], x[2]) for w, x in trees[k].items()} and max(map(len, got)) >= 4
+    for order in (0, 1):
+        assert M.distance(*files, order).first().distance == pytest.approx(naive_distance(*trees, nodes, order), abs=1e-9)
