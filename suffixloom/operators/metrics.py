@@ -134,14 +134,33 @@ def log_likelihoods(kmers: DataFrame, tree: DataFrame, max_depth: int, pseudo_co
     return found.groupBy(*by, "kmer", "count").agg(F.max_by(F.struct("context", "log_p"), "depth").alias("x")).select(*by, "kmer", "count", "x.context", "x.log_p")
 
 
+def windows_by_suffix(kmers: DataFrame, max_depth: int, by: list[str] = ()) -> DataFrame:
+    """``by, context, seen_n_a, seen_n_c, seen_n_g, seen_n_t``: last symbols of windows, by each suffix of what stands before them."""
+    following = F.right("kmer", F.lit(1))
+    sums = [F.sum(F.when(following == s.upper(), F.col("count")).otherwise(F.lit(0).cast("bigint"))).alias(f"seen_{c}") for s, c in zip(SYMBOLS, NEXT, strict=True)]
+    whole = kmers.groupBy(*by, F.substring("kmer", 1, max_depth).alias("before")).agg(*sums)
+    rows = whole.select(*by, F.explode(all_suffixes(F.col("before"))).alias("context"), *[f"seen_{c}" for c in NEXT])
+    return rows.groupBy(*by, "context").agg(*[F.sum(f"seen_{c}").alias(f"seen_{c}") for c in NEXT])
+
+
 def score(kmers: DataFrame, tree: DataFrame, max_depth: int, pseudo_count: float = 1.0, by: list[str] = ()) -> DataFrame:
     """``by, n_windows, log_likelihood, nll``: ``nll`` is the mean negative log-likelihood of a window's last symbol, in nats.
 
     ``kmers`` has k-mers of ``max_depth + 1`` symbols.  Each window is scored by the longest context of the
-    tree that precedes its last symbol.
+    tree that precedes its last symbol.  A window's contexts in the tree are suffixes of each other, so its
+    log-likelihood is what each adds to the next shorter one; windows are summed by context first and no
+    window looks for its longest.
     """
-    rows = log_likelihoods(kmers, tree, max_depth, pseudo_count, by)
-    sums = rows.groupBy(*by).agg(F.sum("count").alias("n_windows"), F.sum(F.col("count") * F.col("log_p")).alias("log_likelihood"))
+    logs = F.array(*[F.log(p) for p in probabilities(pseudo_count)])
+    nodes = tree.select(*by, "context", "depth", logs.alias("logs"))
+    shorter = nodes.filter("depth > 0").select(*by, "context", F.explode(F.sequence(F.lit(0), F.col("depth") - 1)).alias("n"))
+    shorter = shorter.select(*by, F.col("context").alias("whole"), last(F.col("context"), F.col("n")).alias("context")).join(nodes, [*by, "context"])
+    above = shorter.groupBy(*by, F.col("whole").alias("context")).agg(F.max_by("logs", "depth").alias("above"))
+    seen = windows_by_suffix(kmers, max_depth, by).join(nodes.drop("depth"), [*by, "context"]).join(above, [*by, "context"], "left")
+    counts = [F.col(f"seen_{c}") for c in NEXT]
+    gain = sum((n * (F.col("logs")[i] - F.coalesce(F.col("above")[i], F.lit(0.0))) for i, n in enumerate(counts)), F.lit(0.0))
+    scored = F.when(F.col("above").isNull(), sum(counts[1:], counts[0]))  # each window once, at its shortest context
+    sums = seen.groupBy(*by).agg(F.sum(scored).alias("n_windows"), F.sum(gain).alias("log_likelihood"))
     return sums.select(*by, "n_windows", "log_likelihood", (-F.col("log_likelihood") / F.col("n_windows")).alias("nll"))
 
 
@@ -171,9 +190,7 @@ def _grid_of_depth(kmers: DataFrame, depth: int, min_counts: list[int], threshol
     deep = all_contexts.filter("depth >= 2").join(closure(all_contexts, by, F.col("count")), key).withColumn("until", F.least("count", "value")).drop("value")
     contexts = written(all_contexts.filter("depth < 2").withColumn("until", F.col("count")).unionByName(deep), "closed")
     parents = contexts.select(*by, F.col("context").alias("parent"), *[F.col(c).alias(f"parent_{c}") for c in NEXT])
-    # windows' last symbols by each suffix of what stands before them
-    whole = all_contexts.filter(F.col("depth") == depth)
-    seen = whole.select(*by, F.explode(all_suffixes(F.col("context"))).alias("context"), *[F.col(c).alias(f"seen_{c}") for c in NEXT]).groupBy(*key).agg(*[F.sum(f"seen_{c}").alias(f"seen_{c}") for c in NEXT])
+    seen = windows_by_suffix(kmers, depth, by)
     own, above = probabilities(pseudo_count), probabilities(pseudo_count, "parent_")
     edge = contexts.filter("depth >= 1").withColumn("parent", suffix(F.col("context"))).join(parents, [*by, "parent"]).join(seen, key, "left")
     gain = sum((F.coalesce(f"seen_{c}", zero) * F.log(p / q) for c, p, q in zip(NEXT, own, above, strict=True)), F.lit(0.0))

@@ -195,6 +195,22 @@ def test_score_uses_the_longest_context(spark, sequences):
     assert row.nll == pytest.approx(nll) and row.n_windows == n
 
 
+def test_score_of_a_tree_with_gaps(spark, sequences):
+    """The longest context counts also where shorter ones are not in the tree, and windows without any are left out."""
+    x = sequences.filter("model = 'x'")
+    tree = tree_from_sequences(x, Build(4, 2, 1.2))
+    counts = naive_counts([("", r.seq) for r in sequences.collect()], 5)
+    for some in (tree.filter("depth <> 1"), tree.filter("depth > 1 or context = 'A'"), tree.filter("context in ('', 'CA')"), tree.limit(0)):
+        nodes = {r.context: [r.n_a, r.n_c, r.n_g, r.n_t] for r in some.collect()}
+        windows = {k: v for (_, k), v in counts.items() if any(k[i:-1] in nodes for i in range(5))}
+        row = score_sequences(sequences, some, 4).first()
+        if not windows:
+            assert row.n_windows is None and row.nll is None
+            continue
+        nll, n = naive_nll(windows, nodes)
+        assert row.nll == pytest.approx(nll) and row.n_windows == n
+
+
 def test_distance_laws(spark, sequences):
     tree = tree_from_sequences(sequences, Build(4, 2, 1.2), ["model"])
     x, y = (tree.filter(F.col("model") == m).drop("model") for m in "xy")
