@@ -46,12 +46,12 @@ def small(df: DataFrame, label: str, most: int = MOST_BROADCAST) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def clean(spark: SparkSession) -> int:
-    """Delete all intermediate tables in the shared folder, those of other sessions too; returns how many.
+def clean(spark: SparkSession, base: str | None = None) -> int:
+    """Delete all intermediate tables in ``base`` (the shared folder), those of other sessions too; returns how many.
 
     Results that were not written elsewhere or fetched cannot be read afterwards.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_SCRATCH, None)
+    base = base or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_SCRATCH, None)
     if not base:
         return 0
     folder = spark._jvm.org.apache.hadoop.fs.Path(base)
