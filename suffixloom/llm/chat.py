@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from .common import named
+
 OPEN, ROLE, ROLE_END, TURN_END = "<s>", "[INST]", "[/INST]", "</s>"
 #: Placeholders of the part types other than text.
 PLACEHOLDER = {"image": "<|image|>", "audio": "<|audio|>", "document": "<|document|>"}
@@ -225,8 +227,8 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
     one conversation.  Offsets count code points.  An empty table gives no rows.  A conversation becomes one
     value of a row and must fit in one; nothing else is gathered.
     """
-    one = F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(content).cast("string").alias("content"))
-    grouped = turns.groupBy(F.col(conv).alias("conv")).agg(F.array_sort(F.collect_list(one)).alias("turns"))
+    one = F.struct(named(turn).alias("turn"), named(role).alias("role"), named(content).cast("string").alias("content"))
+    grouped = turns.groupBy(named(conv).alias("conv")).agg(F.array_sort(F.collect_list(one)).alias("turns"))
     schema = StructType([grouped.schema["conv"], *FORMATTED.fields])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

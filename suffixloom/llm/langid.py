@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import appended, slices, text_bytes
+from .common import appended, named, slices, text_bytes
 
 #: Languages that are told apart inside one family; any other language is a family of its own.
 FAMILIES = {
@@ -184,7 +184,7 @@ def fit(x: np.ndarray, labels: list[str], families: dict[str, tuple] | None = No
 
 def held_out(row: str):
     """True where crc32 of the id as text leaves 2 when divided by 4; false for null ids."""
-    return F.coalesce(F.crc32(F.col(row).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    return F.coalesce(F.crc32(named(row).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def train(docs: DataFrame, row: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, families: dict[str, tuple] | None = None) -> Model:
@@ -192,16 +192,16 @@ def train(docs: DataFrame, row: str = "doc_id", text: str = "text", lang: str =
 
     Rows with null id, text or language teach nothing.
     """
-    rows = docs.filter(F.col(lang).isNotNull() & F.col(row).isNotNull() & ~held_out(row))
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
+    rows = docs.filter(named(lang).isNotNull() & named(row).isNotNull() & ~held_out(row))
+    counts = {r[0]: r[1] for r in rows.groupBy(named(lang)).count().collect()}
     if not counts:
         return Model()
     rate = F.lit(1.0)
     for name, n in counts.items():
         if n > sample:
-            rate = F.when(F.col(lang) == name, F.lit(sample / n)).otherwise(rate)
-    unit = F.shiftrightunsigned(F.xxhash64(F.col(row).cast("string"), F.col(lang)), 11) / float(1 << 53)
-    part = rows.filter(F.col(text).isNotNull() & (unit < rate)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+            rate = F.when(named(lang) == name, F.lit(sample / n)).otherwise(rate)
+    unit = F.shiftrightunsigned(F.xxhash64(named(row).cast("string"), named(lang)), 11) / float(1 << 53)
+    part = rows.filter(named(text).isNotNull() & (unit < rate)).select(named(lang).alias("lang"), named(text).alias("text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -237,7 +237,7 @@ def keep(docs: DataFrame, row: str = "doc_id", text: str = "text", lang: str = "
     """
     model = train(docs, row, text, lang, **options)
     if not model.families:
-        return docs.filter(F.col(text).rlike(r"\p{L}"))
+        return docs.filter(named(text).rlike(r"\p{L}"))
     out, (pred, score) = predict(docs, model, text)
     return out.filter((F.col(pred) != UNKNOWN) & (F.col(score) >= min_score)).drop(pred, score)
 

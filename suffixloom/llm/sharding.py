@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, named
 
 #: Shards and table size that the query uses.  A size of 100 or more slots a shard keeps shares within 1 %.
 SHARDS, SIZE = tuple(f"shard-{k:03d}" for k in range(64)), 65537
@@ -75,8 +75,8 @@ def assign(df: DataFrame, keys: list[str], shards: list[str] | tuple[str, ...] =
     slot = fresh("slot", df.columns)
     shard = fresh("shard", [*df.columns, slot])
     table = spark.createDataFrame([(i, shards[int(s)]) for i, s in enumerate(fill(shards, size, turns))], f"`{slot}` int, `{shard}` string")
-    placed = df.withColumn(slot, slot_of([F.col(f"`{k}`") for k in keys], size))
-    names = [F.col(f"`{c}`") for c in df.columns]
+    placed = df.withColumn(slot, slot_of([named(k) for k in keys], size))
+    names = [named(c) for c in df.columns]
     return placed.join(F.broadcast(table), slot).select(*names, slot, shard), [slot, shard]
 
 

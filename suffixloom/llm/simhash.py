@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import numbered, slices, written
+from .common import named, numbered, slices, written
 from .components import components
 
 #: Words in a shingle, seed of the shingle hash, and bits that a link may differ in.
@@ -53,7 +53,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 def fingerprints(docs: DataFrame, row: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """``row, fp`` for each row of ``docs``: the row's key and its fingerprint as a signed long.  Null text has no words."""
-    part = docs.select(F.col(row).alias("row"), F.col(text).alias("text"))
+    part = docs.select(named(row).alias("row"), named(text).cast("string").alias("text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -210,10 +210,10 @@ def deduplicate(docs: DataFrame, row: str = "doc_id", text: str = "text", **opti
     docs, mark, same = numbered(docs, row)
     if same:
         found = near_duplicates(docs, row, text, **options)
-        stay = found.filter(F.col("row") == F.col("first_row")).select(F.col("row").alias(mark))
+        stay = found.filter(F.col("row") == F.col("first_row")).select(F.col("row").cast("bigint").alias(mark))
     else:
-        key = F.struct(F.col(row).isNull().alias("null"), F.col(row).alias("id"), F.col(mark).alias("number"))
-        found = near_duplicates(docs.select(key.alias("row"), F.col(text).alias("text")), "row", "text", **options)
+        key = F.struct(named(row).isNull().alias("null"), named(row).alias("id"), named(mark).alias("number"))
+        found = near_duplicates(docs.select(key.alias("row"), named(text).alias("text")), "row", "text", **options)
         stay = found.filter(F.col("row.number") == F.col("first_row.number")).select(F.col("row.number").alias(mark))
     return docs.join(stay, mark, "left_semi").drop(mark)
 

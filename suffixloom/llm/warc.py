@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, slices, written
+from .common import named, shared_dir, slices, written
 
 VERSION = "WARC/1.0"
 #: Date that records get where the pages have none.
@@ -52,7 +52,7 @@ def write_archive(pages: DataFrame, path: str, row: str = "page_id", url: str =
     (the payload is still stored once).  A null key is less than any other; where all keys of a payload
     are null, all are responses.  Shorter payloads are always responses.  Null bodies are empty payloads.
     """
-    data = pages.select(F.col(row).alias("row"), F.col(url).cast("string").alias("url"), F.encode(F.coalesce(F.col(body).cast("string"), F.lit("")), "UTF-8").alias("payload"))
+    data = pages.select(named(row).alias("row"), named(url).cast("string").alias("url"), F.encode(F.coalesce(named(body).cast("string"), F.lit("")), "UTF-8").alias("payload"))
     data = data.withColumn("sha256", F.unhex(F.sha2("payload", 256)))
     groups = data.groupBy("sha256").agg(F.max("row").alias("last"), F.count("*").alias("n"))
     first = data.groupBy("sha256").agg(F.first("payload").alias("payload"))

@@ -1,9 +1,12 @@
 """Registered queries against their SQL where they have some; all ten and the pipeline are there."""
 
+import sys
+
 import oracle
 import pytest
 
 import __spark_entry__
+from suffixloom.plans.queries import QUERIES as ENGINE
 from suffixloom.llm.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -25,3 +28,13 @@ def test_query_against_sql(spark, name):
 def test_other_queries_are_whole(spark, name):
     docs = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
     assert {r.doc_id for r in QUERIES[name](spark, SF).collect()} == docs
+
+
+def test_queries_without_a_library(monkeypatch):
+    """Where a library of these operators is missing, the engine's queries stay, and it is said what is left out."""
+    for name in [m for m in sys.modules if m.startswith("suffixloom.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.delattr("suffixloom.llm")
+    monkeypatch.setitem(sys.modules, "tiktoken", None)
+    with pytest.warns(UserWarning, match="tiktoken"):
+        assert set(__spark_entry__.queries()) == set(ENGINE)
