@@ -39,7 +39,7 @@ RUN, PERIOD, PERIODS = 256, 32, 128
 #: Tokens on either side of a join in its first window.
 FIRST_WINDOW = 4
 #: Pre-tokens remembered by a worker before it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 
 def _byte_letters() -> dict[str, int]:

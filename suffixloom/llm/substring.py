@@ -218,7 +218,7 @@ def window_links(docs: DataFrame, linked: DataFrame, found: DataFrame, k: int =
                 at = np.sort(by[np.r_[True, (h[by][1:] != h[by][:-1]) | (np.diff(nth) > 0)][: len(h)]])
                 yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(np.full(len(at), doc)), pa.array((lo + at).astype(np.int32))], names=["h", "doc", "pos"])
 
-    runs = _fetch(docs, asked, hot or HOT_REQUESTS).mapInArrow(each, "h bigint, doc bigint, pos int")
+    runs = _fetch(docs, asked, hot or HOT_REQUESTS, each, "h bigint, doc bigint, pos int")
     return _to_first(written(runs, "runs"))
 
 
@@ -338,10 +338,14 @@ def chains(linked: DataFrame, k: int = K) -> DataFrame:
     return dealt.mapInArrow(each, "doc bigint, src bigint, no bigint, a bigint, b bigint, sa bigint, sb bigint, turns array<bigint>")
 
 
-def _fetch(docs: DataFrame, asked: DataFrame, hot: int = HOT_REQUESTS) -> DataFrame:
+WORDS = "doc bigint, src bigint, no bigint, side bigint, lo bigint, words binary"
+
+
+def _fetch(docs: DataFrame, asked: DataFrame, hot: int = HOT_REQUESTS, then=None, schema: str = WORDS) -> DataFrame:
     """``doc, src, no, side, lo, words`` for each request ``key, doc, src, no, side, lo, hi``: hashes of words lo:hi.
 
     Texts and requests meet by document; a document with very many requests is dealt over several tasks.
+    ``then`` turns these rows into others in the same Python process (a second one would hold as much memory again).
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by_key = written(asked.groupBy("key").count(), "asked")
@@ -379,7 +383,7 @@ def _fetch(docs: DataFrame, asked: DataFrame, hot: int = HOT_REQUESTS) -> DataFr
             yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in (4, 5, 6, 7)), pa.array(starts, pa.int64()), pa.array(got, pa.binary())], names=["doc", "src", "no", "side", "lo", "words"])
 
     both = text.unionByName(ask).repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "kind")
-    return both.mapInArrow(each, "doc bigint, src bigint, no bigint, side bigint, lo bigint, words binary")
+    return both.mapInArrow((lambda batches: then(each(batches))) if then else each, schema)
 
 
 def _shingles(words: np.ndarray, n: int) -> np.ndarray:
