@@ -16,7 +16,7 @@ from ..operators import contexts as C
 from ..operators import kmers as K
 from ..operators import metrics as M
 from ..operators import prune as P
-from ..sources.sequences import as_symbols, from_text, read_fasta, read_fastq, read_kmers, write_fasta, write_fastq
+from ..sources.sequences import as_symbols, from_text, read_fasta, read_fasta_pieces, read_fastq, read_kmers, write_fasta, write_fastq
 from ..sources.trees import dump, dump_line, from_records, read_archive, read_tree, to_records, write_archive, write_grid, write_tree
 from ..streaming.incremental import count_stream, current_counts
 from ..tables import shared_dir, small, written
@@ -319,10 +319,10 @@ def fastq_files(spark, sf):
 
 
 def fasta_kmers(spark, sf):
-    """k-mer counts of FASTA files."""
+    """k-mer counts of FASTA files that are read in pieces."""
     path = shared_dir(spark, "fasta")
     write_fasta(_named_sequences(spark, sf), path)
-    return K.count_kmers(read_fasta(spark, path).withColumnRenamed("description", "lang"), 5, LANG)
+    return K.count_kmers(read_fasta_pieces(spark, path, 5).withColumnRenamed("description", "lang"), 5, LANG)
 
 
 def kmer_table(spark, sf):

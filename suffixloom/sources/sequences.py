@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import ALPHABET
+from ..tables import written
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
@@ -22,16 +23,44 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return parts.select(F.regexp_extract("header", r"^\S*", 0).alias("seq_id"), F.trim(F.regexp_replace("header", r"^\S*", "")).alias("description"), "seq")
 
 
+def _blocks(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``value, file, block, id`` for each line: where its block of the file begins, and a number that grows within the block."""
+    return spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+
+
+def read_fasta_pieces(spark: SparkSession, path: str | list[str], k: int) -> DataFrame:
+    """``seq_id, description, seq``: FASTA records in pieces, one for each block of a file that a record is in.
+
+    A piece goes on for ``k - 1`` symbols into the next one of its record, so windows of ``k`` symbols are those of
+    the whole records (shorter ones are not).  So a chromosome is read, joined and counted by as many tasks as its
+    file has blocks.  Blocks must have more than ``k`` symbols; a record without a sequence has no piece.
+    """
+    lines = written(_blocks(spark, path), "lines")
+    marked = lines.withColumn("head", F.when(F.col("value").startswith(">"), F.col("value")))
+    own = marked.withColumn("record", F.last(F.when(F.col("head").isNotNull(), F.struct("id", "head")), ignorenulls=True).over(Window.partitionBy("file", "block").orderBy("id")))
+    ends = marked.filter("head is not null").groupBy("file", "block").agg(F.max(F.struct("id", "head")).alias("end"))
+    blocks = lines.select("file", "block").distinct().join(ends, ["file", "block"], "left")
+    before = F.last("end", ignorenulls=True).over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    placed = own.join(blocks.select("file", "block", before.alias("before")), ["file", "block"]).filter("head is null").withColumn("record", F.coalesce("record", "before"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "value"))), lambda x: F.regexp_replace(x["value"], r"\s+", "")), "")
+    pieces = placed.groupBy("file", "record", "block").agg(text.alias("seq")).filter("seq <> ''")
+    # a record's number grows with its line, and so do blocks
+    after = F.lead(F.substring("seq", 1, k - 1)).over(Window.partitionBy("file", "record").orderBy("block")) if k > 1 else F.lit("")
+    header = F.coalesce(F.substring("record.head", 2, 2147483647), F.lit(""))
+    pieces = pieces.select(header.alias("header"), F.concat("seq", F.coalesce(after, F.lit(""))).alias("seq"))
+    return pieces.select(F.regexp_extract("header", r"^\S*", 0).alias("seq_id"), F.trim(F.regexp_replace("header", r"^\S*", "")).alias("description"), "seq")
+
+
 def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``seq_id, description, seq, quality`` for each record of FASTQ files: four lines a record.
 
     Lines are numbered within their file from the number of lines in the file's earlier blocks, so a file
     is read in as many pieces as it has blocks.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    lines = _blocks(spark, path)
     blocks = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     earlier = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = lines.join(blocks.select("file", "block", "first", earlier.alias("before")), ["file", "block"]).select("file", F.regexp_replace("value", "\r$", "").alias("value"), (F.col("before") + F.col("id") - F.col("first")).alias("line"))
+    placed = lines.join(blocks.select("file", "block", "first", earlier.alias("before")), ["file", "block"]).select("file", "value", (F.col("before") + F.col("id") - F.col("first")).alias("line"))
     one = lambda k, name: F.max(F.when(F.col("line") % 4 == k, F.col("value"))).alias(name)
     records = placed.groupBy("file", F.floor(F.col("line") / 4).alias("record")).agg(one(0, "header"), one(1, "seq"), one(3, "quality")).filter("header like '@%'")
     header = F.substring("header", 2, 2147483647)

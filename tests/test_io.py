@@ -146,3 +146,30 @@ def test_grid_csv(spark, tmp_path):
     T.write_grid(grid, f"{tmp_path}/g")
     got = spark.read.option("header", True).csv(f"{tmp_path}/g").collect()
     assert [tuple(r) for r in got] == [("30", "250.0", "2", "4", "1.5", "-100.0", "0")] * 2
+
+
+def test_fasta_in_pieces(spark, tmp_path):
+    """Windows of records that go over many blocks are those of the whole records."""
+    import random
+
+    r = random.Random(31)
+    records = []
+    for k in range(12):
+        seq = "".join(r.choice("ACGTacgtN") for _ in range(r.choice([0, 3, 50, 700, 4000])))
+        records.append((f"r{k}", "some words" if k % 2 else "", seq))
+    for part in (0, 1):
+        (tmp_path / f"{part}.fa").write_text("".join(f">{i} {d}".rstrip() + "\r\n" + "".join(s[a : a + 60] + "\r\n" for a in range(0, len(s), 60)) for i, d, s in records[part * 6 : part * 6 + 6]))
+    for size in ("300b", "1000b", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+        try:
+            whole, pieces = S.read_fasta(spark, str(tmp_path)), S.read_fasta_pieces(spark, str(tmp_path), 7)
+            assert sorted(tuple(x) for x in whole.collect()) == sorted(records)
+            key = lambda x: (x.seq_id, x.description, x.kmer, x["count"])
+            by = ["seq_id", "description"]
+            assert sorted(map(key, count_kmers(pieces, 7, by).collect())) == sorted(map(key, count_kmers(whole, 7, by).collect()))
+            if size == "300b":
+                assert pieces.count() > 30
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
