@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..config import Sequencing, Support
 from ..functions.estimators import SYMBOLS, adjustment
-from ..functions.symbols import last, post_order
-from ..tables import written
+from ..functions.symbols import all_suffixes, last, post_order, suffix
+from ..tables import small, written
 
 NEXT = [f"n_{s}" for s in SYMBOLS]
 
@@ -57,10 +57,15 @@ def close(contexts: DataFrame, by: list[str] = ()) -> DataFrame:
     """Contexts all of whose suffixes are there too.
 
     Windows at the end of a fragment, and thresholds that fall with depth, can leave a context without
-    its parent; such orphans are dropped, so every context but the root has its parent.
+    its parent; such orphans are dropped, and all that end in one, so every context but the root has its parent.
+    Each context looks up its parent only; orphans are few, and those that end in one are found by broadcast.
     """
-    whole = closure(contexts, by).select(*by, "context")
-    return contexts.filter("depth < 2").unionByName(contexts.filter("depth >= 2").join(whole, [*by, "context"], "left_semi").select(contexts.columns))
+    deep = contexts.filter("depth >= 2")
+    parents = contexts.filter("depth >= 1").select(*by, F.col("context").alias("parent"))
+    lone = deep.withColumn("parent", suffix(F.col("context"))).join(parents, [*by, "parent"], "left_anti").select(*by, "context")
+    ends = deep.select(*by, F.col("context").alias("whole"), F.explode(all_suffixes(F.col("context"), 2)).alias("context"))
+    gone = ends.join(small(lone, "orphans"), [*by, "context"], "left_semi").select(*by, F.col("whole").alias("context")).distinct()
+    return contexts.join(gone, [*by, "context"], "left_anti").select(contexts.columns)
 
 
 def orphans(contexts: DataFrame, by: list[str] = ()) -> DataFrame:
