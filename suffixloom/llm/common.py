@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +18,9 @@ from ..tables import shared_dir, written  # noqa: F401  (for the operators)
 #: Texts are worked on in slices of about so many bytes, and so many rows at most.
 SLICE_BYTES, SLICE_ROWS = 4 << 20, 2048
 
+#: Of the GNU C library; other platforms do without.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+
 _MULT = 0x9E3779B97F4A7C15
 _U = np.uint64
 
@@ -48,6 +53,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYT
             stop = min(start + SLICE_ROWS, max(start + 1, int(np.searchsorted(ends, base + size, side="right"))))
             yield batch.slice(start, stop - start)
             start = stop
+    tidy()
+
+
+def tidy() -> None:
+    """Give back to the system what a worker no longer uses; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
 def alnum_bytes() -> np.ndarray:
