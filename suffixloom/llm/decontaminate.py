@@ -40,7 +40,7 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", n: int = WINDOW) -> DataFrame:
-    """Distinct ``h, size, words, item``: each window's hash, number of words, words joined by blanks, and item id as a string.
+    """``h, size, words, item``: each window's hash, number of words, words joined by blanks, and item id as a string.
 
     Null and wordless texts have none.
     """
@@ -62,7 +62,7 @@ def windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", n:
                     words = [raw[a:z] for a, z in zip(starts[at : at + len(own)].tolist(), ends[at + size - 1 : at + size - 1 + len(own)].tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), size, np.int32)), pa.array(words, pa.binary()), pa.array([name] * len(own), pa.string())], names=["h", "size", "words", "item"])
 
-    return part.mapInArrow(each, "h bigint, size int, words binary, item string").distinct()
+    return part.mapInArrow(each, "h bigint, size int, words binary, item string")
 
 
 def _next(h: np.ndarray) -> np.ndarray:
@@ -156,10 +156,13 @@ def _covered(spans: Column) -> Column:
 
 def _measured(docs: DataFrame, benchmark: DataFrame, item: str, item_text: str, n: int, set_bytes: int) -> DataFrame:
     """``doc, n_words, n_hit, items, spans`` for each row of ``docs`` (columns ``doc``, a unique long, and ``text``)."""
-    known = written(windows(benchmark, item, item_text, n), "windows")
+    # a row for each window, so that a passage which many items and many documents share makes no row for each pair of them
+    known = windows(benchmark, item, item_text, n).groupBy("h", "size", "words").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    known = written(known, "windows")
     scanned = written(scan(docs, hash_set(known, set_bytes)), "scanned")
     candidates = scanned.select("doc", F.explode("found").alias("c")).select("doc", "c.at", "c.size", "c.h", "c.words")
-    hits = candidates.join(known, ["h", "size", "words"]).groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("at", "size"))).alias("spans"), F.sort_array(F.collect_set("item")).alias("items"))
+    hits = candidates.join(known, ["h", "size", "words"]).groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("at", "size"))).alias("spans"), F.collect_set("items").alias("items"))
+    hits = hits.withColumn("items", F.array_sort(F.array_distinct(F.flatten("items"))))
     none = F.array().cast("array<string>")
     return scanned.select("doc", "n_words").join(hits, "doc", "left").select(
         "doc", "n_words", F.coalesce(_covered(F.col("spans")), F.lit(0).cast("bigint")).alias("n_hit"), F.coalesce("items", none).alias("items"), "spans"
