@@ -88,7 +88,7 @@ def distances(trees: DataFrame, model: str, pairs: DataFrame | None = None, back
     left = vectors.select(F.col(model).alias("left_id"), "context", *[F.col(v).alias(f"l{v}") for v in names])
     right = vectors.select(F.col(model).alias("right_id"), "context", *[F.col(v).alias(f"r{v}") for v in names])
     short = F.collect_set(F.when(F.col("depth") <= background_order, F.col("context")))  # at most all contexts of so few symbols
-    sizes = written(trees.groupBy(F.col(model).alias("id")).agg(F.count("*").alias("n"), short.alias("short")), "models")
+    sizes = small(trees.groupBy(F.col(model).alias("id")).agg(F.count("*").alias("n"), short.alias("short")), "models")
     as_side = lambda side: sizes.select(F.col("id").alias(f"{side}_id"), F.col("n").alias(f"n_{side}"), F.col("short").alias(f"{side}_short"))
     if pairs is None:
         both = left.join(right, (left.context == right.context) & (F.col("left_id") < F.col("right_id")))
