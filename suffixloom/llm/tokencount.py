@@ -47,10 +47,12 @@ class Trie:
 
     def __init__(self, scores: dict[bytes, int]):
         self.scores, self.longest = scores, max(map(len, scores))
-        self.ends: dict[int, list[int]] = {}
-        for p in scores:  # piece lengths by last byte: what can end at a node
-            self.ends.setdefault(p[-1], set()).add(len(p))
-        self.ends = {b: sorted(x) for b, x in self.ends.items()}
+        self.single = [scores[bytes([b])] for b in range(256)]
+        ends: dict[int, set[int]] = {}
+        for p in scores:  # lengths of longer pieces by their last two bytes: what can end at a node
+            if len(p) > 1:
+                ends.setdefault(p[-2] << 8 | p[-1], set()).add(len(p))
+        self.ends = {b: sorted(x) for b, x in ends.items()}
         self.clear()
 
     def clear(self) -> None:
@@ -59,34 +61,41 @@ class Trie:
 
     def _best(self, token: bytes, at: int, score: list[int], count: list[int]) -> tuple[int, int]:
         """Best score and count of ``token[:at]``; ``score[i]`` and ``count[i]`` are those of its prefixes."""
-        best = None
-        for n in self.ends[token[at - 1]]:
-            if n > at:
-                break
-            s = self.scores.get(token[at - n : at])
-            if s is not None:
-                found = score[at - n] + s, -count[at - n] - 1
-                if best is None or found > best:
-                    best = found
-        return best[0], -best[1]
+        best, fewest = score[at - 1] + self.single[token[at - 1]], count[at - 1]
+        if at > 1:
+            known = self.scores.get
+            for n in self.ends.get(token[at - 2] << 8 | token[at - 1], ()):
+                if n > at:
+                    break
+                s = known(token[at - n : at])
+                if s is not None:
+                    s += score[at - n]
+                    if s > best or s == best and count[at - n] < fewest:
+                        best, fewest = s, count[at - n]
+        return best, fewest + 1
 
     def tokens(self, token: bytes) -> int:
         """Tokens of a pre-token's best segmentation; its prefixes stay for the next."""
         if len(token) > LONG:
             return self._alone(token)
-        child, node = self.child, 0
-        scores, counts = [0], [0]
-        for at, byte in enumerate(token, 1):
-            key = node << 8 | byte
-            node = child.get(key)
-            if node is None:
+        child, score, count, node = self.child, self.score, self.count, 0
+        path, size = [0], len(token)
+        for byte in token:  # as far as the trie goes
+            found = child.get(node << 8 | byte)
+            if found is None:
+                break
+            path.append(found)
+            node = found
+        if len(path) <= size:
+            scores, counts = [score[i] for i in path], [count[i] for i in path]
+            for at in range(len(path), size + 1):
                 s, c = self._best(token, at, scores, counts)
-                node = child[key] = len(self.score)
-                self.score.append(s)
-                self.count.append(c)
-            scores.append(self.score[node])
-            counts.append(self.count[node])
-        return counts[-1]
+                scores.append(s)
+                counts.append(c)
+                child[node << 8 | token[at - 1]] = node = len(score)
+                score.append(s)
+                count.append(c)
+        return count[node]
 
     def _alone(self, token: bytes) -> int:
         """The same without nodes: only as many prefixes are held as the longest piece has bytes."""
