@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import named, shared_dir, slices, written
+from .common import named, shared_dir, slices
 
 VERSION = "WARC/1.0"
 #: Date that records get where the pages have none.
@@ -45,7 +45,7 @@ def header(kind: Column, row: Column, url: Column, date: Column, digest: Column,
 
 
 def write_archive(pages: DataFrame, path: str, row: str = "page_id", url: str = "url", body: str = "html", least_bytes: int = LEAST_BYTES, date: str = DATE) -> None:
-    """Write ``path/payloads`` and ``path/records``.
+    """Write ``path/payloads`` (each once, with the number of its records and the largest key among them) and ``path/records``.
 
     Of records whose equal payloads have ``least_bytes`` or more, that with the largest ``row`` is the
     response and the others revisit it; if rows with that key are repeated, each of them is a response
@@ -54,11 +54,10 @@ def write_archive(pages: DataFrame, path: str, row: str = "page_id", url: str =
     """
     data = pages.select(named(row).alias("row"), named(url).cast("string").alias("url"), F.encode(F.coalesce(named(body).cast("string"), F.lit("")), "UTF-8").alias("payload"))
     data = data.withColumn("sha256", F.unhex(F.sha2("payload", 256)))
-    groups = data.groupBy("sha256").agg(F.max("row").alias("last"), F.count("*").alias("n"))
-    first = data.groupBy("sha256").agg(F.first("payload").alias("payload"))
-    first.select("sha256", base32(F.sha1("payload")).alias("digest"), F.octet_length("payload").cast("bigint").alias("length"), "payload").write.parquet(f"{path}/payloads")
+    first = data.groupBy("sha256").agg(F.first("payload").alias("payload"), F.max("row").alias("last_row"), F.count("*").alias("n_records"))
+    first.select("sha256", base32(F.sha1("payload")).alias("digest"), F.octet_length("payload").cast("bigint").alias("length"), "payload", "last_row", "n_records").write.parquet(f"{path}/payloads")
     light = data.select("row", "url", "sha256", F.octet_length("payload").cast("bigint").alias("length"), base32(F.sha1("payload")).alias("digest"))
-    shared = written(groups.filter("n > 1").select("sha256", "last"), "shared")  # a plain table, so a hot payload's join can be split
+    shared = pages.sparkSession.read.parquet(f"{path}/payloads").filter("n_records > 1").select("sha256", F.col("last_row").alias("last"))  # a plain table, so a hot payload's join can be split
     joined = light.join(shared, "sha256", "left")
     target = F.when((F.col("length") >= least_bytes) & F.col("last").isNotNull() & ~F.col("row").eqNullSafe(F.col("last")), F.col("last"))
     kind = F.when(target.isNull(), "response").otherwise("revisit")
@@ -71,7 +70,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
     The join is outer: a record whose payload is missing comes back with a null payload, which ``parse`` refuses.
     """
-    payloads = spark.read.parquet(f"{path}/payloads").drop("length")
+    payloads = spark.read.parquet(f"{path}/payloads").select("sha256", "digest", "payload")
     return spark.read.parquet(f"{path}/records").join(payloads, "sha256", "left").select("row", "header", "sha256", "digest", "payload")
 
 
