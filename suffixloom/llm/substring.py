@@ -9,8 +9,8 @@
 4. The words around each chain are fetched from both documents and aligned; stretches in which at
    least ``similarity`` of the five-word shingles agree, and that are long enough, are passages.
 5. Where seeds follow each other and no passage came of it, their first occurrences may be in other,
-   shorter places: there, all runs of ``min_words`` words are joined with their first occurrences,
-   chained and aligned likewise, so every exact repeat of so many words is found.
+   shorter places: there, all runs of ``min_words`` words and all pairs of neighbouring seeds are joined with
+   their first occurrences, chained and aligned likewise.  So every exact repeat of so many words is found.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ MOST_MATCHES = 1 << 16
 #: Words of chains that are aligned at once.
 ALIGN_WORDS = 1 << 18
 #: A document asked for more passages than this gets its requests dealt over several tasks.
-HOT_REQUESTS = 2000
+HOT_REQUESTS = 500
 #: Up to so many documents that passages are asked of, their keys are broadcast, so that no other texts are shuffled.
 MOST_KEYS = 1_000_000
 
@@ -137,11 +137,13 @@ def links(docs: DataFrame, k: int = K, window: int = WINDOW, min_words: int = MI
     return _to_first(written(seeds(docs, k, window, min_words), "seeds"))
 
 
-def _to_first(found: DataFrame) -> DataFrame:
-    """First occurrences are written, so both sides of the join are plain tables and a seed that very many documents have can be split over tasks."""
+def _to_first(found: DataFrame, *keep: str) -> DataFrame:
+    """``h, doc, src, pos, spos`` and the columns ``keep`` for each row of ``found`` (``h, doc, pos``) whose ``h`` several documents have.
+
+    First occurrences are written, so both sides of the join are plain tables and a seed that very many documents have can be split over tasks."""
     first = found.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("first"), F.max("doc").alias("last")).filter(F.col("last") > F.col("first.doc"))
     first = written(first.select("h", F.col("first.doc").alias("src"), F.col("first.pos").alias("spos")), "first")
-    return found.join(first, "h").select("h", "doc", "src", "pos", "spos")
+    return found.join(first, "h").select("h", "doc", "src", "pos", "spos", *keep)
 
 
 def _groups(pos: np.ndarray, k: int, window: int, min_words: int) -> list[tuple[int, int]]:
@@ -188,14 +190,26 @@ def unsettled(linked: DataFrame, found: DataFrame, k: int = K, window: int = WIN
 
 
 def window_links(docs: DataFrame, linked: DataFrame, found: DataFrame, k: int = K, window: int = WINDOW, min_words: int = MIN_WORDS, hot: int | None = None) -> DataFrame:
-    """``h, doc, src, pos, spos`` for runs of ``min_words`` words around unsettled seeds, each with its first occurrence.
+    """``h, doc, src, pos, spos, n`` for runs of ``min_words`` words around unsettled seeds, and for pairs of neighbouring ones, each with its first occurrence.
 
     A seed may first occur in some short place although a whole passage around it is elsewhere; a run of
     ``min_words`` words cannot, as its first occurrence is a passage.  Of runs that come again within
-    ``min_words`` in one document, one is taken.
+    ``min_words`` in one document, one is taken.  Passages with edits may have no such run; of two seeds that
+    follow each other where one short place ends and the next begins, the first occurrence is not in these.
+    Pairs inside passages that are found already, and runs well inside, are left out: they can add no word.
     """
     marks = linked.join(written(unsettled(linked, found, k, window, min_words), "unsettled"), "h", "left_semi")
-    marks = marks.groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("pos"))
+    marks = written(marks.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("pos", "h"))).alias("marks")).select("doc", "marks.pos", "marks.h"), "marks")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for doc, pos, h in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                pos, h = np.asarray(pos.values), np.asarray(h.values).view(np.uint64)
+                near = np.flatnonzero(np.diff(pos) <= 2 * (window + k))
+                out.append((mix(h[near] * np.uint64(0x9FB21C651E98DF25) + h[near + 1]).view(np.int64), np.full(len(near), doc), pos[near], (pos[near + 1] - pos[near] + k).astype(np.int32)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["h", "doc", "pos", "reach"])
 
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -219,7 +233,11 @@ def window_links(docs: DataFrame, linked: DataFrame, found: DataFrame, k: int =
                 yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(np.full(len(at), doc)), pa.array((lo + at).astype(np.int32))], names=["h", "doc", "pos"])
 
     runs = _fetch(docs, asked, hot or HOT_REQUESTS, each, "h bigint, doc bigint, pos int")
-    return _to_first(written(runs, "runs"))
+    two = written(marks.mapInArrow(pairs, "h bigint, doc bigint, pos int, reach int"), "pairs")
+    both = _to_first(written(runs, "runs")).select("*", F.lit(min_words).alias("reach"), F.lit(min_words).alias("n"), F.lit(min_words).alias("near")).unionByName(_to_first(two, "reach").select("*", F.lit(k).alias("n"), F.lit(0).alias("near")))
+    spans = by_document(found.withColumnRenamed("doc", "row")).select(F.col("row").alias("of"), F.explode("passages").alias("p"))
+    spans = written(spans.select("of", F.col("p.start").alias("a"), (F.col("p.start") + F.col("p.n_words")).alias("b")), "covered")
+    return both.filter("doc > src").join(spans, F.expr("doc = of and greatest(pos - near, 0) >= a and pos + reach + near <= b"), "left_anti").drop("reach", "near")
 
 
 class Fenwick:
@@ -280,17 +298,17 @@ def chain(x0: list, y0: list, length: list, gap_cost: float = GAP_COST) -> list[
     return chains
 
 
-def _anchors(pair: np.ndarray, pos: np.ndarray, spos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last link of each anchor: links of one pair, one after the other on one diagonal and near."""
-    same = (pair[1:] == pair[:-1]) & (pos[1:] - pos[:-1] == spos[1:] - spos[:-1]) & (pos[1:] - pos[:-1] <= NEAR + k)
+def _anchors(pair: np.ndarray, pos: np.ndarray, spos: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First link and words of each anchor: links of one pair, one after the other on one diagonal and near."""
+    same = (pair[1:] == pair[:-1]) & (pos[1:] - pos[:-1] == spos[1:] - spos[:-1]) & (pos[1:] - pos[:-1] <= NEAR + n[:-1])
     start = np.flatnonzero(np.r_[True, ~same])
-    return start, np.r_[start[1:], len(pair)] - 1
+    return start, np.maximum.reduceat(pos + n, start) - pos[start]
 
 
-def chains(linked: DataFrame, k: int = K) -> DataFrame:
+def chains(linked: DataFrame) -> DataFrame:
     """``doc, src, no, a, b, sa, sb, turns`` for each chain: words a:b of ``doc`` follow words sa:sb of ``src``.
 
-    ``turns`` lists the anchors as triples: place in ``doc``, place in ``src``, words.
+    ``linked`` has ``doc, src, pos, spos, n``: ``n`` equal words.  ``turns`` lists the anchors as triples: place in ``doc``, place in ``src``, words.
     """
     spark = linked.sparkSession
 
@@ -298,14 +316,14 @@ def chains(linked: DataFrame, k: int = K) -> DataFrame:
         held: list[np.ndarray] = []
 
         def out(rows: np.ndarray) -> pa.RecordBatch:
-            doc, src, pos, spos = rows
+            doc, src, pos, spos, length = rows
             new = np.r_[True, (doc[1:] != doc[:-1]) | (src[1:] != src[:-1])]
             pair = np.cumsum(new) - 1
-            a, z = _anchors(pair, pos, spos, k)
+            a, n = _anchors(pair, pos, spos, length)
             of = pair[a]
             sizes = np.bincount(of, minlength=pair[-1] + 1)
             at = np.r_[0, np.cumsum(sizes)]
-            x, y, n = pos[a], spos[a], pos[z] - pos[a] + k
+            x, y = pos[a], spos[a]
             got: list[tuple] = []
             for p in range(len(sizes)):
                 own = slice(at[p], at[p + 1])
@@ -334,7 +352,7 @@ def chains(linked: DataFrame, k: int = K) -> DataFrame:
             yield out(np.concatenate(held, axis=1))
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = linked.repartition(parts, "doc", "src").sortWithinPartitions("doc", "src", "pos", "spos")
+    dealt = linked.select("doc", "src", "pos", "spos", "n").repartition(parts, "doc", "src").sortWithinPartitions("doc", "src", "pos", "spos", "n")
     return dealt.mapInArrow(each, "doc bigint, src bigint, no bigint, a bigint, b bigint, sa bigint, sb bigint, turns array<bigint>")
 
 
@@ -640,17 +658,17 @@ def passages(docs: DataFrame, k: int = K, window: int = WINDOW, min_words: int =
     A-Z lower-cased; places count words.  With ``inside`` exact repeats inside one document are passages too.
     """
     linked = written(links(docs, k, window, min_words), "links")
-    found = written(_aligned(docs, linked, k, min_words, similarity, hot), "passages")
-    more = _aligned(docs, window_links(docs, linked, found, k, window, min_words, hot), min_words, min_words, similarity, hot).alias("m")
+    found = written(_aligned(docs, linked.withColumn("n", F.lit(k)), min_words, similarity, hot), "passages")
+    more = _aligned(docs, window_links(docs, linked, found, k, window, min_words, hot), min_words, similarity, hot).alias("m")
     whole = found.select(F.col("doc").alias("of"), F.col("start").alias("a"), (F.col("start") + F.col("n_words")).alias("b"))
     more = more.join(whole, F.expr("doc = of and start >= a and start + n_words <= b"), "left_anti")
     found = found.unionByName(more)
     return found.unionByName(repeats_inside(docs, min_words)) if inside else found
 
 
-def _aligned(docs: DataFrame, linked: DataFrame, k: int, min_words: int, similarity: float, hot: int) -> DataFrame:
-    """The passages that the links from a later to an earlier document lead to; a link has ``k`` words."""
-    found = written(chains(linked.filter("doc > src").select("doc", "src", "pos", "spos"), k), "chains")
+def _aligned(docs: DataFrame, linked: DataFrame, min_words: int, similarity: float, hot: int) -> DataFrame:
+    """The passages that the links from a later to an earlier document lead to; a link has ``n`` words."""
+    found = written(chains(linked.filter("doc > src")), "chains")
     pad = F.lit(PAD) + F.expr("cast(greatest(b - a, sb - sa) div 4 as bigint)")
     asked = found.select(F.col("doc").alias("key"), "doc", "src", "no", F.lit(0).cast("bigint").alias("side"), (F.col("a") - pad).alias("lo"), (F.col("b") + pad).alias("hi"))
     asked = asked.unionByName(found.select(F.col("src").alias("key"), "doc", "src", "no", F.lit(1).cast("bigint").alias("side"), (F.col("sa") - pad).alias("lo"), (F.col("sb") + pad).alias("hi")))
