@@ -16,7 +16,7 @@ from pyspark.sql.types import StructField, StructType
 from ..tables import shared_dir, written  # noqa: F401  (for the operators)
 
 #: Texts are worked on in slices of about so many bytes, and so many rows at most.
-SLICE_BYTES, SLICE_ROWS = 4 << 20, 2048
+SLICE_BYTES, SLICE_ROWS = 4 << 20, 512
 
 #: Of the GNU C library; other platforms do without.
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None

@@ -41,7 +41,9 @@ PAD = 60
 #: Up to so many pairs of equal shingles between two anchors, all are looked at.
 MOST_MATCHES = 1 << 16
 #: Words of chains that are aligned at once.
-ALIGN_WORDS = 1 << 18
+ALIGN_WORDS = 1 << 17
+#: Runs of words in a batch while they are made.
+BATCH = 1 << 16
 #: A document asked for more passages than this gets its requests dealt over several tasks.
 HOT_REQUESTS = 500
 #: Up to so many documents that passages are asked of, their keys are broadcast, so that no other texts are shuffled.
@@ -223,6 +225,11 @@ def window_links(docs: DataFrame, linked: DataFrame, found: DataFrame, k: int =
     asked = written(marks.mapInArrow(regions, "key bigint, doc bigint, src bigint, no bigint, side bigint, lo bigint, hi bigint"), "regions")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["h", "doc", "pos"])
+
         for b in batches:
             for doc, lo, words in zip(b.column(0).to_pylist(), b.column(4).to_pylist(), b.column(5), strict=True):
                 h = window_hashes(np.frombuffer(words.as_py(), np.uint32).astype(np.uint64), min_words)
@@ -230,7 +237,13 @@ def window_links(docs: DataFrame, linked: DataFrame, found: DataFrame, k: int =
                 new = np.flatnonzero(np.r_[True, h[by][1:] != h[by][:-1]]) if len(h) else by
                 nth = (by - np.repeat(by[new], np.diff(np.r_[new, len(h)]))) // min_words
                 at = np.sort(by[np.r_[True, (h[by][1:] != h[by][:-1]) | (np.diff(nth) > 0)][: len(h)]])
-                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(np.full(len(at), doc)), pa.array((lo + at).astype(np.int32))], names=["h", "doc", "pos"])
+                out.append((h[at].view(np.int64), np.full(len(at), doc), (lo + at).astype(np.int32)))
+                size += len(at)
+                if size >= BATCH:
+                    yield made()
+                    out, size = [], 0
+        if out:
+            yield made()
 
     runs = _fetch(docs, asked, hot or HOT_REQUESTS, each, "h bigint, doc bigint, pos int")
     two = written(marks.mapInArrow(pairs, "h bigint, doc bigint, pos int, reach int"), "pairs")
