@@ -190,7 +190,8 @@ def held_out(row: str):
 def train(docs: DataFrame, row: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, families: dict[str, tuple] | None = None) -> Model:
     """Fit on labelled rows that are not held out: all of a language's, or about ``sample`` picked by hash of id and language.
 
-    Rows with null id, text or language teach nothing.
+    Rows with null id, text or language teach nothing.  Rows that share id and language are picked together and teach
+    once, by the least of their texts, so a repeated id cannot swell the sample.
     """
     rows = docs.filter(named(lang).isNotNull() & named(row).isNotNull() & ~held_out(row))
     counts = {r[0]: r[1] for r in rows.groupBy(named(lang)).count().collect()}
@@ -201,7 +202,8 @@ def train(docs: DataFrame, row: str = "doc_id", text: str = "text", lang: str =
         if n > sample:
             rate = F.when(named(lang) == name, F.lit(sample / n)).otherwise(rate)
     unit = F.shiftrightunsigned(F.xxhash64(named(row).cast("string"), named(lang)), 11) / float(1 << 53)
-    part = rows.filter(named(text).isNotNull() & (unit < rate)).select(named(lang).alias("lang"), named(text).alias("text"))
+    part = rows.filter(named(text).isNotNull() & (unit < rate)).select(named(row).alias("row"), named(lang).alias("lang"), named(text).alias("text"))
+    part = part.groupBy("row", "lang").agg(F.min("text").alias("text")).select("lang", "text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):

@@ -138,3 +138,15 @@ def test_svm_is_solved():
         primal = w @ w / 2 + (cost * np.maximum(0, 1 - y * (whole @ w))).sum()
         dual = alpha.sum() - w @ w / 2
         assert dual <= primal + 1e-9 and primal - dual < 0.02 * primal
+
+
+def test_a_repeated_id_teaches_once(spark, monkeypatch):
+    texts = [(i, f"the cat and the dog number {i}", "en") for i in range(1, 40)] + [(i, f"der Hund und die Katze Nummer {i}", "de") for i in range(101, 140)]
+    hot = [(2, f"the very same id again {i}", "en") for i in range(3000)]
+    sizes = []
+    fit = langid.fit
+    monkeypatch.setattr(langid, "fit", lambda x, labels, families=None: sizes.append(len(labels)) or fit(x, labels, families))
+    schema = "doc_id bigint, text string, lang string"
+    langid.train(spark.createDataFrame(texts, schema), sample=10_000)
+    langid.train(spark.createDataFrame(texts + hot, schema), sample=10_000)
+    assert sizes[0] == sizes[1] > 0
