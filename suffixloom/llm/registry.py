@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, langid, quality, sharding, simhash, spelling, substring, tokencount, warc
+from . import bpe, chat, decontaminate, langid, negatives, quality, sharding, simhash, spelling, substring, tokencount, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_simhash": simhash.op9_simhash,
     "op10_chat": chat.op10_chat,
+    "op12_negatives": negatives.op12_negatives,
     "op13_spelling": spelling.op13_spelling,
 }
 
@@ -23,5 +24,6 @@ ORACLE_SQL = {
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op7_quality": quality.OP7_SQL,
     "op10_chat": chat.OP10_SQL,
+    "op12_negatives": negatives.OP12_SQL,
     "op13_spelling": spelling.OP13_SQL,
 }
