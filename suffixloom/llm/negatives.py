@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -91,24 +92,23 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _tiles(anchors: _Blocks, rows: _Blocks, chunk: int, same: bool) -> DataFrame:
-    """``a, b, left, right, tile``: partial scores of anchor block ``a`` and row block ``b``, one row for each chunk that both have.
+    """``a, b, c, left, right, tile``: partial scores of anchor block ``a`` and row block ``b``, one row for each chunk ``c`` that both have.
 
-    What is known of their rows (``left``, ``right``) goes with the first chunk only.
+    ``left`` and ``right`` are the rows that have this chunk, in order of their numbers: what is known of them with the first chunk, else their numbers.
     """
     a = anchors.along(rows, same).select(F.col("block").alias("a"), F.col("met").alias("b"), "c", F.col("rows").alias("left"))
     b = rows.along(anchors, same).select(F.col("met").alias("a"), F.col("block").alias("b"), "c", F.col("rows").alias("right"))
     cells = a.join(b, ["a", "b", "c"])
     bare = lambda side: F.when(F.col("c") == 0, F.transform(side, lambda r: r.dropFields("v"))).alias(side)
-    shown = cells.select("a", "b", "c", bare("left"), bare("right"), F.col("left.v").alias("x"), F.col("right.v").alias("y"))
-    schema = shown.select("a", "b", "left", "right", F.lit(b"").alias("tile")).schema
+    shown = cells.select("a", "b", "c", bare("left"), bare("right"), F.col("left.number").alias("left_numbers"), F.col("right.number").alias("right_numbers"), F.col("left.v").alias("x"), F.col("right.v").alias("y"))
+    schema = shown.select(*shown.columns[:7], F.lit(b"").alias("tile")).schema
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
-                x, y = one.column(5).flatten(), one.column(6).flatten()
-                tile = product(_matrix(x, chunk), _matrix(y, chunk)).tobytes()
-                yield pa.RecordBatch.from_arrays([one.column(j) for j in (0, 1, 3, 4)] + [pa.array([tile], pa.binary())], names=schema.names)
+                tile = product(_matrix(one.column(7).flatten(), chunk), _matrix(one.column(8).flatten(), chunk)).tobytes()
+                yield pa.RecordBatch.from_arrays([*one.columns[:7], pa.array([tile], pa.binary())], names=schema.names)
         tidy()
 
     return shown.mapInArrow(each, schema)
@@ -119,13 +119,19 @@ def _reduced(tiles: DataFrame, schema: str, pick: Callable) -> DataFrame:
     names = [f.split()[0] for f in schema.split(", ")]
 
     def each(cell: pa.Table) -> pa.Table:
-        cell = cell.combine_chunks()
-        head = next(i for i, x in enumerate(cell.column("left").is_valid().to_pylist()) if x)
-        left, right = (pa.concat_arrays(cell.column(side).slice(head, 1).chunks).flatten() for side in ("left", "right"))
-        scores = np.zeros(len(left) * len(right), np.int64)
-        for tile in cell.column("tile"):
-            scores += np.frombuffer(tile.as_buffer(), np.int64)
-        return pa.table(dict(zip(names, pick(left, right, scores.reshape(len(left), len(right))), strict=True)))
+        head = cell.filter(pc.equal(cell.column("c"), 0)).combine_chunks()
+        left, right = (head.column(side).combine_chunks().flatten() for side in ("left", "right"))
+        rows, columns = _numbers(left, "number"), _numbers(right, "number")
+        scores = np.zeros((len(rows), len(columns)), np.int64)
+        for part in cell.select(["left_numbers", "right_numbers", "tile"]).to_batches():
+            for i in range(part.num_rows):
+                some, others = (part.column(j).slice(i, 1).flatten().to_numpy() for j in (0, 1))
+                tile = np.frombuffer(part.column(2)[i].as_buffer(), np.int64).reshape(len(some), len(others))
+                if tile.shape == scores.shape:
+                    scores += tile
+                else:  # some vectors are shorter and have no such chunk
+                    scores[np.ix_(np.searchsorted(rows, some), np.searchsorted(columns, others))] += tile
+        return pa.table(dict(zip(names, pick(left, right, scores), strict=True)))
 
     return tiles.groupBy("a", "b").applyInArrow(each, schema)
 
