@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, langid, negatives, quality, sharding, simhash, spelling, substring, tokencount, warc
+from . import bpe, chat, decontaminate, langid, negatives, quality, sharding, simhash, spelling, substring, tokencount, toxicity, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_simhash": simhash.op9_simhash,
     "op10_chat": chat.op10_chat,
+    "op11_toxicity": toxicity.op11_toxicity,
     "op12_negatives": negatives.op12_negatives,
     "op13_spelling": spelling.op13_spelling,
 }
