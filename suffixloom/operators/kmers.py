@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
@@ -78,10 +78,29 @@ def count_all(sequences: DataFrame, ks: list[int], by: list[str] = (), seq: str
     """
     if not ks or min(ks) < 1:
         raise ValueError("k must be 1 or more")
-    rows = sequences.select(*by, F.col(seq).alias("seq"))
     if max(ks) > LONGEST_CODE:
+        rows = sequences.select(*by, F.col(seq).alias("seq"))
         return count_windows(rows.repartition(spread) if spread else even(rows), ks, by)
-    rows, limit = cut_rows(rows, max(ks), list(by)), ROW
+    counts = code_tallies(sequences, ks, by, seq, spread)
+    counts = counts.groupBy(*counts.columns[:-1]).agg(F.sum("n").alias("count"))
+    return counts.select(*[F.col(f"b{i}").alias(b) for i, b in enumerate(by)], "k", _letters().alias("kmer"), "count")
+
+
+def _letters() -> Column:
+    """The k-mer of a base-4 ``code`` of ``k`` digits."""
+    return F.translate(F.lpad(F.conv(F.col("code").cast("string"), 10, 4), F.col("k"), F.lit("0")), "0123", "ACGT")
+
+
+def tallies(sequences: DataFrame, ks: list[int], by: list[str] = (), seq: str = "seq") -> DataFrame:
+    """``by, k, kmer, n``: what each task counted, not added up yet (a stream may have one aggregation only).  ``k`` is at most ``LONGEST_CODE``."""
+    return code_tallies(sequences, ks, by, seq).select(*[F.col(f"b{i}").alias(b) for i, b in enumerate(by)], "k", _letters().alias("kmer"), "n")
+
+
+def code_tallies(sequences: DataFrame, ks: list[int], by: list[str] = (), seq: str = "seq", spread: int | None = None) -> DataFrame:
+    """``b0, b1 ..., k, code, n``: the same with model columns by place, and k-mers as base-4 numbers."""
+    if not ks or min(ks) < 1 or max(ks) > LONGEST_CODE:
+        raise ValueError(f"k must be from 1 to {LONGEST_CODE}")
+    rows, limit = cut_rows(sequences.select(*by, F.col(seq).alias("seq")), max(ks), list(by)), ROW
     rows = rows.repartition(spread) if spread else even(rows)
     ks, by = sorted(set(ks)), list(by)
     keys = [rows.schema[b] for b in by]
@@ -94,9 +113,7 @@ def count_all(sequences: DataFrame, ks: list[int], by: list[str] = (), seq: str
             yield from tally.add(b)
         yield from tally.flush()
 
-    counts = plain.mapInArrow(each, schema).groupBy(*schema.names[:-1]).agg(F.sum("n").alias("count"))
-    kmer = F.translate(F.lpad(F.conv(F.col("code").cast("string"), 10, 4), F.col("k"), F.lit("0")), "0123", "ACGT")
-    return counts.select(*[F.col(f"b{i}").alias(b) for i, b in enumerate(by)], "k", kmer.alias("kmer"), "count")
+    return plain.mapInArrow(each, schema)
 
 
 class _Tally:

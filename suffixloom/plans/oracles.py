@@ -192,6 +192,8 @@ ORACLE_SQL = {
     "contexts_kept": _with(_whole(), select="SELECT * FROM kp"),
     "tree_kl": _with(_whole(), select=f"SELECT lang, {_TREE_COLUMNS} FROM tr"),
     "tree_peres_shields": _with(_whole(q.PS_BUILD), select=f"SELECT lang, {_TREE_COLUMNS} FROM tr"),
+    "tree_maintained": _with(_whole(), select=f"SELECT lang, {_TREE_COLUMNS} FROM tr"),
+    "tree_maintained_peres_shields": _with(_whole(q.PS_BUILD), select=f"SELECT lang, {_TREE_COLUMNS} FROM tr"),
     "tree_kl_adjusted": _with(_whole(q.ADJUSTED), select=f"SELECT lang, {_TREE_COLUMNS} FROM tr"),
     "tree_by_role": _with(_whole(by="role", table="conversations"), select=f"SELECT role, {_TREE_COLUMNS} FROM tr"),
     "tree_reprune": _with(_whole(q.Build(max_depth=4, min_count=_T.min_count, threshold=q.HARDER)), select=f"SELECT lang, {_TREE_COLUMNS} FROM tr"),

@@ -19,6 +19,7 @@ from ..operators import prune as P
 from ..sources.sequences import as_symbols, from_text, read_fasta, read_fasta_pieces, read_fastq, read_kmers, write_fasta, write_fastq
 from ..sources.trees import dump, dump_line, from_records, read_archive, read_tree, to_records, write_archive, write_grid, write_tree
 from ..streaming.incremental import count_stream, current_counts
+from ..streaming.maintained import MaintainedTree
 from ..tables import shared_dir, small, written
 from .build import bic_sequences, contexts_from_kmers, tree_from_kmers, tree_from_sequences
 
@@ -299,6 +300,25 @@ def tree_own_rules(spark, sf):
     return rounded(lang_tree(spark, sf, OWN))
 
 
+def _maintained(spark, sf, build: Build, batches: int = 4) -> DataFrame:
+    """Trees that a stream over all documents, dealt to several micro-batches, keeps up to date."""
+    path = shared_dir(spark, "maintained")
+    documents(spark, sf).repartition(batches).write.parquet(f"{path}/sequences")
+    stream = spark.readStream.schema("lang string, seq string").option("maxFilesPerTrigger", 1).parquet(f"{path}/sequences")
+    tree = MaintainedTree(spark, f"{path}/tree", build, LANG, whole_every=3)
+    tree.start(stream, f"{path}/checkpoint").awaitTermination()
+    return rounded(tree.tree())
+
+
+def tree_maintained(spark, sf):
+    return _maintained(spark, sf, TREE_BUILD)
+
+
+def tree_maintained_peres_shields(spark, sf):
+    """What is significant follows the root's count, so it changes with each batch."""
+    return _maintained(spark, sf, PS_BUILD)
+
+
 def _named_sequences(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     return docs.select(F.col("doc_id").cast("string").alias("seq_id"), F.coalesce("lang", F.lit("")).alias("description"), as_symbols(F.coalesce("text", F.lit(""))).alias("seq"))
@@ -386,6 +406,6 @@ NAMES = (
     tree_by_role, tree_reprune, tree_dump, tree_archive, tree_size, tree_terminals, tree_remainder, shared_contexts, background_components, background_components_order1,
     distance, distance_penalized, distance_matrix, distance_order1, score_nll, score_longest_context, bic_grid, bic_best, bic_grid_full,
     kmer_spectrum_12, kmer_spectrum_28, tree_depth9, tree_own_rules, fasta_files, fastq_files, fasta_kmers, kmer_table, tree_table, tree_archive_file, tree_dump_file, grid_csv,
-    command_line,
+    command_line, tree_maintained, tree_maintained_peres_shields,
 )
 QUERIES = {f.__name__: f for f in NAMES}
