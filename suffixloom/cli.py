@@ -15,8 +15,9 @@ from .operators.kmers import count_kmers, union_counts
 from .operators.metrics import bic_best, distance, size, terminals
 from .operators.prune import reprune
 from .plans.build import bic_sequences, score_sequences, tree_from_kmers, tree_from_sequences
-from .sources.sequences import read_fasta, read_fastq, read_kmers
-from .sources.trees import dump, read_archive, read_tree, write_archive, write_grid, write_tree
+from .sources.archives import read_archive, write_archive
+from .sources.sequences import read_fasta_pieces, read_fastq, read_kmers
+from .sources.trees import dump, read_tree, write_grid, write_tree
 from .tables import clean, written
 
 MODES = ("build", "build-from-kmer-table", "dump", "score", "bic", "dissimilarity", "reprune", "size", "count", "union")
@@ -48,8 +49,9 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def _sequences(spark: SparkSession, path: str) -> DataFrame:
-    return read_fastq(spark, path) if path.removesuffix(".gz").endswith((".fastq", ".fq")) else read_fasta(spark, path)
+def _sequences(spark: SparkSession, path: str, k: int) -> DataFrame:
+    """Sequences for windows of up to ``k`` symbols; a FASTA file is read by its blocks."""
+    return read_fastq(spark, path) if path.removesuffix(".gz").endswith((".fastq", ".fq")) else read_fasta_pieces(spark, path, k)
 
 
 def _tree(spark: SparkSession, path: str) -> DataFrame:
@@ -73,7 +75,7 @@ def run(spark: SparkSession, argv: list[str]) -> int:
         return 1
     build = Build(a.max_depth, a.min_count, a.threshold, a.pseudo_count_amount, a.estimator, Sequencing(a.adjust_for_sequencing_errors, a.sequencing_depth, a.sequencing_error_rate))
     if a.mode == "build":
-        _store(tree_from_sequences(_sequences(spark, a.fasta_path), build), a.out_path)
+        _store(tree_from_sequences(_sequences(spark, a.fasta_path, build.k), build), a.out_path)
     elif a.mode == "build-from-kmer-table":
         _store(tree_from_kmers(read_kmers(spark, a.in_path, build.k), build), a.out_path)
     elif a.mode == "dump":
@@ -82,10 +84,10 @@ def run(spark: SparkSession, argv: list[str]) -> int:
             for row in lines.toLocalIterator():
                 print(row.value)
     elif a.mode == "score":
-        row = score_sequences(_sequences(spark, a.fasta_path), _tree(spark, a.in_path), a.max_depth, a.pseudo_count_amount).first()
+        row = score_sequences(_sequences(spark, a.fasta_path, build.k), _tree(spark, a.in_path), a.max_depth, a.pseudo_count_amount).first()
         print(row.nll if row.nll is not None else 0.0)
     elif a.mode == "bic":
-        grid = written(bic_sequences(_sequences(spark, a.fasta_path), a.max_depth, pseudo_count=a.pseudo_count_amount), "grid")
+        grid = written(bic_sequences(_sequences(spark, a.fasta_path, build.k), a.max_depth, pseudo_count=a.pseudo_count_amount), "grid")
         if a.out_path:
             write_grid(grid, a.out_path)
         best = bic_best(grid).first()
@@ -100,7 +102,7 @@ def run(spark: SparkSession, argv: list[str]) -> int:
         s, t = size(tree).first(), terminals(tree).first()
         print(f"{s.terminal_length} {s.sequence_size} {t.n_terminal}")
     elif a.mode == "count":
-        count_kmers(_sequences(spark, a.fasta_path), build.k).write.mode("overwrite").parquet(a.out_path)
+        count_kmers(_sequences(spark, a.fasta_path, build.k), build.k).write.mode("overwrite").parquet(a.out_path)
     else:
         union_counts(read_kmers(spark, a.in_path), read_kmers(spark, a.to_path)).write.mode("overwrite").parquet(a.out_path)
     return 0

@@ -17,7 +17,8 @@ from ..operators import kmers as K
 from ..operators import metrics as M
 from ..operators import prune as P
 from ..sources.sequences import as_symbols, from_text, read_fasta, read_fasta_pieces, read_fastq, read_kmers, write_fasta, write_fastq
-from ..sources.trees import dump, dump_line, from_records, read_archive, read_tree, to_records, write_archive, write_grid, write_tree
+from ..sources.archives import read_archive, write_archive
+from ..sources.trees import dump, dump_line, from_records, read_tree, to_records, write_grid, write_tree
 from ..streaming.incremental import count_stream, current_counts
 from ..streaming.maintained import MaintainedTree
 from ..tables import shared_dir, small, written
@@ -365,10 +366,10 @@ def tree_table(spark, sf):
 
 
 def tree_archive_file(spark, sf):
-    """The tree of all documents, written as an archive file and read back."""
-    path = f"{shared_dir(spark, 'archive')}/tree.bintree"
+    """The tree of all documents, written as an archive by ranges of its order and read back by ranges of bytes."""
+    path = shared_dir(spark, "archive")
     write_archive(whole_tree(spark, sf), path)
-    return rounded(read_archive(spark, path).drop("file"))
+    return rounded(read_archive(spark, path, split_bytes=4096).drop("file"))
 
 
 def tree_dump_file(spark, sf):

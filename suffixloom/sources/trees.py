@@ -1,25 +1,19 @@
-"""Tree tables, their text and CSV forms, and the binary record format of tree archives."""
+"""Tree tables, their text and CSV forms, and columns of archive records."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyarrow import fs
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from ..functions.symbols import post_order
 from ..operators.contexts import NEXT
 from ..operators.prune import TREE
-
-# One record of a tree archive, little-endian, 89 bytes, without padding.  Bases are packed
-# two bits each (A 0, C 1, G 2, T 3) from the high end of four 64-bit words.
-RECORD = np.dtype([("bases", "<u8", 4), ("length", "<u4"), ("n_words", "<u4"), ("count", "<u8"), ("next", "<u8", 4), ("divergence", "<f8"), ("is_terminal", "u1")])
-MOST_BASES = 128
-TREE_SCHEMA = "context string, depth int, n_a bigint, n_c bigint, n_g bigint, n_t bigint, count bigint, divergence double, is_terminal boolean"
+from .archives import RECORD, TREE_SCHEMA, decode_records, encode_records
 
 
 def write_tree(tree: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -48,13 +42,10 @@ def dump_line(float_format: str | None = None) -> Column:
     return F.concat_ws(" ", "context", F.col("count").cast("string"), *[F.col(c).cast("string") for c in NEXT], number, flag, F.lit("0"))
 
 
-def _six(d: Column) -> Column:
-    """A double with six significant digits and no trailing zeros; exponents where they are under -4 or over 5."""
-    size = F.when(d == 0, 0).otherwise(F.floor(F.log10(F.abs(d)) + F.lit(1e-12)).cast("int"))
-    digits = F.greatest(F.lit(0), F.lit(5) - size)
-    plain = F.regexp_replace(F.regexp_replace(F.format_string("%.12f", F.round(d * F.pow(F.lit(10.0), digits), 0) / F.pow(F.lit(10.0), digits)), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    short = F.regexp_replace(F.regexp_replace(F.format_string("%.5e", d), r"(\.\d*?)0+e", "$1e"), r"\.e", "e")
-    return F.when((size < -4) | (size > 5), short).otherwise(plain)
+@F.pandas_udf(StringType())
+def _six(d: pd.Series) -> pd.Series:
+    """A double as the printf format %g has it.  The JVM rounds the shortest decimal form and ties up, C the number itself and ties to even."""
+    return d.map("{:g}".format)
 
 
 def dump(tree: DataFrame, path: str | None = None, mode: str = "errorifexists") -> DataFrame:
@@ -71,45 +62,6 @@ def write_grid(grid: DataFrame, path: str, mode: str = "append") -> None:
     row.coalesce(1).write.mode(mode).option("header", True).csv(path)
 
 
-def _unpack(bases: np.ndarray, length: np.ndarray) -> list[str]:
-    shifts = np.arange(62, -2, -2, dtype=np.uint64)
-    codes = ((bases[:, :, None] >> shifts) & np.uint64(3)).astype(np.uint8).reshape(len(bases), MOST_BASES)
-    letters = np.frombuffer(b"ACGT", np.uint8)[codes]
-    return [row[:n].tobytes().decode() for row, n in zip(letters, length, strict=True)]
-
-
-def _pack(contexts: list[str]) -> np.ndarray:
-    codes = np.zeros((len(contexts), MOST_BASES), np.uint64)
-    for i, c in enumerate(contexts):
-        if len(c) > MOST_BASES:
-            raise ValueError(f"a context of {len(c)} symbols does not fit an archive record")
-        codes[i, : len(c)] = np.array(["ACGT".index(x) for x in c], np.uint64)
-    shifts = np.arange(62, -2, -2, dtype=np.uint64)
-    return (codes.reshape(len(contexts), 4, 32) << shifts).sum(axis=2, dtype=np.uint64)
-
-
-def decode_records(data: bytes) -> dict[str, list]:
-    """Columns of a tree from an archive's bytes."""
-    if len(data) % RECORD.itemsize:
-        raise ValueError("the archive ends inside a record")
-    r = np.frombuffer(data, RECORD)
-    columns = [_unpack(r["bases"], r["length"]), r["length"].astype(np.int32), *r["next"].astype(np.int64).T, r["count"].astype(np.int64), r["divergence"], r["is_terminal"].astype(bool)]
-    return dict(zip(TREE, columns, strict=True))
-
-
-def encode_records(rows: list) -> bytes:
-    """An archive's bytes from tree rows, in the order given."""
-    r = np.zeros(len(rows), RECORD)
-    r["bases"] = _pack([x.context for x in rows])
-    r["length"] = [x.depth for x in rows]
-    r["n_words"] = [max(1, -(-x.depth // 32)) for x in rows]
-    r["count"] = [x["count"] for x in rows]
-    r["next"] = [[x[c] for c in NEXT] for x in rows] if rows else np.zeros((0, 4))
-    r["divergence"] = [x.divergence for x in rows]
-    r["is_terminal"] = [x.is_terminal for x in rows]
-    return r.tobytes()
-
-
 def to_records(tree: DataFrame, by: list[str] = ()) -> DataFrame:
     """``by, record``: each tree row as an archive record."""
     part = tree.select(*by, *TREE)
@@ -117,7 +69,7 @@ def to_records(tree: DataFrame, by: list[str] = ()) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data = encode_records([Row(**r) for r in b.select(TREE).to_pylist()])
+            data = encode_records(b)
             records = [data[i : i + RECORD.itemsize] for i in range(0, len(data), RECORD.itemsize)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(by)], pa.array(records, pa.binary())], names=schema.names)
 
@@ -132,37 +84,6 @@ def from_records(records: DataFrame, by: list[str] = ()) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             columns = decode_records(b"".join(b.column(len(by)).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(by)], *(pa.array(columns[c]) for c in TREE)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(by)], *columns.values()], names=schema.names)
 
     return part.mapInArrow(each, schema)
-
-
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Trees from archive files; a column ``file`` says which file a row is from."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for file, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                columns = decode_records(content)
-                arrays = [pa.array([file] * len(columns["context"]), pa.string()), *(pa.array(columns[c]) for c in TREE)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["file", *TREE])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(each, f"file string, {TREE_SCHEMA}")
-
-
-def write_archive(tree: DataFrame, path: str) -> None:
-    """A tree as one archive file in post-order, at a path or address that pyarrow's file systems know.
-
-    Rows pass through the driver in turn (a tool for export): no more than ``size`` are held.
-    """
-    rows, size = [], 100_000
-    where, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-    where.create_dir(name.rpartition("/")[0] or ".", recursive=True)
-    with where.open_output_stream(name) as f:
-        for row in tree.orderBy(post_order(F.col("context"))).toLocalIterator():
-            rows.append(row)
-            if len(rows) == size:
-                f.write(encode_records(rows))
-                rows = []
-        f.write(encode_records(rows))

@@ -10,6 +10,7 @@ from suffixloom.config import Build
 from suffixloom.operators.kmers import count_kmers
 from suffixloom.operators.metrics import distance
 from suffixloom.plans.build import tree_from_sequences
+from suffixloom.sources import archives as A
 from suffixloom.sources import sequences as S
 from suffixloom.sources import trees as T
 from suffixloom.streaming import incremental as I
@@ -73,19 +74,20 @@ def _tree_path(spark, tmp_path):
     return f"{tmp_path}/other"
 
 
-def test_tree_table_and_archive(spark, tmp_path, tree):
+def test_tree_table(spark, tmp_path, tree):
     T.write_tree(tree, f"{tmp_path}/t")
-    T.write_archive(tree, f"{tmp_path}/t.bintree")
-    want = sorted(map(key, tree.collect()))
-    assert sorted(map(key, T.read_tree(spark, f"{tmp_path}/t").collect())) == want
-    assert sorted(map(key, T.read_archive(spark, f"{tmp_path}/t.bintree").collect())) == want
-    size = (tmp_path / "t.bintree").stat().st_size
-    assert size == 89 * len(want)
-    long = spark.createDataFrame([("ACGT" * 32, 128, 1, 0, 0, 0, 1, 0.5, True), ("", 0, 1, 0, 0, 0, 1, -1.0, False)], T.TREE_SCHEMA)
-    rows = T.decode_records(T.encode_records(long.collect()))
-    assert rows["context"] == ["ACGT" * 32, ""]
-    with pytest.raises(ValueError):
-        T.decode_records(b"x" * 90)
+    assert sorted(map(key, T.read_tree(spark, f"{tmp_path}/t").collect())) == sorted(map(key, tree.collect()))
+
+
+def test_numbers_of_six_digits(spark):
+    """Equal to %g, ties and all."""
+    import random
+
+    r = random.Random(2)
+    values = [999999.7, 123456.5, 123457.5, 0.0, -0.0, 1e-5, 0.00012345650000000001, 99999.95, 1e300, -1.0, 2.5e-310]
+    values += [r.uniform(-1, 1) * 10.0 ** r.randint(-12, 12) for _ in range(100_000)] + [(2 * r.randint(0, 10**6) + 1) / 2 for _ in range(50_000)] + [r.randint(10**5, 10**6) * 10.0 ** r.randint(-9, 5) + 5 * 10.0 ** r.randint(-12, 4) for _ in range(50_000)]
+    got = spark.createDataFrame([(v,) for v in values], "d double").select("d", T._six("d").alias("s")).collect()
+    assert len(got) == len(values) and all(x.s == "%g" % x.d for x in got)
 
 
 def test_dump_lines(spark, tmp_path):
@@ -123,7 +125,7 @@ def test_command_line(spark, tmp_path, seqs, capsys):
     assert go("--mode", "count", "--fasta-path", p("0.fa"), "--out-path", p("k0"), "--max-depth", 4) == 0
     assert go("--mode", "union", "--in-path", p("k0"), "--to-path", p("k0"), "--out-path", p("k1")) == 0
     assert go("--mode", "build-from-kmer-table", "--in-path", p("k0"), "--out-path", p("t.bintree"), "--max-depth", 4, "--threshold", 1.2) == 0
-    assert sorted(map(key, T.read_archive(spark, p("t.bintree")).collect())) == sorted(map(key, T.read_tree(spark, p("t0")).collect()))
+    assert sorted(map(key, A.read_archive(spark, p("t.bintree")).collect())) == sorted(map(key, T.read_tree(spark, p("t0")).collect()))
     assert go("--mode", "reprune", "--in-path", p("t.bintree"), "--out-path", p("r"), "--threshold", 20) == 0
     capsys.readouterr()
     assert go("--mode", "dissimilarity", "--in-path", p("t0"), "--to-path", p("t1")) == 0
