@@ -32,6 +32,8 @@ _PLAIN = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
 SIGNIFICANT, LEAST_ODDS = 30.0, 4.0
 #: Terms, stems, harmless words and context words that a model holds at most (the most significant; a model's size must be bounded, as it is broadcast).
 MOST_TERMS, MOST_OTHERS = 5_000, 20_000
+#: A model is fitted on so many labelled texts, about, at most.
+MOST_TEACHERS = 200_000
 #: Near copies share a vote: bands of min-hashes of shingles of so many words.
 BANDS, BAND_ROWS, SHINGLE = 4, 2, 3
 #: Letters of a stem, and terms that have it in common at least.
@@ -247,12 +249,13 @@ def _sketch(texts: DataFrame) -> DataFrame:
     return out.drop("text")
 
 
-def teachers(docs: DataFrame, labels: DataFrame, teaches: Column, row: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+def teachers(docs: DataFrame, labels: DataFrame, teaches: Column, row: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MOST_TEACHERS) -> DataFrame:
     """``text, toxic, share``: texts with a label that teach, each distinct text once, by the label that most of its ids have.
 
     ``teaches`` is a condition on the labels' columns.  A text is read where its least id is; rows that repeat that share
     its one vote, and texts that are near copies of each other (by bands of min-hashes) share one too, so that a
-    text which is copied often does not make terms of all its words.
+    text which is copied often does not make terms of all its words.  Of more than ``most`` texts about so many teach, picked by
+    hash, so their ids (28 bytes each) can be broadcast and no text is shuffled.
     """
     marks = labels.filter(teaches & named(row).isNotNull() & named(label).isNotNull()).groupBy(named(row).alias("doc")).agg(F.avg(named(label).cast("double")).alias("toxic"))
     texts = docs.select(named(row).alias("doc"), named(text).cast("string").alias("text")).filter(F.col("text").isNotNull() & F.col("doc").isNotNull())
@@ -264,7 +267,10 @@ def teachers(docs: DataFrame, labels: DataFrame, teaches: Column, row: str = "do
     crowd = bands.join(crowds, ["k", "band"]).groupBy("doc", "h").agg(F.max("n").alias("n"))
     share = 1 / (F.coalesce("n", F.lit(1)) * F.col("rows"))
     chosen = written(chosen.join(crowd, ["doc", "h"], "left").select("doc", F.col("h").alias("own"), "toxic", share.alias("share")), "votes")
-    return texts.join(chosen, "doc").filter(F.xxhash64("text") == F.col("own")).select("text", "toxic", "share")
+    n = chosen.count()
+    if n > most:  # a sample by hash, of about that size
+        chosen = chosen.filter(F.pmod(F.xxhash64("doc", "own"), F.lit(1 << 30)) < int((1 << 30) * most / n))
+    return texts.join(F.broadcast(chosen), "doc").filter(F.xxhash64("text") == F.col("own")).select("text", "toxic", "share")
 
 
 def _tallies(rows: DataFrame, scanner_of, each_text) -> DataFrame:

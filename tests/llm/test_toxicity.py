@@ -117,6 +117,14 @@ def test_copies_share_a_vote(spark):
     assert set(model.terms) == set(BAD)
 
 
+def test_a_bounded_sample_teaches(spark):
+    df = spark.createDataFrame(made(400, 9), "doc_id bigint, text string, toxic int")
+    labels = df.select("doc_id", "toxic")
+    assert toxicity.teachers(df, labels, F.lit(True)).count() == 400
+    some = toxicity.teachers(df, labels, F.lit(True), most=100)
+    assert 60 < some.count() < 140 and "SortMergeJoin" not in some._jdf.queryExecution().executedPlan().toString()
+
+
 def test_odd_rows_and_empty_tables(spark):
     rows = made(200, 8) + [(None, "blockhead", 1), (900, None, 1), (901, "", 0), (902, "... !!", 0)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
