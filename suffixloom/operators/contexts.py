@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Sequencing, Support
 from ..functions.estimators import SYMBOLS, adjustment
-from ..functions.symbols import all_suffixes, last, post_order, suffix
+from ..functions.forms import form
 from ..tables import small, written
 
 NEXT = [f"n_{s}" for s in SYMBOLS]
@@ -30,14 +30,17 @@ def support(contexts: DataFrame, min_count="min_count", sequencing: Sequencing =
     ``predicate`` takes the place of this test: a function of the columns count and depth (and of ``min_count``)
     that says which contexts have enough.
     """
+    return contexts.filter((F.col("depth") == 0) | enough(min_count, sequencing, predicate))
+
+
+def enough(min_count="min_count", sequencing: Sequencing = Sequencing(), predicate: Support | None = None) -> Column:
+    """The test of ``support``, without its exception for roots."""
     least = F.col(min_count) if isinstance(min_count, str) else F.lit(min_count)
     if predicate:
-        enough = predicate(F.col("count"), F.col("depth"), least)
-    elif sequencing.adjust:
-        enough = F.col("count").cast("double") >= least.cast("double") * adjustment(sequencing, F.col("depth"))
-    else:
-        enough = F.col("count") >= least
-    return contexts.filter((F.col("depth") == 0) | enough)
+        return predicate(F.col("count"), F.col("depth"), least)
+    if sequencing.adjust:
+        return F.col("count").cast("double") >= least.cast("double") * adjustment(sequencing, F.col("depth"))
+    return F.col("count") >= least
 
 
 def closure(contexts: DataFrame, by: list[str] = (), extra: Column | None = None) -> DataFrame:
@@ -45,9 +48,9 @@ def closure(contexts: DataFrame, by: list[str] = (), extra: Column | None = None
 
     Each context looks its own suffixes up; the least depth that can be missing is one.
     """
-    value = F.lit(0) if extra is None else extra
+    value, of = F.lit(0) if extra is None else extra, form(contexts)
     deep = contexts.filter("depth >= 2")
-    wanted = deep.select(*by, F.col("context").alias("whole"), "depth", F.explode(F.sequence(F.lit(1), F.col("depth") - 1)).alias("n")).select(*by, "whole", "depth", last(F.col("whole"), F.col("n")).alias("context"))
+    wanted = deep.select(*by, F.col("context").alias("whole"), "depth", F.explode(F.sequence(F.lit(1), F.col("depth") - 1)).alias("n")).select(*by, "whole", "depth", of.last(F.col("whole"), F.col("depth"), F.col("n")).alias("context"))
     there = wanted.join(contexts.filter("depth >= 1").select(*by, "context", value.alias("value")), [*by, "context"])
     found = there.groupBy(*by, F.col("whole").alias("context"), "depth").agg(F.count("*").alias("n"), F.min("value").alias("value"))
     return found.filter(F.col("n") == F.col("depth") - 1).select(*by, "context", "value")
@@ -60,11 +63,21 @@ def close(contexts: DataFrame, by: list[str] = ()) -> DataFrame:
     its parent; such orphans are dropped, and all that end in one, so every context but the root has its parent.
     Each context looks up its parent only; orphans are few, and those that end in one are found by broadcast.
     """
-    deep = contexts.filter("depth >= 2")
+    of, deep = form(contexts), contexts.filter("depth >= 2")
     parents = contexts.filter("depth >= 1").select(*by, F.col("context").alias("parent"))
-    lone = deep.withColumn("parent", suffix(F.col("context"))).join(parents, [*by, "parent"], "left_anti").select(*by, "context")
-    ends = deep.select(*by, F.col("context").alias("whole"), F.explode(all_suffixes(F.col("context"), 2)).alias("context"))
-    gone = ends.join(small(lone, "orphans"), [*by, "context"], "left_semi").select(*by, F.col("whole").alias("context")).distinct()
+    lone = deep.withColumn("parent", of.parent(F.col("context"), F.col("depth"))).join(parents, [*by, "parent"], "left_anti").select(*by, "context")
+    return without_ends(contexts, lone, by)
+
+
+def without_ends(contexts: DataFrame, lone: DataFrame, by: list[str] = ()) -> DataFrame:
+    """``contexts`` without those in ``lone``, and without all that end in one: only the lengths that ``lone`` has are looked up."""
+    of, lone = form(contexts), small(lone, "orphans")
+    lengths = [r.n for r in lone.select(of.depth(F.col("context")).alias("n")).distinct().collect()]  # no more than depths
+    if not lengths:
+        return contexts
+    own = F.filter(F.lit(sorted(lengths)), lambda n: n <= F.col("depth"))
+    ends = contexts.select(*by, F.col("context").alias("whole"), "depth", F.explode(own).alias("n")).select(*by, "whole", of.last(F.col("whole"), F.col("depth"), F.col("n")).alias("context"))
+    gone = ends.join(lone, [*by, "context"], "left_semi").select(*by, F.col("whole").alias("context")).distinct()
     return contexts.join(gone, [*by, "context"], "left_anti").select(contexts.columns)
 
 
@@ -79,10 +92,12 @@ def places(contexts: DataFrame, by: list[str] = ()) -> DataFrame:
     Contexts are dealt by ranges of the order and numbered in their range; what earlier ranges hold is added.  So a
     tree's size does not matter, and no task sorts a whole tree.
     """
-    order = [*[F.col(b) for b in by], post_order(F.col("context"))]
+    of = form(contexts)
+    own = of.order(F.col("context"), of.depth(F.col("context")))
+    order = [*[F.col(b) for b in by], *own]
     part = contexts.select(*by, "context").repartitionByRange(*order).withColumn("part", F.spark_partition_id())
     part = written(part, "ranges")
     before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = part.groupBy(*by, "part").agg(F.count("*").alias("n")).select(*by, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
-    number = F.row_number().over(Window.partitionBy(*by, "part").orderBy(order[-1]))
+    number = F.row_number().over(Window.partitionBy(*by, "part").orderBy(*own))
     return part.withColumn("number", number).join(F.broadcast(counts), [*by, "part"]).select(*by, "context", (F.col("earlier") + F.col("number")).cast("int").alias("place"))

@@ -70,6 +70,13 @@ def count_kmers(sequences: DataFrame, k: int, by: list[str] = (), seq: str = "se
     return count_all(sequences, [k], by, seq, spread).drop("k")
 
 
+def count_packed(sequences: DataFrame, k: int, by: list[str] = (), seq: str = "seq", spread: int | None = None) -> DataFrame:
+    """``by, kmer, count`` with k-mers as packed numbers, of at most ``LONGEST_CODE`` symbols."""
+    counts = code_tallies(sequences, [k], by, seq, spread)
+    counts = counts.groupBy(*counts.columns[:-1]).agg(F.sum("n").alias("count"))
+    return counts.select(*[F.col(f"b{i}").alias(b) for i, b in enumerate(by)], (F.col("code") + F.lit(4**k).cast("bigint")).alias("kmer"), "count")
+
+
 def count_all(sequences: DataFrame, ks: list[int], by: list[str] = (), seq: str = "seq", spread: int | None = None) -> DataFrame:
     """``by, k, kmer, count`` for several lengths in one pass over the sequences.
 

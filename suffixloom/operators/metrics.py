@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.estimators import SYMBOLS, kullback_leibler, probabilities
+from ..functions.forms import Packed, form, packed, unpacked
 from ..functions.symbols import all_suffixes, last, suffix
 from ..tables import small, written
 from .contexts import NEXT, closure, roll_up
@@ -36,7 +37,7 @@ def size(tree: DataFrame, by: list[str] = ()) -> DataFrame:
 
 def remainder(tree: DataFrame, by: list[str] = ()) -> DataFrame:
     """``by, context, count, remainder``: what of a context's count its children in the tree do not account for."""
-    children = tree.filter("depth >= 1").groupBy(*by, suffix(F.col("context")).alias("context")).agg(F.sum("count").alias("below"))
+    children = tree.filter("depth >= 1").groupBy(*by, form(tree).parent(F.col("context"), F.col("depth")).alias("context")).agg(F.sum("count").alias("below"))
     return tree.join(children, [*by, "context"], "left").select(*by, "context", "count", F.greatest(F.col("count") - F.coalesce("below", F.lit(0)), F.lit(0).cast("bigint")).alias("remainder"))
 
 
@@ -54,14 +55,15 @@ def components(tree: DataFrame, background_order: int = 0, pseudo_count: float =
     The background of a context is its suffix of ``background_order`` symbols, or the longest shorter one
     in the tree (in the end the root).
     """
+    of = form(tree)
     own = tree.select(*by, "context", "depth", *[p.alias(f"p_{s}") for s, p in zip(SYMBOLS, probabilities(pseudo_count), strict=True)])
     back = tree.filter(F.col("depth") <= background_order).select(*by, F.col("context").alias("background"), *[F.col(c).alias(f"b_{c}") for c in NEXT])
     if background_order == 0:  # one root for each model
         joined = own.join(small(back, "roots"), list(by)) if by else own.crossJoin(F.broadcast(back.limit(1)))
     else:
-        tries = F.explode(F.transform(F.sequence(F.lit(0), F.least(F.lit(background_order), F.col("depth"))), lambda n: last(F.col("context"), n)))
+        tries = F.explode(F.transform(F.sequence(F.lit(0), F.least(F.lit(background_order), F.col("depth"))), lambda n: of.last(F.col("context"), F.col("depth"), n)))
         joined = own.select("*", tries.alias("background")).join(back, [*by, "background"])
-        best = joined.groupBy(*by, "context").agg(F.max_by(F.struct(*[c for c in joined.columns if c not in (*by, "context")]), F.length("background")).alias("x"))
+        best = joined.groupBy(*by, "context").agg(F.max_by(F.struct(*[c for c in joined.columns if c not in (*by, "context")]), of.depth(F.col("background"))).alias("x"))
         joined = best.select(*by, "context", "x.*")
     backs = probabilities(pseudo_count, "b_")
     return joined.select(*by, "context", "depth", *[(F.col(f"p_{s}") / F.sqrt(q)).alias(f"v_{s}") for s, q in zip(SYMBOLS, backs, strict=True)])
@@ -136,10 +138,11 @@ def log_likelihoods(kmers: DataFrame, tree: DataFrame, max_depth: int, pseudo_co
 
 def windows_by_suffix(kmers: DataFrame, max_depth: int, by: list[str] = ()) -> DataFrame:
     """``by, context, seen_n_a, seen_n_c, seen_n_g, seen_n_t``: last symbols of windows, by each suffix of what stands before them."""
-    following = F.right("kmer", F.lit(1))
-    sums = [F.sum(F.when(following == s.upper(), F.col("count")).otherwise(F.lit(0).cast("bigint"))).alias(f"seen_{c}") for s, c in zip(SYMBOLS, NEXT, strict=True)]
-    whole = kmers.groupBy(*by, F.substring("kmer", 1, max_depth).alias("before")).agg(*sums)
-    rows = whole.select(*by, F.explode(all_suffixes(F.col("before"))).alias("context"), *[f"seen_{c}" for c in NEXT])
+    of, k = form(kmers, "kmer"), F.lit(max_depth + 1)
+    following = of.final(F.col("kmer"))
+    sums = [F.sum(F.when(following == s, F.col("count")).otherwise(F.lit(0).cast("bigint"))).alias(f"seen_{c}") for s, c in zip(of.SYMBOLS, NEXT, strict=True)]
+    whole = kmers.groupBy(*by, of.prefix(F.col("kmer"), k, max_depth).alias("before")).agg(*sums)
+    rows = whole.select(*by, F.explode(of.suffixes(F.col("before"), F.lit(max_depth))).alias("context"), *[f"seen_{c}" for c in NEXT])
     return rows.groupBy(*by, "context").agg(*[F.sum(f"seen_{c}").alias(f"seen_{c}") for c in NEXT])
 
 
@@ -151,10 +154,12 @@ def score(kmers: DataFrame, tree: DataFrame, max_depth: int, pseudo_count: float
     log-likelihood is what each adds to the next shorter one; windows are summed by context first and no
     window looks for its longest.
     """
+    if form(kmers, "kmer") is not form(tree):
+        tree = packed(tree) if form(kmers, "kmer") is Packed else unpacked(tree)
     logs = F.array(*[F.log(p) for p in probabilities(pseudo_count)])
     nodes = tree.select(*by, "context", "depth", logs.alias("logs"))
-    shorter = nodes.filter("depth > 0").select(*by, "context", F.explode(F.sequence(F.lit(0), F.col("depth") - 1)).alias("n"))
-    shorter = shorter.select(*by, F.col("context").alias("whole"), last(F.col("context"), F.col("n")).alias("context")).join(nodes, [*by, "context"])
+    shorter = nodes.filter("depth > 0").select(*by, "context", "depth", F.explode(F.sequence(F.lit(0), F.col("depth") - 1)).alias("n"))
+    shorter = shorter.select(*by, F.col("context").alias("whole"), form(tree).last(F.col("context"), F.col("depth"), F.col("n")).alias("context")).join(nodes, [*by, "context"])
     above = shorter.groupBy(*by, F.col("whole").alias("context")).agg(F.max_by("logs", "depth").alias("above"))
     seen = windows_by_suffix(kmers, max_depth, by).join(nodes.drop("depth"), [*by, "context"]).join(above, [*by, "context"], "left")
     counts = [F.col(f"seen_{c}") for c in NEXT]

@@ -12,25 +12,40 @@ from pyspark.sql import functions as F
 
 from ..config import KULLBACK_LEIBLER, Build
 from ..functions.estimators import estimator
-from ..functions.symbols import all_suffixes, suffix
-from ..tables import small
-from .contexts import NEXT
+from ..functions.forms import form
+from ..tables import small, written
+from .contexts import NEXT, without_ends
 
 TREE = ["context", "depth", *NEXT, "count", "divergence", "is_terminal"]
 
 
-def edges(contexts: DataFrame, build: Build, by: list[str] = (), threshold: Column | None = None) -> DataFrame:
+def edges(contexts: DataFrame, build: Build, by: list[str] = (), threshold: Column | None = None, counts: bool = False) -> DataFrame:
     """``by, context, parent, depth, raw_divergence, least``: each context with its divergence from its parent.
 
-    ``least`` is the divergence at which it is significant.  ``threshold`` may be a column of ``contexts``.
+    ``least`` is the divergence at which it is significant.  ``threshold`` may be a column of ``contexts``.  With
+    ``counts`` the context's counts come along.
     """
+    of = form(contexts)
     parents = contexts.select(*by, F.col("context").alias("parent"), *[F.col(c).alias(f"parent_{c}") for c in NEXT])
-    children = contexts.filter("depth >= 1").withColumn("parent", suffix(F.col("context")))
+    children = contexts.filter("depth >= 1").withColumn("parent", of.parent(F.col("context"), F.col("depth")))
     rows = children.join(parents, [*by, "parent"])
     if build.estimator != KULLBACK_LEIBLER:
         rows = with_roots(rows, contexts, by)
     divergence, least = estimator(build, threshold)
-    return rows.select(*by, "context", "parent", "depth", divergence.alias("raw_divergence"), least.alias("least"))
+    return rows.select(*by, "context", "parent", "depth", *([*NEXT, "count"] if counts else []), divergence.alias("raw_divergence"), least.alias("least"))
+
+
+def linked(contexts: DataFrame, build: Build, by: list[str] = ()) -> DataFrame:
+    """The edges of supported contexts with their counts, of those that ``close`` would leave: parents are looked up once for both."""
+    of = form(contexts)
+    parents = contexts.select(*by, F.col("context").alias("parent"), *[F.col(c).alias(f"parent_{c}") for c in NEXT])
+    rows = contexts.filter("depth >= 1").withColumn("parent", of.parent(F.col("context"), F.col("depth"))).join(parents, [*by, "parent"], "left")
+    if build.estimator != KULLBACK_LEIBLER:
+        rows = with_roots(rows, contexts, by)
+    divergence, least = estimator(build)
+    lone = F.col(f"parent_{NEXT[0]}").isNull()
+    found = written(rows.select(*by, "context", "depth", *NEXT, "count", divergence.alias("raw_divergence"), least.alias("least"), lone.alias("lone")), "edges")
+    return without_ends(found.filter("not lone").drop("lone"), found.filter("lone").select(*by, "context"), by)
 
 
 def with_roots(rows: DataFrame, contexts: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -45,23 +60,29 @@ def with_roots(rows: DataFrame, contexts: DataFrame, by: list[str] = ()) -> Data
     return rows.join(small(roots.select(*by, F.col("count").alias("root_count")), "roots"), list(by))
 
 
+def significant(found: DataFrame, by: list[str] = ()) -> DataFrame:
+    """``by, context``: the suffixes (of one symbol or more) of each significant context among edges."""
+    rows = found.filter("raw_divergence >= least")
+    return rows.select(*by, F.explode(form(found).suffixes(F.col("context"), F.col("depth"), 1)).alias("context"))
+
+
 def kept(found: DataFrame, by: list[str] = ()) -> DataFrame:
-    """``by, context``: distinct suffixes (of one symbol or more) of the significant contexts among edges."""
-    significant = found.filter("raw_divergence >= least")
-    return significant.select(*by, F.explode(all_suffixes(F.col("context"), 1)).alias("context")).distinct()
+    """``by, context``: what of these is distinct."""
+    return significant(found, by).distinct()
 
 
 def prune(contexts: DataFrame, build: Build, by: list[str] = (), found: DataFrame | None = None) -> DataFrame:
     """``by`` and the tree: kept contexts with their divergence and whether they are terminal.
 
     ``divergence`` is -1 for the root and where there are kept children.  A context is terminal if fewer
-    than four of its children are kept; the root never is.
+    than four of its children are kept; the root never is.  ``found`` are the edges, with their contexts' counts.
     """
-    found = edges(contexts, build, by) if found is None else found
+    found, of = edges(contexts, build, by, counts=True) if found is None else found, form(contexts)
     stay = kept(found, by)
-    children = stay.groupBy(*by, suffix(F.col("context")).alias("context")).agg(F.count("*").alias("children"))
-    nodes = stay.join(contexts.filter("depth >= 1"), [*by, "context"]).unionByName(contexts.filter("depth = 0").select(*by, *[c for c in contexts.columns if c not in by]))
-    nodes = nodes.join(children, [*by, "context"], "left").join(found.select(*by, "context", "raw_divergence"), [*by, "context"], "left")
+    children = stay.groupBy(*by, of.parent(F.col("context"), of.depth(F.col("context"))).alias("context")).agg(F.count("*").alias("children"))
+    values = ["depth", *NEXT, "count"]
+    nodes = found.select(*by, "context", *values, "raw_divergence").join(stay, [*by, "context"])
+    nodes = nodes.unionByName(contexts.filter("depth = 0").select(*by, "context", *values, F.lit(None).cast("double").alias("raw_divergence"))).join(children, [*by, "context"], "left")
     n = F.coalesce("children", F.lit(0))
     divergence = F.when((F.col("depth") == 0) | (n > 0), F.lit(-1.0)).otherwise(F.col("raw_divergence"))
     return nodes.withColumn("divergence", divergence).withColumn("is_terminal", (F.col("depth") > 0) & (n < 4)).select(*by, *TREE)

@@ -1,6 +1,6 @@
 """Whole plans: sequences or k-mer counts in, a tree or an answer about trees out.
 
-The roll-up is read several times (closure, edges, pruning), so it is written once; sequences are read
+The roll-up is read several times (closure, edges, pruning), so it is written once, by k-mers in order; sequences are read
 once for a tree and once for a whole parameter grid.
 """
 
@@ -9,28 +9,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..config import Build
-from ..operators.contexts import close, roll_up, support
-from ..operators.kmers import count_all, count_kmers
+from ..functions.forms import MOST, unpacked
+from ..operators.contexts import close, enough
+from ..operators.kmers import LONGEST_CODE, count_all, count_kmers, count_packed
 from ..operators.metrics import LEAST_DEPTH, MIN_COUNTS, THRESHOLDS, bic_grid, score
-from ..operators.prune import edges, prune
+from ..operators.prune import linked, prune
+from ..operators.rollup import roll_up_sorted
 from ..tables import written
 
 
 def contexts_from_kmers(kmers: DataFrame, build: Build, by: list[str] = ()) -> DataFrame:
     """Supported contexts, each with its parent, as a written table."""
-    supported = written(support(roll_up(kmers, build.max_depth, by), build.min_count, build.sequencing, build.support), "supported")
-    return written(close(supported, by), "contexts")
+    test = enough(build.min_count, build.sequencing, build.support)
+    return written(close(roll_up_sorted(kmers, build.max_depth, by, test), by), "contexts")
 
 
 def tree_from_kmers(kmers: DataFrame, build: Build, by: list[str] = ()) -> DataFrame:
-    """The pruned tree of a table of k-mer counts; ``by`` are model columns, each value one tree."""
-    contexts = contexts_from_kmers(kmers, build, by)
-    return prune(contexts, build, by, written(edges(contexts, build, by), "edges"))
+    """The pruned tree of a table of k-mer counts; ``by`` are model columns, each value one tree.
+
+    In between contexts are packed numbers, if they are short enough and no rules of one's own are to see them.
+    """
+    own = callable(build.estimator) or build.support is not None
+    test = enough(build.min_count, build.sequencing, build.support)
+    contexts = roll_up_sorted(kmers, build.max_depth, by, test, build.max_depth <= MOST and not own)
+    return unpacked(prune(contexts, build, by, linked(contexts, build, by)))
 
 
 def tree_from_sequences(sequences: DataFrame, build: Build, by: list[str] = (), seq: str = "seq", spread: int | None = None) -> DataFrame:
     """The pruned tree of sequences."""
-    return tree_from_kmers(count_kmers(sequences, build.k, by, seq, spread), build, by)
+    counted = count_packed if build.k <= LONGEST_CODE else count_kmers
+    return tree_from_kmers(counted(sequences, build.k, by, seq, spread), build, by)
 
 
 def score_sequences(sequences: DataFrame, tree: DataFrame, max_depth: int, pseudo_count: float = 1.0, by: list[str] = (), seq: str = "seq") -> DataFrame:
