@@ -126,14 +126,15 @@ def distance(left: DataFrame, right: DataFrame, background_order: int = 0, pseud
     )
 
 
-def log_likelihoods(kmers: DataFrame, tree: DataFrame, max_depth: int, pseudo_count: float = 1.0, by: list[str] = ()) -> DataFrame:
-    """``by, kmer, count, context, log_p``: each k-mer's last symbol under its longest context in the tree."""
+def log_likelihoods(kmers: DataFrame, tree: DataFrame, max_depth: int, pseudo_count: float = 1.0, by: list[str] = (), key: list[str] = ()) -> DataFrame:
+    """``by, key, kmer, count, context, log_p``: each k-mer's last symbol under its longest context in the tree; ``key`` are columns of the k-mers only."""
     sizes = F.sequence(F.lit(0), F.lit(max_depth))
-    tries = kmers.select(*by, "kmer", "count", F.substring("kmer", 1, max_depth).alias("before"), F.explode(sizes).alias("n")).select(*by, "kmer", "count", last(F.col("before"), F.col("n")).alias("context"))
+    own = [*by, *key, "kmer", "count"]
+    tries = kmers.select(*own, F.substring("kmer", 1, max_depth).alias("before"), F.explode(sizes).alias("n")).select(*own, last(F.col("before"), F.col("n")).alias("context"))
     chances = F.map_from_arrays(F.array(*[F.lit(s.upper()) for s in SYMBOLS]), F.array(*probabilities(pseudo_count)))
     models = tree.select(*by, "context", "depth", chances.alias("p"))
-    found = tries.join(models, [*by, "context"]).select(*by, "kmer", "count", "context", "depth", F.log(F.element_at("p", F.right("kmer", F.lit(1)))).alias("log_p"))
-    return found.groupBy(*by, "kmer", "count").agg(F.max_by(F.struct("context", "log_p"), "depth").alias("x")).select(*by, "kmer", "count", "x.context", "x.log_p")
+    found = tries.join(models, [*by, "context"]).select(*own, "context", "depth", F.log(F.element_at("p", F.right("kmer", F.lit(1)))).alias("log_p"))
+    return found.groupBy(*own).agg(F.max_by(F.struct("context", "log_p"), "depth").alias("x")).select(*own, "x.context", "x.log_p")
 
 
 def windows_by_suffix(kmers: DataFrame, max_depth: int, by: list[str] = ()) -> DataFrame:

@@ -210,6 +210,10 @@ ORACLE_SQL = {
     "distance_matrix": _with(_whole(), _components(0), _distances(0), select=_DISTANCES),
     "distance_order1": _with(_whole(), _components(1), _distances(1), select=_DISTANCES),
     "score_nll": _with(_whole(), _kmers(_T.k, "", "benchmark", name="bm"), _scored(_T.max_depth, "bm"), select=f"SELECT lang, CAST(sum(count) AS BIGINT) AS n_windows, round(sum(count * lp), {_R}) AS log_likelihood, round(-sum(count * lp) / sum(count), {_R}) AS nll FROM sc GROUP BY lang"),
+    "score_documents": _with(
+        _whole(), _kmers(_T.k, "doc_id", name="dk"), "ks AS (SELECT kmer, 1 AS count FROM dk GROUP BY kmer)", _scored(_T.max_depth, "ks"),
+        select=f"SELECT doc_id, lang, CAST(sum(dk.count) AS BIGINT) AS n_windows, round(-sum(dk.count * lp) / sum(dk.count), {_R}) AS nll FROM dk JOIN sc ON dk.kmer = sc.kmer GROUP BY ALL",
+    ),
     "score_longest_context": _with(_whole(), _scored(_T.max_depth, "km", on=" AND t.lang = k.lang"), select="SELECT lang, kmer, count, context FROM sc"),
     "bic_grid": _with(_bic(), select=_GRID_ROWS),
     "bic_grid_full": _with(_bic(q.FULL_GRID), select=_GRID_ROWS),

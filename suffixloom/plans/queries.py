@@ -16,6 +16,7 @@ from ..operators import contexts as C
 from ..operators import kmers as K
 from ..operators import metrics as M
 from ..operators import prune as P
+from ..operators.walks import score_each
 from ..sources.sequences import as_symbols, from_text, read_fasta, read_fasta_pieces, read_fastq, read_kmers, write_fasta, write_fastq
 from ..sources.archives import read_archive, write_archive
 from ..sources.trees import dump, dump_line, from_records, read_tree, to_records, write_grid, write_tree
@@ -272,6 +273,13 @@ def score_longest_context(spark, sf):
     return M.log_likelihoods(counts, tree_from_kmers(counts, TREE_BUILD, LANG), TREE_BUILD.max_depth, 1.0, LANG).select("lang", "kmer", "count", "context")
 
 
+def score_documents(spark, sf):
+    """Each document under each language's tree."""
+    docs = from_text(spark.read.parquet(f"{sf}/documents.parquet"), "text", ["doc_id"])
+    scores = score_each(docs, lang_tree_written(spark, sf), TREE_BUILD.max_depth, 1.0, LANG, ["doc_id"])
+    return rounded(scores.select("doc_id", "lang", "n_windows", "nll"))
+
+
 def _grid(grid: DataFrame) -> DataFrame:
     keys = [c for c in ("lang",) if c in grid.columns]
     return grid.select(*keys, "max_depth", "min_count", "threshold", "n_params", F.round("log_likelihood", 3).alias("log_likelihood"), F.round("bic_score", 3).alias("bic_score"))
@@ -408,5 +416,6 @@ NAMES = (
     distance, distance_penalized, distance_matrix, distance_order1, score_nll, score_longest_context, bic_grid, bic_best, bic_grid_full,
     kmer_spectrum_12, kmer_spectrum_28, tree_depth9, tree_own_rules, fasta_files, fastq_files, fasta_kmers, kmer_table, tree_table, tree_archive_file, tree_dump_file, grid_csv,
     command_line, tree_maintained, tree_maintained_peres_shields,
+    score_documents,
 )
 QUERIES = {f.__name__: f for f in NAMES}
