@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -109,6 +110,51 @@ def distances(trees: DataFrame, model: str, pairs: DataFrame | None = None, back
     return rows.select("left_id", "right_id", F.col("n_deep").alias("n_shared"), missing.alias("n_missing"), distance.alias("distance"), (F.lit(0.75) * distance + F.lit(0.25) * share).alias("penalized"))
 
 
+#: A measure of one's own: from three conditions (a context is in both trees, in the left one only, in the right one only) to named aggregates.
+Measure = Callable[[Column, Column, Column], dict[str, Column]]
+
+
+def compare(left: DataFrame, right: DataFrame, measures: list[Measure], by: list[str] = (), background_order: int = 0, pseudo_count: float = 1.0) -> DataFrame:
+    """``by`` and what ``measures`` aggregate over the contexts of either tree, in one outer join.
+
+    A row of it is a context, with its ``depth``, and for each side (``l_`` and ``r_`` before the names) its ``count``, counts of
+    next symbols (``n_a`` ...), and components (``v_a`` ...); those of a side that has not got it are null.  Trees without rows make
+    one row of aggregates over nothing where there are no ``by`` columns.
+    """
+
+    def side(tree: DataFrame, p: str) -> DataFrame:
+        parts = components(tree, background_order, pseudo_count, by).drop("depth").join(tree.select(*by, "context", "depth", *NEXT, "count"), [*by, "context"])
+        return parts.select(*by, "context", F.lit(True).alias(f"{p}in"), F.col("depth").alias(f"{p}depth"), *[F.col(c).alias(p + c) for c in ("count", *NEXT, *(f"v_{s}" for s in SYMBOLS))])
+
+    rows = side(left, "l_").join(side(right, "r_"), [*by, "context"], "full_outer").withColumn("depth", F.coalesce("l_depth", "r_depth"))
+    one, other = F.col("l_in").isNotNull(), F.col("r_in").isNotNull()
+    made = {name: column for m in measures for name, column in m(one & other, one & ~other, other & ~one).items()}
+    return rows.groupBy(*by).agg(*[column.alias(name) for name, column in made.items()])
+
+
+def angle_measure(background_order: int = 0) -> Measure:
+    """``n_shared, distance`` as ``distances`` has them."""
+
+    def measure(both: Column, left_only: Column, right_only: Column) -> dict[str, Column]:
+        used = both & (F.col("depth") > background_order)
+        total = lambda x, y: F.coalesce(F.sum(F.when(used, sum((F.col(f"{x}_v_{s}") * F.col(f"{y}_v_{s}") for s in SYMBOLS[1:]), F.col(f"{x}_v_a") * F.col(f"{y}_v_a")))), F.lit(0.0))
+        return {"n_shared": F.count_if(used), "distance": angle(total("l", "r"), total("l", "l"), total("r", "r"))}
+
+    return measure
+
+
+def penalized_measure(background_order: int = 0) -> Measure:
+    """``n_missing, penalized``: 3/4 of the angle and 1/4 of the share of contexts that are in one tree only."""
+
+    def measure(both: Column, left_only: Column, right_only: Column) -> dict[str, Column]:
+        plain = angle_measure(background_order)(both, left_only, right_only)
+        missing = F.count_if(left_only | right_only)
+        share = F.coalesce(F.try_divide(missing.cast("double"), (missing + plain["n_shared"]).cast("double")), F.lit(0.0))
+        return {"n_missing": missing, "penalized": F.lit(0.75) * plain["distance"] + F.lit(0.25) * share}
+
+    return measure
+
+
 def distance(left: DataFrame, right: DataFrame, background_order: int = 0, pseudo_count: float = 1.0) -> DataFrame:
     """The row of ``distances`` for two trees, without ids.
 

@@ -207,6 +207,13 @@ ORACLE_SQL = {
     "background_components_order1": _with(_whole(), _components(1), select="SELECT lang, context, depth, " + ", ".join(f"round(v_{s}, {_R}) AS v_{s}" for s in "acgt") + " FROM cp"),
     "distance": _with(_whole(), _components(0), _distances(0, "l.lang = 'de' AND r.lang = 'en'"), select=f"SELECT n_shared, round(distance, {_R}) AS distance FROM dd"),
     "distance_penalized": _with(_whole(), _components(0), _distances(0, "l.lang = 'de' AND r.lang = 'en'"), select=f"SELECT n_shared, n_missing, round({_PENALIZED}, {_R}) AS penalized FROM dd"),
+    "distance_measures": _with(
+        _whole(), _components(0), _distances(0, "l.lang = 'de' AND r.lang = 'en'"),
+        "jc AS (SELECT count(*) FILTER (a.context IS NOT NULL AND b.context IS NOT NULL) / CAST(count(*) AS DOUBLE) AS jaccard, "
+        "sum(coalesce(least(a.count + 0 * b.count, b.count + 0 * a.count), 0)) / CAST(sum(greatest(coalesce(a.count, 0), coalesce(b.count, 0))) AS DOUBLE) AS weighted_jaccard "
+        "FROM (SELECT * FROM tr WHERE lang = 'de') a FULL JOIN (SELECT * FROM tr WHERE lang = 'en') b ON a.context = b.context)",
+        select=f"SELECT n_shared, n_missing, round(distance, {_R}) AS distance, round({_PENALIZED}, {_R}) AS penalized, round(jaccard, {_R}) AS jaccard, round(weighted_jaccard, {_R}) AS weighted_jaccard FROM dd, jc",
+    ),
     "distance_matrix": _with(_whole(), _components(0), _distances(0), select=_DISTANCES),
     "distance_order1": _with(_whole(), _components(1), _distances(1), select=_DISTANCES),
     "score_nll": _with(_whole(), _kmers(_T.k, "", "benchmark", name="bm"), _scored(_T.max_depth, "bm"), select=f"SELECT lang, CAST(sum(count) AS BIGINT) AS n_windows, round(sum(count * lp), {_R}) AS log_likelihood, round(-sum(count * lp) / sum(count), {_R}) AS nll FROM sc GROUP BY lang"),

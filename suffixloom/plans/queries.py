@@ -251,6 +251,18 @@ def distance_penalized(spark, sf):
     return rounded(M.distance(*_two(spark, sf)).select("n_shared", "n_missing", "penalized"))
 
 
+def overlap(both: Column, left_only: Column, right_only: Column) -> dict[str, Column]:
+    """A measure of one's own: what share of the contexts, and of their counts, both trees have."""
+    weights = F.greatest(F.coalesce("l_count", F.lit(0)), F.coalesce("r_count", F.lit(0)))
+    shared = F.sum(F.when(both, F.least("l_count", "r_count")).otherwise(0))
+    return {"jaccard": F.try_divide(F.count_if(both).cast("double"), F.count("*").cast("double")), "weighted_jaccard": F.try_divide(shared.cast("double"), F.sum(weights).cast("double"))}
+
+
+def distance_measures(spark, sf):
+    """The angle, the penalised angle and a measure of one's own in one join."""
+    return rounded(M.compare(*_two(spark, sf), [M.angle_measure(), M.penalized_measure(), overlap]))
+
+
 def distance_matrix(spark, sf):
     return rounded(M.distances(lang_tree_written(spark, sf), "lang"))
 
@@ -416,6 +428,6 @@ NAMES = (
     distance, distance_penalized, distance_matrix, distance_order1, score_nll, score_longest_context, bic_grid, bic_best, bic_grid_full,
     kmer_spectrum_12, kmer_spectrum_28, tree_depth9, tree_own_rules, fasta_files, fastq_files, fasta_kmers, kmer_table, tree_table, tree_archive_file, tree_dump_file, grid_csv,
     command_line, tree_maintained, tree_maintained_peres_shields,
-    score_documents,
+    score_documents, distance_measures,
 )
 QUERIES = {f.__name__: f for f in NAMES}
