@@ -3,7 +3,6 @@
 import gzip
 
 import pytest
-from pyspark.sql import functions as F
 
 from suffixloom import cli
 from suffixloom.config import Build
