@@ -10,7 +10,8 @@
    least ``similarity`` of the five-word shingles agree, and that are long enough, are passages.
 5. Where seeds follow each other and no passage came of it, their first occurrences may be in other,
    shorter places: there, all runs of ``min_words`` words and all pairs of neighbouring seeds are joined with
-   their first occurrences, chained and aligned likewise.  So every exact repeat of so many words is found.
+   their first occurrences, and each seed with its occurrence in the document before and with one picked by
+   hash, chained and aligned likewise.  So every exact repeat of so many words is found.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -148,6 +150,53 @@ def _to_first(found: DataFrame, *keep: str) -> DataFrame:
     return found.join(first, "h").select("h", "doc", "src", "pos", "spos", *keep)
 
 
+def _to_previous(found: DataFrame) -> DataFrame:
+    """``h, doc, src, pos, spos``: each row of ``found`` (``h, doc, pos``) with the last occurrence of its ``h`` in the nearest earlier document that has it.
+
+    Rows are gone through in order, dealt by ranges of ``h`` and ``doc``, so a seed that very many documents have lies in many
+    tasks.  What comes before a range is looked up among the last rows of ranges, of which there is one a task.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        last, source = None, (-2, 0)  # the last row, and what comes before its document: -2 not known here, -1 nothing
+
+        def out(h, doc, pos, src, spos, tail: bool) -> pa.RecordBatch:
+            values = [np.asarray(h, np.int64), np.asarray(doc, np.int64), np.asarray(pos, np.int32), np.asarray(src, np.int64), np.asarray(spos, np.int32), np.full(len(h), part, np.int32), np.full(len(h), tail)]
+            return pa.RecordBatch.from_arrays([pa.array(v) for v in values], names=["h", "doc", "pos", "src", "spos", "part", "tail"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            h, doc, pos = (np.asarray(b.column(i)).astype(np.int64) for i in range(3))
+            new = np.r_[last is not None and last[:2] != (h[0], doc[0]), (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]
+            start = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
+            before = np.maximum(start - 1, 0)
+            known = (start > 0) & (h[before] == h)
+            src, spos = np.where(known, doc[before], -1), np.where(known, pos[before], 0)
+            if start[0] == 0:
+                source = (last[1], last[2]) if last[0] == h[0] else (-1, 0)
+            src[start <= 0], spos[start <= 0] = source
+            yield out(h, doc, pos, src, spos, False)
+            last, source = (int(h[-1]), int(doc[-1]), int(pos[-1])), (int(src[-1]), int(spos[-1]))
+        if last is not None:
+            yield out([last[0]], [last[1]], [last[2]], [-1], [0], True)
+
+    dealt = found.select("h", "doc", "pos").repartitionByRange("h", "doc").sortWithinPartitions("h", "doc", "pos")
+    rows = written(dealt.mapInArrow(each, "h bigint, doc bigint, pos int, src bigint, spos int, part int, tail boolean"), "previous")
+    tails = rows.filter("tail").select(F.col("h").alias("th"), F.struct("part", "doc", "pos").alias("before"))
+    heads = rows.filter("not tail and src = -2").join(F.broadcast(tails), F.expr("h = th and before.part < part")).groupBy("h", "doc", "pos").agg(F.max("before").alias("before"))
+    heads = heads.select("h", "doc", F.col("before.doc").alias("src"), "pos", F.col("before.pos").alias("spos"))
+    return rows.filter("not tail and src >= 0").select("h", "doc", "src", "pos", "spos").unionByName(heads)
+
+
+def _to_picked(found: DataFrame) -> DataFrame:
+    """``h, doc, src, pos, spos``: each row of ``found`` (``h, doc, pos``) with one occurrence of its ``h``, picked by a hash of both, if that is in an earlier document."""
+    picked = found.groupBy("h").agg(F.min(F.struct(F.xxhash64("h", "doc").alias("by"), "doc", "pos")).alias("one"))
+    picked = written(picked.select("h", F.col("one.doc").alias("src"), F.col("one.pos").alias("spos")), "picked")
+    return found.select("h", "doc", "pos").join(picked, "h").filter("doc > src").select("h", "doc", "src", "pos", "spos")
+
+
 def _groups(pos: np.ndarray, k: int, window: int, min_words: int) -> list[tuple[int, int]]:
     """Numbers, from and to, of those groups of near places in ``pos`` that may be the seeds of ``min_words`` equal words."""
     start = np.flatnonzero(np.r_[True, np.diff(pos) > 2 * window])
@@ -192,16 +241,17 @@ def unsettled(linked: DataFrame, found: DataFrame, k: int = K, window: int = WIN
 
 
 def window_links(docs: DataFrame, linked: DataFrame, found: DataFrame, k: int = K, window: int = WINDOW, min_words: int = MIN_WORDS, hot: int | None = None) -> DataFrame:
-    """``h, doc, src, pos, spos, n`` for runs of ``min_words`` words around unsettled seeds, and for pairs of neighbouring ones, each with its first occurrence.
+    """``h, doc, src, pos, spos, n`` for runs of ``min_words`` words around unsettled seeds, and for pairs of neighbouring ones, each with its first occurrence, and for the seeds with other occurrences.
 
     A seed may first occur in some short place although a whole passage around it is elsewhere; a run of
     ``min_words`` words cannot, as its first occurrence is a passage.  Of runs that come again within
     ``min_words`` in one document, one is taken.  Passages with edits may have no such run; of two seeds that
-    follow each other where one short place ends and the next begins, the first occurrence is not in these.
+    follow each other where one short place ends and the next begins, the first occurrence is not in these.  Where
+    short places overlap there may be no such seeds, so seeds are linked with the document before and with a picked one too.
     Pairs inside passages that are found already, and runs well inside, are left out: they can add no word.
     """
-    marks = linked.join(written(unsettled(linked, found, k, window, min_words), "unsettled"), "h", "left_semi")
-    marks = written(marks.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("pos", "h"))).alias("marks")).select("doc", "marks.pos", "marks.h"), "marks")
+    loose = written(linked.join(written(unsettled(linked, found, k, window, min_words), "unsettled"), "h", "left_semi"), "loose")
+    marks = written(loose.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("pos", "h"))).alias("marks")).select("doc", "marks.pos", "marks.h"), "marks")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -248,6 +298,8 @@ def window_links(docs: DataFrame, linked: DataFrame, found: DataFrame, k: int =
     runs = _fetch(docs, asked, hot or HOT_REQUESTS, each, "h bigint, doc bigint, pos int")
     two = written(marks.mapInArrow(pairs, "h bigint, doc bigint, pos int, reach int"), "pairs")
     both = _to_first(written(runs, "runs")).select("*", F.lit(min_words).alias("reach"), F.lit(min_words).alias("n"), F.lit(min_words).alias("near")).unionByName(_to_first(two, "reach").select("*", F.lit(k).alias("n"), F.lit(0).alias("near")))
+    others = _to_previous(loose).unionByName(_to_picked(loose)).select("*", F.lit(k).alias("reach"), F.lit(k).alias("n"), F.lit(0).alias("near"))
+    both = both.unionByName(others)
     spans = by_document(found.withColumnRenamed("doc", "row")).select(F.col("row").alias("of"), F.explode("passages").alias("p"))
     spans = written(spans.select("of", F.col("p.start").alias("a"), (F.col("p.start") + F.col("p.n_words")).alias("b")), "covered")
     return both.filter("doc > src").join(spans, F.expr("doc = of and greatest(pos - near, 0) >= a and pos + reach + near <= b"), "left_anti").drop("reach", "near")

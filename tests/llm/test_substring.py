@@ -359,3 +359,41 @@ def test_passages_whose_pieces_are_elsewhere(spark, every):
     # with edits, a passage is missed if none of its seeds or pairs of seeds goes over the end of a piece
     assert len(want - set(got)) <= (1 if every else 0)
     assert sum(got.get(w, 0) for w in want) >= (2800 if every else 3000)
+
+
+@pytest.mark.parametrize(("every", "piece", "step"), [(30, 40, 20), (40, 48, 16), (30, 40, 40)])
+def test_edited_passages_whose_overlapping_pieces_are_earlier(spark, every, piece, step):
+    """60 passages of 120 words, one word in ``every`` replaced; their pieces, ``step`` apart, occur in earlier documents."""
+    r = random.Random(42)
+    short, pairs = [], []
+    for _ in range(60):
+        p = words(r, 120)
+        short += [" ".join([*words(r, 20), *p[a : a + piece], *words(r, 20)]) for a in range(0, 120 - piece + step, step)]
+        q = list(p)
+        for at in range(r.randrange(5, every), 120, every):
+            q[at] = words(r, 1)[0]
+        pairs.append((p, q))
+    r.shuffle(short)
+    docs = [*short, *(" ".join([*words(r, 30), *p, *words(r, 30)]) for p, _ in pairs), *(" ".join([*words(r, 25), *q, *words(r, 25)]) for _, q in pairs)]
+    got = covered(found(spark, list(enumerate(docs))))
+    first = len(short) + 60
+    share = [len(got.get(first + k, set()) & set(range(25, 145))) / 120 for k in range(60)]
+    print(sum(s > 0.8 for s in share), sum(share) / 60)
+    assert sum(s > 0.8 for s in share) >= 57 and sum(share) >= 57
+
+
+def test_previous_occurrences_against_a_plain_reading(spark):
+    r = random.Random(43)
+    rows = sorted({(r.choice([1, 1, 1, 2, -5]) if i % 3 else i, r.randrange(40), r.randrange(9)) for i in range(600)})
+    want = {}
+    for h, doc, pos in rows:
+        before = [(d, p) for g, d, p in rows if g == h and d < doc]
+        if before:
+            want[h, doc, pos] = max(before)
+    for parts in (1, 3, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        try:
+            out = s._to_previous(spark.createDataFrame(rows, "h bigint, doc bigint, pos int")).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert len(out) == len(want) and {(x.h, x.doc, x.pos): (x.src, x.spos) for x in out} == want
