@@ -29,6 +29,8 @@ SET_BYTES = 128 << 20
 PROBES, BITS_EACH = 4, 64
 #: Windows in a batch while they are made.
 BATCH = 8192
+#: Places of one repeated word that a row of candidates stands for, at most.
+RUN = 4096
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _U = np.uint64
@@ -123,28 +125,57 @@ def hash_set(found: DataFrame, set_bytes: int = SET_BYTES) -> HashSet:
     return HashSet(sizes, bits, table, None)
 
 
+def _runs(at: np.ndarray, h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First candidate and number of those that follow each other in one row with one hash (a repeated word), ``RUN`` at most."""
+    row = np.searchsorted(bounds, at, side="right") - 1
+    new = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (h[1:] != h[:-1]) | (row[1:] != row[:-1])][: len(at)])
+    n = np.diff(np.r_[new, len(at)])
+    parts = -(-n // RUN)
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    return np.repeat(new, parts) + nth * RUN, np.minimum(np.repeat(n, parts) - nth * RUN, RUN)
+
+
 def scan(docs: DataFrame, known: HashSet) -> DataFrame:
-    """``doc, n_words, found`` for each row of ``docs`` (columns ``doc``, ``text``): ``found`` lists the candidates (``at, size, h, words``)."""
+    """``doc, n_words`` for each row of ``docs`` (columns ``doc``, ``text``), and rows ``doc, at, size, n, h, words`` of candidates, whose ``n_words`` is null.
+
+    A candidate is a window of ``size`` words at ``n`` places from ``at`` on that follow each other.  Rows are sent off by
+    ``BATCH``, so what a worker holds does not grow with a text's candidates.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(known)
-    kind = pa.list_(pa.struct([("at", pa.int32()), ("size", pa.int32()), ("h", pa.int64()), ("words", pa.binary())]))
+    schema = pa.schema([("doc", pa.int64()), ("n_words", pa.int64()), ("at", pa.int32()), ("size", pa.int32()), ("n", pa.int32()), ("h", pa.int64()), ("words", pa.binary())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner, hashes_of = WordScanner(alnum_bytes()), shared.value
         for b in slices(batches, "text"):
             data, offsets = text_bytes(b.column(1))
             starts, ends, hashes, bounds = scanner.scan(data, offsets)
-            found: list[list] = [[] for _ in range(b.num_rows)]
+            lengths = pa.array(np.diff(bounds).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), lengths, *(pa.nulls(b.num_rows, f.type) for f in list(schema)[2:])], schema=schema)
+            doc = np.asarray(b.column(0))
             for size in hashes_of.sizes:
                 h = window_hashes(hashes, size)
                 at = hashes_of.candidates(h)
                 row = np.searchsorted(bounds, at, side="right") - 1
-                fits = at + size <= bounds[row + 1]
-                for i, r in zip(at[fits].tolist(), row[fits].tolist(), strict=True):
-                    words = b" ".join(words_of(data[starts[i] : ends[i + size - 1]].tobytes()))
-                    found[r].append((i - int(bounds[r]), size, int(h[i : i + 1].view(np.int64)[0]), words))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(bounds).astype(np.int64)), pa.array(found, kind)], names=["doc", "n_words", "found"])
-
-    return docs.select("doc", "text").mapInArrow(each, "doc bigint, n_words bigint, found array<struct<at: int, size: int, h: bigint, words: binary>>")
+                at = at[at + size <= bounds[row + 1]]
+                if not len(at):
+                    continue
+                first, n = _runs(at, h[at], bounds)
+                at = at[first]
+                for a in range(0, len(at), BATCH):
+                    found = []
+                    for i, times in zip(at[a : a + BATCH].tolist(), n[a : a + BATCH].tolist(), strict=True):
+                        words = words_of(data[starts[i] : ends[i + size + times - 2]].tobytes())
+                        if times == 1 or len(set(words)) == 1:
+                            found.append((i, times, b" ".join(words[:size])))
+                        else:  # one hash of different words
+                            found += [(i + t, 1, b" ".join(words[t : t + size])) for t in range(times)]
+                    place, times, words = zip(*found, strict=True)
+                    place = np.array(place)
+                    row = np.searchsorted(bounds, place, side="right") - 1
+                    columns = [pa.array(doc[row]), pa.nulls(len(place), pa.int64()), pa.array((place - bounds[row]).astype(np.int32)), pa.array(np.full(len(place), size, np.int32)), pa.array(np.array(times, np.int32)), pa.array(h[place].view(np.int64)), pa.array(words, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return docs.select("doc", "text").mapInArrow(each, "doc bigint, n_words bigint, at int, size int, n int, h bigint, words binary")
 
 
 def _covered(spans: Column) -> Column:
@@ -160,11 +191,12 @@ def _measured(docs: DataFrame, benchmark: DataFrame, item: str, item_text: str,
     known = windows(benchmark, item, item_text, n).groupBy("h", "size", "words").agg(F.sort_array(F.collect_set("item")).alias("items"))
     known = written(known, "windows")
     scanned = written(scan(docs, hash_set(known, set_bytes)), "scanned")
-    candidates = scanned.select("doc", F.explode("found").alias("c")).select("doc", "c.at", "c.size", "c.h", "c.words")
-    hits = candidates.join(known, ["h", "size", "words"]).groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("at", "size"))).alias("spans"), F.collect_set("items").alias("items"))
+    candidates = scanned.filter("n_words is null").select("doc", "at", "size", "n", "h", "words")
+    span = F.struct("at", (F.col("size") + F.col("n") - 1).alias("size"))
+    hits = candidates.join(known, ["h", "size", "words"]).groupBy("doc").agg(F.sort_array(F.collect_set(span)).alias("spans"), F.collect_set("items").alias("items"))
     hits = hits.withColumn("items", F.array_sort(F.array_distinct(F.flatten("items"))))
     none = F.array().cast("array<string>")
-    return scanned.select("doc", "n_words").join(hits, "doc", "left").select(
+    return scanned.filter("n_words is not null").select("doc", "n_words").join(hits, "doc", "left").select(
         "doc", "n_words", F.coalesce(_covered(F.col("spans")), F.lit(0).cast("bigint")).alias("n_hit"), F.coalesce("items", none).alias("items"), "spans"
     )
 

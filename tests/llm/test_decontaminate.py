@@ -123,3 +123,15 @@ def test_odd_columns_and_keys(spark):
     cut = d.remove(docs, bench, mode="span")
     assert cut.columns == docs.columns and sorted((r.text or "").split() != [] for r in cut.collect()) == [False, True, True, True]
     assert d.remove(docs.limit(0), bench).count() == d.remove(docs.limit(0), bench, mode="span").count() == 0
+
+
+def test_a_word_repeated_millions_of_times_makes_few_candidates(spark):
+    n = 3_000_000
+    docs = spark.createDataFrame([(1, None), (2, "no yes no"), (4, "yes yes no yes")], "doc bigint, text string")
+    docs = docs.unionByName(spark.range(3, 4).select(F.col("id").alias("doc"), F.repeat(F.lit("Yes "), n).alias("text"))).coalesce(1)
+    items = spark.createDataFrame([(1, "yes"), (2, "yes yes"), (3, "no yes no")], "item_id bigint, text string")
+    known = d.windows(items).groupBy("h", "size", "words").count().cache()
+    rows = d.scan(docs, d.hash_set(known)).filter("n_words is null").collect()
+    assert sum(x.doc == 3 for x in rows) <= 2 * (n // d.RUN + 1) and sum(x.n for x in rows if x.doc == 3) == 2 * n - 1
+    out = {x.row: (x.n_words, x.n_hit, x["items"]) for x in d.find(docs.withColumnRenamed("doc", "doc_id"), items).collect()}
+    assert out == {1: (0, 0, []), 2: (3, 3, ["1", "3"]), 3: (n, n, ["1", "2"]), 4: (4, 3, ["1", "2"])}
