@@ -9,14 +9,15 @@ from .common import written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
+    """Least neighbours are written, so the join is one of plain tables and the edges of a hub can be split over tasks."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
     return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = written(down.groupBy("a").agg(F.min("b").alias("m")), "least")
     joined = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return joined.unionByName(least.select("a", F.col("m").alias("b")))
 
@@ -39,7 +40,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(_tidy(edges.select("a", "b").dropna()), "edges")
     mark = _mark(edges)
     while mark[0]:
-        edges = written(_tidy(_small_star(_tidy(_large_star(edges)))), "edges")
+        edges = written(_tidy(_large_star(edges)), "edges")
+        edges = written(_tidy(_small_star(edges)), "edges")
         before, mark = mark, _mark(edges)
         if mark == before:
             break

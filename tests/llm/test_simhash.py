@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from suffixloom.llm import simhash
 
@@ -109,3 +110,26 @@ def test_deduplicate_keeps_one_of_each_class_and_all_columns(spark):
 def test_long_text(spark):
     text = " ".join(f"w{i % 977}" for i in range(150_000))
     assert run(spark, [(1, text)]) == [(1, f"{plain(text):016x}", 1)]
+
+
+def test_edges_of_a_hub_are_split_over_tasks(spark):
+    from suffixloom.llm import components as c
+
+    path = spark.range(400_000, 400_008).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    low, high = (spark.range(1, 100_001).select(F.lit(hub).cast("bigint").alias("a"), F.col("id").alias("b")).unionByName(path) for hub in (0, 200_000))
+    got = c.components(high).groupBy("root").count().collect()
+    assert {x.root: x["count"] for x in got} == {1: 100_001, 400_000: 9}
+    own = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        for star in (c._large_star(c.written(low, "edges")), c._small_star(c.written(high, "edges"))):
+            star.collect()
+            assert "skew=true" in star._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
