@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding.
 
 Texts are split at special tokens and into pre-tokens; short pre-tokens are encoded once and
-remembered.  Long unsplit pre-tokens are encoded as a tree: their leaves in parallel, then pairs of
-neighbours, in parallel too, level by level.  Each join is mended by re-encoding a window around it that
+remembered.  Long unsplit pre-tokens are encoded as a tree: their leaves, cut between characters, in threads
+(the encoder gives up the interpreter's lock while it works), then pairs of neighbours, level by level.  Each
+join is mended by re-encoding a window around it that
 grows, on the side that does not agree yet, until its first and last token are what both sides had.  Runs
 that repeat themselves are cut where their tokens begin anew, or else a window would often have to grow
 over the whole run; the result is the same wherever the cut is.  Any two neighbours in an encoding are the encoding of their own bytes, and a
@@ -32,7 +33,7 @@ from .common import appended
 VOCABULARY = "byte_bpe_50k.json"
 #: Pre-tokens of more bytes than this are encoded as a tree whose leaves have about as many.
 LONG = 4096
-#: Threads of a worker that encode leaves and mend joins (only pre-tokens of ``THREADS`` leaves or more start them).
+#: Threads of a worker that encode leaves (only pre-tokens of ``THREADS`` leaves or more start them).
 THREADS = 4
 #: Bytes before a cut that are looked at for a repeating run, its longest period, and how many periods leaves are made of.
 RUN, PERIOD, PERIODS = 256, 32, 128
@@ -69,7 +70,6 @@ class Encoder:
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.whole = tiktoken.Encoding("whole", pat_str=r"(?s:.+)", mergeable_ranks=self.rank, special_tokens={})
-        self.native = getattr(self.whole, "_encode_single_piece", self.merge)  # the same for bytes, whether or not they are UTF-8
         self.long, self.threads, self.pool = long, threads, None
         self.known = _Known(self)
 
@@ -111,12 +111,20 @@ class Encoder:
                 heapq.heappush(todo, (m[0], p, m[1], ids[p], new))
         return [i for i in ids if i >= 0]
 
+    def piece(self, raw: bytes) -> np.ndarray:
+        """The encoding of one unsplit piece; what begins or ends inside a character is merged in Python."""
+        try:
+            text = raw.decode()
+        except UnicodeDecodeError:
+            return np.array(self.merge(raw), np.uint32)
+        return np.array(self.whole.encode_ordinary(text), np.uint32)
+
     def join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The encoding of two encoded neighbours' bytes."""
         before = after = FIRST_WINDOW
         while True:
             a, b = left[-before:], right[:after]
-            got = np.array(self.native(b"".join(map(self.table.__getitem__, [*a.tolist(), *b.tolist()]))), np.uint32)
+            got = self.piece(b"".join(map(self.table.__getitem__, [*a.tolist(), *b.tolist()])))
             agrees_left = before >= len(left) or got[0] == a[0]
             agrees_right = after >= len(right) or got[-1] == b[-1]
             if agrees_left and agrees_right:
@@ -124,7 +132,7 @@ class Encoder:
             before, after = before * (1 if agrees_left else 2), after * (1 if agrees_right else 2)
 
     def cuts(self, piece: bytes) -> list[int]:
-        """Where the leaves of a long piece begin and the last ends."""
+        """Where the leaves of a long piece begin and the last ends, always between characters."""
         x, out = np.frombuffer(piece, np.uint8), [0]
         while len(x) - out[-1] > self.long:
             begin = out[-1]
@@ -136,8 +144,15 @@ class Encoder:
                     run = begin + int(breaks[-1]) + 1 if len(breaks) else begin
                     at = max(run + (at - run) // (p * PERIODS) * (p * PERIODS), run) if run > begin or at - run >= p * PERIODS else at
                     break
-            out.append(at)
-        return [*out, len(x)]
+            between = at
+            while between > begin and x[between] & 0xC0 == 0x80:
+                between -= 1
+            if between == begin:  # a leaf of less than a character
+                between = at
+                while between < len(x) and x[between] & 0xC0 == 0x80:
+                    between += 1
+            out.append(between)
+        return [*out, len(x)] if out[-1] < len(x) or not len(x) else out
 
     def tree(self, piece: str) -> np.ndarray:
         """The encoding of a long unsplit piece."""
@@ -149,9 +164,9 @@ class Encoder:
             if self.pool is None:
                 self.pool = ThreadPoolExecutor(self.threads)
             each = self.pool.map
-        parts = list(each(lambda leaf: np.array(self.native(leaf), np.uint32), leaves))
+        parts = list(each(self.piece, leaves))
         while len(parts) > 1:
-            joined = list(each(self.join, parts[::2], parts[1::2]))
+            joined = list(map(self.join, parts[::2], parts[1::2]))
             parts = [*joined, *parts[len(joined) * 2 :]]
         return parts[0]
 
@@ -163,7 +178,7 @@ class _Known(dict):
         self.encoder = encoder
 
     def __missing__(self, piece: str) -> bytes:
-        if len(piece) > self.encoder.long:
+        if len(piece) > self.encoder.long or 4 * len(piece) > self.encoder.long and len(piece.encode()) > self.encoder.long:
             return self.encoder.tree(piece).tobytes()
         self[piece] = out = np.array(self.encoder.whole.encode_ordinary(piece), np.uint32).tobytes()
         return out
@@ -178,7 +193,8 @@ def encoder(path: str | None, long: int = LONG) -> Encoder:
 def encode(docs: DataFrame, text: str = "text", path: str | None = None, long: int = LONG) -> tuple[DataFrame, list[str]]:
     """``docs`` with ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit), and the names these got.
 
-    Null text counts as empty and has no tokens; all rows and columns stay.
+    Null and empty text has no tokens; all rows and columns stay, repeated rows too, and an empty table gives none.
+    A new name that ``docs`` has already gets an underscore.  Very long texts are encoded whole, in one row's memory.
     """
 
     def each(column: pa.Array) -> list[pa.Array]:
@@ -200,7 +216,10 @@ def decode(docs: DataFrame, ids: str = "ids", path: str | None = None) -> tuple[
 
 
 def round_trip(docs: DataFrame, text: str = "text", path: str | None = None, keep_ids: bool = False) -> tuple[DataFrame, list[str]]:
-    """``docs`` with ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` (and ``ids``): encoded and decoded in one pass."""
+    """``docs`` with ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` (and ``ids``): encoded and decoded in one pass.
+
+    Odd rows and tables are treated as by ``encode``: null and empty text has no tokens and the digests of nothing.
+    """
 
     def each(column: pa.Array) -> list[pa.Array]:
         e, sha = encoder(path), hashlib.sha256

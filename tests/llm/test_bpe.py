@@ -1,6 +1,7 @@
 """BPE against the tokenizers library, id for id."""
 
 import hashlib
+import os
 import random
 import time
 
@@ -55,7 +56,7 @@ def test_join_is_exact_wherever_the_cut(own):
         s = "".join(r.choice(r.choice(["ab", "therin ", "éaç日"])) for _ in range(r.randrange(2, 60))).encode()
         cut = r.randrange(1, len(s))
         left, right = (np.array(own.merge(x), np.uint32) for x in (s[:cut], s[cut:]))
-        assert own.join(left, right).tolist() == own.merge(s) == own.native(s)
+        assert own.join(left, right).tolist() == own.merge(s) == own.piece(s).tolist()
 
 
 @pytest.mark.parametrize("text", ["a" * 1_000_000, "x" + "a" * 300_001, "=-" * 200_000 + "=", "日本語" * 70_000, "ab" * 5_000 + "a" * 200_000 + "é" * 90_001, "-" * 999_999])
@@ -75,6 +76,18 @@ def test_cuts_of_runs(own):
         assert cuts[0] == 0 and cuts[-1] == len(raw) and all(0 < b - a <= own.long for a, b in zip(cuts, cuts[1:])) or not raw
 
 
+def test_cuts_are_between_characters(own):
+    r = random.Random(5)
+    for long in (1, 3, 7, 4096):
+        e = bpe.Encoder.__new__(bpe.Encoder)
+        e.long = long
+        for _ in range(20):
+            s = "".join(r.choice(["a", "é", "日", "🎉", "日本語" * 30]) for _ in range(r.randrange(300)))
+            raw = s.encode()
+            cuts = e.cuts(raw)
+            assert cuts[0] == 0 and cuts[-1] == len(raw) and "".join(raw[a:b].decode() for a, b in zip(cuts, cuts[1:])) == s
+
+
 def test_threads_do_not_matter(library):
     r = random.Random(9)
     text = "".join(r.choice("etaoinshr") for _ in range(60_000))
@@ -83,6 +96,43 @@ def test_threads_do_not_matter(library):
         assert bpe.Encoder(public_tokenizers.path(bpe.VOCABULARY), threads=threads).tree(text).tolist() == want
 
 
+def test_halves_run_in_parallel(own, library):
+    """10 MB without a split: four threads are at least half again as fast as one (twice on four free cores), id for id the library's."""
+    if len(os.sched_getaffinity(0)) < 4:
+        pytest.skip("fewer than four cores")
+    r = random.Random(10)
+    text = "".join(r.choice("etaoinshrdlu") for _ in range(10_000_000))
+    took, got = {}, {}
+    for threads in (1, 4):
+        e = bpe.Encoder(public_tokenizers.path(bpe.VOCABULARY), threads=threads)
+        e.tree(text[:100_000])
+        began = time.perf_counter()
+        got[threads] = e.tree(text)
+        took[threads] = time.perf_counter() - began
+    print(took)
+    assert got[1].tolist() == got[4].tolist()
+    assert took[1] > 1.5 * took[4], took
+    part = text[:1_000_000]
+    assert own.tree(part).tolist() == library.encode(part, add_special_tokens=False).ids
+
+
+def test_the_query_takes_long_texts_through_the_tree(spark, library, tmp_path):
+    r = random.Random(11)
+    texts = ["".join(r.choice(a) for _ in range(200_000)) for a in ("etaoin", "éèça", "日本語")]
+    assert all(max(len(p.encode()) for p in own_pieces(t)) > 4 * bpe.LONG for t in texts)
+    rows = [(k, t) for k, t in enumerate(["short one", None, *texts, *[f"before {t} after" for t in texts]])]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x.doc_id: x for x in bpe.op8_bpe(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for k, t in rows:
+        want = library.encode(t or "", add_special_tokens=False).ids
+        assert got[k].n_tokens == len(want) and got[k].ids_sha256 == hashlib.sha256(np.array(want, np.uint32).tobytes()).hexdigest()
+
+
+def own_pieces(text):
+    return bpe.encoder(None).pieces(text)
+
+
 def test_frames(spark, library):
     rows = [(1, "Hello wörld", "x"), (2, None, "y"), (None, "", None), (1, "Hello wörld", "x"), (5, "z" * 300_000, "n")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, ids string")
