@@ -3,6 +3,7 @@
 import random
 
 import public_tokenizers
+import pytest
 import regex
 
 from suffixloom.llm import tokencount as t
@@ -70,3 +71,48 @@ def test_starting_afresh_changes_nothing(monkeypatch):
     monkeypatch.setattr(t, "MOST_NODES", 5)
     monkeypatch.setattr(t, "MOST_KNOWN", 2)
     assert [c.text(x) for x in texts] == want
+
+
+def unigram(r, tmp_path, fallback=False):
+    """A tokenizers JSON of made pieces and scores, the library's own reading of it, and the same as lines where lines can say it."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    letters = "abcdeté日本"
+    pieces = {t.SPACE, *letters[:7]} | {r.choice([t.SPACE, ""]) + "".join(r.choice(letters) for _ in range(r.randrange(1, 5))) for _ in range(400)}
+    vocab = [("<unk>", 0.0)] + [(f"<0x{b:02X}>", -20.0) for b in range(256)] * fallback + [(p, -r.uniform(2, 15)) for p in sorted(pieces)]
+    own = Tokenizer(models.Unigram(vocab, 0, fallback))
+    own.pre_tokenizer = pre_tokenizers.Metaspace()
+    own.save(str(tmp_path / "unigram.json"))
+    (tmp_path / "unigram.vocab").write_text("".join(f"{p}\t{x!r}\n" for p, x in vocab))
+    return own
+
+
+def texts(r):
+    made = ["".join(r.choice("abcdeté日本  zß🎉") for _ in range(r.randrange(0, 60))) for _ in range(600)]
+    return made + ["", " ", "  a", "zzz", "🎉🎉a🎉", "zz ab zz", "abc" * 300, "z" * 700, "日z" * 200, "\n\ta"]
+
+
+@pytest.mark.parametrize("fallback", [False, True])
+def test_unigram_models_count_as_their_tokenizer(tmp_path, fallback):
+    r = random.Random(7)
+    own = unigram(r, tmp_path, fallback)
+    for name in ("unigram.json", "unigram.vocab"):
+        c = t.Counter(str(tmp_path / name))
+        for x in texts(r):
+            assert c.text(x)[1] == len(own.encode(x, add_special_tokens=False).ids), (name, x)
+
+
+def test_unigram_models_in_frames(spark, tmp_path):
+    r = random.Random(8)
+    own = unigram(r, tmp_path)
+    rows = [(k, x) for k, x in enumerate(texts(r))] + [(None, None), (3, "abc"), (3, "abc")]
+    out, (_, n) = t.count_tokens(spark.createDataFrame(rows, "doc_id bigint, text string"), path=str(tmp_path / "unigram.json"))
+    got = out.collect()
+    assert len(got) == len(rows) and all(x[n] == len(own.encode(x.text or "", add_special_tokens=False).ids) for x in got)
+
+
+def test_files_that_are_no_unigram_model_are_refused(tmp_path):
+    (tmp_path / "empty.vocab").write_text("<unk>\t0\n")
+    for path in (public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "empty.vocab")):
+        with pytest.raises(ValueError):
+            t.load_model(path)
