@@ -26,9 +26,18 @@ FAMILIES = {
     "slavic": ("ru", "uk", "be", "pl", "cs", "sk", "bg", "mk", "sr", "hr", "sl", "bs"),
     "uralic": ("fi", "et", "hu"),
     "turkic": ("tr", "az", "kk", "uz"),
+    "arabic script": ("ar", "fa", "ur", "ps", "ckb"),
+    "han": ("zh", "ja", "yue", "wuu"),
+    "indic": ("hi", "mr", "ne", "sa", "bn", "as", "gu", "pa"),
+    "malayic": ("id", "ms", "jv", "su", "tl"),
+    "baltic": ("lt", "lv"),
+    "celtic": ("ga", "gd", "cy", "br"),
 }
 #: Size of the feature space, and labelled rows (in expectation, for each language) that models are fitted on.
 DIMENSIONS, SAMPLE = 1 << 12, 500
+#: Rows of other families that a family's SVM is fitted against, as many of each language, and languages that are learned
+#: (those of most rows).  With these the work of fitting grows with the languages, not with their square.
+REST, MOST_LANGUAGES = 4000, 200
 #: Penalty of the SVMs and passes over the sample.
 PENALTY, PASSES = 10.0, 30
 #: Rows whose score is lower are rejected, as are those without a language.
@@ -108,6 +117,20 @@ def slope(margins: np.ndarray, y: np.ndarray) -> float:
     return float(tries[int(np.argmin(loss))])
 
 
+class Sample:
+    """Feature rows kept sparse, as bytes of places and values; ``sample[rows]`` is a dense matrix of those rows."""
+
+    def __init__(self, rows: list[tuple[bytes, bytes]], dimensions: int = DIMENSIONS):
+        self.rows, self.shape = rows, (len(rows), dimensions)
+
+    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(rows), self.shape[1]), np.float32)
+        for i, k in enumerate(rows.tolist()):
+            at, value = self.rows[k]
+            x[i, np.frombuffer(at, np.uint16)] = np.frombuffer(value, np.float32)
+        return x
+
+
 @dataclass
 class Model:
     """Learned languages by family, and the weights of all SVMs as columns of one matrix."""
@@ -150,8 +173,11 @@ class Model:
         return lang.tolist(), np.clip(score, 0, 1)
 
 
-def fit(x: np.ndarray, labels: list[str], families: dict[str, tuple] | None = None) -> Model:
-    """A model of the labels in the sample; no rows give a model without languages."""
+def fit(x: np.ndarray | Sample, labels: list[str], families: dict[str, tuple] | None = None, rest: int = REST) -> Model:
+    """A model of the labels in the sample; no rows give a model without languages.
+
+    A family's SVM is fitted on its rows and at most about ``rest`` others, a pair's on its rows.
+    """
     known = {lang: f for f, langs in (families or FAMILIES).items() for lang in langs}
     labels = np.array(labels, object)
     found: dict[str, list[str]] = {}
@@ -161,10 +187,24 @@ def fit(x: np.ndarray, labels: list[str], families: dict[str, tuple] | None = No
     columns, weights, slopes = [], [], []
 
     def add(name: tuple, rows: np.ndarray, y: np.ndarray) -> None:
-        w = solve_svm(x[rows], y)[0]
+        part = x[rows]
+        w = solve_svm(part, y)[0]
         columns.append(name)
         weights.append(w)
-        slopes.append(slope(x[rows] @ w[:-1] + w[-1], y))
+        slopes.append(slope(part @ w[:-1] + w[-1], y))
+
+    places = {lang: np.flatnonzero(labels == lang) for own in found.values() for lang in own}
+
+    def against(f: str) -> np.ndarray:
+        """Rows of a family, and of the others as many of each language as there is room for, evenly over its rows."""
+        others = [places[lang] for g, own in found.items() if g != f for lang in own]
+        room, left = rest, sum(map(len, others))
+        parts = [places[lang] for lang in found[f]]
+        for k, rows in enumerate(sorted(others, key=len)):  # what a small language leaves over goes to the others
+            take = len(rows) if left <= room else min(len(rows), max(1, room // (len(others) - k)))
+            parts.append(rows[np.arange(take) * len(rows) // take])
+            room, left = max(0, room - take), left - len(rows)
+        return np.sort(np.concatenate(parts))
 
     names = list(found)
     for k, f in enumerate(names if len(names) > 1 else []):
@@ -173,7 +213,8 @@ def fit(x: np.ndarray, labels: list[str], families: dict[str, tuple] | None = No
             weights.append(-weights[0])
             slopes.append(slopes[0])
         else:
-            add(("family", f), np.arange(len(labels)), np.where(family == f, 1.0, -1.0))
+            rows = against(f)
+            add(("family", f), rows, np.where(family[rows] == f, 1.0, -1.0))
     for own in found.values():
         for a, b in combinations(own, 2):
             rows = np.flatnonzero((labels == a) | (labels == b))
@@ -187,22 +228,22 @@ def held_out(row: str):
     return F.coalesce(F.crc32(named(row).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, row: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, families: dict[str, tuple] | None = None) -> Model:
+def train(docs: DataFrame, row: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, families: dict[str, tuple] | None = None, languages: int = MOST_LANGUAGES) -> Model:
     """Fit on labelled rows that are not held out: all of a language's, or about ``sample`` picked by hash of id and language.
 
     Rows with null id, text or language teach nothing.  Rows that share id and language are picked together and teach
-    once, by the least of their texts, so a repeated id cannot swell the sample.
+    once, by the least of their texts, so a repeated id cannot swell the sample.  Of more than ``languages`` languages those
+    of most rows are learned.  A table without labelled rows gives a model without languages.
     """
     rows = docs.filter(named(lang).isNotNull() & named(row).isNotNull() & ~held_out(row))
-    counts = {r[0]: r[1] for r in rows.groupBy(named(lang)).count().collect()}
+    counts = rows.groupBy(named(lang).cast("string").alias("lang")).count().orderBy(F.col("count").desc(), "lang").limit(languages).collect()
     if not counts:
         return Model()
-    rate = F.lit(1.0)
-    for name, n in counts.items():
-        if n > sample:
-            rate = F.when(named(lang) == name, F.lit(sample / n)).otherwise(rate)
+    spark = docs.sparkSession
+    rates = F.broadcast(spark.createDataFrame([(r[0], min(1.0, sample / r[1])) for r in counts], "lang string, rate double"))  # ``languages`` rows at most
     unit = F.shiftrightunsigned(F.xxhash64(named(row).cast("string"), named(lang)), 11) / float(1 << 53)
-    part = rows.filter(named(text).isNotNull() & (unit < rate)).select(named(row).alias("row"), named(lang).alias("lang"), named(text).alias("text"))
+    part = rows.filter(named(text).isNotNull()).select(named(row).alias("row"), named(lang).cast("string").alias("lang"), named(text).alias("text"), unit.alias("unit"))
+    part = part.join(rates, "lang").filter("unit < rate")
     part = part.groupBy("row", "lang").agg(F.min("text").alias("text")).select("lang", "text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,14 +254,17 @@ def train(docs: DataFrame, row: str = "doc_id", text: str = "text", lang: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([i.astype(np.uint16).tobytes() for i in at], pa.binary()), pa.array(values, pa.binary())], names=["lang", "at", "value"])
 
     got = sorted((r[0], bytes(r[1]), bytes(r[2])) for r in part.mapInArrow(each, "lang string, at binary, value binary").collect())
-    x = np.zeros((len(got), DIMENSIONS), np.float32)
-    for i, (_, at, value) in enumerate(got):
-        x[i, np.frombuffer(at, np.uint16)] = np.frombuffer(value, np.float32)
-    return fit(x, [g[0] for g in got], families)
+    return fit(Sample([g[1:] for g in got]), [g[0] for g in got], families)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> tuple[DataFrame, list[str]]:
-    """``docs`` with ``lang_pred`` and ``score`` from each whole text, and the names these columns got."""
+    """``docs`` with ``lang_pred`` and ``score`` from each whole text, and the names these columns got.
+
+    Null, empty and letterless texts get ``und`` and 0, and so does every text where the model knows no language; ties go to
+    the family, then the language, that comes first.  All rows and columns stay, repeated rows alike; an empty table gives none; a new name
+    that ``docs`` has already gets an underscore; very long texts are read whole, by pieces.  The model is broadcast: at most
+    ``MOST_LANGUAGES`` families and their pairs, each 16 kB.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def each(column: pa.Array) -> list[pa.Array]:

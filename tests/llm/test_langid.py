@@ -1,5 +1,6 @@
 """Language identification: held-out accuracy, score range, and odd rows."""
 
+import time
 import zlib
 
 import numpy as np
@@ -150,3 +151,53 @@ def test_a_repeated_id_teaches_once(spark, monkeypatch):
     langid.train(spark.createDataFrame(texts, schema), sample=10_000)
     langid.train(spark.createDataFrame(texts + hot, schema), sample=10_000)
     assert sizes[0] == sizes[1] > 0
+
+
+def test_fitting_grows_with_the_languages_not_their_square():
+    """100 languages: each is fitted against a bounded rest, and rows are sparse, so the driver stays under 2 GB."""
+    import resource
+
+    r, names = np.random.default_rng(5), [f"l{k:02}" for k in range(92)] + ["en", "de", "fr", "es", "ar", "fa", "zh", "ja"]
+    rows, labels = [], []
+    for name in names:
+        own = r.choice(langid.DIMENSIONS, 300, replace=False)
+        for _ in range(100):
+            at = np.unique(np.r_[r.choice(own, 60), r.integers(0, langid.DIMENSIONS, 60)])
+            rows.append((at.astype(np.uint16).tobytes(), np.full(len(at), len(at) ** -0.5, np.float32).tobytes()))
+            labels.append(name)
+    began = time.time()
+    model = langid.fit(langid.Sample(rows), labels, rest=800)
+    took = time.time() - began
+    print(f"{took:.0f} s, {resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10} MB")
+    assert sum(c[0] == "family" for c in model.columns) == 92 + 4
+    assert took < 120 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 2 << 20
+    some = np.arange(0, len(rows), 20)
+    x = langid.Sample(rows)[some]
+    margins = x @ model.weights[:-1] + model.weights[-1]
+    families = [k for k, c in enumerate(model.columns) if c[0] == "family"]
+    got = np.array([model.columns[k][1].lstrip("=") for k in families], object)[margins[:, families].argmax(axis=1)]
+    known = {lang: f for f, langs in langid.FAMILIES.items() for lang in langs}
+    assert np.mean([g == known.get(labels[i], labels[i]) for g, i in zip(got, some)]) > 0.98
+
+
+def test_the_rest_is_dealt_evenly():
+    r = np.random.default_rng(6)
+    sizes = {"aa": 40, "bb": 3, "cc": 200, "dd": 200}
+    labels = [lang for lang, n in sizes.items() for _ in range(n)]
+    x = r.normal(size=(len(labels), 16)).astype(np.float32)
+    seen, solve = [], langid.solve_svm
+    langid.solve_svm = lambda part, y, **o: seen.append((len(y), int((y > 0).sum()))) or solve(part, y, **o)
+    try:
+        langid.fit(x, labels, rest=103)
+        langid.fit(x, labels, rest=10_000)
+    finally:
+        langid.solve_svm = solve
+    assert seen[:4] == [(143, 40), (106, 3), (303, 200), (303, 200)]
+    assert seen[4:] == [(443, n) for n in sizes.values()]
+
+
+def test_languages_of_most_rows_are_learned(spark):
+    rows = [(k, "the and of", "en") for k in range(9)] + [(k, "der und die", "de") for k in range(20, 28)] + [(40, "le et les", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.train(docs, languages=2)
+    assert sorted(lang for own in model.families.values() for lang in own) == ["de", "en"]
