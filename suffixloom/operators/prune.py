@@ -7,7 +7,7 @@ walk up the tree is needed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..config import KULLBACK_LEIBLER, Build
@@ -35,7 +35,27 @@ def edges(contexts: DataFrame, build: Build, by: list[str] = (), threshold: Colu
     return rows.select(*by, "context", "parent", "depth", *([*NEXT, "count"] if counts else []), divergence.alias("raw_divergence"), least.alias("least"))
 
 
-def linked(contexts: DataFrame, build: Build, by: list[str] = ()) -> DataFrame:
+class Watch:
+    """Numbers that a build's own jobs count along the way, over all models; no pass over the data is added.
+
+    ``numbers()`` gives ``supported`` (contexts of one symbol or more with enough support), ``orphans`` (those without
+    their parent, which are dropped), ``significant``, and, once the tree was read or written for the first time, ``windows`` (the roots' counts), ``kept`` and
+    ``terminal`` (nodes of the trees).  It waits for that first time.  Tasks that are run again after an executor is lost
+    may be counted twice: these are figures to watch a job by, not results.  A watch serves one build.
+    """
+
+    def __init__(self):
+        self.stages = {"edges": Observation(), "tree": Observation()}
+
+    def on(self, stage: str, df: DataFrame, **numbers: Column) -> DataFrame:
+        """``df``, whose rows are counted when they first go by."""
+        return df.observe(self.stages[stage], *[F.coalesce(c, F.lit(0)).cast("bigint").alias(name) for name, c in numbers.items()])
+
+    def numbers(self) -> dict[str, int]:
+        return {name: int(n or 0) for seen in self.stages.values() for name, n in seen.get.items()}
+
+
+def linked(contexts: DataFrame, build: Build, by: list[str] = (), watch: Watch | None = None) -> DataFrame:
     """The edges of supported contexts with their counts, of those that ``close`` would leave: parents are looked up once for both."""
     of = form(contexts)
     parents = contexts.select(*by, F.col("context").alias("parent"), *[F.col(c).alias(f"parent_{c}") for c in NEXT])
@@ -44,7 +64,10 @@ def linked(contexts: DataFrame, build: Build, by: list[str] = ()) -> DataFrame:
         rows = with_roots(rows, contexts, by)
     divergence, least = estimator(build)
     lone = F.col(f"parent_{NEXT[0]}").isNull()
-    found = written(rows.select(*by, "context", "depth", *NEXT, "count", divergence.alias("raw_divergence"), least.alias("least"), lone.alias("lone")), "edges")
+    found = rows.select(*by, "context", "depth", *NEXT, "count", divergence.alias("raw_divergence"), least.alias("least"), lone.alias("lone"))
+    if watch:
+        found = watch.on("edges", found, supported=F.count("*"), orphans=F.count_if("lone"), significant=F.count_if(~F.col("lone") & (F.col("raw_divergence") >= F.col("least"))))
+    found = written(found, "edges")
     return without_ends(found.filter("not lone").drop("lone"), found.filter("lone").select(*by, "context"), by)
 
 

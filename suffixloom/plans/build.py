@@ -7,13 +7,14 @@ once for a tree and once for a whole parameter grid.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..config import Build
 from ..functions.forms import MOST, unpacked
 from ..operators.contexts import close, enough
 from ..operators.kmers import LONGEST_CODE, count_all, count_kmers, count_packed
 from ..operators.metrics import LEAST_DEPTH, MIN_COUNTS, THRESHOLDS, bic_grid, score
-from ..operators.prune import linked, prune
+from ..operators.prune import Watch, linked, prune
 from ..operators.rollup import roll_up_sorted
 from ..tables import written
 
@@ -24,21 +25,25 @@ def contexts_from_kmers(kmers: DataFrame, build: Build, by: list[str] = ()) -> D
     return written(close(roll_up_sorted(kmers, build.max_depth, by, test), by), "contexts")
 
 
-def tree_from_kmers(kmers: DataFrame, build: Build, by: list[str] = ()) -> DataFrame:
+def tree_from_kmers(kmers: DataFrame, build: Build, by: list[str] = (), watch: Watch | None = None) -> DataFrame:
     """The pruned tree of a table of k-mer counts; ``by`` are model columns, each value one tree.
 
     In between contexts are packed numbers, if they are short enough and no rules of one's own are to see them.
+    ``watch`` gets the numbers of the build's stages.
     """
     own = callable(build.estimator) or build.support is not None
     test = enough(build.min_count, build.sequencing, build.support)
     contexts = roll_up_sorted(kmers, build.max_depth, by, test, build.max_depth <= MOST and not own)
-    return unpacked(prune(contexts, build, by, linked(contexts, build, by)))
+    tree = unpacked(prune(contexts, build, by, linked(contexts, build, by, watch)))
+    if watch:
+        tree = watch.on("tree", tree, windows=F.sum(F.when(F.col("depth") == 0, F.col("count"))), kept=F.count("*"), terminal=F.count_if("is_terminal"))
+    return tree
 
 
-def tree_from_sequences(sequences: DataFrame, build: Build, by: list[str] = (), seq: str = "seq", spread: int | None = None) -> DataFrame:
-    """The pruned tree of sequences."""
+def tree_from_sequences(sequences: DataFrame, build: Build, by: list[str] = (), seq: str = "seq", spread: int | None = None, watch: Watch | None = None) -> DataFrame:
+    """The pruned tree of sequences; ``watch`` gets the numbers of the build's stages."""
     counted = count_packed if build.k <= LONGEST_CODE else count_kmers
-    return tree_from_kmers(counted(sequences, build.k, by, seq, spread), build, by)
+    return tree_from_kmers(counted(sequences, build.k, by, seq, spread), build, by, watch)
 
 
 def score_sequences(sequences: DataFrame, tree: DataFrame, max_depth: int, pseudo_count: float = 1.0, by: list[str] = (), seq: str = "seq") -> DataFrame:
