@@ -1,0 +1,54 @@
+"""Counts of k-mers that are shuffled as runs of windows: the same as naive ones, in few bytes."""
+
+import random
+
+import pyarrow as pa
+import pytest
+
+from suffixloom.operators import kmers as K
+
+from test_engine import naive_counts
+
+
+def shuffled(spark):
+    """Bytes written to shuffles so far."""
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, none, None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def counted(rows, k):
+    """The counts of ``rows`` by the two steps of ``count_runs``, without Spark between them."""
+    batch = pa.RecordBatch.from_arrays([pa.array([m for m, _ in rows]), pa.array([s for _, s in rows])], names=["b0", "seq"])
+    runs, counter, got = K._Runs(1, [k], K.ROW, max(1, min(K.MINIMIZER, k // 2))), K._RunCounter(1, k), {}
+    found = pa.Table.from_batches([b for i in range(0, batch.num_rows, 7) for b in runs.add(batch.slice(i, 7))])
+    ordered = found.sort_by([("b0", "ascending"), ("part", "ascending")])
+    for out in [*(x for b in ordered.to_batches(max_chunksize=13) for x in counter.add(b)), *counter.flush()]:
+        for m, *codes, n in zip(*(c.to_pylist() for c in out.columns), strict=True):
+            kmer = "".join("ACGT"[c >> 2 * (d - 1 - i) & 3] for c, d in zip(codes, K._digits(k), strict=True) for i in range(d))
+            assert (m, kmer) not in got
+            got[m, kmer] = n
+    return got
+
+
+@pytest.mark.parametrize("at_once, size", [(1 << 20, 4 << 20), (500, 61), (1, 61)])
+def test_runs_have_the_same_counts(monkeypatch, at_once, size):
+    """However the work is cut: slices, groups that go on, k-mers of several numbers, long repeats, null models."""
+    r = random.Random(1)
+    rows = [(r.choice(["x", "y", None]), "".join(r.choice("ACGTacgtN" if k % 9 == 0 else "ACGT") for _ in range(r.randrange(300)))) for k in range(60)]
+    rows += [("x", "A" * 9000), ("y", "AC" * 5000), ("z", ""), ("z", None)]
+    monkeypatch.setattr(K, "AT_ONCE", at_once)
+    monkeypatch.setattr(K, "SLICE", size)
+    for k in (2, 11, 28, 31, 32, 101):
+        assert counted(rows, k) == naive_counts(rows, k), k
+
+
+def test_long_kmers_shuffle_no_more_than_their_symbols(spark):
+    r = random.Random(2)
+    rows = [(f"m{i % 2}", "".join(r.choice("ACGT") for _ in range(50_000))) for i in range(8)]
+    df = spark.createDataFrame(rows, "model string, seq string")
+    before = shuffled(spark)
+    got = {(x.model, x.kmer): x["count"] for x in K.count_kmers(df, 28, ["model"]).collect()}
+    assert got == naive_counts(rows, 28)
+    dealt = 400_000  # the rows themselves may be dealt out before
+    assert shuffled(spark) - before < dealt + 2 * 400_000
