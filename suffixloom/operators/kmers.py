@@ -79,8 +79,13 @@ def count_kmers(sequences: DataFrame, k: int, by: list[str] = (), seq: str = "se
 
 def count_packed(sequences: DataFrame, k: int, by: list[str] = (), seq: str = "seq", spread: int | None = None) -> DataFrame:
     """``by, kmer, count`` with k-mers as packed numbers, of at most ``LONGEST_CODE`` symbols."""
-    counts = code_tallies(sequences, [k], by, seq, spread)
-    counts = counts.groupBy(*counts.columns[:-1]).agg(F.sum("n").alias("count"))
+    if k > LONGEST_CODE:
+        raise ValueError(f"k must be at most {LONGEST_CODE}")
+    if 4**k > DENSE:
+        counts = count_runs(sequences, k, by, seq, spread).withColumnRenamed("c0", "code").withColumnRenamed("n", "count")
+    else:
+        counts = code_tallies(sequences, [k], by, seq, spread)
+        counts = counts.groupBy(*counts.columns[:-1]).agg(F.sum("n").alias("count"))
     return counts.select(*[F.col(f"b{i}").alias(b) for i, b in enumerate(by)], (F.col("code") + F.lit(4**k).cast("bigint")).alias("kmer"), "count")
 
 
@@ -93,8 +98,8 @@ def count_all(sequences: DataFrame, ks: list[int], by: list[str] = (), seq: str
     """
     if not ks or min(ks) < 1:
         raise ValueError("k must be 1 or more")
-    few, parts = [k for k in sorted(set(ks)) if k <= LONGEST_CODE], []
-    many = [k for k in sorted(set(ks)) if k > LONGEST_CODE]
+    few, parts = [k for k in sorted(set(ks)) if 4**k <= DENSE], []
+    many = [k for k in sorted(set(ks)) if 4**k > DENSE]
     if few:
         counts = code_tallies(sequences, few, by, seq, spread)
         counts = counts.groupBy(*counts.columns[:-1]).agg(F.sum("n").alias("count"))
@@ -388,7 +393,7 @@ class _RunCounter:
             found, n = np.unique(codes[0], return_counts=True)
             self.held = [found], n
             return
-        by = np.lexsort(codes[::-1]) if len(codes) > 1 else np.argsort(codes[0], kind="stable")
+        by = np.lexsort(codes[::-1]) if len(codes) > 1 else np.argsort(codes[0])
         codes = [c[by] for c in codes]
         first = np.flatnonzero(np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in codes])])
         self.held = [c[first] for c in codes], np.add.reduceat(n[by], first)

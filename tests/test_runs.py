@@ -52,3 +52,15 @@ def test_long_kmers_shuffle_no_more_than_their_symbols(spark):
     assert got == naive_counts(rows, 28)
     dealt = 400_000  # the rows themselves may be dealt out before
     assert shuffled(spark) - before < dealt + 2 * 400_000
+
+
+def test_sparse_kmers_are_not_grouped_one_by_one(spark):
+    """12-mers, of which there are more than counters: fewer bytes than symbols, no row a k-mer in the shuffle; packed ones have the same counts."""
+    r = random.Random(3)
+    rows = [(f"m{i % 2}", "".join(r.choice("ACGT") for _ in range(50_000))) for i in range(8)]
+    df = spark.createDataFrame(rows, "model string, seq string")
+    want, before = naive_counts(rows, 12), shuffled(spark)
+    assert {(x.model, x.kmer): x["count"] for x in K.count_kmers(df, 12, ["model"], spread=4).collect()} == want
+    assert shuffled(spark) - before < 3 * 400_000
+    packed = {(x.model, "".join("ACGT"[x.kmer >> 2 * i & 3] for i in range(12))[::-1]): x["count"] for x in K.count_packed(df, 12, ["model"]).collect()}
+    assert packed == want
