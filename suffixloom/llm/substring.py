@@ -283,10 +283,12 @@ def window_links(docs: DataFrame, linked: DataFrame, found: DataFrame, k: int =
         for b in batches:
             for doc, lo, words in zip(b.column(0).to_pylist(), b.column(4).to_pylist(), b.column(5), strict=True):
                 h = window_hashes(np.frombuffer(words.as_py(), np.uint32).astype(np.uint64), min_words)
-                by = np.argsort(h, kind="stable")
-                new = np.flatnonzero(np.r_[True, h[by][1:] != h[by][:-1]]) if len(h) else by
-                nth = (by - np.repeat(by[new], np.diff(np.r_[new, len(h)]))) // min_words
-                at = np.sort(by[np.r_[True, (h[by][1:] != h[by][:-1]) | (np.diff(nth) > 0)][: len(h)]])
+                ordered, at = np.sort(h), np.arange(len(h))
+                if (ordered[1:] == ordered[:-1]).any():
+                    by = np.argsort(h, kind="stable")
+                    new = np.flatnonzero(np.r_[True, h[by][1:] != h[by][:-1]])
+                    nth = (by - np.repeat(by[new], np.diff(np.r_[new, len(h)]))) // min_words
+                    at = np.sort(by[np.r_[True, (h[by][1:] != h[by][:-1]) | (np.diff(nth) > 0)]])
                 out.append((h[at].view(np.int64), np.full(len(at), doc), (lo + at).astype(np.int32)))
                 size += len(at)
                 if size >= BATCH:
@@ -499,6 +501,8 @@ def _in_order(xs: list[int], ys: list[int], ns: list[int]) -> list[int]:
 
     Of the runs that have ended, those are held that no other beats by ending earlier on the right with as much.
     """
+    if all(xs[i] + ns[i] <= xs[i + 1] and ys[i] + ns[i] <= ys[i + 1] for i in range(len(xs) - 1)):
+        return list(range(len(xs)))
     ends, most, who = [], [], []
     score, before = [0] * len(xs), [-1] * len(xs)
     pending, done = sorted(range(len(xs)), key=lambda i: xs[i] + ns[i]), 0
@@ -524,19 +528,21 @@ def _in_order(xs: list[int], ys: list[int], ns: list[int]) -> list[int]:
     return best[::-1]
 
 
-def _shared_runs(left: np.ndarray, right: np.ndarray, box: tuple[int, int, int, int], shingle: int) -> list[tuple[int, int, int]]:
+def _shared_runs(left: np.ndarray, right: np.ndarray, shared: np.ndarray, box: tuple[int, int, int, int], shingle: int) -> list[tuple[int, int, int]]:
     """Runs of equal shingles in order (left place, right place, shingles) in ``box``: left from, to, right from, to.
 
-    ``left`` and ``right`` are shingle hashes.
+    ``left`` and ``right`` are shingle hashes; ``shared`` tells which of ``left`` are anywhere in ``right``.
     """
     x, x_end, y, y_end = box
     x, y = max(x, 0), max(y, 0)
-    own, other = left[x : max(x_end - shingle + 1, 0)], right[y : max(y_end - shingle + 1, 0)]
-    if not len(own) or not len(other):
+    other = right[y : max(y_end - shingle + 1, 0)]
+    place = shared[x : max(x_end - shingle + 1, 0)].nonzero()[0]
+    if not len(place) or not len(other):
         return []
+    own = left[x + place]
     order = np.argsort(other, kind="stable")
     ordered = other[order]
-    low, high = (np.searchsorted(ordered, own, side=s) for s in ("left", "right"))
+    low, high = ordered.searchsorted(own, "left"), ordered.searchsorted(own, "right")
     n = high - low
     total = int(n.sum())
     if not total:
@@ -548,9 +554,10 @@ def _shared_runs(left: np.ndarray, right: np.ndarray, box: tuple[int, int, int,
         nth[by] = np.arange(len(own)) - np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))
         at = np.flatnonzero(nth < n)
         to = order[low[at] + nth[at]]
+        at = place[at]
     else:
-        at = np.repeat(np.arange(len(own)), n)
-        to = order[np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
+        at = place.repeat(n)
+        to = order[np.arange(total) + (low - (n.cumsum() - n)).repeat(n)]
     by = np.lexsort((at, to - at))
     at, to = at[by], to[by]
     first = _turns_at(at, to)
@@ -565,8 +572,10 @@ def stretches(good: np.ndarray, least: int, similarity: float, one: bool = False
     out, todo = [], [(0, len(good))]
     while todo:
         a, b = todo.pop()
+        if b - a < least:
+            continue
         at = a + np.flatnonzero(good[a:b])
-        if b - a < least or len(at) < similarity * least - 1e-9:
+        if len(at) < similarity * least - 1e-9:
             continue
         # from the i-th true to the j-th: (j - i + 1) >= similarity * (at[j] - at[i] + 1)
         nth = np.arange(len(at))
@@ -583,9 +592,13 @@ def stretches(good: np.ndarray, least: int, similarity: float, one: bool = False
     return sorted(out)
 
 
-def align(left: np.ndarray, right: np.ndarray, turns: list[tuple[int, int, int]], min_words: int, similarity: float, shingle: int = SHINGLE) -> list[tuple[int, int, int, float]]:
+def align(
+    left: np.ndarray, right: np.ndarray, turns: list[tuple[int, int, int]], min_words: int, similarity: float, shingle: int = SHINGLE, known: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+) -> list[tuple[int, int, int, float]]:
     """Passages of ``left`` that ``right`` has: start, words, start in ``right``, share of equal shingles.
 
+    ``known`` are hashes of the shingles of both, where they are made already, and which of the first are among the second.
+
     The path follows the diagonals of ``turns`` (left place, right place, words) and of runs of equal shingles
     between, before and after them; between two anchors on different diagonals it changes where most words
     agree.  Passages are the longest stretches of the path that are alike enough.
@@ -593,8 +606,9 @@ def align(left: np.ndarray, right: np.ndarray, turns: list[tuple[int, int, int]]
     n, least = len(left), max(min_words - shingle + 1, 1)
     if n < max(min_words, shingle) or len(right) < shingle:
         return []
-    own, other = (_shingles(x, shingle) for x in (left, right))
-    shared = _shared(own, other)
+    own, other, shared = known or (_shingles(left, shingle), _shingles(right, shingle), None)
+    if shared is None:
+        shared = _shared(own, other)
     if not stretches(shared, least, similarity, True):  # no path has more
         return []
     ends = [(0, 0), *((x + c, y + c) for x, y, c in turns)]
@@ -602,7 +616,7 @@ def align(left: np.ndarray, right: np.ndarray, turns: list[tuple[int, int, int]]
     path = []
     for i, ((x, y), (x_end, y_end)) in enumerate(zip(ends, starts, strict=True)):
         if shared[max(x, 0) : max(x_end - shingle + 1, 0)].any():
-            path += _shared_runs(own, other, (x, x_end, y, y_end), shingle)
+            path += _shared_runs(own, other, shared, (x, x_end, y, y_end), shingle)
         path += turns[i : i + 1]
     good, diagonal = _along(left, right, path, shingle)
     return [(a, b - a + shingle - 1, a + int(diagonal[a]), float(good[a:b].mean())) for a, b in stretches(good, least, similarity)]
@@ -620,11 +634,14 @@ def _along(left: np.ndarray, right: np.ndarray, path: list[tuple[int, int, int]]
         if new != d:
             span = np.arange(max(0, min(done, x)), min(n, x))
             on_old, on_new = (_equal(left, right, span, v) for v in (d, new))
-            gain = np.r_[0, np.cumsum(on_old)] + np.r_[np.cumsum(on_new[::-1])[::-1], 0]
+            gain = np.zeros(len(span) + 1, np.int64)
+            gain[1:] = on_old.cumsum()
+            gain[:-1] += on_new[::-1].cumsum()[::-1]
             diagonal[(span[0] if len(span) else x) + int(np.argmax(gain)) :] = new
             d = new
         done = x + length
-    run = np.cumsum(np.r_[0, _equal(left, right, np.arange(n), diagonal)])
+    run = np.zeros(n + 1, np.int64)
+    run[1:] = _equal(left, right, np.arange(n), diagonal).cumsum()
     return (run[shingle:] - run[:-shingle] == shingle) & (diagonal[shingle - 1 :] == diagonal[: n - shingle + 1]), diagonal
 
 
@@ -664,7 +681,7 @@ def align_all(lefts: list[np.ndarray], rights: list[np.ndarray], turns: list[np.
     salt = mix(np.arange(1, len(n) + 1).astype(np.uint64))
     rest = np.flatnonzero(whole & ~good)
     shared = good.copy()
-    own = _shingles(left, shingle) ^ salt[chain_no[: len(good)]]
+    hashes = own = _shingles(left, shingle) ^ salt[chain_no[: len(good)]]
     other = (_shingles(right, shingle) ^ salt[other_no[: len(ends)]])[inside]
     if len(rest) and len(other):
         shared[rest] = _shared(own[rest], other)
@@ -676,12 +693,15 @@ def align_all(lefts: list[np.ndarray], rights: list[np.ndarray], turns: list[np.
         there = np.bincount(back[asked][_shared(other[asked], own[shared])], minlength=len(n))
         may &= there >= similarity * least - 1e-9
     out: list[list[tuple[int, int, int, float]]] = [[] for _ in lefts]
+    n_other = np.maximum(m - shingle + 1, 0)
+    first_other = np.cumsum(n_other) - n_other
     for i in np.flatnonzero(may).tolist():
         if straight[i] and total[i] == on_line[i]:
             own = good[at[i] : at[i] + n[i] - shingle + 1]
             out[i] = [(a, b - a + shingle - 1, a + int(first[i]), float(own[a:b].mean())) for a, b in stretches(own, least, similarity)]
         else:
-            out[i] = align(lefts[i], rights[i], [tuple(t) for t in turns[i].tolist()], min_words, similarity, shingle)
+            mine, his = slice(at[i], at[i] + n[i] - shingle + 1), slice(first_other[i], first_other[i] + n_other[i])
+            out[i] = align(lefts[i], rights[i], [tuple(t) for t in turns[i].tolist()], min_words, similarity, shingle, (hashes[mine], other[his], shared[mine]))
     return out
 
 

@@ -397,3 +397,23 @@ def test_previous_occurrences_against_a_plain_reading(spark):
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", "4")
         assert len(out) == len(want) and {(x.h, x.doc, x.pos): (x.src, x.spos) for x in out} == want
+
+
+def test_many_chains_align_as_each_does_alone():
+    """Shingles and what is shared are made once for all chains; the passages are those of every chain by itself."""
+    r, lefts, rights, turns = random.Random(5), [], [], []
+    for _ in range(60):
+        right = np.array([r.randrange(1 << 30) for _ in range(r.randrange(80, 200))], np.uint32)
+        left = right.tolist()
+        for _ in range(r.randrange(5)):
+            at = r.randrange(10, len(left))
+            left[at : at + r.randrange(3)] = [r.randrange(1 << 30) for _ in range(r.randrange(3))]
+        lefts.append(np.array(left, np.uint32))
+        rights.append(right)
+        turns.append(np.array([[0, 0, 8]]))
+    alone = [s.align(a, b, [tuple(t) for t in x.tolist()], 51, 0.8) for a, b, x in zip(lefts, rights, turns)]
+    assert s.align_all(lefts, rights, turns, 51, 0.8) == alone
+    own, other = s._shingles(lefts[0], 5), s._shingles(rights[0], 5)
+    known = own, other, s._shared(own, other)
+    assert s.align(lefts[0], rights[0], [(0, 0, 8)], 51, 0.8, known=known) == alone[0]
+    assert any(alone)
