@@ -1,26 +1,30 @@
 """Hard negatives by a two-dimensional block matrix product.
 
-Anchors and rows are dealt to blocks, and their vectors cut into chunks of dimensions.  Each block is sent to its row or
-column of a grid, and a cell of the grid multiplies an anchor block with a row block over one chunk: a tile of
-partial scores, 64-bit integers.  The tiles of all chunks meet in a shuffle, are added, and reduced to
+Anchors and rows are dealt to blocks, and their vectors cut into chunks of dimensions.  A shuffle brings each block to its row or
+column of a grid, where a cell multiplies an anchor block with a row block chunk by chunk: tiles of
+partial scores, 64-bit integers.  The tiles of a panel of chunks are added where they are made, those of several panels meet in a
+shuffle and are added there; so what is shuffled is blocks, and tiles only of vectors so wide that a block is as large as its tile.  The sum is reduced to
 what each anchor needs, so no score matrix is kept.  Positives come from the cells of an anchor's own label group; then anchors meet
-all rows with the score windows of their positives at hand, and each tile passes on the first few rows of each window.
+all rows with the score windows of their positives at hand, and each cell passes on the first few rows of each window.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, PandasCogroupedOps, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import named, tidy, written
 
-#: Anchors and rows of a block (a tile has 8 bytes for each pair), and dimensions of a chunk.
-ANCHORS, ROWS, CHUNK = 128, 1024, 32
+#: Anchors and rows of a block (a tile has 8 bytes for each pair, and each block goes to all blocks of the other side), and dimensions of a chunk.
+ANCHORS, ROWS, CHUNK = 2048, 2048, 32
+#: Chunks of a panel.
+PANEL = 32
 #: Rows of one label are kept together, in so many groups by hash of the label.
 GROUPS = 16
 POSITIVES, NEGATIVES = 5, 5
@@ -49,20 +53,22 @@ class _Blocks:
     """Rows dealt to blocks of about ``size``, of one label group each, with a row for each chunk of dimensions.
 
     A row's block follows its number's hash, so no label and no id makes a large one.  Blocks are numbered through: group g
-    has ``count[g]`` of them from ``first[g]`` on.
+    has ``count[g]`` of them from ``first[g]`` on.  No row has more than ``chunks`` chunks.
     """
 
-    def __init__(self, rows: DataFrame, size: int, chunk: int):
-        group = F.pmod(F.xxhash64("label"), F.lit(GROUPS)).cast("int")
+    def __init__(self, rows: DataFrame, size: int, chunk: int, groups: int = GROUPS):
+        group = F.pmod(F.xxhash64("label"), F.lit(groups)).cast("int")
+        parts = F.greatest(F.lit(1), F.ceil(F.size("v") / chunk)).cast("int")
         rows = rows.withColumn("g", group)
-        counts = {r.g: -(-r.n // size) for r in rows.groupBy("g").agg(F.count("*").alias("n")).collect()}  # GROUPS rows at most
-        self.count = [counts.get(g, 0) for g in range(GROUPS)]
+        found = rows.groupBy("g").agg(F.count("*").alias("n"), F.max(parts).alias("parts")).collect()  # as many rows as groups at most
+        counts = {r.g: -(-r.n // size) for r in found}
+        self.chunks = max((r.parts for r in found), default=1)
+        self.count = [counts.get(g, 0) for g in range(groups)]
         self.first = np.concatenate([[0], np.cumsum(self.count)]).tolist()
         block = F.get(F.lit(self.first[:-1]), F.col("g")) + F.pmod(F.xxhash64("number"), F.get(F.lit(self.count), F.col("g"))).cast("int")
-        parts = F.greatest(F.lit(1), F.ceil(F.size("v") / chunk)).cast("int")
         cut = rows.select("*", block.alias("block"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("c"))
         keep = F.struct(*[c for c in rows.columns if c not in ("g", "v")], F.slice("v", F.col("c") * chunk + 1, F.lit(chunk)).alias("v"))
-        self.rows = cut.groupBy("g", "block", "c").agg(F.sort_array(F.collect_list(keep)).alias("rows"))
+        self.rows = cut.select("g", "block", "c", keep.alias("row")).groupBy("g", "block", "c").agg(F.sort_array(F.collect_list("row")).alias("rows"))
 
     def along(self, other: _Blocks, same: bool) -> DataFrame:
         """Each block once for every block of ``other`` that it meets, column ``met``: all, or with ``same`` those of its group."""
@@ -91,49 +97,92 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
+def _cells(anchors: _Blocks, rows: _Blocks, same: bool) -> PandasCogroupedOps:
+    """Anchor blocks and row blocks by cell of the grid and panel, ``a, b, p``: a row for each chunk ``c`` of a side.
+
+    Both sides are shuffled.  A join would be free to broadcast one: the copies of a block, one for each block that it meets, take little room in
+    a shuffle's files, but all of them would be unpacked in the driver.
+    """
+    panel = F.floor(F.col("c") / PANEL).alias("p")
+    a = anchors.along(rows, same).select(F.col("block").alias("a"), F.col("met").alias("b"), panel, "c", "rows")
+    b = rows.along(anchors, same).select(F.col("met").alias("a"), F.col("block").alias("b"), panel, "c", "rows")
+    return a.groupBy("a", "b", "p").cogroup(b.groupBy("a", "b", "p"))
+
+
+def _add(scores: np.ndarray, rows: np.ndarray, columns: np.ndarray, tile: np.ndarray, some: np.ndarray, others: np.ndarray) -> None:
+    """Add to ``scores`` (of the numbers ``rows`` and ``columns``, rising) the ``tile`` of some of them."""
+    if tile.shape == scores.shape:
+        scores += tile
+    else:  # some vectors are shorter and have no such chunk
+        scores[np.ix_(np.searchsorted(rows, some), np.searchsorted(columns, others))] += tile
+
+
+def _panel(left: pa.Table, right: pa.Table, chunk: int) -> tuple[int, int, np.ndarray] | None:
+    """Where the panel's first chunk is on each side, and the sum of the tiles of the chunks that both have; None if a side has none.
+
+    Rows are those of the first chunk, in order of their numbers: who has a later one has this too.
+    """
+    if not left.num_rows or not right.num_rows:
+        return None
+    x, y = ({c.as_py(): r.values for c, r in zip(side.column("c"), side.column("rows"), strict=True)} for side in (left, right))
+    first = min(x)
+    rows, columns = _numbers(x[first], "number"), _numbers(y[first], "number")
+    scores = np.zeros((len(rows), len(columns)), np.int64)
+    for c in x.keys() & y.keys():
+        tile = product(_matrix(x[c].field("v"), chunk), _matrix(y[c].field("v"), chunk))
+        _add(scores, rows, columns, tile, _numbers(x[c], "number"), _numbers(y[c], "number"))
+    return list(x).index(first), list(y).index(first), scores
+
+
 def _tiles(anchors: _Blocks, rows: _Blocks, chunk: int, same: bool) -> DataFrame:
-    """``a, b, c, left, right, tile``: partial scores of anchor block ``a`` and row block ``b``, one row for each chunk ``c`` that both have.
+    """``a, b, p, left, right, tile``: partial scores of anchor block ``a`` and row block ``b``, one row for each panel ``p`` that both have.
 
-    ``left`` and ``right`` are the rows that have this chunk, in order of their numbers: what is known of them with the first chunk, else their numbers.
+    ``left`` and ``right`` are the rows that have this panel, in order of their numbers.
     """
-    a = anchors.along(rows, same).select(F.col("block").alias("a"), F.col("met").alias("b"), "c", F.col("rows").alias("left"))
-    b = rows.along(anchors, same).select(F.col("met").alias("a"), F.col("block").alias("b"), "c", F.col("rows").alias("right"))
-    cells = a.join(b, ["a", "b", "c"])
-    bare = lambda side: F.when(F.col("c") == 0, F.transform(side, lambda r: r.dropFields("v"))).alias(side)
-    shown = cells.select("a", "b", "c", bare("left"), bare("right"), F.col("left.number").alias("left_numbers"), F.col("right.number").alias("right_numbers"), F.col("left.v").alias("x"), F.col("right.v").alias("y"))
-    schema = shown.select(*shown.columns[:7], F.lit(b"").alias("tile")).schema
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                tile = product(_matrix(one.column(7).flatten(), chunk), _matrix(one.column(8).flatten(), chunk)).tobytes()
-                yield pa.RecordBatch.from_arrays([*one.columns[:7], pa.array([tile], pa.binary())], names=schema.names)
+    kind = lambda blocks: blocks.rows.schema["rows"].dataType
+    schema = StructType().add("a", "long").add("b", "long").add("p", "long").add("left", kind(anchors)).add("right", kind(rows)).add("tile", "binary")
+
+    def each(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        cell = _panel(left, right, chunk)
+        i, j, scores = cell or (0, 0, None)
+        n = int(cell is not None)
+        place = [pa.array([k.as_py()] * n, pa.int64()) for k in key]
         tidy()
+        return pa.table([*place, left.column("rows").slice(i, n), right.column("rows").slice(j, n), pa.array([scores.tobytes()] * n if n else [], pa.binary())], names=schema.names)
 
-    return shown.mapInArrow(each, schema)
+    return _cells(anchors, rows, same).applyInArrow(each, schema)
 
 
-def _reduced(tiles: DataFrame, schema: str, pick: Callable) -> DataFrame:
-    """Tiles of a cell added, and what ``pick(left, right, scores)`` takes of them: a tuple of arrays in the order of ``schema``."""
+def _reduced(anchors: _Blocks, rows: _Blocks, chunk: int, same: bool, schema: str, pick: Callable) -> DataFrame:
+    """What ``pick(left, right, scores)`` takes of each cell, all its tiles added: a tuple of arrays in the order of ``schema``.
+
+    Where no vectors have more than a panel's dimensions in common, a cell is done when its panel is; else panels' tiles are shuffled.
+    """
     names = [f.split()[0] for f in schema.split(", ")]
+    taken = lambda found: pa.table(dict(zip(names, found, strict=True)))
+
+    def done(left: pa.Table, right: pa.Table) -> pa.Table:
+        cell = _panel(left, right, chunk)
+        if cell is None:
+            return taken([np.zeros(0, np.int64)] * len(names))
+        i, j, scores = cell
+        found = pick(left.column("rows")[i].values, right.column("rows")[j].values, scores)
+        tidy()
+        return taken(found)
 
-    def each(cell: pa.Table) -> pa.Table:
-        head = cell.filter(pc.equal(cell.column("c"), 0)).combine_chunks()
-        left, right = (head.column(side).combine_chunks().flatten() for side in ("left", "right"))
+    def added(cell: pa.Table) -> pa.Table:
+        head = cell.filter(pc.equal(cell.column("p"), 0))
+        left, right = (head.column(side)[0].values for side in ("left", "right"))
         rows, columns = _numbers(left, "number"), _numbers(right, "number")
         scores = np.zeros((len(rows), len(columns)), np.int64)
-        for part in cell.select(["left_numbers", "right_numbers", "tile"]).to_batches():
-            for i in range(part.num_rows):
-                some, others = (part.column(j).slice(i, 1).flatten().to_numpy() for j in (0, 1))
-                tile = np.frombuffer(part.column(2)[i].as_buffer(), np.int64).reshape(len(some), len(others))
-                if tile.shape == scores.shape:
-                    scores += tile
-                else:  # some vectors are shorter and have no such chunk
-                    scores[np.ix_(np.searchsorted(rows, some), np.searchsorted(columns, others))] += tile
-        return pa.table(dict(zip(names, pick(left, right, scores), strict=True)))
+        for some, others, tile in zip(*(cell.column(c) for c in ("left", "right", "tile")), strict=True):
+            some, others = _numbers(some.values, "number"), _numbers(others.values, "number")
+            _add(scores, rows, columns, np.frombuffer(tile.as_buffer(), np.int64).reshape(len(some), len(others)), some, others)
+        return taken(pick(left, right, scores))
 
-    return tiles.groupBy("a", "b").applyInArrow(each, schema)
+    if min(anchors.chunks, rows.chunks) <= PANEL:
+        return _cells(anchors, rows, same).applyInArrow(done, schema)
+    return _tiles(anchors, rows, chunk, same).groupBy("a", "b").applyInArrow(added, schema)
 
 
 def _numbers(side: pa.Array, field: str) -> np.ndarray:
@@ -167,7 +216,11 @@ def _negatives(most: int, percent: int) -> Callable:
         ids, labels = _numbers(right, "vec_id"), _numbers(right, "label")
         found = [(np.zeros(0, np.int64),) * 4]
         for i, (label, number, wanted) in enumerate(zip(_numbers(left, "label"), _numbers(left, "number"), left.field("wanted").to_pylist(), strict=True)):
-            other = np.flatnonzero(labels != label)
+            if not wanted:
+                continue
+            other = np.flatnonzero((labels != label) & (100 * scores[i] >= min(percent * p for p in wanted)) & (scores[i] <= max(wanted)))
+            if not len(other):
+                continue
             s, n = scores[i, other], ids[other]
             for place, p in enumerate(wanted):
                 inside = np.flatnonzero((100 * s >= percent * p) & (s <= p))
@@ -197,11 +250,11 @@ def mine(rows: DataFrame, anchor: Column, positives: int = POSITIVES, negatives:
     anchors = rows.filter(anchor)
     columns = ["number", "vec_id", "label", "v"]
     blocks = _Blocks(rows.select(*columns), ROWS, chunk)
-    found = _reduced(_tiles(_Blocks(anchors.select(*columns), ANCHORS, chunk), blocks, chunk, True), "number bigint, positive_id bigint, positive_score bigint", _positives(positives))
+    found = _reduced(_Blocks(anchors.select(*columns), ANCHORS, chunk), blocks, chunk, True, "number bigint, positive_id bigint, positive_score bigint", _positives(positives))
     found = written(_first(found, ["number"], "positive_score", "positive_id", positives), "positives")
     wanted = found.groupBy("number").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "positive_score"))), lambda p: p.positive_score).alias("wanted"))
     asked = written(anchors.join(wanted, "number").select("number", "vec_id", "label", "wanted", "v"), "anchors")
-    near = _reduced(_tiles(_Blocks(asked, ANCHORS, chunk), blocks, chunk, False), "number bigint, place bigint, negative_id bigint, negative_score bigint", _negatives(negatives, percent))
+    near = _reduced(_Blocks(asked, ANCHORS, chunk, groups=1), blocks, chunk, False, "number bigint, place bigint, negative_id bigint, negative_score bigint", _negatives(negatives, percent))
     near = _first(near, ["number", "place"], "negative_score", "negative_id", negatives)
     known = found.select("number", (F.col("rank") - 1).cast("bigint").alias("place"), "positive_id", "positive_score").join(asked.select("number", F.col("vec_id").alias("anchor_id")), "number")
     return near.join(known, ["number", "place"]).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

@@ -77,3 +77,31 @@ def test_cells_are_joined_by_their_place(spark):
     blocks = negatives._Blocks(rows, 10, 2)
     plan = negatives._tiles(blocks, blocks, 2, False)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_copies_of_blocks_are_not_broadcast(spark):
+    """Small in a shuffle's files, a block's copies for all blocks that it meets would be unpacked in the driver."""
+    rows = negatives.integers(spark.createDataFrame(some(50, 4, [0, 1], 5), VECTORS)).select(F.monotonically_increasing_id().alias("number"), "vec_id", "label", "v")
+    blocks = negatives._Blocks(rows, 10, 2)
+    tiles = negatives._tiles(blocks, blocks, 2, False)
+    assert tiles.collect()
+    plan = tiles._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "Broadcast" not in plan
+
+
+def test_one_panels_tiles_are_not_shuffled(spark, monkeypatch):
+    rows = negatives.integers(spark.createDataFrame(some(50, 4, [0, 1], 5), VECTORS)).select(F.monotonically_increasing_id().alias("number"), "vec_id", "label", "v")
+    blocks = negatives._Blocks(rows, 10, 2)
+    plan = lambda: negatives._reduced(blocks, blocks, 2, True, "number bigint, positive_id bigint, positive_score bigint", negatives._positives(5))._jdf.queryExecution().toString()
+    assert "tile" not in plan()
+    monkeypatch.setattr(negatives, "PANEL", 1)
+    assert "tile" in plan()
+
+
+@pytest.mark.parametrize("panel", [1, 2, 3])
+def test_tiles_of_several_panels_are_added(spark, monkeypatch, panel):
+    for name, value in (("ANCHORS", 7), ("ROWS", 30), ("PANEL", panel)):
+        monkeypatch.setattr(negatives, name, value)
+    rows = some(150, 13, [1, 1, 2, 3], 6) + [(200 + i, v[: i % 14], label) for i, v, label in some(60, 13, [1, 2], 9)]  # 0 to 4 chunks
+    got = mined(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 9 == 0, chunk=4)
+    assert got == brute(rows, lambda i: i % 9 == 0) and got
